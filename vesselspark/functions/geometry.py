@@ -195,7 +195,7 @@ def best_direction(a: Vec) -> Column:
 
 def sphere_point(i: Column, n: int, radius: float = 1.0) -> Vec:
     """The i-th of n evenly spread points of a sphere (golden-angle spiral)."""
-    golden = math.pi * (3.0 - math.sqrt(5.0))
-    y = 1 - i / float(n - 1) * 2
-    ring = F.sqrt(F.greatest(F.lit(0.0), 1 - y * y))
-    return (F.cos(i * golden) * ring * radius, y * radius, F.sin(i * golden) * ring * radius)
+    z = (2 * i + 1) / float(n) - 1
+    turn = ((i + 1) % n) * (math.pi * (3.0 - math.sqrt(5.0)))
+    ring = F.sqrt(1 - z * z)
+    return (F.cos(turn) * ring * radius, F.sin(turn) * ring * radius, z * radius)

@@ -114,9 +114,7 @@ def resample_at_slices(points: DataFrame, size: int = BLOCK) -> DataFrame:
         "_top", F.col("n1_zz").isNull()
     ).withColumn("n1_zz", F.coalesce("n1_zz", "zz"))
     lo = F.ceil("zz")
-    hi = F.when(F.col("_top"), F.when(F.col("zz") == F.floor("zz"), F.floor("zz")).otherwise(F.floor("zz"))).otherwise(
-        F.ceil("n1_zz") - 1
-    )
+    hi = F.when(F.col("_top"), F.floor("zz")).otherwise(F.ceil("n1_zz") - 1)
     return _at_abscissa(seg, "zz", lo, hi, F.col("_k").cast("double"), [])
 
 
@@ -154,8 +152,8 @@ def resample_along_axis(points: DataFrame, chunk: int | None = None, size: int =
     )
     axis = g.unit(g.sub(g.vec("_bx", "_by", "_bz"), g.vec("_ax", "_ay", "_az")))
     along = g.dot(g.sub(g.vec(*POS), g.vec("_ax", "_ay", "_az")), axis)
-    flat = p.join(ends, keys).withColumn("_s", along)
-    # Samples need a single-valued order: the first point at each abscissa counts.
+    # Samples need a single-valued order: the first point at each abscissa (to 1e-9) counts.
+    flat = p.join(ends, keys).withColumn("_s", F.round(along, 9))
     flat = flat.groupBy(*keys, "_s", "_m", "_np").agg(F.min_by(F.struct(*POS, "rad"), "_i").alias("_p")).select(
         *keys, "_s", "_m", "_np", "_p.*"
     )
@@ -187,7 +185,7 @@ def resample_along_axis(points: DataFrame, chunk: int | None = None, size: int =
 
 
 def moving_average(points: DataFrame, width: int = 5, size: int = BLOCK) -> DataFrame:
-    """Centred mean over ``width`` points; ``width // 2`` + 1 points at the head and width // 2 at the tail stay."""
+    """Centred mean over ``width`` points; ``h + 1`` points at the head and ``h`` at the tail stay (h = width // 2)."""
     h = width // 2
     near = neighbours(points, KEYS, "seq", {"_end": ("seq", h)}, size)
     smooth = framed(near, KEYS, "seq", {f"_m{c}": F.avg(c) for c in (*POS, "rad")}, h, h, size)
