@@ -78,28 +78,18 @@ def cc_sql(name, nodes, offsets):
   SELECT e.dst, min(w.comp) FROM {name} w JOIN {name}_e e ON e.src = w.id JOIN recurring.{name} r ON r.id = e.dst WHERE w.comp < r.comp GROUP BY e.dst)"""
 
 
-def _betti_sql():
-    parts = []
-    for tag, col in (("g", "gt"), ("p", "pred")):
-        fg = f"SELECT case_id, x, y, z FROM fx_voxels WHERE {col} > 0"
-        bg = f"""SELECT b.case_id, b.x, b.y, b.z FROM (SELECT case_id, x, y, z FROM (SELECT case_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1
-            FROM fx_voxels WHERE {col} > 0 GROUP BY case_id) l, LATERAL unnest(generate_series(x0 - 1, x1 + 1)) AS u1(x), LATERAL unnest(generate_series(y0 - 1, y1 + 1)) AS u2(y), LATERAL unnest(generate_series(z0 - 1, z1 + 1)) AS u3(z)) b
-            WHERE NOT EXISTS (SELECT 1 FROM fx_voxels v WHERE v.{col} > 0 AND v.case_id = b.case_id AND v.x = b.x AND v.y = b.y AND v.z = b.z)"""
-        parts.append(cc_sql(f"f{tag}", fg, OFF))
-        parts.append(cc_sql(f"h{tag}", bg, OFF6))
-        parts.append(f"""c{tag}_o(a, b, c) AS (VALUES {OFF}, (0, 0, 0)), c{tag} AS (SELECT DISTINCT case_id, 2*x + a AS x, 2*y + b AS y, 2*z + c AS z, 3 - abs(a) - abs(b) - abs(c) AS d FROM fx_voxels, c{tag}_o WHERE {col} > 0),
-b{tag} AS (SELECT e.case_id, b0, b2, b0 + b2 - eu AS b1 FROM (SELECT case_id, CAST(sum(CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS eu FROM c{tag} GROUP BY case_id) e
-  JOIN (SELECT n.case_id, count(DISTINCT comp) AS b0 FROM f{tag} c JOIN f{tag}_n n ON c.id = n.id GROUP BY n.case_id) x ON e.case_id = x.case_id
-  JOIN (SELECT n.case_id, count(DISTINCT comp) - 1 AS b2 FROM h{tag} c JOIN h{tag}_n n ON c.id = n.id GROUP BY n.case_id) y ON e.case_id = y.case_id)""")
-    return "WITH " + ",\n".join(parts) + """ SELECT coalesce(g.case_id, p.case_id) AS case_id, abs(coalesce(g.b0, 0) - coalesce(p.b0, 0)) AS err_b0,
-  abs(coalesce(g.b1, 0) - coalesce(p.b1, 0)) AS err_b1, abs(coalesce(g.b2, 0) - coalesce(p.b2, 0)) AS err_b2 FROM bg g FULL JOIN bp p ON g.case_id = p.case_id"""
-
-
-@query("betti_error", ["fx_voxels"], _betti_sql())
+@query("betti_error", ["fx_voxels"])
 def betti_error(v):
     return ev.betti_error(v.where("gt > 0"), v.where("pred > 0"))
 
 
+@query("euler_number", ["fx_voxels"], f"""WITH o(a, b, c) AS (VALUES {OFF}, (0, 0, 0)),
+c AS (SELECT DISTINCT case_id, 2*x + a AS x, 2*y + b AS y, 2*z + c AS z, 3 - abs(a) - abs(b) - abs(c) AS d FROM fx_voxels, o WHERE gt > 0)
+SELECT case_id, CAST(sum(CASE WHEN d % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS euler FROM c GROUP BY case_id""")
+def euler_number(v):
+    return ev.euler_number(v.where("gt > 0"))
+
+
 @query("centreline_dice", ["fx_voxels"], """WITH p AS (SELECT case_id, avg((gt > 0)::INT) AS pr FROM fx_voxels WHERE pred > 0 AND intensity >= 42 GROUP BY case_id),
 s AS (SELECT case_id, avg((pred > 0)::INT) AS se FROM fx_voxels WHERE gt > 0 AND intensity >= 42 GROUP BY case_id)
 SELECT coalesce(p.case_id, s.case_id) AS case_id, round(coalesce(pr, 0), 9) AS "precision", round(coalesce(se, 0), 9) AS sensitivity,

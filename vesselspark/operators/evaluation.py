@@ -158,23 +158,19 @@ def centreline_dice(gt: DataFrame, gt_line: DataFrame, pred: DataFrame, pred_lin
 # -- surface distance ------------------------------------------------------------------
 
 
-def surface_distance(a: DataFrame, b: DataFrame, spacing: Sequence[float], keys: Sequence[str] = ("case_id",)) -> DataFrame:
-    """Average symmetric surface distance per key; keys with an empty side are left out."""
-    keys = list(keys)
-
-    def scaled(mask):
-        s = surface(mask, tuple(keys))
-        return stored(s.select(*keys, *[(F.col(c) * k).alias(c) for c, k in zip("xyz", spacing)]), "surface")
-
-    sa, sb = scaled(a), scaled(b)
-
-    def mean(q, t, name):
-        at = ["qx", "qy", "qz"]
-        q = q.select(*keys, *[F.col(c).alias(f"q{c}") for c in "xyz"])
-        near = nearest_growing(q, t, 2.0 * max(spacing), at, [*keys, *at], ["x", "y", "z"], keys=keys)
-        return near.groupBy(*keys).agg(F.avg("dist").alias(name))
+def surface_distance(masks: DataFrame, spacing: Sequence[float], keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Average symmetric surface distance of the masks on side 0 and 1 (column ``side``) of a key.
 
-    return mean(sa, sb, "_ab").join(mean(sb, sa, "_ba"), keys).select(*keys, ((F.col("_ab") + F.col("_ba")) / 2).alias("assd"))
+    Keys with an empty side are left out.  Both directions and all keys share one search.
+    """
+    keys = list(keys)
+    edge = surface(masks, (*keys, "side"))
+    edge = stored(edge.select(*keys, "side", *[(F.col(c) * k).alias(c) for c, k in zip("xyz", spacing)]), "surface")
+    at = ["qx", "qy", "qz"]
+    asked = edge.select(*keys, (1 - F.col("side")).alias("side"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    near = nearest_growing(asked, edge, 1.01 * max(spacing), at, [*keys, "side", *at], ["x", "y", "z"], keys=[*keys, "side"])
+    way = near.groupBy(*keys, "side").agg(F.avg("dist").alias("m"))
+    return way.groupBy(*keys).agg(F.avg("m").alias("assd"), F.count("*").alias("_n")).where("_n = 2").drop("_n")
 
 
 def in_roi(voxels: DataFrame, roi: DataFrame) -> DataFrame:
@@ -198,24 +194,28 @@ def surface_score(voxels: DataFrame, spacing: Sequence[float], roi: DataFrame |
     lim = voxels.groupBy("case_id").agg(F.max("intensity").alias("_hi"), F.min("intensity").alias("_lo"))
     base = F.when(F.col("_hi") > 0, F.col("_hi")).otherwise(F.col("_lo"))
 
-    def variants(v, ths):
+    def variants(v, ths, region):
         v = v.join(lim, "case_id")
         made = [F.when(F.col("pred") > 0, F.lit(0.0))] + [F.when(F.col("intensity") > base * t, F.lit(t)) for t in ths]
-        pred = v.select(*KEY, F.explode(F.array_compact(F.array(*made))).alias("which"))
-        true = v.where("gt > 0").select(*KEY, F.explode(F.array(*[F.lit(t) for t in (0.0, *ths)])).alias("which"))
-        d = surface_distance(pred, true, spacing, ["case_id", "which"])
-        return d.groupBy("case_id").agg(
-            F.max(F.when(F.col("which") == 0, F.col("assd"))).alias("d"), F.avg(F.when(F.col("which") > 0, F.col("assd"))).alias("nf")
-        )
+        pred = v.select(*KEY, F.explode(F.array_compact(F.array(*made))).alias("which"), F.lit(0).alias("side"))
+        true = v.where("gt > 0").select(*KEY, F.explode(F.array(*[F.lit(t) for t in (0.0, *ths)])).alias("which"), F.lit(1).alias("side"))
+        return pred.unionByName(true).withColumn("region", F.lit(region))
+
+    masks = variants(voxels, THRESHOLDS, 0)
+    if roi is not None:
+        masks = masks.unionByName(variants(in_roi(voxels, roi), THRESHOLDS[-1:], 1))
+    dist = surface_distance(masks, spacing, ["case_id", "which", "region"])
+    per = stored(dist.groupBy("case_id", "region").agg(
+        F.max(F.when(F.col("which") == 0, F.col("assd"))).alias("d"), F.avg(F.when(F.col("which") > 0, F.col("assd"))).alias("nf")
+    ), "distance")
 
-    def score(d, nf):
-        return F.greatest((nf - d) / nf, F.lit(0.0))
+    def score(d):
+        return F.greatest((F.col("nf") - d) / F.col("nf"), F.lit(0.0))
 
-    out = variants(voxels, THRESHOLDS).select("case_id", F.col("d").alias("assd"), "nf", score(F.col("d"), F.col("nf")).alias("surface_score"))
+    out = per.where("region = 0").select("case_id", F.col("d").alias("assd"), "nf", score(F.col("d")).alias("surface_score"))
     if roi is not None:
-        part = variants(in_roi(voxels, roi), THRESHOLDS[-1:])
         d = F.coalesce("d", "nf")
-        part = part.select("case_id", d.alias("assd_roi"), F.col("nf").alias("nf_roi"), score(d, F.col("nf")).alias("surface_score_roi"))
+        part = per.where("region = 1").select("case_id", d.alias("assd_roi"), F.col("nf").alias("nf_roi"), score(d).alias("surface_score_roi"))
         out = out.join(part, "case_id", "left")
     return out
 
