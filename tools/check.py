@@ -71,9 +71,9 @@ def main():
         b = sorted(tuple(plain(r[i]) for i in pick) for r in want)
         if a != b:
             bad.append(name)
-            only_a = [r for r in a if r not in set(b)][:3]
-            only_b = [r for r in b if r not in set(a)][:3]
-            print(f"DIFF {name}: {len(a)} / {len(b)} rows\n  cols {cols}\n  spark {only_a}\n  sql   {only_b}", flush=True)
+            in_a, in_b = set(a), set(b)
+            only_a, only_b = sorted(in_a - in_b)[:3], sorted(in_b - in_a)[:3]
+            print(f"DIFF {name}: {len(a)} / {len(b)} rows\n  cols {cols}\n  spark {only_a}\n  sql   {only_b} ({len(in_a - in_b)} differ)", flush=True)
         else:
             types = [t for _, t in df.select(*[f"`{c}`" for c in cols]).dtypes]
             print(f"ok   {name}: {len(a)} rows spark {t1 - t0:.1f}s sql {time.time() - t1:.1f}s" + ("  EMPTY" if not a else ""), flush=True)

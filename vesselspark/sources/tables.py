@@ -31,3 +31,140 @@ def parse_extra(extra: Column) -> tuple[Column, Column]:
 def format_extra(pos: Column, spacing: Column) -> Column:
     box = F.coalesce(F.array_join(pos.cast("array<string>"), " "), F.lit("-1"))
     return F.concat(F.lit("["), box, F.lit("],["), F.array_join(spacing.cast("array<string>"), " "), F.lit("]"))
+
+
+def datalist_entries(doc: DataFrame) -> DataFrame:
+    """Entries of a sample list (test, training, validation arrays) with their ``split``."""
+    parts = [doc.select(F.lit(s).alias("split"), F.explode(s).alias("e")).select("split", "e.*") for s in ("training", "validation", "test") if s in doc.columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def scan_datalist(spark: SparkSession, path: str) -> DataFrame:
+    return datalist_entries(spark.read.json(path, multiLine=True))
+
+
+def manifest(entries: DataFrame, name: str, labels: dict[int, str]) -> DataFrame:
+    """One JSON document per call: header with counts, label map and the three lists.
+
+    A sample list is a single file by definition; it holds one short entry per case.
+    """
+    cols = [F.col(c) for c in entries.columns if c not in ("split", "id")]
+    entry = F.struct(F.col("id"), *cols)
+
+    def of(split):
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("split") == split, entry))), lambda e: e.dropFields("id"))
+
+    doc = entries.agg(
+        F.count_if(F.col("split") == "test").alias("numTest"), F.count_if(F.col("split") == "validation").alias("numValidation"),
+        F.count_if(F.col("split") == "training").alias("numTraining"), of("test").alias("test"), of("training").alias("training"), of("validation").alias("validation"),
+    )
+    label_map = F.create_map(*[F.lit(str(v)) for kv in labels.items() for v in kv])
+    return doc.select(F.to_json(F.struct(F.lit(name).alias("name"), label_map.alias("labels"), *doc.columns)).alias("value"))
+
+
+def parse_box_text(files: DataFrame) -> DataFrame:
+    """Whole files (case_id, value): size line and location line to a box, truncating."""
+    lines = F.split("value", "\n")
+    nums = lambda i: F.split(F.trim(F.regexp_extract(lines[i], r"([^:]*)$", 1)), r"\s+").cast("array<double>")
+    f = files.withColumns({"_s": nums(1), "_l": nums(2)})
+    lo = [F.col("_l")[i].cast("int").alias(f"{c}0") for i, c in enumerate("xyz")]
+    hi = [(F.col("_l")[i] + F.col("_s")[i]).cast("int").alias(f"{c}1") for i, c in enumerate("xyz")]
+    return f.select("case_id", *lo, *hi)
+
+
+def parse_slice_boxes(lines: DataFrame, classes: int) -> DataFrame:
+    """``xmin ymin xmax ymax conf class`` lines (slice_no, value) to centre, size and class scores."""
+    f = F.split(F.trim("value"), r"\s+").cast("array<double>")
+    b = lines.where(F.size(F.split(F.trim("value"), r"\s+")) == 6).withColumn("_f", f)
+    v = [F.col("_f")[i] for i in range(6)]
+    return b.select(
+        *[c for c in lines.columns if c != "value"], ((v[0] + v[2]) / 2).alias("bx"), ((v[1] + v[3]) / 2).alias("by"), (v[2] - v[0]).alias("bw"), (v[3] - v[1]).alias("bh"), v[4].alias("conf"),
+        F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: F.when(i == v[5].cast("int"), v[4]).otherwise(F.lit(0.0))).alias("scores"),
+    )
+
+
+def scan_slice_boxes(spark: SparkSession, path: str, classes: int) -> DataFrame:
+    no = F.regexp_extract(F.col("_metadata.file_path"), r"_(\d+)\.[^./]+$", 1).cast("int")
+    return parse_slice_boxes(spark.read.text(path).select(no.alias("slice_no"), "value"), classes)
+
+
+def scan_curves(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """Curve CSVs of several experiments (folder name = experiment), with model names."""
+    exp = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    raw = spark.read.csv(path, header=True, inferSchema=True)
+    return raw.withColumn("experiment", exp).join(names, "experiment", "left")
+
+
+def inventory(paths: DataFrame, sources: list[str]) -> DataFrame:
+    """Which image sources exist per case: file names ``TH_<case><source>.<ext>`` to flags."""
+    base = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    src = F.regexp_extract(base, "_(" + "|".join(sources) + ")$", 1)
+    p = paths.select(F.regexp_replace(base, "_(" + "|".join(sources) + ")$", "").alias("case_id"), src.alias("src")).where("src <> ''")
+    return p.groupBy("case_id").agg(*[F.bool_or(F.col("src") == s).alias(s) for s in sources])
+
+
+def check_pairs(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Image and label presence per case: ok, no label, no image."""
+    a = images.select("case_id").distinct().withColumn("_i", F.lit(True))
+    b = labels.select("case_id").distinct().withColumn("_l", F.lit(True))
+    return a.join(b, "case_id", "full").select(
+        "case_id", F.when(F.col("_i").isNull(), "no image").when(F.col("_l").isNull(), "no label").otherwise("ok").alias("state")
+    )
+
+
+def require_pairs(pairs: DataFrame) -> DataFrame:
+    """Raise when a task meets an incomplete pair."""
+    bad = F.raise_error(F.concat(F.lit("incomplete case "), F.col("case_id").cast("string")))
+    return pairs.withColumn("state", F.when(F.col("state") == "ok", F.col("state")).otherwise(bad.cast("string")))
+
+
+def copy_plan(source: DataFrame, target: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Files (case_id, name) of the source that the target lacks, for the wanted cases."""
+    s = source if wanted is None else source.join(wanted, "case_id", "left_semi")
+    return s.join(target, ["case_id", "name"], "left_anti")
+
+
+def scan_volume_npy(spark: SparkSession, path: str, sparse: bool = True) -> DataFrame:
+    """``.npy`` volumes to voxel rows (case_id, x, y, z, v); zeros are skipped if ``sparse``."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def decode(batches):
+        for pdf in batches:
+            for case, content in zip(pdf["case_id"], pdf["content"]):
+                vol = np.load(io.BytesIO(content))
+                for x in range(vol.shape[0]):  # plane by plane, so rows never hold a whole volume
+                    plane = vol[x]
+                    y, z = np.nonzero(plane) if sparse else np.indices(plane.shape).reshape(2, -1)
+                    yield pd.DataFrame({"case_id": case, "x": np.int64(x), "y": y.astype("int64"), "z": z.astype("int64"), "v": plane[y, z].astype("float64")})
+
+    from .swc import case_of
+
+    files = spark.read.format("binaryFile").load(path).select(case_of(F.col("path")).alias("case_id"), "content")
+    return files.mapInPandas(decode, "case_id string, x long, y long, z long, v double")
+
+
+def vessel_id_image(voxels: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Painted ids to vessel types by a small table (painted_id, vestype)."""
+    return voxels.join(mapping.withColumnRenamed("painted_id", "v"), "v", "left").withColumn("vestype", F.coalesce("vestype", F.lit(0)))
+
+
+def parse_case_metrics(lines: DataFrame) -> DataFrame:
+    """Alternating lines (n, value): case id, then a dict literal; one row per metric."""
+    ids = lines.where("n % 2 = 0").select((F.col("n") + 1).alias("n"), F.col("value").alias("case_id"))
+    body = F.from_json(F.regexp_replace("value", "'", '"'), "map<string,double>")
+    return lines.where("n % 2 = 1").join(ids, "n").select("case_id", F.explode(body).alias("name", "metric"))
+
+
+def write_curve(curve: DataFrame, path: str) -> None:
+    curve.write.csv(path, header=True)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Delete the rows of ``old`` that share a key with ``new``, then add ``new``."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
