@@ -1 +1,255 @@
-"""Placeholder."""
+"""Graphs of traces and voxels, and edits of trace sets."""
+
+from pyspark.sql import functions as F
+
+from ..operators import editing as ed, graph as gr
+from ..plans import graphloop as gl
+from . import query
+from .evaluation import OFF, cc_sql
+from .features import rounded
+from .matching import D, ENDS, SHIFT, shifted
+
+MID = "((CAST(round({x} * 1000) AS BIGINT) + 1048576) * 2097152 + CAST(round({y} * 1000) AS BIGINT) + 1048576) * 2097152 + CAST(round({z} * 1000) AS BIGINT) + 1048576"
+NODES = f"""nd AS (SELECT *, {MID.format(x='x', y='y', z='z')} AS node FROM fx_points),
+nb AS (SELECT *, lag(node) OVER w AS pv, lead(node) OVER w AS nx, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM nd WINDOW w AS (PARTITION BY case_id, trace_id ORDER BY seq)),
+ed AS (SELECT case_id, least(node, pv) AS src, greatest(node, pv) AS dst, min(sqrt((x-px)*(x-px) + (y-py)*(y-py) + (z-pz)*(z-pz))) AS dist FROM nb WHERE pv <> node GROUP BY ALL)"""
+
+
+@query("node_edges", ["fx_points"], f"WITH {NODES} SELECT case_id, src, dst, round(dist, 6) AS dist FROM ed")
+def node_edges(p):
+    return rounded(gr.node_graph(p)[1], ["dist"])
+
+
+@query("node_degree", ["fx_points"], f"""WITH {NODES}, t AS (SELECT case_id, pv AS node FROM nb WHERE pv IS NOT NULL UNION ALL SELECT case_id, nx FROM nb WHERE nx IS NOT NULL), d AS (SELECT case_id, node, count(*) AS degree FROM t GROUP BY ALL)
+SELECT p.case_id, trace_id, seq, coalesce(degree, 0) AS degree FROM nd p LEFT JOIN d ON d.case_id = p.case_id AND d.node = p.node""")
+def node_degree(p):
+    return gr.node_degree(p).select("case_id", "trace_id", "seq", "degree")
+
+
+DEG = f"""{NODES}, dg AS (SELECT case_id, node, count(*) AS deg FROM (SELECT case_id, src AS node FROM ed UNION ALL SELECT case_id, dst FROM ed) q GROUP BY ALL)"""
+SIMPLE = f"""{DEG}, st AS (SELECT nb.*, deg IS NOT NULL AS stop FROM nb LEFT JOIN dg ON dg.case_id = nb.case_id AND dg.node = nb.node AND deg <> 2),
+sg AS (SELECT *, sum(stop::INT) OVER (PARTITION BY case_id, trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - stop::INT AS seg FROM st),
+ch AS (SELECT case_id, trace_id, seg, sum(sqrt((x-px)*(x-px) + (y-py)*(y-py) + (z-pz)*(z-pz))) AS dist, avg(rad) AS rad, count(*) AS n, max(node) FILTER (WHERE stop) AS dst, max(seq) AS last_seq FROM sg WHERE seg > 0 GROUP BY ALL HAVING bool_or(stop)),
+hd AS (SELECT case_id, trace_id, seg + 1 AS seg, node AS src FROM sg WHERE stop),
+pr AS (SELECT c.*, h.src FROM ch c JOIN hd h ON h.case_id = c.case_id AND h.trace_id = c.trace_id AND h.seg = c.seg WHERE h.src <> c.dst),
+sm AS (SELECT case_id, least(src, dst) AS src, greatest(src, dst) AS dst, arg_max(dist, trace_id * 1000000 + last_seq) AS dist, arg_max(rad, trace_id * 1000000 + last_seq) AS rad, arg_max(n, trace_id * 1000000 + last_seq) AS n FROM pr GROUP BY ALL)"""
+
+
+@query("simplified_graph", ["fx_points"], f"WITH {SIMPLE} SELECT case_id, src, dst, round(dist, 6) AS dist, round(rad, 6) AS rad, n FROM sm")
+def simplified_graph(p):
+    return rounded(gr.simplified_graph(p)[1], ["dist", "rad"]).select("case_id", "src", "dst", "dist", "rad", "n")
+
+
+ADJ = f"""adj AS MATERIALIZED (SELECT q.case_id, q.trace_id AS src, t.trace_id AS dst, min({D}) AS w FROM fx_points q JOIN fx_points t ON q.case_id = t.case_id AND q.trace_id < t.trace_id WHERE {D} < %s GROUP BY ALL)"""
+
+
+def _trace_cc(name, edges):
+    return f"""{name}_b AS (SELECT case_id, src, dst FROM {edges} UNION SELECT case_id, dst, src FROM {edges}), {name}(id, comp) USING KEY (id) AS (SELECT DISTINCT trace_id, trace_id FROM fx_points UNION
+  SELECT e.dst, min(c.comp) FROM {name} c JOIN {name}_b e ON e.src = c.id JOIN recurring.{name} r ON r.id = e.dst WHERE c.comp < r.comp GROUP BY e.dst)"""
+
+
+@query("trace_components", ["fx_points"], f"WITH {ADJ % 0.6}, {_trace_cc('cc', 'adj')} SELECT DISTINCT case_id, id AS node, comp FROM cc JOIN fx_points ON trace_id = id")
+def trace_components(p):
+    nodes = p.select("case_id", F.col("trace_id").alias("node")).distinct()
+    return gl.components(gr.trace_adjacency(p, 0.6), nodes)
+
+
+@query("main_tree", ["fx_points"], f"""WITH {ADJ % 0.6}, {_trace_cc('cc', 'adj')}, ce AS (SELECT case_id, trace_id, avg(x) AS cx, avg(y) AS cy FROM fx_points GROUP BY ALL), m AS (SELECT ce.*, comp FROM ce JOIN cc ON id = trace_id),
+s AS (SELECT case_id, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy FROM ce GROUP BY case_id), g AS (SELECT case_id, comp, count(*) AS n, avg(cx) AS gx, avg(cy) AS gy FROM m GROUP BY ALL),
+k AS (SELECT g.*, n > least(2, max(n) OVER (PARTITION BY g.case_id) - 1) AND abs(gx - mx) < 1.6448536269514722 * sx AND abs(gy - my) < 1.6448536269514722 * sy AS ok, row_number() OVER (PARTITION BY g.case_id ORDER BY n DESC, comp) AS rk FROM g JOIN s ON s.case_id = g.case_id),
+v AS (SELECT *, bool_or(ok) OVER (PARTITION BY case_id) AS a FROM k) SELECT m.case_id, m.trace_id, m.comp FROM m JOIN v ON v.case_id = m.case_id AND v.comp = m.comp WHERE ok OR (NOT a AND rk = 1)""")
+def main_tree(p):
+    return gr.main_tree(p, 0.6, 2)
+
+
+@query("spanning_forest", ["fx_points"], f"""WITH {ADJ % 1.6}, e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY w, src, dst) AS k FROM adj), b AS (SELECT case_id, src, dst, k FROM e UNION ALL SELECT case_id, dst, src, k FROM e),
+rc(k, node) AS (SELECT k, src FROM e UNION SELECT r.k, b.dst FROM rc r JOIN b ON b.src = r.node AND b.k < r.k)
+SELECT case_id, src, dst, round(w, 6) AS w FROM e WHERE NOT EXISTS (SELECT 1 FROM rc WHERE rc.k = e.k AND rc.node = e.dst)""")
+def spanning_forest(p):
+    return rounded(gr.cut_loops(p, 1.6), ["w"])
+
+
+@query("shortest_paths", ["fx_points"], f"""WITH {ADJ % 1.6}, b AS MATERIALIZED (SELECT case_id, src, dst, w FROM adj UNION ALL SELECT case_id, dst, src, w FROM adj), s AS (SELECT case_id, min(trace_id) AS source FROM fx_points GROUP BY case_id),
+sp(case_id, source, node, d) USING KEY (case_id, source, node) AS (SELECT case_id, source, source, CAST(0 AS DOUBLE) FROM s UNION SELECT q.case_id, q.source, q.node, q.d FROM (SELECT p.case_id, p.source, b.dst AS node, min(p.d + b.w) AS d FROM sp p JOIN b ON b.case_id = p.case_id AND b.src = p.node GROUP BY ALL) q
+  LEFT JOIN recurring.sp r ON r.case_id = q.case_id AND r.source = q.source AND r.node = q.node WHERE r.d IS NULL OR q.d < r.d - 1e-9)
+SELECT case_id, source, node, round(d, 6) AS dist FROM sp""")
+def shortest_paths(p):
+    src = p.groupBy("case_id").agg(F.min("trace_id").alias("source"))
+    return rounded(gl.shortest_paths(gr.trace_adjacency(p, 1.6), src), ["dist"]).select("case_id", "source", "node", "dist")
+
+
+@query("same_vessel", ["fx_points"], f"""WITH {ADJ % 1.6}, b AS MATERIALIZED (SELECT case_id, src, dst, w FROM adj UNION ALL SELECT case_id, dst, src, w FROM adj), s AS (SELECT case_id, min(trace_id) AS source FROM fx_points GROUP BY case_id),
+sp(case_id, source, node, d) USING KEY (case_id, source, node) AS (SELECT case_id, source, source, CAST(0 AS DOUBLE) FROM s UNION SELECT q.case_id, q.source, q.node, q.d FROM (SELECT p.case_id, p.source, b.dst AS node, min(p.d + b.w) AS d FROM sp p JOIN b ON b.case_id = p.case_id AND b.src = p.node GROUP BY ALL) q
+  LEFT JOIN recurring.sp r ON r.case_id = q.case_id AND r.source = q.source AND r.node = q.node WHERE r.d IS NULL OR q.d < r.d - 1e-9), {ENDS}
+SELECT a.case_id, a.source, b.trace_id AS node, coalesce(sp.d < 1.2 * sqrt(pow(ea.hx - b.hx, 2) + pow(ea.hy - b.hy, 2) + pow(ea.hz - b.hz, 2)) + 3, false) AS same_vessel FROM s a JOIN e ea ON ea.trace_id = a.source JOIN e b ON b.case_id = a.case_id LEFT JOIN sp ON sp.case_id = a.case_id AND sp.source = a.source AND sp.node = b.trace_id""")
+def same_vessel(p):
+    src = p.groupBy("case_id").agg(F.min("trace_id").alias("source"))
+    heads = p.where("seq = 0").select("case_id", F.col("trace_id").alias("node"), "x", "y", "z")
+    pairs = src.join(heads.select("case_id", "node"), "case_id")
+    return gr.same_vessel(pairs, gl.shortest_paths(gr.trace_adjacency(p, 1.6), src), heads)
+
+
+@query("large_components", ["fx_points"])
+def large_components(p):
+    return rounded(gr.keep_large_components(gr.simplified_graph(p)[1]), ["dist"]).select("case_id", "comp", "src", "dst", "dist")
+
+
+TK = "concat(CAST(CAST(trunc({0}x) AS BIGINT) AS VARCHAR), '-', CAST(CAST(trunc({0}y) AS BIGINT) AS VARCHAR), '-', CAST(CAST(trunc({0}z) AS BIGINT) AS VARCHAR))"
+
+
+@query("merge_pairs", ["fx_points"], f"""WITH {ENDS}, k AS (SELECT case_id, trace_id, 0 AS "end", {TK.format('h')} AS key FROM e UNION ALL SELECT case_id, trace_id, 1, {TK.format('t')} FROM e), g AS (SELECT case_id, key, min(trace_id) AS ta, max(trace_id) AS tb, arg_min("end", trace_id) AS ea, arg_max("end", trace_id) AS eb FROM k GROUP BY ALL HAVING count(*) = 2 AND count(DISTINCT trace_id) = 2)
+SELECT case_id, key, ta, ea, tb, eb FROM g""")
+def merge_pairs(p):
+    return gr.merge_chains(p)
+
+
+@query("merge_at_ends", ["fx_pred_points"])
+def merge_at_ends(pred):
+    return gr.merge_at_ends(pred).select("case_id", "trace_id", "seq", "x", "y", "z", "rad")
+
+
+@query("voxel_graph", ["fx_voxels"], f"""WITH o(a, b, c) AS (VALUES {OFF}), v AS (SELECT case_id, x, y, z FROM fx_voxels WHERE gt > 0)
+SELECT s.case_id, s.x AS ax, s.y AS ay, s.z AS az, t.x AS bx, t.y AS "by", t.z AS bz, round(sqrt(a*a + b*b + c*c), 6) AS dist FROM v s, o, v t WHERE t.case_id = s.case_id AND t.x = s.x + a AND t.y = s.y + b AND t.z = s.z + c AND (a, b, c) > (0, 0, 0)""")
+def voxel_graph(v):
+    from ..plans.voxelgrid import with_position
+
+    e = gr.voxel_graph(v.where("gt > 0"))
+    for side, tag in (("src", "a"), ("dst", "b")):
+        e = with_position(e.withColumn("node", F.col(side))).withColumnsRenamed({c: f"{tag}{c}" for c in "xyz"}).drop("node", side)
+    return rounded(e, ["dist"])
+
+
+@query("graph_traces", ["fx_voxels"])
+def graph_traces(v):
+    # A thin mask stands for a skeleton.
+    return gr.traces_from_graph(gr.voxel_graph(v.where("gt > 0 and intensity >= 42")))
+
+
+@query("end_links", ["fx_points"])
+def end_links(p):
+    return rounded(gr.end_links(p), ["dist"])
+
+
+@query("end_links_gated", ["fx_points", "fx_voxels"])
+def end_links_gated(p, v):
+    cost = v.select("case_id", "x", "y", "z", (1 - F.col("score")).alias("v"))
+    return rounded(gr.end_links(shifted(p), values=cost, gate=0.5), ["dist", "cost"])
+
+
+@query("greedy_links", ["fx_points", "fx_voxels"])
+def greedy_links(p, v):
+    from ..operators.matching import sample
+    from ..operators.points import path
+
+    p = shifted(p)
+    cand = gr.end_links(p, r=30.0)
+    e = gr.ends(p).select("case_id", "trace_id", "end", "x", "y", "z")
+    a = e.select("case_id", F.col("trace_id").alias("q_trace_id"), F.col("end").alias("q_end"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
+    b = p.select("case_id", "trace_id", "seq", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    link = cand.join(a, ["case_id", "q_trace_id", "q_end"]).join(b, ["case_id", "trace_id", "seq"])
+    ids = ["case_id", "q_trace_id", "q_end", "k"]
+    cost = ed.link_costs(sample(path(link), v, "score", ids), ids[:3]).select(*ids[:3], "loss")
+    name = lambda t, s: F.concat_ws(":", t, s)
+    c = cand.join(cost, ids[:3]).select("case_id", name("q_trace_id", "q_end").alias("a"), name("trace_id", "seq").alias("b"), F.round(F.col("loss") - 0.5 / 30 * (30 - F.col("dist")), 6).alias("loss"))
+    return gr.mutual_links(c, -0.3)
+
+
+@query("select_artery", ["fx_points"])
+def select_artery(p):
+    e = p.groupBy("case_id").agg(F.min_by(F.struct("x", "y", "z"), F.struct("trace_id", "seq")).alias("a"), F.max_by(F.struct("x", "y", "z"), F.struct("trace_id", "seq")).alias("b"))
+    t = e.select("case_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), "a.*"), F.struct(F.lit(1).alias("which"), "b.*"))).alias("t")).select(
+        "case_id", "t.which", *[F.col(f"t.{c}").alias(f"q{c}") for c in "xyz"]
+    )
+    return gr.select_artery(p, t).select("case_id", F.round("dist", 6).alias("dist"), F.size("path").alias("nodes"))
+
+
+# -- edits -----------------------------------------------------------------------------
+
+
+@query("trace_union", ["fx_points", "fx_pred_points"], """SELECT case_id, trace_id, seq, x FROM fx_points UNION ALL SELECT case_id, trace_id + (SELECT max(trace_id) FROM fx_points) + 1, seq, x FROM fx_pred_points""")
+def trace_union(p, pred):
+    cols = ["case_id", "trace_id", "seq", "x"]
+    return ed.union(p.select(*cols), pred.select(*cols))
+
+
+@query("position_sets", ["fx_points", "fx_pred_points"], """SELECT 'both' AS part, case_id, x, y, z FROM (SELECT case_id, x, y, z FROM fx_points INTERSECT SELECT case_id, x, y, z FROM fx_pred_points) a
+UNION ALL SELECT 'only_first', case_id, x, y, z FROM (SELECT case_id, x, y, z FROM fx_points EXCEPT SELECT case_id, x, y, z FROM fx_pred_points) b""")
+def position_sets(p, pred):
+    cols = ["case_id", "x", "y", "z"]
+    a, b = p.select(*cols), pred.select(*cols)
+    return a.intersect(b).select(F.lit("both").alias("part"), *cols).unionByName(a.subtract(b).select(F.lit("only_first").alias("part"), *cols))
+
+
+def _pairs(p):
+    """Every trace with the next one of its case that starts a pair (first with second, third with fourth)."""
+    t = p.groupBy("case_id", "trace_id").agg(F.count("*").alias("n"))
+    nxt = t.select("case_id", (F.col("trace_id") - 1).alias("a"), F.col("trace_id").alias("b"))
+    return t.where("trace_id % 2 = 0").select("case_id", F.col("trace_id").alias("a")).join(nxt, ["case_id", "a"])
+
+
+PAIRS = "pairs AS (SELECT DISTINCT a.case_id, a.trace_id AS a, b.trace_id AS b FROM fx_points a JOIN fx_points b ON a.case_id = b.case_id AND b.trace_id = a.trace_id + 1 WHERE a.trace_id % 2 = 0)"
+
+
+@query("closest_ends", ["fx_points"], f"""WITH {PAIRS}, {ENDS}, d AS (SELECT p.case_id, p.a, p.b, [sqrt(pow(x.hx-y.hx,2)+pow(x.hy-y.hy,2)+pow(x.hz-y.hz,2)), sqrt(pow(x.hx-y.tx,2)+pow(x.hy-y.ty,2)+pow(x.hz-y.tz,2)), sqrt(pow(x.tx-y.hx,2)+pow(x.ty-y.hy,2)+pow(x.tz-y.hz,2)), sqrt(pow(x.tx-y.tx,2)+pow(x.ty-y.ty,2)+pow(x.tz-y.tz,2))] AS d
+  FROM pairs p JOIN e x ON x.trace_id = p.a JOIN e y ON y.trace_id = p.b)
+SELECT case_id, a, b, round(list_min(d), 6) AS dist, list_position(d, list_min(d)) IN (2, 4) AS flip, list_position(d, list_min(d)) > 2 AS append FROM d""")
+def closest_ends(p):
+    return rounded(ed.closest_ends(p, _pairs(p)), ["dist"])
+
+
+@query("concatenate", ["fx_points"], f"""WITH {PAIRS}, n AS (SELECT trace_id, count(*) AS n FROM fx_points GROUP BY trace_id)
+SELECT p.case_id, p.trace_id, p.seq + n.n AS seq, p.ev FROM fx_points p JOIN pairs q ON q.a = p.trace_id JOIN n ON n.trace_id = q.b
+UNION ALL SELECT p.case_id, q.a, n.n - 1 - p.seq, p.ev FROM fx_points p JOIN pairs q ON q.b = p.trace_id JOIN n ON n.trace_id = q.b
+UNION ALL SELECT case_id, trace_id, seq, ev FROM fx_points WHERE trace_id NOT IN (SELECT a FROM pairs UNION SELECT b FROM pairs)""")
+def concatenate(p):
+    # Prepended without a flip: the other trace comes first, reversed.
+    plan = _pairs(p).withColumns({"flip": F.lit(False), "append": F.lit(False)})
+    return ed.concatenate(p.select("case_id", "trace_id", "seq", "ev"), plan)
+
+
+@query("branch_points", ["fx_points"])
+def branch_points(p):
+    from ..operators.matching import branch_candidates
+
+    c = branch_candidates(p).select("case_id", F.col("q_trace_id").alias("a"), F.col("q_end").alias("end"), "trace_id", "seq")
+    at = p.select("case_id", "trace_id", "seq", *[F.col(x).alias(f"t{x}") for x in "xyz"], F.col("rad").alias("t_rad"))
+    t = c.join(at, ["case_id", "trace_id", "seq"]).drop("trace_id", "seq").withColumnRenamed("a", "trace_id")
+    return ed.branch_to(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), t)
+
+
+@query("transfer_by_length", ["fx_points"])
+def transfer_by_length(p):
+    return ed.transfer(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), "length")
+
+
+@query("transfer_decisions", ["fx_points"])
+def transfer_decisions(p):
+    z = ed.transfer_decisions(p, "z").select(F.lit("z").alias("mode"), "case_id", "trace_id", "end", "other", "at", "piece")
+    a = ed.transfer_decisions(p, "angle", gr.node_degree(p)).select(F.lit("angle").alias("mode"), "case_id", "trace_id", "end", "other", "at", "piece")
+    return z.unionByName(a)
+
+
+@query("remove_duplicate_coverage", ["fx_points"])
+def remove_duplicate_coverage(p):
+    return ed.remove_duplicate_coverage(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"))
+
+
+@query("link_costs", ["fx_points", "fx_voxels"], f"""WITH {SHIFT} SELECT p.case_id, trace_id, round(-avg(coalesce(score, 0)), 9) AS neg_mean, round(stddev_pop(coalesce(score, 0)) - avg(coalesce(score, 0)), 9) AS loss
+FROM sp p LEFT JOIN fx_voxels v ON v.case_id = p.case_id AND v.x = ceil(p.x - 0.5) AND v.y = ceil(p.y - 0.5) AND v.z = ceil(p.z - 0.5) GROUP BY ALL""")
+def link_costs(p, v):
+    from ..operators.matching import sample
+
+    s = sample(shifted(p), v, "score", ["case_id", "trace_id", "seq"], linear=False)
+    return rounded(ed.link_costs(s, ["case_id", "trace_id"]), ["neg_mean", "loss"], 9)
+
+
+@query("component_sizes", ["fx_voxels"], f"""WITH {cc_sql('c', 'SELECT case_id, x, y, z FROM fx_voxels WHERE gt > 0', OFF)}, s AS (SELECT n.case_id, comp, count(*) AS n FROM c JOIN c_n n ON n.id = c.id GROUP BY ALL)
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, comp) AS place, n FROM s""")
+def component_sizes(v):
+    from ..plans.blocks import ranked
+    from ..plans.voxelgrid import TWENTY_SIX, mask_components
+
+    n = mask_components(v.where("gt > 0"), TWENTY_SIX).groupBy("case_id", "comp").agg(F.count("*").alias("n"))
+    r = ranked(n, [F.col("case_id"), F.desc("n"), F.col("comp")], "r")
+    first = r.groupBy("case_id").agg(F.min("r").alias("f"))
+    return r.join(first, "case_id").select("case_id", (F.col("r") - F.col("f") + 1).alias("place"), "n")
