@@ -1 +1,54 @@
-"""Placeholder."""
+"""Streams, clustering and multi-step cohort queries."""
+
+from pyspark.sql import functions as F
+
+from ..streaming import metrics as sm
+from . import ORACLE, QUERIES, query
+from .features import rounded
+
+
+def _stream(name, build, keys, sql, digits=6):
+    def run(spark, sf_dir):
+        out = sm.run_available(build(sm.metric_stream(spark, sf_dir)), keys)
+        return rounded(out, [c for c in ("value", "best") if c in out.columns], digits)
+
+    QUERIES[name] = run
+    ORACLE[name] = sql
+
+
+ROWS = "m AS (SELECT CAST(ts AS DATE) AS epoch, event_id, CASE WHEN event_type IN ('click', 'view') THEN concat('seg_', event_type) ELSE event_type END AS name, value, 1 + event_id % 3 AS n FROM events)"
+_stream("stream_metrics", sm.running_epoch_metrics, ["epoch", "name"], f"""WITH {ROWS}
+SELECT CAST(epoch AS VARCHAR) AS epoch, name, round(CASE WHEN name LIKE 'seg!_%' ESCAPE '!' THEN sum(value) ELSE sum(value * n) / sum(n) END, 6) AS value FROM m GROUP BY epoch, name""")
+_stream("stream_best", sm.best_so_far, ["name"], f"""WITH {ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value DESC, event_id) AS k FROM m)
+SELECT name, round(value, 6) AS best, event_id AS case_id FROM r WHERE k = 1""")
+
+
+@query("kmeans_select", ["fx_points"])
+def kmeans_select(p):
+    from ..operators.selection import select_traces
+
+    return select_traces(p)
+
+
+@query("tree", ["fx_points", "fx_voxels"])
+def tree(p, v):
+    from ..operators.pipelines import traces_to_tree
+
+    return traces_to_tree(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), v)
+
+
+@query("mask_to_traces", ["fx_voxels"])
+def mask_to_traces(v):
+    from ..operators.pipelines import mask_to_traces as build
+
+    return build(v, v.where("gt > 0 and intensity >= 42"))
+
+
+@query("case_scores", ["fx_voxels"], """WITH t AS (SELECT *, intensity > 0.5 * max(intensity) OVER (PARTITION BY case_id) AS m FROM fx_voxels), c AS (SELECT case_id, 2.0::DOUBLE * sum((gt > 0)::INT * m::INT) / sum((gt > 0)::INT + m::INT) AS dsc, avg(abs(score - (gt > 0)::INT)) AS mad FROM t GROUP BY case_id)
+SELECT CAST(case_id AS VARCHAR) AS case_name, round(dsc, 9) AS dsc, round(mad, 9) AS mad FROM c UNION ALL SELECT 'mean', round(avg(dsc), 9), round(avg(mad), 9) FROM c""")
+def case_scores(v):
+    from ..operators import evaluation as ev
+
+    d = ev.dice_of_ratio(v, "intensity").join(ev.agreement(v).select("case_id", F.col("mean_abs").alias("mad")), "case_id")
+    rows = d.select(F.col("case_id").cast("string").alias("case_name"), "dsc", "mad")
+    return rounded(rows.unionByName(d.select(F.lit("mean").alias("case_name"), "dsc", "mad").groupBy("case_name").agg(F.avg("dsc").alias("dsc"), F.avg("mad").alias("mad"))), ["dsc", "mad"], 9)

@@ -232,3 +232,32 @@ def arrange_direction(points):
 @query("trace_has_nan", ["fx_points"], """SELECT case_id, trace_id, bool_or(isnan(x) OR isnan(y) OR isnan(z)) AS has_nan FROM fx_points GROUP BY case_id, trace_id""")
 def trace_has_nan(points):
     return tr.has_nan(points)
+
+
+@query("intensity_cut", ["fx_points"], f"""WITH v AS (SELECT *, lag(x) OVER w - lag(x, 2) OVER w AS ax, lag(y) OVER w - lag(y, 2) OVER w AS ay, lag(z) OVER w - lag(z, 2) OVER w AS az,
+  lead(x, 2) OVER w - lead(x) OVER w AS bx, lead(y, 2) OVER w - lead(y) OVER w AS b_y, lead(z, 2) OVER w - lead(z) OVER w AS bz FROM fx_points {W}),
+b AS (SELECT *, CASE WHEN ax IS NULL OR bx IS NULL THEN false WHEN (ax*ax+ay*ay+az*az) * (bx*bx+b_y*b_y+bz*bz) = 0 THEN true
+  ELSE (ax*bx+ay*b_y+az*bz) / (sqrt(ax*ax+ay*ay+az*az) * sqrt(bx*bx+b_y*b_y+bz*bz)) < 0.25 END AS brk FROM v),
+rc(case_id, trace_id, seq, n, s, q, piece) AS (SELECT case_id, trace_id, seq, 1, rad, rad * rad, 0 FROM b WHERE seq = 0 UNION ALL
+  SELECT case_id, trace_id, seq, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN rad ELSE s + rad END, CASE WHEN cut THEN rad * rad ELSE q + rad * rad END, piece + cut::INT FROM (
+    SELECT b.case_id, b.trace_id, b.seq, b.rad, r.n, r.s, r.q, r.piece, brk OR (n >= 5 AND abs(b.rad - s/n) > 1.2 * sqrt(greatest(0, q/n - (s/n)*(s/n))) + 1e-9) AS cut FROM rc r JOIN b ON b.trace_id = r.trace_id AND b.seq = r.seq + 1) c),
+k AS (SELECT p.*, piece, count(*) OVER (PARTITION BY p.trace_id, piece) AS np, p.seq - min(p.seq) OVER (PARTITION BY p.trace_id, piece) AS i FROM rc r JOIN fx_points p ON p.trace_id = r.trace_id AND p.seq = r.seq)
+SELECT case_id, trace_id, CAST(piece AS BIGINT) AS piece, CASE WHEN np = 2 AND i = 1 THEN 2 ELSE i END AS seq, x, y, z, round(rad, 6) AS rad FROM k WHERE np > 1
+UNION ALL SELECT case_id, trace_id, CAST(piece AS BIGINT), 1, avg(x), avg(y), avg(z), round(avg(rad), 6) FROM k WHERE np = 2 GROUP BY ALL""")
+def intensity_cut(points):
+    from ..operators.cutting import intensity_cuts
+
+    # The radius stands for the sampled intensity.
+    return rounded(intensity_cuts(points, "rad", nstd=1.2), ["rad"])
+
+
+@query("overlap_breaks", ["fx_points"], f"""WITH {ACC}, c AS (SELECT *, concat_ws('/', trunc(x), trunc(y), trunc(z)) AS cell FROM acc),
+rc(case_id, trace_id, seq, cells, accs, cut) AS (SELECT case_id, trace_id, seq, [cell], [s], CAST(NULL AS BIGINT) FROM c WHERE seq = 0 UNION ALL
+  SELECT case_id, trace_id, seq, CASE WHEN hit THEN CAST([] AS VARCHAR[]) ELSE list_append(cells, cell) END, CASE WHEN hit THEN CAST([] AS DOUBLE[]) ELSE list_append(accs, s) END, CASE WHEN hit THEN CAST(floor((seq + j) / 2) AS BIGINT) END FROM (
+    SELECT *, coalesce(s - accs[k] > floor(rad) AND seq - j > 5, false) AS hit FROM (SELECT c.case_id, c.trace_id, c.seq, c.cell, c.s, c.rad, r.cells, r.accs, list_position(r.cells, c.cell) AS k, c.seq - len(r.cells) + list_position(r.cells, c.cell) - 1 AS j
+      FROM rc r JOIN c ON c.trace_id = r.trace_id AND c.seq = r.seq + 1) q) h)
+SELECT case_id, trace_id, cut FROM rc WHERE cut IS NOT NULL""")
+def overlap_breaks(points):
+    from ..operators.cutting import overlap_breaks as breaks
+
+    return breaks(points)

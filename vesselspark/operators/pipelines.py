@@ -1,0 +1,59 @@
+"""Compositions of the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..plans.graphloop import spanning_forest
+from ..plans.voxelgrid import with_position
+from ..session import stored
+from . import editing as ed, graph as gr, matching as mt, traces as tr
+from .cutting import intensity_cuts
+from .points import path
+from .volumes import top_components
+
+BASE = ["case_id", "trace_id", "seq", "x", "y", "z", "rad"]
+
+
+def mask_to_traces(voxels: DataFrame, skeleton: DataFrame, least: int = 3) -> DataFrame:
+    """Largest skeleton piece to graph, chains, radii from the mask, cuts and clean traces."""
+    main = top_components(skeleton, 1).drop("place")
+    chains = stored(gr.traces_from_graph(gr.voxel_graph(main)), "chains")
+    p = with_position(chains).select("case_id", F.col("chain").alias("trace_id"), "seq", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    rad = mt.radius_from_mask(p, voxels.where("intensity > 12"), ["case_id", "trace_id", "seq"])
+    p = stored(p.join(rad.withColumnRenamed("fit_rad", "rad"), ["case_id", "trace_id", "seq"]), "traces")
+    sig = mt.sample(p, voxels, "intensity", ["case_id", "trace_id", "seq"], linear=False).withColumnRenamed("v", "signal")
+    cut = intensity_cuts(p.join(sig, ["case_id", "trace_id", "seq"]), "signal")
+    named = cut.withColumn("trace_id", F.xxhash64("trace_id", "piece")).select(*BASE)
+    return tr.remove_short(tr.remove_duplicate_points(stored(named, "pieces")), least - 1)
+
+
+def traces_to_tree(points: DataFrame, voxels: DataFrame, r: float = 5.0, most_loss: float = 1.0) -> DataFrame:
+    """Candidate links between ends and other traces, spanning forest by loss, branches, clean-up."""
+    p = stored(points, "traces")
+    e = stored(mt.ends(p).select("case_id", "trace_id", "end", "last_seq", "seq", "x", "y", "z"), "ends")
+    q = mt.as_queries(e, keep=["end"]).dropDuplicates(["case_id", "q_trace_id", "q_end"])
+    near = mt.nearest_per_trace(q.drop("q_end"), p, r)
+    cand = near.join(q.select("case_id", "q_trace_id", "q_seq", "q_end", "qx", "qy", "qz"), ["case_id", "q_trace_id", "q_seq"])
+    cand = cand.join(p.select("case_id", "trace_id", "seq", "x", "y", "z", F.col("rad").alias("t_rad")), ["case_id", "trace_id", "seq"])
+    cand = stored(cand, "candidates")
+    # The end must be the point of its own trace that is nearest to the target.
+    back = cand.select("case_id", F.struct("q_trace_id", "q_end", F.col("trace_id").alias("t")).alias("q_id"), F.col("q_trace_id").alias("trace_id"),
+                       F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"))
+    first = mt.nearest_in_trace(back, p, r).select("case_id", F.col("q_id.q_trace_id").alias("q_trace_id"), F.col("q_id.q_end").alias("q_end"), F.col("q_id.t").alias("trace_id"), F.col("seq").alias("own"))
+    cand = cand.join(first, ["case_id", "q_trace_id", "q_end", "trace_id"]).where("own = q_seq")
+    links = cand.select("case_id", F.col("q_trace_id").alias("trace_a"), F.col("trace_id").alias("trace_b"), "q_end", *[F.col(f"q{c}").alias(f"a{c}") for c in "xyz"], *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    links = stored(links, "links")
+    bad = mt.crossing_links(links, mt.paint_unique(p))
+    cost = mt.sample(path(links), voxels, "score", ["case_id", "trace_a", "trace_b", "q_end", "k"]).groupBy("case_id", "trace_a", "trace_b", "q_end").agg((1 - F.avg("v")).alias("loss"))
+    scored = cand.withColumnsRenamed({"q_trace_id": "trace_a", "trace_id": "trace_b"}).join(cost, ["case_id", "trace_a", "trace_b", "q_end"]).join(bad, ["case_id", "trace_a", "trace_b"], "left_anti")
+    scored = stored(scored.withColumn("loss", F.when(F.col("dist") < 0.1, F.lit(0.0)).otherwise(F.col("loss"))), "scored")
+    forest = spanning_forest(scored.select("case_id", F.col("trace_a").alias("src"), F.col("trace_b").alias("dst"), F.col("loss").alias("w")))
+    pick = scored.withColumns({"src": F.least("trace_a", "trace_b"), "dst": F.greatest("trace_a", "trace_b"), "w": F.col("loss")}).join(forest, ["case_id", "src", "dst", "w"])
+    pick = pick.where((F.col("dist") != 0) & (F.col("loss") < most_loss)).groupBy("case_id", "trace_a", F.col("q_end").alias("end")).agg(F.min(F.struct("loss", "trace_b", "x", "y", "z", "t_rad")).alias("m"))
+    target = pick.select("case_id", F.col("trace_a").alias("trace_id"), "end", *[F.col(f"m.{c}").alias(f"t{c}") for c in "xyz"], "m.t_rad")
+    p = stored(ed.branch_to(p, target), "branched")
+    p = stored(tr.remove_self_loop(tr.remove_short(p, 3)), "cleaned")
+    p = stored(gr.merge_at_ends(p).select(*BASE), "merged")
+    p = tr.remove_short(ed.transfer(p, "length"), 3)
+    return tr.resample(stored(p, "transferred"), 1.0)
