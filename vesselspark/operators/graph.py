@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, neighbours, running
-from ..plans.graphloop import components, shortest_paths, spanning_forest
+from ..plans.graphloop import components, fewest_hops, shortest_paths, spanning_forest
 from ..plans.grid import near_pairs, nearest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, with_position
 from ..session import stored
@@ -155,7 +155,7 @@ def merge_at_ends(points: DataFrame, links: DataFrame | None = None) -> DataFram
     start = comp.join(deg, ["case_id", "node"]).groupBy("case_id", "comp").agg(
         F.coalesce(F.min(F.when(F.col("deg") <= 1, F.col("node"))), F.min("node")).alias("source")
     )
-    dist = shortest_paths(edges, start.select("case_id", "source"))
+    dist = fewest_hops(edges, start.select("case_id", "source"))
     # In a closed chain both ways around meet; its place is then told by (distance, trace).
     place = dist.select("case_id", "source", F.col("node").alias("trace_id"), F.col("hops").cast("bigint").alias("hops"), F.when(F.col("hops") > 0, F.element_at("path", F.greatest(F.col("hops"), F.lit(1)))).alias("prev"))
     way = links.select("case_id", F.col("ta").alias("trace_id"), F.col("ea").alias("e"), F.col("tb").alias("prev")).unionByName(
@@ -214,7 +214,7 @@ def traces_from_graph(edges: DataFrame) -> DataFrame:
     ring = comp.groupBy("case_id", "comp").agg(F.min("node").alias("least")).join(start, ["case_id", "comp"], "left")
     plan = stored(ring.select("case_id", "comp", F.coalesce(F.col("f.node"), F.col("least")).alias("source"), F.col("f.hub").alias("hub0"),
                               F.when(F.col("k") > 1, F.col("l.hub")).alias("hub1")), "plan")
-    place = shortest_paths(inner, plan.select("case_id", "source")).select("case_id", "source", "node", F.col("hops").cast("bigint").alias("hops"))
+    place = fewest_hops(inner, plan.select("case_id", "source")).select("case_id", "source", "node", F.col("hops").cast("bigint").alias("hops"))
     body = place.join(plan, ["case_id", "source"]).select("case_id", F.col("comp").alias("chain"), (F.col("hops") + F.when(F.col("hub0").isNotNull(), 1).otherwise(0)).alias("seq"), "node")
     size = body.groupBy("case_id", "chain").agg(F.max("seq").alias("_m"))
     first = plan.where("hub0 is not null").select("case_id", F.col("comp").alias("chain"), F.lit(0).cast("bigint").alias("seq"), F.col("hub0").alias("node"))

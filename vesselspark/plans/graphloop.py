@@ -137,6 +137,36 @@ def shortest_paths(
     return best.withColumn("hops", F.size("path") - 1)
 
 
+def fewest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Paths of fewest edges from many sources: (case_id, source, node, hops, path).
+
+    Breadth first: a neighbour of level k lies in level k - 1, k or k + 1, so a round only
+    compares with the last two levels.  Equal lengths resolve to the smaller node list.
+    """
+    e = edges.select("case_id", "src", "dst")
+    sym = stored(e.unionByName(e.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "arcs")
+    start = sources.select("case_id", "source").distinct().select(
+        "case_id", "source", F.col("source").alias("node"), F.array("source").alias("path")
+    )
+    keys = ["case_id", "source", "node"]
+    level = stored(start, "level")
+    before, found = level.limit(0), level
+    for _ in range(max_rounds):
+        step = level.withColumnRenamed("node", "src").join(sym, ["case_id", "src"]).select(
+            "case_id", "source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")
+        )
+        old = before.select(*keys).unionByName(level.select(*keys))
+        new = step.join(old, keys, "left_anti").groupBy(*keys).agg(F.min("path").alias("path"))
+        new = stored(new, "level")
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+        before, level = level, new
+    else:
+        raise RuntimeError("search did not settle")
+    return found.withColumn("hops", F.size("path") - 1)
+
+
 def spanning_forest(edges: DataFrame, weight: str = "w", max_rounds: int = 60) -> DataFrame:
     """Minimum spanning forest (case_id, src, dst, weight); equal weights resolve by (src, dst).
 
