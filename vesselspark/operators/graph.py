@@ -168,7 +168,7 @@ def merge_at_ends(points: DataFrame, links: DataFrame | None = None) -> DataFram
     turn = F.when(F.col("hops") == 0, F.coalesce(F.col("leave") == 0, F.lit(False))).otherwise(F.col("enter") == 1)
     size = points.groupBy(*KEYS).agg(F.count("*").alias("_n"))
     plan = stored(plan.join(size, KEYS).withColumn("turn", turn).withColumn("chain", F.col("source")), "plan")
-    off = running(plan.withColumn("_ord", F.col("hops") * (1 << 40) + F.col("trace_id")), ["case_id", "chain"], "_ord", {"_to": F.col("_n")}, block=F.col("hops"))
+    off = running(plan.withColumn("_ord", F.col("hops") * (1 << 40) + F.col("trace_id")), ["case_id", "chain"], "_ord", {"_to": F.col("_n")}, block=F.floor(F.col("hops") / BLOCK))
     off = off.select(*KEYS, "chain", "turn", "_n", (F.col("_to") - F.col("_n")).alias("_off"))
     seq = F.col("_off") + F.when(F.col("turn"), F.col("_n") - 1 - F.col("seq")).otherwise(F.col("seq"))
     name = comp.select("case_id", F.col("node").alias("trace_id"), F.col("comp").alias("chain_id"))

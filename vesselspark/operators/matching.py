@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, running
-from ..plans.grid import near_pairs, nearest, nearest_growing
+from ..plans.grid import near_pairs, nearest, nearest_growing, nearest_staged
 from ..session import stored
 from .traces import KEYS, POS, direction, resample
 
@@ -38,7 +38,7 @@ def ends(points: DataFrame) -> DataFrame:
 
 def nearest_other(queries: DataFrame, points: DataFrame, r: float = 5.0, keep: Sequence[str] = ("rad",)) -> DataFrame:
     """Closest point of any other trace, strictly nearer than ``r``; ties: lowest trace, then point."""
-    return nearest(
+    return nearest_staged(
         queries, points.select(*KEYS, "seq", *POS, *keep), r, AT, ["case_id", "q_trace_id", "q_seq"],
         ["trace_id", "seq"], keep, where=F.col("trace_id") != F.col("q_trace_id"),
     )
@@ -46,7 +46,7 @@ def nearest_other(queries: DataFrame, points: DataFrame, r: float = 5.0, keep: S
 
 def nearest_any(queries: DataFrame, points: DataFrame, r: float = 5.0, keep: Sequence[str] = ("rad",)) -> DataFrame:
     """Closest point of another trace set."""
-    return nearest(
+    return nearest_staged(
         queries, points.select(*KEYS, "seq", *POS, *keep), r, AT, ["case_id", "q_trace_id", "q_seq"], ["trace_id", "seq"], keep
     )
 

@@ -102,6 +102,30 @@ def nearest(
     return best.select(*qid, *group, *[F.col(f"_m.{c}").alias(c) for c in first])
 
 
+def nearest_staged(
+    queries: DataFrame,
+    targets: DataFrame,
+    r: float,
+    at: Sequence[str],
+    qid: Sequence[str],
+    ties: Sequence[str],
+    keep: Sequence[str] = (),
+    keys: Sequence[str] = ("case_id",),
+    where: Column | None = None,
+    share: float = 0.25,
+) -> DataFrame:
+    """``nearest`` in two passes: queries that find a target within ``share * r`` are done.
+
+    Same result: whatever lies beyond cannot be closer.  Where points are dense, most
+    queries compare with a small neighbourhood only.
+    """
+    from ..session import stored
+
+    close = stored(nearest(queries, targets, share * r, at, qid, ties, keep, keys, where), "near")
+    rest = queries.join(close.select(*qid), list(qid), "left_anti")
+    return close.unionByName(nearest(rest, targets, r, at, qid, ties, keep, keys, where))
+
+
 def nearest_growing(
     queries: DataFrame,
     targets: DataFrame,
