@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import metrics as sm
 from . import ORACLE, QUERIES, query
-from .features import rounded
+from .features import TOTAL_TOT, TRACES, rounded
 
 
 def _stream(name, build, keys, sql, digits=6):
@@ -52,3 +52,64 @@ def case_scores(v):
     d = ev.dice_of_ratio(v, "intensity").join(ev.agreement(v).select("case_id", F.col("mean_abs").alias("mad")), "case_id")
     rows = d.select(F.col("case_id").cast("string").alias("case_name"), "dsc", "mad")
     return rounded(rows.unionByName(d.select(F.lit("mean").alias("case_name"), "dsc", "mad").groupBy("case_name").agg(F.avg("dsc").alias("dsc"), F.avg("mad").alias("mad"))), ["dsc", "mad"], 9)
+
+
+@query("main_tree_without_loops", ["fx_points"])
+def main_tree_without_loops(p):
+    from ..operators.pipelines import main_tree_without_loops as build
+
+    return build(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), 0.6, 2)
+
+
+@query("add_lower_threshold", ["fx_points", "fx_pred_points"])
+def add_lower_threshold(p, pred):
+    from ..operators.pipelines import add_lower_threshold as build
+
+    return build(p, pred)
+
+
+@query("labelled_graph", ["fx_points", "fx_landmarks"])
+def labelled_graph(p, lm):
+    from ..operators.pipelines import labelled_graph as build
+
+    nodes, edges = build(p, lm)
+    n = nodes.select("case_id", F.lit("node").alias("part"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("node_type").cast("bigint").alias("kind"))
+    return n.unionByName(edges.select("case_id", F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("vestype").cast("bigint").alias("kind")))
+
+
+@query("labelled_candidates", ["fx_pred_points", "fx_points"])
+def labelled_candidates(pred, p):
+    from ..operators.graph import labelled_candidates as build
+
+    return build(pred, p)
+
+
+@query("align_masks", ["fx_voxels"], "SELECT case_id, x, y, z, gt, pred FROM fx_voxels WHERE gt > 0 OR pred > 0")
+def align_masks(v):
+    from ..operators.evaluation import align
+
+    at = ["case_id", "x", "y", "z"]
+    return align(v.where("gt > 0").select(*at, F.col("gt").alias("label")), v.where("pred > 0").select(*at, F.col("pred").alias("label")))
+
+
+@query("unambiguous_pairs", ["fx_points"], """WITH pr AS (SELECT a.case_id, a.trace_id AS a, b.trace_id AS b FROM (SELECT case_id, trace_id, arg_max(x, seq) AS x, arg_max(y, seq) AS y, arg_max(z, seq) AS z FROM fx_points GROUP BY ALL) a
+  JOIN fx_points b ON b.case_id = a.case_id AND b.seq = 0 AND b.trace_id <> a.trace_id AND abs(a.x - b.x) < 3 AND abs(a.y - b.y) < 3 AND abs(a.z - b.z) < 3 AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) < 3),
+t AS (SELECT case_id, t FROM (SELECT case_id, a AS t FROM pr UNION ALL SELECT case_id, b FROM pr) q GROUP BY ALL HAVING count(*) > 1)
+SELECT * FROM pr WHERE (case_id, a) NOT IN (SELECT (case_id, t) FROM t) AND (case_id, b) NOT IN (SELECT (case_id, t) FROM t)""")
+def unambiguous_pairs(p):
+    from ..operators import graph as gr, matching as mt
+    from ..plans.grid import near_pairs
+
+    e = mt.ends(p)
+    q = mt.as_queries(e.where("end = 1"))
+    heads = e.where("end = 0").select("case_id", "trace_id", "x", "y", "z")
+    near = near_pairs(q, heads, 3.0, mt.AT, where=F.col("q_trace_id") != F.col("trace_id"))
+    return gr.unambiguous(near.select("case_id", F.col("q_trace_id").alias("a"), F.col("trace_id").alias("b")))
+
+
+@query("named_features", ["fx_points"], f"""WITH {TRACES} SELECT case_id, count(*) AS "Branches", round(sum(length) * 0.5, 6) AS "Length", round(sum(volume) * 0.125, 6) AS "Volume", round({TOTAL_TOT}, 6) AS "Tortuosity" FROM tf GROUP BY case_id""")
+def named_features(p):
+    from ..functions.registry import case_table
+    from ..operators.traces import trace_features
+
+    return rounded(case_table(trace_features(p), ["Branches", "Length", "Volume", "Tortuosity"], res=0.5), ["Length", "Volume", "Tortuosity"])

@@ -108,6 +108,12 @@ def difference(voxels: DataFrame) -> DataFrame:
     return voxels.withColumn("diff", F.when(g & p, 3).when(g, 2).when(p, 1).otherwise(0))
 
 
+def align(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Sparse truth and prediction tables (case_id, x, y, z, label) side by side; absent = 0."""
+    p = pred.select(*KEY, F.col("label").alias("pred"))
+    return gt.select(*KEY, F.col("label").alias("gt")).join(p, KEY, "full").fillna(0, ["gt", "pred"])
+
+
 # -- topology --------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from ..plans.graphloop import components, fewest_hops, shortest_paths, spanning_
 from ..plans.grid import near_pairs, nearest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, with_position
 from ..session import stored
-from .matching import AT, as_queries, ends, nearest_other, sample, trace_distance
+from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample, trace_distance
 from .points import path
 from .traces import KEYS, POS, shifted, with_step
 
@@ -296,3 +296,28 @@ def cut_loops(points: DataFrame, r: float, weight: str = "w") -> DataFrame:
     """Trace links kept by the minimum spanning forest of trace adjacency."""
     return spanning_forest(trace_adjacency(points, r), weight)
 
+
+
+def labelled_candidates(points: DataFrame, reference: DataFrame, r: float = 15.0) -> DataFrame:
+    """Neighbour segments of every trace tail and whether the reference joins the two ends.
+
+    Both ends are represented by a reference point; they belong together if the way between
+    these over the reference traces is below 1.2 times the straight distance + 3.  Only ways
+    up to the largest such bound are searched.
+    """
+    near = stored(neighbour_segments(points, r), "neighbours")
+    rep = representative(points, reference).where("ref_trace >= 0")
+    ref = stored(with_nodes(reference), "reference")
+    at = ref.select("case_id", F.col("trace_id").alias("ref_trace"), F.col("seq").alias("ref_seq"), "node", *POS)
+    rep = stored(rep.join(at, ["case_id", "ref_trace", "ref_seq"]).select(*KEYS, "end", "node", *POS), "representatives")
+    mine = rep.where("end = 1").select("case_id", F.col("trace_id").alias("q_trace_id"), F.col("node").alias("source"), *[F.col(c).alias(f"a{c}") for c in POS])
+    other = rep.select(*KEYS, F.col("end").alias("reversed"), "node", *[F.col(c).alias(f"b{c}") for c in POS])
+    pair = mine.join(near, ["case_id", "q_trace_id"]).join(other, [*KEYS, "reversed"], "left")
+    pair = stored(pair.withColumn("most", 1.2 * g.dist(g.vec("ax", "ay", "az"), g.vec("bx", "by", "bz")) + 3), "pairs")
+    top = pair.agg(F.max("most")).first()[0]
+    edges = node_graph(reference)[1].select("case_id", "src", "dst", F.col("dist").alias("w"))
+    ways = shortest_paths(edges, pair.where("node is not null").select("case_id", "source"), limit=float(top or 0.0))
+    ways = ways.select("case_id", "source", "node", F.col("dist").alias("way"))
+    return pair.join(ways, ["case_id", "source", "node"], "left").select(
+        "case_id", "q_trace_id", "trace_id", "reversed", F.coalesce(F.col("way") < F.col("most"), F.lit(False)).alias("same_vessel")
+    )

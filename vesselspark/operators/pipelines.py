@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.blocks import renumber
 from ..plans.graphloop import spanning_forest
 from ..plans.voxelgrid import with_position
 from ..session import stored
@@ -57,3 +58,46 @@ def traces_to_tree(points: DataFrame, voxels: DataFrame, r: float = 5.0, most_lo
     p = stored(gr.merge_at_ends(p).select(*BASE), "merged")
     p = tr.remove_short(ed.transfer(p, "length"), 3)
     return tr.resample(stored(p, "transferred"), 1.0)
+
+
+def main_tree_without_loops(points: DataFrame, r: float, more_than: int = 5) -> DataFrame:
+    """Branch and transfer at junctions, keep the links of the spanning forest, then the main tree.
+
+    Returns the points of the traces that stay and the forest links between them.
+    """
+    c = mt.branch_candidates(points).select("case_id", F.col("q_trace_id").alias("a"), F.col("q_end").alias("end"), "trace_id", "seq")
+    at = points.select("case_id", "trace_id", "seq", *[F.col(x).alias(f"t{x}") for x in "xyz"], F.col("rad").alias("t_rad"))
+    target = c.join(at, ["case_id", "trace_id", "seq"]).drop("trace_id", "seq").withColumnRenamed("a", "trace_id")
+    p = stored(ed.branch_to(points, target), "branched")
+    p = stored(tr.remove_duplicate_points(p), "distinct")
+    p = stored(ed.transfer(p, "length"), "transferred")
+    keep = stored(gr.main_tree(p, r, more_than), "main")
+    links = gr.cut_loops(p, r)
+    first = links.join(keep.select("case_id", F.col("trace_id").alias("src")), ["case_id", "src"], "left_semi")
+    parent = first.groupBy("case_id", F.col("dst").alias("trace_id")).agg(F.min("src").alias("parent"))
+    return p.join(keep, ["case_id", "trace_id"]).join(parent, ["case_id", "trace_id"], "left")
+
+
+def add_lower_threshold(high: DataFrame, low: DataFrame, least: int = 3) -> DataFrame:
+    """Traces of a lower threshold where the higher one has none: duplicates are dropped with
+    the higher threshold first, rests re-attached, ends merged, short traces removed."""
+    both = stored(ed.union(high.select(*BASE), low.select(*BASE)), "both")
+    clean = stored(ed.remove_duplicate_coverage(both), "coverage")
+    named = clean.withColumn("trace_id", F.xxhash64("trace_id", "piece")).select(*BASE)
+    dense = stored(renumber(named, tr.KEYS), "dense")
+    return tr.remove_short(gr.merge_at_ends(dense).select(*BASE), least)
+
+
+def labelled_graph(points: DataFrame, landmarks: DataFrame, training: bool = True):
+    """Simplified graph with landmark types on nodes and vessel types on edges (0 in test mode)."""
+    from .points import VESSEL_MERGE, relabel
+
+    nodes, edges = gr.simplified_graph(points)
+    edges = stored(gr.keep_large_components(stored(edges, "edges")), "kept")
+    used = edges.select("case_id", F.col("src").alias("node")).unionByName(edges.select("case_id", F.col("dst").alias("node"))).distinct()
+    lm = gr.with_nodes(landmarks).groupBy("case_id", "node").agg(F.min("lm_type").alias("lm_type"))
+    kind = relabel(F.coalesce("lm_type", F.lit(0)), {}, above=22) if training else F.lit(0)
+    nodes = nodes.join(used, ["case_id", "node"], "left_semi").join(lm, ["case_id", "node"], "left").withColumn("node_type", kind).drop("lm_type")
+    label = points.select("case_id", "trace_id", "vestype").distinct()
+    edges = edges.join(label, ["case_id", "trace_id"]).withColumn("vestype", relabel(F.col("vestype"), VESSEL_MERGE) if training else F.lit(0))
+    return nodes, edges
