@@ -32,14 +32,14 @@ def kmeans_select(p):
 
 @query("tree", ["fx_points", "fx_voxels"])
 def tree(p, v):
-    from ..operators.pipelines import traces_to_tree
+    from ..operators.compositions import traces_to_tree
 
     return traces_to_tree(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), v)
 
 
 @query("mask_to_traces", ["fx_voxels"])
 def mask_to_traces(v):
-    from ..operators.pipelines import mask_to_traces as build
+    from ..operators.compositions import mask_to_traces as build
 
     return build(v, v.where("gt > 0 and intensity >= 42"))
 
@@ -56,21 +56,21 @@ def case_scores(v):
 
 @query("main_tree_without_loops", ["fx_points"])
 def main_tree_without_loops(p):
-    from ..operators.pipelines import main_tree_without_loops as build
+    from ..operators.compositions import main_tree_without_loops as build
 
     return build(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), 0.6, 2)
 
 
 @query("add_lower_threshold", ["fx_points", "fx_pred_points"])
 def add_lower_threshold(p, pred):
-    from ..operators.pipelines import add_lower_threshold as build
+    from ..operators.compositions import add_lower_threshold as build
 
     return build(p, pred)
 
 
 @query("labelled_graph", ["fx_points", "fx_landmarks"])
 def labelled_graph(p, lm):
-    from ..operators.pipelines import labelled_graph as build
+    from ..operators.compositions import labelled_graph as build
 
     nodes, edges = build(p, lm)
     n = nodes.select("case_id", F.lit("node").alias("part"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("node_type").cast("bigint").alias("kind"))

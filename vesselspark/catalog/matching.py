@@ -220,7 +220,7 @@ def mean_in_ball(p, v):
   FROM sp WINDOW w AS (PARTITION BY case_id, trace_id ORDER BY seq)),
 q AS (SELECT *, yn*yn + zn*zn AS side, sqrt(pow(yn*yn + zn*zn, 2) + xn*xn*yn*yn + xn*xn*zn*zn) AS root FROM dr),
 a AS (SELECT q.*, angle, CASE WHEN angle < 0 THEN 0 ELSE rad * 2 * cos(radians(angle)) END AS u, CASE WHEN angle < 0 THEN 0 ELSE rad * 2 * sin(radians(angle)) END AS w FROM q, unnest([-1, 0, 30, 60, 90, 120, 150, 180, 210, 240, 270, 300, 330]) AS g(angle)),
-pos AS (SELECT case_id, trace_id, seq, angle, round(x + CASE WHEN side = 0 THEN 0 ELSE u*side/root END, 9) AS x, round(y + CASE WHEN side = 0 THEN w ELSE -u*xn*yn/root + w*zn/sqrt(side) END, 9) AS y, round(z + CASE WHEN side = 0 THEN -u ELSE -u*zn*xn/root - w*yn/sqrt(side) END, 9) AS z FROM a)
+pos AS (SELECT case_id, trace_id, seq, angle, x + CASE WHEN side = 0 THEN 0 ELSE u*side/root END AS x, y + CASE WHEN side = 0 THEN w ELSE -u*xn*yn/root + w*zn/sqrt(side) END AS y, z + CASE WHEN side = 0 THEN -u ELSE -u*zn*xn/root - w*yn/sqrt(side) END AS z FROM a)
 SELECT case_id, trace_id, seq, angle, round(v + 1e-7, 5) AS v FROM {sample_sql('pos', [*IDS, 'angle'])} z""")
 def ring_profile(p, v):
     out = mt.profile(shifted(p), v, "intensity")
