@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["decontamination", "bpe"]
+MODULES = ["decontamination", "bpe", "pii", "toxicity"]
 
 
 def query(sql: str | None = None):
