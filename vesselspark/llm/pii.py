@@ -230,8 +230,12 @@ def joined(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def count_of(kind: str):
+    return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 @query()
 def op6_pii(spark, sf_dir):
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
