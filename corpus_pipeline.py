@@ -1,9 +1,65 @@
-"""A corpus pipeline of the operators in ``vesselspark.llm``; see STAGES."""
+"""From raw documents to token ids: five stages, each reading what the one before it wrote.
 
+A stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
+DataFrame. All but the last return the columns of ``docs``.
+
+language          keeps texts whose language is recognised, fills a missing ``lang``
+near_duplicates   keeps one document of each class of near copies (texts without words never get here)
+decontamination   drops documents that hold a benchmark window
+personal_data     replaces personal data by its kind, renews ``n_chars``
+tokens            encodes the text, decodes the ids and says whether the text came back
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vesselspark.llm import bpe, decontamination, language, neardup, pii
+from vesselspark.session import stored
+
+#: A text is kept if a language was recognised with at least this score.
+LEAST_SCORE = 0.4
+
+
+def keep_languages(spark, docs, sf_dir):
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = language.detect(docs, language.trained(docs)).filter(f"lang_pred <> 'und' and lang_score >= {LEAST_SCORE}")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+
+
+def keep_one_of_near_copies(spark, docs, sf_dir):
+    return neardup.keep_one(docs)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_passages(docs, items).filter(F.size("hit_spans") == 0).select(*columns)
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return pii.redact(pii.find(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def encode_tokens(spark, docs, sf_dir):
+    path = bpe.default_path()
+    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return tokens.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("language", keep_languages), ("near_duplicates", keep_one_of_near_copies), ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data), ("tokens", encode_tokens),
+]
+
+#: Near-duplicate classes, the language field and the encoder have no SQL; tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
