@@ -147,3 +147,40 @@ def test_surface_distance_of_shifted_cubes(spark):
     cube = lambda side, dx: [(1, side, x + dx, y, z) for x in range(3) for y in range(3) for z in range(3)]
     m = spark.createDataFrame(cube(0, 0) + cube(1, 0), "case_id long, side int, x long, y long, z long")
     assert ev.surface_distance(m, (1, 1, 1)).first().assd == 0
+
+
+def test_mutual_links_go_on_until_none_is_left(spark):
+    from vesselspark.operators.graph import mutual_links
+
+    # Each link is cheaper than the next one, so the links are settled one after the other.
+    c = spark.createDataFrame([(1, f"{i:03d}", f"{i + 1:03d}", -10.0 + i / 100) for i in range(119)], "case_id long, a string, b string, loss double")
+    assert mutual_links(c, 0.0).count() == 60
+
+
+def test_only_kept_points_cover_others(spark):
+    from vesselspark.operators.editing import remove_duplicate_coverage
+
+    line = lambda x0, n, y, rad: [(x0 + i, y, float(i % 2), rad) for i in range(n)]
+    # A covers all of B; C is touched by points of B only.
+    p = points(spark, [line(0, 40, 10.0, 3.0), line(5, 12, 12.0, 2.0), line(5, 8, 14.0, 1.0)])
+    kept = {r["trace_id"]: r["n"] for r in remove_duplicate_coverage(p).groupBy("trace_id").count().withColumnRenamed("count", "n").collect()}
+    assert set(kept) == {0, 2} and kept[0] == 40
+
+
+def test_far_artery_targets_return_a_row(spark):
+    from vesselspark.operators.graph import select_artery
+
+    p = points(spark, [[(float(i), 0, 0) for i in range(10)], [(float(i), 0, 0) for i in range(30, 40)]])
+    rows = [(1, 0, -20.0, 0.0, 0.0), (1, 1, 39.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0)]
+    got = {r["case_id"]: r for r in select_artery(p, spark.createDataFrame(rows, "case_id long, which int, qx double, qy double, qz double")).collect()}
+    assert got[1]["path"] is not None and abs(got[1]["dist"] - 39.0) < 1e-6
+    assert got[2]["path"] is None
+
+
+def test_positions_beyond_packed_ids_raise(spark):
+    import pytest
+
+    from vesselspark.operators.graph import with_nodes
+
+    with pytest.raises(Exception, match="out of the range"):
+        with_nodes(points(spark, [[(5000.0, 0, 0)]])).collect()

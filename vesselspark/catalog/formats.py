@@ -20,6 +20,13 @@ def swc_scan_traces(nodes):
     return swc.vessel_types(swc.to_traces(back)).select("case_id", "trace_id", "np", "vestype")
 
 
+@query("swc_gappy_ids", ["fx_swc"], """WITH t AS (SELECT case_id, 3 * id AS id, x, sum((pid = -1)::INT) OVER (PARTITION BY case_id ORDER BY id ROWS UNBOUNDED PRECEDING) - 1 AS trace_id FROM fx_swc)
+SELECT case_id, id, CAST(trace_id AS BIGINT) AS trace_id, row_number() OVER (PARTITION BY case_id, trace_id ORDER BY id) - 1 AS seq FROM t""")
+def swc_gappy_ids(nodes):
+    gaps = nodes.withColumns({"id": F.col("id") * 3, "pid": F.when(F.col("pid") == -1, F.col("pid")).otherwise(F.col("pid") * 3)})
+    return swc.to_traces(gaps).select("case_id", "id", "trace_id", "seq")
+
+
 @query("vessel_segments", ["fx_swc"], f"""WITH {RULES}, s AS (SELECT *, CAST(floor((sum((type <> 0)::INT) OVER (PARTITION BY case_id ORDER BY id ROWS UNBOUNDED PRECEDING) - (type <> 0)::INT) / 2) AS BIGINT) AS segment FROM fx_swc),
 g AS (SELECT case_id, segment, arg_min(type, id) FILTER (WHERE type <> 0) AS a, arg_max(type, id) FILTER (WHERE type <> 0) AS b, count(*) AS np FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE type <> 0) = 2)
 SELECT case_id, segment, coalesce(v, 0) AS vestype, np FROM g LEFT JOIN rules USING (a, b)""")

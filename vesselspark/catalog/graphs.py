@@ -160,7 +160,7 @@ def select_artery(p):
     t = e.select("case_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), "a.*"), F.struct(F.lit(1).alias("which"), "b.*"))).alias("t")).select(
         "case_id", "t.which", *[F.col(f"t.{c}").alias(f"q{c}") for c in "xyz"]
     )
-    return gr.select_artery(p, t).select("case_id", F.round("dist", 6).alias("dist"), F.size("path").alias("nodes"))
+    return gr.select_artery(p, t).select("case_id", F.round("dist", 6).alias("dist"), F.when(F.col("path").isNotNull(), F.size("path")).alias("nodes"))
 
 
 # -- edits -----------------------------------------------------------------------------

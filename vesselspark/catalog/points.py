@@ -32,12 +32,11 @@ def vector_algebra(p):
 
 
 @query("point_distance", ["fx_points"], """SELECT case_id, trace_id, seq, round(sqrt((x-40)*(x-40) + (y-41)*(y-41) + (z-39)*(z-39)), 6) AS d3,
-  round(sqrt((x-40)*(x-40) + (y-41)*(y-41)), 6) AS d2, round(acos((x*40 + y*41 + z*39) / (sqrt(x*x + y*y + z*z) * sqrt(40*40 + 41*41 + 39*39))), 5) AS rad_angle,
-  round(degrees(acos((x*40 + y*41 + z*39) / (sqrt(x*x + y*y + z*z) * sqrt(40*40 + 41*41 + 39*39)))), 3) AS deg_angle
-FROM fx_points WHERE NOT (x / 40 = y / 41 AND y / 41 = z / 39)""")
+  round(sqrt((x-40)*(x-40) + (y-41)*(y-41)), 6) AS d2, round(acos(least(1, (x*40 + y*41 + z*39) / (sqrt(x*x + y*y + z*z) * sqrt(40*40 + 41*41 + 39*39)))), 5) AS rad_angle,
+  round(degrees(acos(least(1, (x*40 + y*41 + z*39) / (sqrt(x*x + y*y + z*z) * sqrt(40*40 + 41*41 + 39*39))))), 3) AS deg_angle
+FROM fx_points""")
 def point_distance(p):
-    off_line = ~((F.col("x") / 40 == F.col("y") / 41) & (F.col("y") / 41 == F.col("z") / 39))
-    return p.where(off_line).select(
+    return p.select(
         *ID, F.round(g.dist(here(), mid()), 6).alias("d3"), F.round(g.dist2d(here(), mid()), 6).alias("d2"),
         F.round(g.angle(here(), mid()), 5).alias("rad_angle"), F.round(g.angle_deg(here(), mid()), 3).alias("deg_angle"),
     )

@@ -13,10 +13,10 @@ from ..session import stored
 from .traces import KEYS, POS, accumulated_length, direction_breaks
 
 
-def _jump(first: DataFrame, next_cut, max_rounds: int) -> DataFrame:
+def _jump(first: DataFrame, next_cut) -> DataFrame:
     """Collect cuts: ``next_cut(starts)`` maps (keys, b) to the next (keys, cut, b)."""
     cuts, now = None, first
-    for _ in range(max_rounds):
+    while True:  # every cut lies behind the one before it
         hit = stored(next_cut(now), "cuts")
         if not hit.limit(1).count():
             break
@@ -25,7 +25,7 @@ def _jump(first: DataFrame, next_cut, max_rounds: int) -> DataFrame:
     return next_cut(first).limit(0) if cuts is None else cuts
 
 
-def intensity_cuts(points: DataFrame, signal: str, nstd: float = 3, least: int = 5, size: int = BLOCK, max_rounds: int = 100_000) -> DataFrame:
+def intensity_cuts(points: DataFrame, signal: str, nstd: float = 3, least: int = 5, size: int = BLOCK) -> DataFrame:
     """Cut where the direction breaks or the signal leaves ``nstd`` deviations of the current group.
 
     A group needs ``least`` points before it can be left.  Direction breaks do not depend on
@@ -47,7 +47,7 @@ def intensity_cuts(points: DataFrame, signal: str, nstd: float = 3, least: int =
         out = F.abs(F.col(signal) - mean) > nstd * std + 1e-9
         return w.where((n >= least) & out).groupBy(*keys).agg(F.min(F.struct("seq", "_s", "_q")).alias("b")).select(*keys, F.col("b.seq").alias("cut"), "b")
 
-    cuts = _jump(start, next_cut, max_rounds).select(*KEYS, F.col("cut").alias("seq"), F.lit(1).cast("bigint").alias("_cut"))
+    cuts = _jump(start, next_cut).select(*KEYS, F.col("cut").alias("seq"), F.lit(1).cast("bigint").alias("_cut"))
     first = start.select(*KEYS, F.col("b.seq").alias("seq"), F.lit(1).cast("bigint").alias("_cut"))
     marks = cuts.unionByName(first).distinct()
     flagged = points.join(marks, [*KEYS, "seq"], "left").withColumn("_cut", F.coalesce("_cut", F.lit(0)))
@@ -62,7 +62,7 @@ def intensity_cuts(points: DataFrame, signal: str, nstd: float = 3, least: int =
     return moved.select(*cols).unionByName(mid)
 
 
-def overlap_breaks(points: DataFrame, size: int = BLOCK, max_rounds: int = 100_000) -> DataFrame:
+def overlap_breaks(points: DataFrame, size: int = BLOCK) -> DataFrame:
     """Break points of a trace that returns to a cell it visited since the last break.
 
     A return counts if the way since the first visit is longer than the (whole) radius and
@@ -82,5 +82,5 @@ def overlap_breaks(points: DataFrame, size: int = BLOCK, max_rounds: int = 100_0
         top = hit.groupBy(*KEYS).agg(F.min(F.struct("seq", F.col("f.seq").alias("j"))).alias("m"))
         return top.select(*KEYS, F.floor((F.col("m.seq") + F.col("m.j")) / 2).alias("cut"), (F.col("m.seq") + 1).alias("b"))
 
-    return _jump(start, next_cut, max_rounds).select(*KEYS, "cut")
+    return _jump(start, next_cut).select(*KEYS, "cut")
 

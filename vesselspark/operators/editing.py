@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
@@ -170,8 +172,11 @@ def transfer_decisions(points: DataFrame, mode: str = "length", degree: DataFram
     return w.withColumn("piece", pick).select(*j.columns, "piece")
 
 
-def transfer(points: DataFrame, mode: str = "length", degree: DataFrame | None = None, rounds: int = 20) -> DataFrame:
-    """Re-join traces at junctions until nothing changes (at most ``rounds`` times).
+def transfer(points: DataFrame, mode: str = "length", degree: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Re-join traces at junctions until nothing changes; each round settles a junction at least.
+
+    ``degree(points)`` gives the degrees of the traces as they are; the angle mode asks for
+    them anew in every round.
 
     In a round a trace takes part in one exchange only: the decision with the lowest
     (trace, end) wins; a junction position is handled once.
@@ -179,8 +184,8 @@ def transfer(points: DataFrame, mode: str = "length", degree: DataFrame | None =
     cols = points.columns
     pts = stored(points, "traces")
     seen = None
-    for _ in range(rounds):
-        d = transfer_decisions(pts, mode, degree).where("piece is not null")
+    while True:
+        d = transfer_decisions(pts, mode, degree(pts) if degree else None).where("piece is not null")
         spot = pts.select("case_id", F.col("trace_id").alias("other"), F.col("seq").alias("at"), g.position_cells(g.vec(*POS)).alias("spot"))
         d = stored(d.join(spot, ["case_id", "other", "at"]), "decisions")
         if seen is not None:
@@ -216,18 +221,48 @@ def transfer(points: DataFrame, mode: str = "length", degree: DataFrame | None =
     return pts
 
 
+def _uncovered(points: DataFrame) -> DataFrame:
+    """Points with ``covered`` and the ``owner`` of the ball that covers them."""
+    pr = trace_priority(points).select(*KEYS, "place")
+    balls = stored(_balls(points, F.bround("rad"), 0).select(*VOX, "trace_id", "seq").distinct().join(pr, KEYS), "balls")
+    at = stored(points.withColumns({f"v{c}": g.voxel(F.col(c)) for c in POS}).select(*VOX, "trace_id", "seq").join(pr, KEYS), "places")
+    over = balls.select(*VOX, F.col("trace_id").alias("winner"), F.col("place").alias("w_place")).distinct()
+    wait = at.join(over, VOX).where("w_place < place").select("case_id", "trace_id", "winner").distinct()
+    wait = stored(wait, "waiting")
+    left = stored(pr, "undecided")
+    painted = decided = None
+    while True:
+        now = stored(left.join(wait.select(*KEYS).distinct(), KEYS, "left_anti"), "ready")
+        if now.isEmpty():
+            break
+        mine = at.join(now.select(*KEYS), KEYS, "left_semi")
+        if painted is None:
+            flag = mine.withColumn("owner", F.lit(None).cast("bigint"))
+        else:
+            flag = mine.join(painted, VOX, "left").groupBy(*KEYS, "seq", *VOX[1:], "place").agg(
+                F.min(F.when(F.col("w_place") < F.col("place"), F.struct("w_place", "winner"))).alias("o")
+            ).withColumn("owner", F.col("o.winner")).drop("o")
+        flag = stored(flag.select(*KEYS, "seq", "owner"), "flags")
+        kept = flag.where("owner is null").select(*KEYS, "seq")
+        new = stored(balls.join(kept, [*KEYS, "seq"], "left_semi").select(*VOX, F.col("trace_id").alias("winner"), F.col("place").alias("w_place")).distinct(), "painted")
+        painted = new if painted is None else painted.unionByName(new)
+        decided = flag if decided is None else decided.unionByName(flag)
+        left = stored(left.join(now.select(*KEYS), KEYS, "left_anti"), "undecided")
+        wait = stored(wait.join(now.select("case_id", F.col("trace_id").alias("winner")), ["case_id", "winner"], "left_anti"), "waiting")
+    if decided is None:
+        return points.withColumns({"owner": F.lit(None).cast("bigint"), "covered": F.lit(False)})
+    return points.join(decided, [*KEYS, "seq"]).withColumn("covered", F.col("owner").isNotNull())
+
+
 def remove_duplicate_coverage(points: DataFrame, reattach: float = 5.0, size: int = BLOCK) -> DataFrame:
-    """Drop points inside the balls of traces with higher priority; split what is left and re-attach it.
+    """Drop points inside the balls of kept points of traces with higher priority; split what is left and re-attach it.
 
+    A trace is decided once all traces of higher priority whose balls reach one of its points
+    are, so the result is that of walking the traces in order of priority.
     Pieces of at least two points stay; a piece end cut off by a covering trace gets the nearest
     point of that trace if it is closer than ``reattach``.  Adds ``piece``.
     """
-    pr = trace_priority(points).select(*KEYS, "place")
-    balls = _balls(points, F.bround("rad"), 0).select(*VOX, "trace_id").distinct().join(pr, KEYS)
-    owner = balls.groupBy(*VOX).agg(F.min(F.struct("place", "trace_id")).alias("o")).select(*VOX, F.col("o.place").alias("o_place"), F.col("o.trace_id").alias("owner"))
-    p = points.withColumns({f"v{c}": g.voxel(F.col(c)) for c in POS}).join(pr, KEYS).join(owner, VOX, "left")
-    covered = F.coalesce(F.col("o_place") < F.col("place"), F.lit(False))
-    p = stored(p.withColumn("covered", covered).drop("vx", "vy", "vz", "o_place"), "covered")
+    p = stored(_uncovered(points), "covered")
     run = running(p, KEYS, "seq", {"piece": F.col("covered").cast("bigint")}, size=size).where("not covered")
     span = run.groupBy(*KEYS, "piece").agg(F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.count("*").alias("np")).where("np > 1")
     span = stored(span, "pieces")

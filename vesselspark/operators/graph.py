@@ -8,7 +8,7 @@ from ..functions import geometry as g
 from ..plans.blocks import BLOCK, neighbours, running
 from ..plans.graphloop import components, fewest_hops, shortest_paths, spanning_forest
 from ..plans.grid import near_pairs, nearest
-from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, with_position
+from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
 from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample, trace_distance
 from .points import path
@@ -16,10 +16,12 @@ from .traces import KEYS, POS, shifted, with_step
 
 
 def milli_id() -> Column:
-    """Node number of a position: thousandths packed into one integer (|coordinate| < 1048)."""
-    shift = 1 << 20
-    k = [F.round(F.col(c) * 1000).cast("bigint") + shift for c in POS]
-    return (k[0] * (1 << 21) + k[1]) * (1 << 21) + k[2]
+    """Node number of a position: thousandths packed into one integer; raises beyond |coordinate| < 1048."""
+    return packed_milli(POS)
+
+
+def packed_milli(names) -> Column:
+    return packed([F.round(F.col(c) * 1000).cast("bigint") for c in names])
 
 
 def with_nodes(points: DataFrame) -> DataFrame:
@@ -243,16 +245,16 @@ def end_links(points: DataFrame, r: float = 10.0, values: DataFrame | None = Non
     return out.join(cost, ["case_id", "q_trace_id", "q_end"]).where(F.col("cost") < gate).select(*cols, "cost")
 
 
-def mutual_links(candidates: DataFrame, below: float, rounds: int = 50) -> DataFrame:
+def mutual_links(candidates: DataFrame, below: float) -> DataFrame:
     """Accept links that are the cheapest for both sides, in rounds, while their loss is below ``below``.
 
     ``candidates(case_id, a, b, loss)``: a, b name trace ends (or a trace body); an accepted
-    end is used up.
+    end is used up.  Every round accepts the cheapest link at least; they end when none is left.
     """
     c = candidates.where(F.col("loss") < below).select("case_id", "a", "b", "loss")
     c = stored(c, "candidates")
     done = None
-    for _ in range(rounds):
+    while True:
         side = c.select("case_id", F.col("a").alias("e"), "loss", "a", "b").unionByName(c.select("case_id", F.col("b").alias("e"), "loss", "a", "b"))
         best = side.groupBy("case_id", "e").agg(F.min(F.struct("loss", "a", "b")).alias("m"))
         pick = best.select("case_id", "m.*").groupBy("case_id", "loss", "a", "b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
@@ -266,30 +268,37 @@ def mutual_links(candidates: DataFrame, below: float, rounds: int = 50) -> DataF
     return c.limit(0) if done is None else done
 
 
-def select_artery(points: DataFrame, targets: DataFrame, radii: tuple = (2.0, 5.0, 10.0), gap: float = 10.0) -> DataFrame:
+def select_artery(points: DataFrame, targets: DataFrame, radii: tuple = (12.0, 25.0, 50.0, 100.0), gaps: tuple = (10.0, 30.0, 100.0)) -> DataFrame:
     """Path between two positions of a case over traces and short links between their ends.
 
     ``targets(case_id, which 0 / 1, qx, qy, qz)`` are matched to the nearest node with a
-    growing radius.  Links cost their length.  Returns (case_id, dist, path of node numbers).
+    growing radius; links between trace ends cost their length and are searched with a growing
+    reach in the cases that have no path yet.  Returns (case_id, source, goal, dist, path of node
+    numbers) for every case with targets; what is not found is NULL.
     """
     nodes, edges = simplified_graph(points)
-    nodes = stored(nodes, "nodes")
-    e = ends(points).select(*KEYS, *POS)
-    q = as_queries(e.withColumn("seq", F.lit(0)))
-    near = near_pairs(q, with_nodes(e), gap, AT, where=F.col("q_trace_id") < F.col("trace_id"))
-    far = (1 << 20) + F.round(F.col("qx") * 1000).cast("bigint")
-    qn = (far * (1 << 21) + F.round(F.col("qy") * 1000).cast("bigint") + (1 << 20)) * (1 << 21) + F.round(F.col("qz") * 1000).cast("bigint") + (1 << 20)
-    link = near.select("case_id", qn.alias("src"), F.col("node").alias("dst"), F.col("dist").alias("w")).where("src <> dst")
+    nodes, edges = stored(nodes, "nodes"), stored(edges.select("case_id", "src", "dst", F.col("dist").alias("w")), "edges")
     open_, found = targets, None
     for r in radii:
         hit = stored(nearest(open_, nodes, r, AT, ["case_id", "which"], ["node"]), "targets")
         found = hit if found is None else found.unionByName(hit)
         open_ = open_.join(hit, ["case_id", "which"], "left_anti")
-    pair = found.groupBy("case_id").agg(F.max(F.when(F.col("which") == 0, F.col("node"))).alias("source"), F.max(F.when(F.col("which") == 1, F.col("node"))).alias("goal"))
-    pair = stored(pair.where("source is not null and goal is not null"), "pairs")
-    graph = edges.select("case_id", "src", "dst", F.col("dist").alias("w")).unionByName(link)
-    paths = shortest_paths(graph, pair)
-    return pair.join(paths, ["case_id", "source"]).where("node = goal").select("case_id", "source", "goal", "dist", "path")
+    pick = lambda k: F.max(F.when(F.col("which") == k, F.col("node")))
+    pair = stored(targets.select("case_id", "which").join(found, ["case_id", "which"], "left").groupBy("case_id").agg(pick(0).alias("source"), pick(1).alias("goal")), "pairs")
+    e = ends(points).select(*KEYS, *POS)
+    q = as_queries(e.withColumn("seq", F.lit(0)))
+    waiting, done = pair.where("source is not null and goal is not null"), None
+    for gap in gaps:
+        mine = waiting.select("case_id")
+        near = near_pairs(q.join(mine, "case_id", "left_semi"), with_nodes(e).join(mine, "case_id", "left_semi"), gap, AT, where=F.col("q_trace_id") < F.col("trace_id"))
+        link = near.select("case_id", packed_milli(("qx", "qy", "qz")).alias("src"), F.col("node").alias("dst"), F.col("dist").alias("w")).where("src <> dst")
+        paths = shortest_paths(edges.join(mine, "case_id", "left_semi").unionByName(link), waiting)
+        new = stored(waiting.join(paths, ["case_id", "source"]).where("node = goal").select("case_id", "dist", "path"), "arteries")
+        done = new if done is None else done.unionByName(new)
+        waiting = stored(waiting.join(new, "case_id", "left_anti"), "pairs")
+        if waiting.isEmpty():
+            break
+    return pair.join(done, "case_id", "left").select("case_id", "source", "goal", "dist", "path")
 
 
 def cut_loops(points: DataFrame, r: float, weight: str = "w") -> DataFrame:

@@ -108,7 +108,7 @@ def branch_lengths(paths: DataFrame, typed: DataFrame) -> DataFrame:
     return w.groupBy("vestype").agg(F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("std"), F.count("*").alias("n"))
 
 
-def reachable(edges: DataFrame, degree: DataFrame, starts: DataFrame, closed: DataFrame, gates: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+def reachable(edges: DataFrame, degree: DataFrame, starts: DataFrame, closed: DataFrame, gates: DataFrame | None = None) -> DataFrame:
     """Nodes met from a start without entering closed nodes, going on only through degree 3 and more.
 
     ``starts(case_id, q, root, node)``, ``closed(case_id, q, node)``.  With
@@ -119,7 +119,7 @@ def reachable(edges: DataFrame, degree: DataFrame, starts: DataFrame, closed: Da
     both = stored(both.join(degree.select("case_id", F.col("node").alias("dst"), "deg"), ["case_id", "dst"]), "arcs")
     front = stored(starts.select("case_id", "q", "root", F.lit(None).cast("bigint").alias("prev"), "node"), "front")
     seen, found = stored(closed.select("case_id", "q", "node").unionByName(front.select("case_id", "q", "node")).distinct(), "seen"), front
-    for _ in range(max_rounds):
+    while True:  # ends when no unseen node is met
         nxt = front.join(both, (front["case_id"] == both["case_id"]) & (front["node"] == both["src"])).select(front["case_id"], "q", "root", F.col("src").alias("prev"), F.col("dst").alias("node"), "deg")
         nxt = nxt.join(seen, ["case_id", "q", "node"], "left_anti").groupBy("case_id", "q", "root", "node", "deg").agg(F.min("prev").alias("prev"))
         nxt = stored(nxt, "met")

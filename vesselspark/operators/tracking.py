@@ -38,7 +38,7 @@ def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0, max_rounds: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Match vessel points to traced points nearer than their radius + 1.
 
     ``vessels(case_id, g, seq, x, y, z, rad)``; vessels are taken in the order of ``g``, and
@@ -51,7 +51,7 @@ def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0, max_
     cand = near_pairs(q, t, F.col("q_rad") + 1, AT, cell=cell).select(*GT, "gseq", "p", "pseq", "dist")
     left = stored(cand, "candidates")
     assigned = matched = linked = None
-    for _ in range(max_rounds):
+    while True:  # the first vessel left is always ready
         first = left.groupBy("case_id", "p", "pseq").agg(F.min("g").alias("_g"))
         waiting = left.join(first, ["case_id", "p", "pseq"]).where("g > _g").select(*GT).distinct()
         now = stored(left.join(waiting, GT, "left_anti"), "ready")

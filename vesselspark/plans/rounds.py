@@ -1,4 +1,7 @@
-"""Greedy selections that depend on an order, decided in parallel rounds."""
+"""Greedy selections that depend on an order, decided in parallel rounds.
+
+Every round decides at least the first item in rank, so the rounds end by themselves.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import stored
 
 
-def first_free(items: DataFrame, conflicts: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def first_free(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Items (id) kept by walking in rank order and skipping those in conflict with a kept one.
 
     ``conflicts(winner, loser)``: the winner ranks first.  In a round an item whose
@@ -16,7 +19,7 @@ def first_free(items: DataFrame, conflicts: DataFrame, max_rounds: int = 10_000)
     open_ = stored(items.select("id"), "items")
     pairs = stored(conflicts.select("winner", "loser").distinct(), "rivals")
     kept = None
-    for _ in range(max_rounds):
+    while True:
         now = stored(open_.join(pairs.select(F.col("loser").alias("id")).distinct(), "id", "left_anti"), "kept")
         if not now.limit(1).count():
             break
@@ -29,7 +32,7 @@ def first_free(items: DataFrame, conflicts: DataFrame, max_rounds: int = 10_000)
     return items.select("id").limit(0) if kept is None else kept
 
 
-def best_free(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def best_free(pairs: DataFrame) -> DataFrame:
     """One-to-one assignment: in rank order each left item takes its best free right item.
 
     ``pairs(left, right, rank, score)``: lower rank goes first, higher score is better,
@@ -38,7 +41,7 @@ def best_free(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """
     pairs = stored(pairs.select("left", "right", "rank", "score"), "pairs")
     taken = None
-    for _ in range(max_rounds):
+    while True:
         first = pairs.groupBy("right").agg(F.min(F.struct("rank", "left")).alias("_f")).select("right", F.col("_f.left").alias("_first"))
         choice = pairs.groupBy("left").agg(F.min(F.struct((-F.col("score")).alias("s"), "right")).alias("_c")).select(
             "left", F.col("_c.right").alias("right"), (-F.col("_c.s")).alias("score")

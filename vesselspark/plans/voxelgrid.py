@@ -20,9 +20,17 @@ def half(offsets: Iterable[tuple]) -> list[tuple]:
 
 def voxel_id(x="x", y="y", z="z") -> Column:
     """One integer per position; coordinates from -2^20 to 2^20 - 1."""
+    return packed([F.col(c).cast("bigint") for c in (x, y, z)])
+
+
+def packed(whole: list[Column]) -> Column:
+    """Three integers from -2^20 to 2^20 - 1 as one; others raise, as they would collide."""
     shift = 1 << 20
-    wide = [F.col(c).cast("bigint") + shift for c in (x, y, z)]
-    return (wide[0] * (1 << 21) + wide[1]) * (1 << 21) + wide[2]
+    wide = [c + shift for c in whole]
+    fits = F.greatest(*wide) < 2 * shift
+    fits = fits & (F.least(*wide) >= 0)
+    number = (wide[0] * (1 << 21) + wide[1]) * (1 << 21) + wide[2]
+    return F.when(F.greatest(*wide).isNull(), F.lit(None).cast("bigint")).when(fits, number).otherwise(F.raise_error(F.lit("coordinate out of the range of packed ids")).cast("bigint"))
 
 
 def with_position(df: DataFrame, node: str = "node") -> DataFrame:

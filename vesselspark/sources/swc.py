@@ -28,11 +28,11 @@ def scan_swc(spark: SparkSession, path: str) -> DataFrame:
 
 def to_traces(nodes: DataFrame, size: int = BLOCK) -> DataFrame:
     """Number the traces of a case: a node with pid -1 starts one.  ``seq`` counts from 0."""
-    t = running(nodes, ["case_id"], "id", {"trace_id": (F.col("pid") == -1).cast("bigint")}, size=size)
+    t = running(nodes, ["case_id"], "id", {"trace_id": (F.col("pid") == -1).cast("bigint"), "_n": F.lit(1).cast("bigint")}, size=size)
     t = t.withColumn("trace_id", F.greatest(F.col("trace_id") - 1, F.lit(0)))
-    first = t.groupBy("case_id", "trace_id").agg(F.min("id").alias("_first"))
-    # Ids of a trace run on without gaps in files this engine writes; others are renumbered first.
-    return t.join(first, ["case_id", "trace_id"]).withColumn("seq", F.col("id") - F.col("_first")).drop("_first")
+    first = t.groupBy("case_id", "trace_id").agg(F.min("_n").alias("_first"))
+    # Nodes are counted, as ids may have gaps.
+    return t.join(first, ["case_id", "trace_id"]).withColumn("seq", F.col("_n") - F.col("_first")).drop("_first", "_n")
 
 
 def vessel_types(traces: DataFrame) -> DataFrame:
