@@ -125,7 +125,15 @@ def graph_traces(v):
     return gr.traces_from_graph(gr.voxel_graph(v.where("gt > 0 and intensity >= 42")))
 
 
-@query("end_links", ["fx_points"])
+# The nearest point of another trace for every trace end, within %s.
+END_NEAR = f"""l AS (SELECT case_id, trace_id, max(seq) AS last FROM fx_points GROUP BY ALL),
+q AS (SELECT p.*, e."end" FROM fx_points p JOIN l USING (case_id, trace_id) JOIN (VALUES (0), (1)) e("end") ON (e."end" = 0 AND p.seq = 0) OR (e."end" = 1 AND p.seq = l.last)),
+h AS (SELECT q.case_id, q.trace_id AS q_trace_id, q.seq AS q_seq, q."end" AS q_end, q.rad AS q_rad, t.trace_id, t.seq, t.rad, t.x, t.y, t.z, {D} AS dist,
+  row_number() OVER (PARTITION BY q.case_id, q.trace_id, q.seq, q."end" ORDER BY {D}, t.trace_id, t.seq) AS k FROM q JOIN fx_points t ON t.case_id = q.case_id AND t.trace_id <> q.trace_id WHERE {D} < %s)"""
+
+
+@query("end_links", ["fx_points"], f"""WITH {END_NEAR % '10'}, one AS (SELECT *, row_number() OVER (PARTITION BY case_id, q_trace_id, q_seq ORDER BY q_end) AS r FROM h WHERE k = 1)
+SELECT h.case_id, q_trace_id, q_end, h.trace_id, seq, CASE WHEN seq = 0 OR seq = last THEN 'end' ELSE 'body' END AS kind, round(dist, 6) AS dist FROM one h JOIN l ON l.case_id = h.case_id AND l.trace_id = h.trace_id WHERE r = 1""")
 def end_links(p):
     return rounded(gr.end_links(p), ["dist"])
 
@@ -207,7 +215,14 @@ def concatenate(p):
     return ed.concatenate(p.select("case_id", "trace_id", "seq", "ev"), plan)
 
 
-@query("branch_points", ["fx_points"])
+# Ends that touch the inside of another trace move to the point they touch, or get it as a new end from 1 on.
+@query("branch_points", ["fx_points"], f"""WITH {END_NEAR % '5'}, c AS (SELECT h.case_id, q_trace_id AS trace_id, q_end AS e, x, y, z, h.rad, dist FROM h JOIN l ON l.case_id = h.case_id AND l.trace_id = h.trace_id WHERE k = 1 AND dist > 0 AND seq > 0 AND seq < last AND dist < h.rad + q_rad),
+p AS (SELECT p.*, last, a.x AS ax, a.y AS ay, a.z AS az, a.rad AS ar, a.dist < 1 AS asnap, b.x AS bx, b.y AS by_, b.z AS bz, b.rad AS br, b.dist < 1 AS bsnap FROM fx_points p JOIN l USING (case_id, trace_id)
+  LEFT JOIN c a ON a.case_id = p.case_id AND a.trace_id = p.trace_id AND a.e = 0 LEFT JOIN c b ON b.case_id = p.case_id AND b.trace_id = p.trace_id AND b.e = 1),
+n AS (SELECT *, CASE WHEN asnap = false THEN 1 ELSE 0 END AS add_ FROM p)
+SELECT case_id, trace_id, seq + add_ AS seq, CASE WHEN seq = 0 AND asnap THEN ax WHEN seq = last AND bsnap THEN bx ELSE x END AS x, CASE WHEN seq = 0 AND asnap THEN ay WHEN seq = last AND bsnap THEN by_ ELSE y END AS y,
+  CASE WHEN seq = 0 AND asnap THEN az WHEN seq = last AND bsnap THEN bz ELSE z END AS z, rad FROM n
+UNION ALL SELECT case_id, trace_id, 0, ax, ay, az, ar FROM n WHERE seq = 0 AND asnap = false UNION ALL SELECT case_id, trace_id, last + 1 + add_, bx, by_, bz, br FROM n WHERE seq = last AND bsnap = false""")
 def branch_points(p):
     from ..operators.matching import branch_candidates
 

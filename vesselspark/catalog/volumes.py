@@ -168,7 +168,10 @@ def gradient(v):
     return rounded(vol.gradient_magnitude(v, "intensity"), ["gradient"])
 
 
-@query("soft_distance", ["fx_voxels"])
+@query("soft_distance", ["fx_voxels"], """WITH o AS (SELECT a, b, c, exp(-sqrt(a*a + b*b + c*c) / 0.1) AS w FROM generate_series(-2, 2) ga(a), generate_series(-2, 2) gb(b), generate_series(-2, 2) gc(c)),
+m AS (SELECT case_id, x, y, z, (gt > 0)::INT AS m FROM fx_voxels),
+s AS (SELECT m.case_id, m.x, m.y, m.z, sum(n.m * w) AS conv FROM m CROSS JOIN o LEFT JOIN m n ON n.case_id = m.case_id AND n.x = m.x + a AND n.y = m.y + b AND n.z = m.z + c GROUP BY ALL)
+SELECT case_id, x, y, z, round(-0.1 * ln(coalesce(conv, 0) + 1e-6), 6) + 0.0 AS soft FROM s""")
 def soft_distance(v):
     m = v.select("case_id", "x", "y", "z", (F.col("gt") > 0).cast("double").alias("m"))
     return rounded(vol.soft_distance(m, "m"), ["soft"])

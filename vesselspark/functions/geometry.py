@@ -184,13 +184,29 @@ def directions26() -> list[tuple[int, float, float, float]]:
     return [(i, *[s / math.sqrt(sum(t * t for t in d)) for s in d]) for i, d in enumerate(steps)]
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def best_direction(a: Vec) -> Column:
     """Number of the direction with the largest positive dot product, NULL if none is positive."""
-    scored = F.array(
-        *[F.struct(dot(a, literal(*d[1:])).alias("s"), F.lit(-d[0]).alias("i")) for d in directions26()]
-    )
-    top = F.array_max(scored)
-    return F.when(top["s"] > 0, -top["i"])
+
+    def least_size(v):
+        # The best direction along one, two or three axes takes the largest components.
+        low, mid, most = (v["m"][i] for i in range(3))
+        one, two, three = most, (most + mid) / math.sqrt(2), (most + mid + low) / math.sqrt(3)
+        return F.when((one >= two) & (one >= three), most).when(two >= three, mid).otherwise(F.lit(0.0))
+
+    def number(w):
+        step = [F.when(F.abs(w[c]) >= w["least"], F.signum(w[c])).otherwise(F.lit(0.0)) + 1 for c in "xyz"]
+        # Cells of a cube in x, y, z order without its middle.
+        names = F.array(*[F.lit(i - (i > 13)) for i in range(27)])
+        return F.when(w["any"], names[(9 * step[0] + 3 * step[1] + step[2]).cast("int")])
+
+    parts = [c.alias(n) for c, n in zip(a, "xyz")]
+    sizes = F.struct(*parts, F.array_sort(F.array(*[F.abs(c) for c in a])).alias("m"))
+    return bound(sizes, lambda v: bound(F.struct(*[v[c].alias(c) for c in "xyz"], least_size(v).alias("least"), (v["m"][2] > 0).alias("any")), number))
 
 
 def sphere_point(i: Column, n: int, radius: float = 1.0) -> Vec:

@@ -366,10 +366,28 @@ def match_boxes(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> Dat
     return best_free(pairs.join(order, "left").select("left", "right", "rank", F.col("iou").alias("score")))
 
 
+def _matched_in_lists(pred: DataFrame, true: DataFrame, threshold: float) -> DataFrame:
+    """The matched predictions (box_id) of ``match_boxes`` where ``max_det`` bounds those of an image and class."""
+    best = F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("s"), "right")))
+    options = box_ious(pred, true).where(F.col("iou") >= threshold).groupBy("image_id", "cls", "left").agg(best.alias("options"))
+    scored = options.join(pred.select(F.col("box_id").alias("left"), "score"), "left")
+    queue = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "left", "options")))
+    lists = scored.groupBy("image_id", "cls").agg(queue.alias("queue"))
+    ids = dict(lists.select(F.col("queue")[0]["left"].alias("l"), F.col("queue")[0]["options"][0]["right"].alias("r")).dtypes)
+    none = F.struct(F.array().cast(f"array<{ids['r']}>").alias("taken"), F.array().cast(f"array<{ids['l']}>").alias("hits"))
+
+    def step(state, p):
+        free = F.filter(p["options"], lambda o: ~F.array_contains(state["taken"], o["right"]))
+        took = F.struct(F.concat(state["taken"], F.array(free[0]["right"])).alias("taken"), F.concat(state["hits"], F.array(p["left"])).alias("hits"))
+        return F.when(F.size(free) > 0, took).otherwise(state)
+
+    return lists.select(F.explode(F.aggregate("queue", none, step)["hits"]).alias("box_id"))
+
+
 def average_precision(pred: DataFrame, true: DataFrame, threshold: float = 0.5, max_det: int = 10) -> DataFrame:
     """Average precision per class over 101 recall levels."""
     pred = stored(top_boxes(pred, max_det, ("image_id", "cls")), "top")
-    hit = match_boxes(pred, true, threshold).select(F.col("left").alias("box_id"), F.lit(1).alias("tp"))
+    hit = _matched_in_lists(pred, true, threshold).select("box_id", F.lit(1).alias("tp"))
     det = pred.join(hit, "box_id", "left").select("cls", "score", "box_id", F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"))
     ordered = ranked(det, [F.col("cls"), F.desc("score"), F.col("box_id")])
     cum = running(ordered, ["cls"], "rank", {"ctp": F.col("tp"), "n": F.lit(1).cast("bigint")})

@@ -1,40 +1,76 @@
-"""Choice of traces by clustering of their points."""
+"""Choice of traces by clustering of their points, each case by itself."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g
-from ..plans.graphloop import components
 from ..session import stored
-from .graph import trace_adjacency
+from .matching import trace_distance
 from .traces import KEYS, POS
 
+AT = ["kx", "ky", "kz"]
 
-def select_traces(points: DataFrame, k: int = 2, most: float = 25.0, near: float = 5.0, seed: int = 1) -> DataFrame:
-    """Label traces: 1 for the one nearest each cluster centre (if its distance / point count is
-    below ``most``), -1 for traces closer than ``near`` to a chosen one, 0 otherwise.
 
-    Traces reached from a chosen one over adjacency get its cluster in ``reach``.
+def cluster_centres(points: DataFrame, k: int) -> DataFrame:
+    """(case_id, cluster, kx, ky, kz): ``k`` means of the points of every case.
+
+    Starts at the least position, then the position farthest from the centres so far
+    (ties: the least); assignment and means alternate, all cases in one job, until no centre
+    moves.  A case with fewer distinct positions has fewer clusters.
+    """
+    p = stored(points.select("case_id", *POS), "positions")
+    here = F.struct(*POS)
+    centres = p.groupBy("case_id").agg(F.min(here).alias("c")).select("case_id", F.lit(0).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, AT)])
+    centres = stored(centres, "centres")
+    away = g.dist(g.vec(*POS), g.vec(*AT))
+    for i in range(1, k):
+        d = p.distinct().join(centres, "case_id").groupBy("case_id", *POS).agg(F.min(away).alias("d")).where("d > 0")
+        far = d.groupBy("case_id").agg(F.min(F.struct((-F.col("d")).alias("d"), *POS)).alias("c"))
+        new = far.select("case_id", F.lit(i).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, AT)])
+        centres = stored(centres.unionByName(new), "centres")
+    while True:
+        near = p.distinct().join(centres, "case_id").groupBy("case_id", *POS).agg(F.min(F.struct(away.alias("d"), "cluster")).alias("m"))
+        near = near.select("case_id", *POS, F.col("m.cluster").alias("cluster"))
+        means = p.join(near, ["case_id", *POS]).groupBy("case_id", "cluster").agg(*[F.round(F.avg(c), 9).alias(n) for c, n in zip(POS, AT)])
+        means = stored(means, "centres")
+        moved = means.join(centres.toDF("case_id", "cluster", "ox", "oy", "oz"), ["case_id", "cluster"], "left")
+        still = F.lit(True)
+        for a, b in zip(AT, ("ox", "oy", "oz")):
+            still = still & (F.abs(F.col(a) - F.col(b)) < 1e-6)
+        centres = means
+        if moved.where(~F.coalesce(still, F.lit(False))).isEmpty():
+            return centres
+
+
+def select_traces(points: DataFrame, k: int = 2, most: float = 25.0) -> DataFrame:
+    """Label traces of every case: 1 chosen, -1 close to a chosen one, 0 otherwise; ``cluster`` of a chosen one.
+
+    Cluster by cluster, the free trace with the least (distance of its nearest point / point
+    count) to the centre is chosen if that is below ``most``; traces nearer than ``most`` to it, by
+    points or by 2-D centroids, are no longer free.  Cases with fewer than three traces stay 0.
     """
-    data = VectorAssembler(inputCols=list(POS), outputCol="at").transform(points.select(*KEYS, "seq", *POS))
-    model = KMeans(k=k, seed=seed, featuresCol="at", predictionCol="cluster").fit(data)
-    rows = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
-    centres = points.sparkSession.createDataFrame(rows, "cluster int, kx double, ky double, kz double")  # k rows
-    d = points.crossJoin(F.broadcast(centres)).groupBy(*KEYS, "cluster").agg(
-        F.min(g.dist(g.vec(*POS), g.vec("kx", "ky", "kz"))).alias("d"), F.count("*").alias("np")
-    )
-    best = d.groupBy("case_id", "cluster").agg(F.min(F.struct("d", "trace_id", "np")).alias("m")).where(F.col("m.d") / F.col("m.np") < most)
-    chosen = stored(best.select("case_id", "cluster", F.col("m.trace_id").alias("trace_id")), "chosen")
-    adj = stored(trace_adjacency(points, near), "adjacency")
-    both = adj.select("case_id", "src", "dst").unionByName(adj.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    close = both.join(chosen.select("case_id", F.col("trace_id").alias("src")), ["case_id", "src"]).select("case_id", F.col("dst").alias("trace_id")).distinct()
-    nodes = points.select("case_id", F.col("trace_id").alias("node")).distinct()
-    comp = stored(components(adj, nodes).withColumnRenamed("node", "trace_id"), "reach")
-    hit = comp.join(chosen, KEYS).groupBy("case_id", "comp").agg(F.min("cluster").alias("reach"))
-    out = comp.join(hit, ["case_id", "comp"], "left").join(chosen.select(*KEYS).distinct().withColumn("_c", F.lit(1)), KEYS, "left").join(
-        close.withColumn("_n", F.lit(1)), KEYS, "left"
-    )
-    return out.select(*KEYS, F.when(F.col("_c") == 1, 1).when(F.col("_n") == 1, -1).otherwise(0).alias("label"), "reach")
+    size = points.groupBy(*KEYS).agg(F.count("*").alias("np"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    size = size.withColumn("traces", F.count("*").over(Window.partitionBy("case_id")))
+    traces = stored(size, "traces")
+    some = stored(points.join(traces.where("traces >= 3").select(*KEYS), KEYS, "left_semi"), "points")
+    centres = cluster_centres(some, k)
+    cost = some.join(centres, "case_id").groupBy(*KEYS, "cluster").agg(F.min(g.dist(g.vec(*POS), g.vec(*AT))).alias("d"))
+    cost = stored(cost.join(traces, KEYS).select(*KEYS, "cluster", (F.col("d") / F.col("np")).alias("cost")), "costs")
+    near = trace_distance(some, most).select("case_id", F.col("trace_a").alias("a"), F.col("trace_b").alias("b"))
+    mid = traces.where("traces >= 3").select("case_id", "trace_id", "mx", "my")
+    other = mid.toDF("case_id", "other", "ox", "oy")
+    flat = mid.join(other, "case_id").where((F.col("trace_id") < F.col("other")) & (F.hypot(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy")) < most))
+    pairs = near.unionByName(flat.select("case_id", F.col("trace_id").alias("a"), F.col("other").alias("b"))).distinct()
+    both = stored(pairs.unionByName(pairs.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))), "close")
+    chosen, free = None, cost
+    for i in range(k):
+        best = free.where(F.col("cluster") == i).groupBy("case_id").agg(F.min(F.struct("cost", "trace_id")).alias("m")).where(F.col("m.cost") < most)
+        new = stored(best.select("case_id", F.col("m.trace_id").alias("trace_id"), F.lit(i).alias("cluster")), "chosen")
+        chosen = new if chosen is None else chosen.unionByName(new)
+        gone = new.select(*KEYS).unionByName(both.join(new.select("case_id", F.col("trace_id").alias("a")), ["case_id", "a"]).select("case_id", F.col("b").alias("trace_id")))
+        free = stored(free.join(gone.distinct(), KEYS, "left_anti"), "costs")
+    close = both.join(chosen.select("case_id", F.col("trace_id").alias("a")), ["case_id", "a"]).select("case_id", F.col("b").alias("trace_id")).distinct().withColumn("_n", F.lit(1))
+    out = traces.select(*KEYS).join(chosen, KEYS, "left").join(close, KEYS, "left")
+    label = F.when(F.col("cluster").isNotNull(), 1).when(F.col("_n") == 1, -1).otherwise(0)
+    return out.select(*KEYS, label.alias("label"), "cluster")

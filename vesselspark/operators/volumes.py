@@ -25,37 +25,26 @@ def percentile_landmarks(voxels: DataFrame, value: str = "intensity", approximat
     return quantiles(pos, ["case_id"], value, PERCENTILES)
 
 
-def lookup_table(landmarks: DataFrame, reference: Sequence[float]) -> DataFrame:
-    """Integer intensity map (case_id, v, mapped): piecewise linear between the landmarks.
+def standardise(voxels: DataFrame, reference: Sequence[float], value: str = "intensity") -> DataFrame:
+    """Map intensities so that each case's landmarks fall on the reference landmarks (``mapped``).
 
-    The last piece keeps the slope of the piece before it; zero maps to zero.
+    Piecewise linear between the landmarks, which are taken as whole numbers; the first
+    landmark serves intensity 1, the last piece keeps the slope of the piece before it, zero
+    maps to zero and what is beyond the last landmark to NULL.
     """
-    wide = landmarks.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("l"))  # 12 values a case
-    q = [F.col("l")[i]["q"] for i in range(12)]
-    def mapped(base, slope, at):
-        return lambda v: F.bround(base + slope * (v - at)).cast("bigint")
-
-    parts = []
+    marks = percentile_landmarks(voxels, value)
+    wide = marks.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("p", "q"))).alias("_l"))  # 12 values a case
+    q = [F.col("_l")[i]["q"] for i in range(12)]
+    whole = F.col(value).cast("int")
+    at = q[0].cast("bigint") + whole - 1
+    mapped = F.when(whole == 0, F.lit(0).cast("bigint"))
     for i in range(11):
-        lo, hi = q[i].cast("bigint"), q[i + 1].cast("bigint")
         j = min(i, 9)
         slope = F.try_divide(F.lit(float(reference[j + 1] - reference[j])), q[j + 1] - q[j])
-        stop = hi if i == 10 else hi - 1
-        base = F.lit(float(reference[i]))
-        parts.append(F.transform(
-            F.when(stop >= lo, F.sequence(lo, F.greatest(stop, lo))).otherwise(F.array().cast("array<bigint>")),
-            mapped(base, slope, q[i]),
-        ))
-    flat = F.concat(F.array(F.lit(0).cast("bigint")), *parts)
-    # Entry k of the list serves intensity k.
-    return wide.select("case_id", F.posexplode(flat).alias("v", "mapped"))
-
-
-def standardise(voxels: DataFrame, reference: Sequence[float], value: str = "intensity") -> DataFrame:
-    """Map intensities so that each case's landmarks fall on the reference landmarks."""
-    table = lookup_table(percentile_landmarks(voxels, value), reference)
-    keyed = voxels.withColumn("v", F.col(value).cast("int"))
-    return keyed.join(table, ["case_id", "v"], "left").drop("v")
+        hi = q[i + 1].cast("bigint")
+        inside = (whole > 0) & (at >= q[i].cast("bigint")) & ((at <= hi) if i == 10 else (at < hi))
+        mapped = mapped.when(inside, F.bround(F.lit(float(reference[i])) + slope * (at - q[i])).cast("bigint"))
+    return voxels.join(wide, "case_id", "left").withColumn("mapped", mapped).drop("_l")
 
 
 def projection(voxels: DataFrame, axis: str, value: str) -> DataFrame:

@@ -65,7 +65,10 @@ def mask_components(mask: DataFrame, offsets: Iterable[tuple]) -> DataFrame:
     from .graphloop import components
 
     nodes = mask.select("case_id", voxel_id().alias("node"), "x", "y", "z")
-    return components(neighbour_edges(mask, offsets), nodes)
+    # Edges of one cube come together, so that contraction inside a partition leaves little to join.
+    cube = [F.shiftright(F.col(c), 5) for c in "xyz"]
+    edges = with_position(neighbour_edges(mask, offsets), "src")
+    return components(edges.repartition("case_id", *cube).select("case_id", "src", "dst"), nodes)
 
 
 def surface(mask: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
