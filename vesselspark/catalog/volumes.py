@@ -118,9 +118,17 @@ def listed_split(d, lab):
     return vol.listed_split(d.select(F.col("doc_id").alias("id")), lists)
 
 
-@query("patch_centres", ["fx_voxels"])
+def _draw(k: int) -> str:
+    v = f"((case_id * 31 + x * 7919 + y * 104729 + z * 1299709 + {k * 15485863}) % 1000003)"
+    return f"(({v} * {v} + 7 * {v}) % 1000003)"
+
+
+@query("patch_centres", ["fx_voxels"], f"""WITH n AS (SELECT case_id, max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM fx_voxels GROUP BY case_id),
+c AS (SELECT case_id, greatest(0, least(x + {_draw(8)} % 7 - 3, nx - 1)) AS cx, greatest(0, least(y + {_draw(9)} % 7 - 3, ny - 1)) AS cy, greatest(0, least(z + {_draw(10)} % 7 - 3, nz - 1)) AS cz
+  FROM fx_voxels JOIN n USING (case_id) WHERE intensity > 0 AND {_draw(7)} % 20 = 0)
+SELECT case_id, cx, cy, cz FROM c WHERE EXISTS (SELECT 1 FROM fx_voxels g WHERE gt > 0 AND g.case_id = c.case_id AND g.x >= cx - 2 AND g.x < cx + 2 AND g.y >= cy - 2 AND g.y < cy + 2 AND g.z >= cz - 2 AND g.z < cz + 2)""")
 def patch_centres(v):
-    return vol.patch_centres(v, extent(v), 3, seed=7, per=20)
+    return vol.patch_centres(v, extent(v), 3, seed=7, per=20, half=2)
 
 
 @query("weighted_samples", ["fx_points"])

@@ -131,18 +131,35 @@ def ordered_split(ids: DataFrame, fractions: Sequence[float] = (0.8, 0.1), col:
     )
 
 
-def patch_centres(voxels: DataFrame, extent: DataFrame, jitter: int, seed: int, per: int = 500) -> DataFrame:
-    """One centre per ``per`` foreground voxels of a case: a voxel moved at random, kept inside.
+def voxel_draw(k: int) -> Column:
+    """A number from 0 to 1,000,002 that depends on the voxel and ``k`` only, by plain arithmetic."""
+    v = F.pmod(F.col("case_id") * 31 + F.col("x") * 7919 + F.col("y") * 104729 + F.col("z") * 1299709 + F.lit(k * 15485863), F.lit(1000003))
+    return F.pmod(v * v + 7 * v, F.lit(1000003))
 
-    Voxels are drawn by a seeded hash, so the draw does not depend on the partitioning.
+
+def patch_centres(voxels: DataFrame, extent: DataFrame, jitter: int, seed: int, per: int = 500, half: int = 8, signal: str = "intensity > 0") -> DataFrame:
+    """One centre per ``per`` voxels with a signal: a voxel moved at random, kept inside.
+
+    Centres whose patch, ``half`` to each side, holds no foreground (gt > 0) are rejected.
+    Draws depend on the voxel and the seed, not on the partitioning.
     """
-    fg = voxels.where("gt > 0").withColumn("_h", F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(per)))
-    picked = fg.where("_h = 0").join(extent, "case_id")
+    picked = voxels.where(signal).where(F.pmod(voxel_draw(seed), F.lit(per)) == 0).join(extent, "case_id")
     out = {}
     for i, c in enumerate("xyz"):
-        move = F.pmod(F.xxhash64(*KEY, F.lit(seed + i + 1)), F.lit(2 * jitter + 1)) - jitter
+        move = F.pmod(voxel_draw(seed + i + 1), F.lit(2 * jitter + 1)) - jitter
         out[f"c{c}"] = F.greatest(F.lit(0), F.least(F.col(c) + move, F.col(f"n{c}") - 1))
-    return picked.select("case_id", *[e.alias(n) for n, e in out.items()])
+    centres = picked.select("case_id", "x", "y", "z", *[e.alias(n) for n, e in out.items()])
+    # Foreground by cubes of the patch's half size; a patch touches at most 27 of them.
+    cube = [F.floor(F.col(c) / half).alias(f"_{c}") for c in "xyz"]
+    full = voxels.where("gt > 0").select("case_id", *cube, *[F.col(c).alias(f"g{c}") for c in "xyz"])
+    asked = centres
+    for c in "xyz":
+        asked = asked.withColumn(f"_{c}", F.explode(F.sequence(F.floor((F.col(f"c{c}") - half) / half), F.floor((F.col(f"c{c}") + half - 1) / half))))
+    near = F.lit(True)
+    for c in "xyz":
+        near = near & (F.col(f"g{c}") >= F.col(f"c{c}") - half) & (F.col(f"g{c}") < F.col(f"c{c}") + half)
+    hit = asked.join(full, ["case_id", "_x", "_y", "_z"]).where(near)
+    return hit.groupBy(*centres.columns).agg(F.lit(1).alias("_n")).select("case_id", "cx", "cy", "cz")
 
 
 def weighted_samples(points: DataFrame, weights: dict[str, int], seed: int, cap: int = 500) -> DataFrame:
