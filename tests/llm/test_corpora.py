@@ -244,8 +244,8 @@ def test_buckets_in_rounds_lose_no_link(spark):
     """One band of one place: large mixed buckets, solved a few leaders at a time."""
     rows = near_rows()[10:80]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    listed = neardup.text_classes(docs, bands=3, rows=1, small=10**9)
-    led = neardup.text_classes(docs, bands=3, rows=1, small=0, leaders=2)
+    listed = neardup.text_classes(docs, bands=3, rows=1, agree=0, pairs=10**9, best=10**6)
+    led = neardup.text_classes(docs, bands=3, rows=1, agree=0, pairs=120, best=2)
     groups = lambda df: sorted(sorted(r["k"]) for r in df.groupBy("comp").agg(F.collect_list("text_key").alias("k")).collect())
     assert groups(listed) == groups(led)
 

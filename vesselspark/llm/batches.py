@@ -41,7 +41,7 @@ def chunks(batch: pa.RecordBatch, columns: list[int], most: int = CHUNK_BYTES) -
     yield batch.slice(start)
 
 
-def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str]], factory: Callable, keep: bool = True) -> DataFrame:
+def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str]], factory: Callable, keep: bool = True, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` with the columns that a Python function makes of ``inputs``.
 
     ``factory()`` runs once in each task and returns a function from lists (one
@@ -67,7 +67,7 @@ def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = factory()
         for whole in batches:
-            for batch in chunks(whole, where):
+            for batch in chunks(whole, where, chunk):
                 made = work(*(batch.column(i).to_pylist() for i in where))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:width], *(pa.array(m, t) for m, t in zip(made, types, strict=True))], names=out_names

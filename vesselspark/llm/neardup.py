@@ -13,13 +13,17 @@ to the similarity. Events are drawn in order of time and only up to a limit at w
 nearly every signature is full; the rest are drawn again with a doubled limit.
 
 ``BANDS`` bands of ``ROWS`` places make candidate buckets (a pair of similarity 0.8
-shares one with probability 0.9999). Exact copies are one text first. Buckets are
-solved without listing their pairs: every text is compared with the least text of
-its buckets; after that only texts of one bucket that are still in different
-components are compared, all of them in small buckets, in large ones those outside the
-largest component, ``LEADERS`` at a time with everything, until none is left. Links
-between texts that a component already joins are not needed for the classes; no
-other is left out.
+shares one with probability 0.9999). The low bytes of the signatures are kept as
+sketches; a pair that agrees in fewer than ``AGREE`` of 120 places is no candidate
+(a pair of similarity 0.8 agrees in fewer with probability below 1e-4). Exact copies
+are one text first. Buckets are solved without listing their pairs: a bucket is sorted
+by its texts' other bands, neighbours in that order are compared, for each text the
+pair whose sketches agree best. After that only texts of one bucket in different
+components are compared: those outside the bucket's largest component, so many at a
+time that a bucket makes about ``PAIRS`` pairs, with all others; of a text's candidates
+the best ``BEST`` go first and eight times as many in each later round, until it has joined the
+largest component or has none left. Links between texts that a component already
+joins are not needed for the classes; no other is left out.
 
 Nulls, empty texts and texts without words are classes of their own. Repeated rows
 are exact copies of each other. A class is named by its smallest document id; an
@@ -34,23 +38,29 @@ from itertools import chain
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesselspark.llm.batches import with_columns
 from vesselspark.llm.catalog import query, table
-from vesselspark.plans.graphloop import components
+from vesselspark.plans.graphloop import STAR_ROWS, _stars, components
 from vesselspark.session import stored
 
 SHINGLE = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 5
-#: Pairs between components of one bucket that are compared at once.
-SMALL = 2000
-LEADERS = 16
+#: Of 120 places, those in which the sketches of a candidate pair agree at least.
+AGREE = 78
+#: Pairs that one bucket makes in a round, about.
+PAIRS = 100_000
+#: Candidates of one text that are compared in the first round; eight times as many in each that follows.
+BEST = 64
 #: Words whose hashes a task remembers.
-WORDS = 400_000
+WORDS = 200_000
+#: Bytes of text that a task works on at once.
+CHUNK = 2 << 20
 WORD = re.compile(r"\w+")
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -173,22 +183,41 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def with_bands(docs: DataFrame, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs`` with ``bands`` (empty without words) and ``sketch``."""
+
     def start():
         shingles = Shingler()
 
         def work(texts):
             owner, key, weight = shingles(texts)
-            keys = band_keys(bag_signatures(owner, key, weight, len(texts), bands * rows), bands, rows)
+            sig = bag_signatures(owner, key, weight, len(texts), bands * rows)
             some = np.bincount(owner, minlength=len(texts)) > 0
-            return [[k if s else [] for k, s in zip(keys.tolist(), some.tolist())]]
+            low = (sig & np.uint64(255)).astype(np.uint8)
+            return [[k if s else [] for k, s in zip(band_keys(sig, bands, rows).tolist(), some.tolist())], [x.tobytes() for x in low]]
+
+        return work
+
+    return with_columns(docs, [text_col], [("bands", "array<long>"), ("sketch", "binary")], start, chunk=CHUNK)
+
+
+def agreeing(pairs: DataFrame, agree: float) -> DataFrame:
+    """``pairs`` (x, y, sketches sx, sy) with ``agree``, the places in which the sketches agree; below the share ``agree`` they go."""
+
+    def start():
+        def work(xs, ys):
+            if not xs:
+                return [[]]
+            both = [np.frombuffer(b"".join(z), np.uint8).reshape(len(z), -1) for z in (xs, ys)]
+            return [(both[0] == both[1]).sum(1).tolist()]
 
         return work
 
-    return with_columns(docs, [text_col], [("bands", "array<long>")], start)
+    met = with_columns(pairs, ["sx", "sy"], [("agree", "int")], start)
+    return met.filter(F.col("agree") >= agree * F.length("sx")).drop("sx", "sy")
 
 
 def with_shingles(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``shingles`` (sorted 64-bit hashes) and ``counts`` (32-bit), as blobs, and ``weight``; without the text."""
+    """``docs`` with ``shingles`` (sorted 64-bit hashes) and ``counts`` (32-bit, compressed), as blobs, and ``weight``; without the text."""
 
     def start():
         shingles = Shingler()
@@ -198,13 +227,21 @@ def with_shingles(docs: DataFrame, text_col: str) -> DataFrame:
             at = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
             both = list(zip(at, at[1:]))
             return [
-                [key[s:e].tobytes() for s, e in both], [weight[s:e].astype("<u4").tobytes() for s, e in both],
+                [key[s:e].tobytes() for s, e in both], [squeeze(weight[s:e].astype("<u4")) for s, e in both],
                 [int(weight[s:e].sum()) for s, e in both],
             ]
 
         return work
 
-    return with_columns(docs, [text_col], [("shingles", "binary"), ("counts", "binary"), ("weight", "long")], start).drop(text_col)
+    return with_columns(docs, [text_col], [("shingles", "binary"), ("counts", "binary"), ("weight", "long")], start, chunk=CHUNK).drop(text_col)
+
+
+def squeeze(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def expand(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
 
 
 def overlap(a: bytes, ca: bytes, b: bytes, cb: bytes) -> int:
@@ -212,7 +249,7 @@ def overlap(a: bytes, ca: bytes, b: bytes, cb: bytes) -> int:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     same = y[at] == x
-    return int(np.minimum(np.frombuffer(ca, "<u4")[same], np.frombuffer(cb, "<u4")[at[same]]).sum())
+    return int(np.minimum(expand(ca)[same], expand(cb)[at[same]]).sum())
 
 
 def verified(pairs: DataFrame, shingled: DataFrame, least: float = LEAST) -> DataFrame:
@@ -236,68 +273,89 @@ def text_key(text_col: str):
     return F.md5(F.col(text_col))
 
 
-def joined(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(rep, comp): the least member of the component of each of ``nodes``."""
-    edges = links.select(F.lit(0).cast("long").alias("case_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = components(edges, nodes.select(F.lit(0).cast("long").alias("case_id"), F.col("rep").alias("node")))
-    return found.select(F.col("node").alias("rep"), "comp")
+def joined(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """``comp`` (rep, comp) after the components that ``links`` (a, b) touch have become one."""
+    ends = [comp.toDF(x, f"c{x}") for x in ("a", "b")]
+    edges = links.join(ends[0], "a").join(ends[1], "b").filter("ca <> cb").select(F.lit(0).cast("long").alias("case_id"), F.col("ca").alias("src"), F.col("cb").alias("dst"))
+    edges = stored(edges.distinct(), "near-edges")
+    n = edges.count()
+    if n == 0:
+        return comp
+    if n <= STAR_ROWS:  # one batch of the contraction that ``components`` starts with, and so all of it
+        ends = edges.select("case_id", F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        found = ends.coalesce(1).mapInPandas(_stars, ends.schema).select(F.col("u").alias("comp"), F.col("v").alias("new"))
+    else:
+        found = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    return stored(comp.join(found, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "near-comps")
 
 
-def undecided(members: DataFrame, comp: DataFrame, retired: DataFrame | None, small: int, leaders: int) -> DataFrame:
-    """Members (bucket, rep) of buckets that still hold several components and untested pairs.
+def undecided(members: DataFrame, comp: DataFrame, retired: DataFrame | None, pairs: int) -> DataFrame:
+    """Members of buckets with several components, ``lead`` where a text is to be compared with the others now.
 
-    ``small``: all its cross pairs may be listed. ``lead``: in a large bucket, this
-    text is outside the largest component and is to be compared with all others now.
+    That are texts outside the bucket's largest component that have candidates left.
     """
     at = members.join(comp, "rep")
     per = (
         at.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
-        .agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
-        .filter("comps > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("sq")) / 2 <= small).alias("small"), F.col("top.comp").alias("top"))
+        .agg(F.sum("c").alias("n"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
+        .filter("comps > 1").select("bucket", "n", F.col("top.comp").alias("top"))
     )
-    held = at.join(per, "bucket")
-    gone = retired.withColumn("gone", F.lit(True)) if retired is not None else None
-    held = held.join(gone, ["bucket", "rep"], "left") if gone is not None else held.withColumn("gone", F.lit(None).cast("boolean"))
-    waiting = held.filter("not small and comp <> top and gone is null").select("bucket", "rep")
-    first = Window.partitionBy("bucket").orderBy("rep")
-    lead = stored(waiting.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= leaders).drop("k"), "near-leaders")
-    live = held.join(lead.select("bucket").distinct().withColumn("live", F.lit(True)), "bucket", "left").filter("small or live")
-    return live.join(lead.withColumn("lead", F.lit(True)), ["bucket", "rep"], "left").select("bucket", "rep", "comp", "small", F.coalesce("lead", F.lit(False)).alias("lead"))
+    held = stored(at.join(per, "bucket"), "near-held")
+    waiting = held.filter("comp <> top")
+    if retired is not None:
+        waiting = waiting.join(retired, ["bucket", "rep"], "left_anti")
+    ranked = waiting.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
+    lead = ranked.filter(F.col("k") * F.col("n") <= F.greatest(F.lit(pairs), F.col("n"))).select("bucket", "rep", F.lit(True).alias("lead"))
+    return held.select("bucket", "rep", "comp").join(lead, ["bucket", "rep"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
 
 
-def text_classes(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: int = ROWS, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+def text_classes(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, pairs: int = PAIRS, best: int = BEST) -> DataFrame:
     """(text_key, comp): the component of each distinct text that has words."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     made = with_bands(texts.withColumn("text_key", text_key("text")), "text", bands, rows).drop("text")
-    found = made.filter(F.size("bands") > 0).groupBy("text_key").agg(F.first("bands").alias("bands"))
+    found = made.filter(F.size("bands") > 0).groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = stored(found.withColumn("rep", F.monotonically_increasing_id()), "near-texts")
-    places = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
-    members = stored(places.join(shared.select("bucket", "lead"), "bucket"), "near-buckets")
+    agree = agree / (BANDS * ROWS)
+    # The order within a bucket: the texts' next bands, so that neighbours share several.
+    turn = lambda k: F.element_at("bands", (F.col("at") + k) % bands + 1)
+    places = reps.select("rep", "sketch", "bands", F.posexplode("bands").alias("at", "bucket"))
+    places = places.select("rep", "sketch", "bucket", *[turn(k).alias(f"o{k}") for k in (1, 2, 3)])
+    shared = places.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    members = stored(places.join(shared, "bucket"), "near-buckets")
+    order = Window.partitionBy("bucket").orderBy("o1", "o2", "o3", "rep")
+    beside = members.select(F.col("rep").alias("x"), F.col("sketch").alias("sx"), F.lag(F.struct("rep", "sketch")).over(order).alias("before"))
+    beside = beside.filter("before is not null").select("x", "sx", F.col("before.rep").alias("y"), F.col("before.sketch").alias("sy"))
+    first = agreeing(beside, agree).groupBy("x").agg(F.max(F.struct("agree", "y")).alias("top")).select("x", "top.y")
+    tested = stored(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
+    members = members.select("bucket", "rep")
     nodes = stored(members.select("rep").distinct(), "near-nodes")
-    wanted = nodes.join(reps.select("rep", "text_key"), "rep")
     # Copies of a wanted text meet again here: one row for each stays before the shingles are made.
+    wanted = nodes.join(reps.select("rep", "text_key"), "rep")
     again = texts.withColumn("text_key", text_key("text")).join(wanted, "text_key").groupBy("rep").agg(F.first("text").alias("text"))
     shingled = stored(with_shingles(again, "text"), "near-shingles")
-    # First each text against the least text that leads one of its buckets.
-    pairs = members.filter("rep <> lead").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b"))
-    tested = stored(pairs, "near-pairs")
+    sketches = reps.select("rep", "sketch")
     links = stored(verified(tested, shingled).select("a", "b"), "near-links")
-    members, retired = members.select("bucket", "rep"), None
+    comp = joined(links, nodes.withColumn("comp", F.col("rep")))
+    retired = None
     while True:
-        comp = stored(joined(links, nodes), "near-comps")
-        held = stored(undecided(members, comp, retired, small, leaders), "near-undecided")
-        if held.isEmpty():
+        held = stored(undecided(members, comp, retired, pairs), "near-undecided")
+        lead = held.filter("lead")
+        if lead.isEmpty():
             break
-        other = held.select("bucket", F.col("rep").alias("other"), F.col("comp").alias("other_comp"))
-        cross = held.filter("small or lead").join(other, "bucket").filter("comp <> other_comp and (lead or rep < other)")
-        pairs = cross.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        new = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = stored(tested.unionByName(new), "near-pairs")
-        links = stored(links.unionByName(verified(new, shingled).select("a", "b")), "near-links")
-        led = held.filter("lead").select("bucket", "rep")
-        retired = stored(led if retired is None else retired.unionByName(led), "near-retired")
-        members = held.filter("not small").select("bucket", "rep")
+        other = held.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("other"))
+        cross = lead.select("bucket", F.col("rep").alias("x"), "comp").join(other, "bucket").filter("comp <> other").select("x", "y").distinct()
+        cross = cross.join(sketches.toDF("x", "sx"), "x").join(sketches.toDF("y", "sy"), "y")
+        near = agreeing(cross, agree).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tested, ["a", "b"], "left_anti")
+        ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agree"), "y"))).filter(F.col("k") <= best + 1)
+        ranked = stored(ranked, "near-candidates")
+        new = ranked.filter(F.col("k") <= best).select("a", "b").distinct()
+        links = stored(verified(new, shingled).select("a", "b"), "near-links")
+        tested = tested.unionByName(new)
+        # A text with more candidates than were compared waits on; the others are done in the buckets that they lead.
+        more = ranked.filter(F.col("k") > best).select(F.col("x").alias("rep"))
+        over = lead.select("bucket", "rep").join(more, "rep", "left_anti").select("bucket", "rep")
+        retired = over if retired is None else retired.unionByName(over)
+        comp, best = joined(links, comp), 8 * best
     return reps.select("text_key", "rep").join(comp, "rep", "left").select("text_key", F.coalesce("comp", "rep").alias("comp"))
 
 
