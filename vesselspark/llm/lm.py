@@ -12,9 +12,10 @@ the exact count of either word. The model's probability of a token after another
 (estimate + ``PRIOR`` base) / (count of the other + ``PRIOR``), where the token before a
 text's first is the start of a text, counted once for each text learned from.
 
-The work goes through parcels: a task joins documents to about ``PARCEL`` tokens, with
-one row for each of its distinct tokens, so a token that fills a third of the corpus is
-one row a parcel. The filter is made in shards of about ``SHARD`` bigrams by hash of
+The work goes through parcels: a task joins documents to about ``PARCEL`` tokens and
+sends its distinct tokens with their counts, packed in blobs, to buckets by hash, which
+add up and answer, so a token that fills a third of the corpus is sent once a parcel.
+Buckets grow in number with the input, not in size. The filter is made in shards of about ``SHARD`` bigrams by hash of
 the bigram, a number that grows with the input. While all shards together stay below
 ``BROADCAST`` bytes they are broadcast; a larger filter is probed where its shards are,
 by the same packed bigrams that made it, and gives the same counts.
@@ -55,7 +56,9 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes of a bigram's hash within its shard.
-WIDTH = 6
+WIDTH = 4
+#: Tokens of text for one bucket of the exact counts.
+BUCKET = 2_000_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -72,6 +75,19 @@ def expand(blob: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def packed_tokens(tokens: list[bytes]) -> bytes:
+    """Tokens hold no space, so it stands between them."""
+    return zstandard.ZstdCompressor(level=1).compress(b" ".join(tokens))
+
+
+def unpacked_tokens(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b" ")
+
+
+def token_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -143,7 +159,7 @@ def estimates() -> np.ndarray:
     return np.array(out)
 
 
-PARCELS = "parcel long, ids array<string>, held binary, sizes binary, places binary, tokens array<binary>, counts array<int>, starts long"
+PARCELS = "parcel long, ids array<string>, held binary, sizes binary, places binary, tokens binary, counts binary, starts long, n long"
 
 
 def parcels(docs: DataFrame) -> DataFrame:
@@ -153,7 +169,7 @@ def parcels(docs: DataFrame) -> DataFrame:
         part, number = TaskContext.get().partitionId(), 0
         schema = pa.schema([
             ("parcel", pa.int64()), ("ids", pa.list_(pa.string())), ("held", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()),
-            ("tokens", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("starts", pa.int64()),
+            ("tokens", pa.binary()), ("counts", pa.binary()), ("starts", pa.int64()), ("n", pa.int64()),
         ])
         ids, held, texts, count = [], [], [], 0
 
@@ -169,7 +185,7 @@ def parcels(docs: DataFrame) -> DataFrame:
             names = list(known)
             row = {
                 "parcel": part << 32 | number, "ids": ids, "held": off.tobytes(), "sizes": squeeze(sizes), "places": squeeze(place[flat].astype("<u4")),
-                "tokens": [names[i] for i in order.tolist()], "counts": learn[order].tolist(), "starts": int((~off).sum()),
+                "tokens": packed_tokens([names[i] for i in order.tolist()]), "counts": squeeze(learn[order].astype("<u4")), "starts": int((~off).sum()), "n": count,
             }
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
@@ -192,13 +208,52 @@ def parcels(docs: DataFrame) -> DataFrame:
 
 def parcel_bigrams(tokens: list[bytes], sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Key of the bigram that ends at each token."""
-    words = np.fromiter(map(xxhash.xxh3_64_intdigest, [*tokens, START]), np.uint64, len(tokens) + 1)
+    words = token_hashes([*tokens, START])
     before = np.empty(len(places), np.int64)
     before[1:] = places[:-1]
     before[np.cumsum(sizes) - sizes] = len(tokens)
     return bigram_keys(words[before], words[places])
 
 
+def bucket_places(tokens: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The places of the tokens that go to each bucket, ascending."""
+    bucket = (token_hashes(tokens) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(b, order[cuts[b]:cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def sent_tokens(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, parcel, tokens, counts): the distinct tokens of each parcel by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parcel, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                tokens, counts = unpacked_tokens(tokens), expand(counts, "<u4")
+                parts = bucket_places(tokens, buckets)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _ in parts], pa.int64()), pa.array([parcel] * len(parts), pa.int64()),
+                    pa.array([packed_tokens([tokens[i] for i in at.tolist()]) for _, at in parts], pa.binary()),
+                    pa.array([squeeze(counts[at]) for _, at in parts], pa.binary()),
+                ], names=["bucket", "parcel", "tokens", "counts"])
+
+    return rows.select("parcel", "tokens", "counts").mapInArrow(run, "bucket long, parcel long, tokens binary, counts binary")
+
+
+def add_up(df: pd.DataFrame) -> pd.DataFrame:
+    """Counts of one bucket's tokens, answered to every parcel in its own order; the bucket's sums stand in its first row."""
+    total: dict[bytes, int] = {}
+    split = [unpacked_tokens(b) for b in df["tokens"]]
+    for tokens, counts in zip(split, df["counts"]):
+        for t, n in zip(tokens, expand(counts, "<u4").tolist()):
+            total[t] = total.get(t, 0) + n
+    rest = [0] * (len(df) - 1)
+    return pd.DataFrame({
+        "parcel": df["parcel"], "bucket": df["bucket"], "counts": [squeeze(np.fromiter(map(total.__getitem__, tokens), "<u8", len(tokens))) for tokens in split],
+        "total": [sum(total.values()), *rest], "known": [sum(n > 0 for n in total.values()), *rest],
+    })
+
+
 def sent_bigrams(rows: DataFrame, shards: int) -> DataFrame:
     """(shard, parcel, keys, counts): the distinct bigrams of each parcel by shard, ascending, with counts to learn (0: none)."""
 
@@ -207,7 +262,7 @@ def sent_bigrams(rows: DataFrame, shards: int) -> DataFrame:
             for r in range(batch.num_rows):
                 row = {n: batch.column(n)[r].as_py() for n in ("parcel", "tokens", "sizes", "places", "held")}
                 sizes, places = expand(row["sizes"], "<u4"), expand(row["places"], "<u4").astype(np.int64)
-                keys = parcel_bigrams(row["tokens"], sizes, places)
+                keys = parcel_bigrams(unpacked_tokens(row["tokens"]), sizes, places)
                 learn = np.repeat(~np.frombuffer(row["held"], bool), sizes)
                 shard, key = sharded(keys, shards)
                 order = np.lexsort((key, shard))
@@ -250,16 +305,18 @@ def probe_shard(asks: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"parcel": asks["parcel"], "shard": asks["shard"], "levels": [part.level(widened(b)).tobytes() for b in asks["keys"]]})
 
 
-def scorer(total: int, distinct: int, texts: int, shards: int, shared):
+def scorer(total: int, distinct: int, texts: int, buckets: int, shards: int, shared):
     """Scores one parcel from its row, its tokens' counts, and levels that the broadcast filter or other rows give."""
     mean = estimates()
 
     def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         row = rows.iloc[0]
-        tokens = list(row["tokens"])
-        answer = known[known["place"] >= 0]
+        tokens = unpacked_tokens(row["tokens"])
+        answer = known[known["bucket"] >= 0]
+        by_bucket = dict(zip(answer["bucket"], answer["counts"]))
         count = np.zeros(len(tokens) + 1)
-        count[answer["place"].to_numpy(np.int64)] = answer["count"].to_numpy(np.float64)
+        for b, at in bucket_places(tokens, buckets):
+            count[at] = expand(by_bucket[b], "<u8")
         count[-1] = texts
         sizes, places = expand(row["sizes"], "<u4").astype(np.int64), expand(row["places"], "<u4").astype(np.int64)
         keys = parcel_bigrams(tokens, sizes, places)
@@ -273,7 +330,7 @@ def scorer(total: int, distinct: int, texts: int, shards: int, shared):
                 at = order[cuts[s]:cuts[s + 1]]
                 levels[at] = shared.value[s].level(key[at])
         else:
-            for s, blob in known.loc[known["place"] < 0, ["shard", "levels"]].itertuples(index=False):
+            for s, blob in known.loc[known["bucket"] < 0, ["shard", "levels"]].itertuples(index=False):
                 at = order[cuts[int(s)]:cuts[int(s) + 1]]
                 own, inverse = np.unique(key[at], return_inverse=True)
                 levels[at] = np.frombuffer(blob, np.uint8)[inverse]
@@ -302,24 +359,27 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)[id_col]
     asked = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     rows = stored(parcels(asked), "lm-parcels")
-    tokens = rows.select("parcel", F.posexplode(F.arrays_zip("tokens", "counts")).alias("place", "t")).select("parcel", "place", F.col("t.tokens").alias("token"), F.col("t.counts").alias("n"))
-    counts = stored(tokens.filter("n > 0").groupBy("token").agg(F.sum("n").alias("count")), "lm-counts")
-    known = counts.agg(F.sum("count"), F.count("*")).first()
-    total, distinct = known[0] or 0, known[1]
-    texts = rows.agg(F.sum("starts")).first()[0] or 0
+    size = rows.agg(F.sum("n"), F.sum("starts")).first()
+    buckets, texts = max(64, -(-(size[0] or 0) // BUCKET)), size[1] or 0
+    counted = sent_tokens(rows, buckets).groupBy("bucket").applyInPandas(add_up, "parcel long, bucket long, counts binary, total long, known long")
+    answers = stored(counted, "lm-counts")
+    sums = answers.agg(F.sum("total"), F.sum("known")).first()
+    total, distinct = sums[0] or 0, sums[1] or 0
+    answers = answers.select("parcel", "bucket", "counts").toDF("parcel", "bucket", "counts")
     shards = max(16, -(-total // SHARD))
-    sent = stored(sent_bigrams(rows, shards), "lm-bigrams")
-    filters = stored(sent.groupBy("shard").applyInPandas(make_shard, "shard long, size long, bits binary"), "lm-filter")
-    answers = tokens.join(counts, "token").select("parcel", "place", "count").toDF("parcel", "place", "count")
+    filters = stored(sent_bigrams(rows, shards).groupBy("shard").applyInPandas(make_shard, "shard long, size long, bits binary"), "lm-filter")
     shared = None
     if (filters.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast:
         shared = spark.sparkContext.broadcast({r["shard"]: Shard(r["size"], bytes(r["bits"])) for r in filters.toLocalIterator()})
     else:
-        probed = sent.toDF(*sent.columns).groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe_shard, "parcel long, shard long, levels binary")
+        asks = sent_bigrams(rows, shards)
+        probed = asks.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe_shard, "parcel long, shard long, levels binary")
         blank = {"shard": F.lit(None).cast("long"), "levels": F.lit(None).cast("binary")}
-        answers = answers.withColumns(blank).unionByName(probed.select("parcel", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("count"), "shard", "levels"))
-    work = scorer(total, distinct, texts, shards, shared)
-    left = rows.drop("counts", "starts")
+        answers = answers.withColumns(blank).unionByName(
+            probed.select("parcel", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "shard", "levels")
+        )
+    work = scorer(total, distinct, texts, buckets, shards, shared)
+    left = rows.drop("counts", "starts", "n")
     out = left.toDF(*left.columns).groupBy("parcel").cogroup(answers.groupBy("parcel")).applyInPandas(work, SCORES)
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
