@@ -18,6 +18,7 @@ labelled document every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -37,6 +38,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 OPENINGS = (4, 5, 6)
 LEAST_DOCS = 3
 ROUNDS = 300
+#: Words whose features a task remembers.
+WORDS = 300_000
 
 
 def sentences(text: str | None) -> list[str]:
@@ -149,26 +152,31 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def start():
         bias, weights = shared.value["bias"], shared.value["weights"]
         base = float(sigmoid(bias))
-        # Sentences are looked at one by one only where the text has a feature with a weight.
         lexicon = frozenset(weights)
-        has = lexicon.intersection
+
+        class Told(dict):
+            """Features with a weight of each word met."""
+
+            def __missing__(self, word):
+                found = self[word] = lexicon.intersection(features((word,)))
+                return found
+
+        known = Told()
+        look = known.__getitem__
 
         def judge(text):
             if not text:
                 return base, []
-            low = text.lower()
-            parts = SENTENCE.split(low)
-            keep = (1 - base) ** len(parts)
-            if not has(features(WORD.findall(low))):
-                return 1 - keep, []
-            rest, hits = 0, []
-            keep = 1.0
-            for k, s in enumerate(parts):
-                words = has(features(WORD.findall(s)))
-                if not words:
+            if len(known) > WORDS:
+                known.clear()
+            rest, hits, keep = 0, [], 1.0
+            for k, s in enumerate(SENTENCE.split(text.lower())):
+                told = [x for x in map(look, WORD.findall(s)) if x]
+                if not told:
                     rest += 1
                     continue
-                p = float(sigmoid(bias + sum(weights[w] for w in sorted(words))))
+                z = bias + sum([weights[f] for f in sorted(frozenset().union(*told))])
+                p = 1.0 / (1.0 + math.exp(-min(30.0, max(-30.0, z))))
                 keep *= 1 - p
                 if p >= 0.5:
                     hits.append({"sentence": k, "score": p})
