@@ -118,6 +118,22 @@ def test_recall_against_brute_force(spark):
     assert hits / 400 >= 0.9
 
 
+def test_nothing_beyond_the_windows_is_lost(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.float32(rng.normal(size=(3000, 16)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "PACK", 16 * 20)  # several passes
+    for window in (2, 40):  # fewer than k candidates in all, and a small part of the table
+        got = collections.defaultdict(list)
+        for r in neighbours.nearest(df, df.filter("vec_id % 60 = 0").select("vec_id"), n_curves=1, window=window).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        assert set(got) == set(range(0, 3000, 60))
+        for q, found in got.items():
+            d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+            d[q] = np.inf
+            assert found == np.argsort(d)[:10].tolist()
+
+
 # ---- language model
 
 

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours in several shifted Hilbert orders.
+"""Nearest neighbours: bounds from several shifted Hilbert orders, then a scan within the bounds.
 
 Equal vectors form a class named by its smallest id; of its ids the ``k`` + 1
 smallest are kept, more can't be among ``k`` nearest. Each of ``CURVES`` orders
@@ -6,7 +6,10 @@ projects the class vectors onto ``DIMS`` random orthogonal directions, shifts th
 grid at random and sorts by the Hilbert key, range-partitioned by Spark. The
 orders are cut into blocks of ``BLOCK`` ranks; a query class visits the blocks that
 hold the ``WINDOW`` ranks before and after its own, where exact distances pick its
-best; the orders' bests merge, are exact already, and expand to ids.
+best; the orders' bests merge. Their last distance bounds the query: a scan over all
+class vectors, with packs of queries as products of matrices, takes every class
+within the bound. So the result is exact whatever the size of the table, the orders
+only keep down what the scan sends, and the work is queries times vectors.
 
 Random directions and shifts depend on ``SEED`` only; centre and scale are fitted on
 a sample of at most ``SAMPLE`` vectors, the smallest by hash, and every vector is
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,9 @@ WINDOW = 1280
 BLOCK = 4096
 SAMPLE = 4096
 SEED = 7
+#: Numbers in the query vectors of one pass of the scan, and in one product of matrices.
+PACK = 4_000_000
+TILE = 2_000_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -151,10 +158,64 @@ def best_in_block(k: int, window: int):
     return run
 
 
+def scanner(ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int):
+    """Classes of Arrow batches (cls, vec) that may be among the ``k`` + 1 best of the queries ``x``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm, limit = (x**2).sum(1), bound**2
+        for batch in batches:
+            cls = batch.column(0).to_numpy()
+            y = batch.column(1).flatten().to_numpy().reshape(len(cls), x.shape[1])
+            for start in range(0, len(y), 4096):
+                part, name = y[start:start + 4096], cls[start:start + 4096]
+                size = (part**2).sum(1)
+                tile = max(1, TILE // len(part))
+                for lo in range(0, len(x), tile):
+                    at = slice(lo, lo + tile)
+                    # Products round otherwise than differences do; the slack covers both.
+                    slack = 1e-12 * x.shape[1] * (norm[at] + size.max())
+                    d2 = norm[at, None] + size - 2 * (x[at] @ part.T)
+                    over = np.flatnonzero((d2 <= (limit[at] + slack)[:, None]).sum(1) > k + 1)
+                    if len(over):
+                        last = np.partition(d2[over], k, axis=1)[:, k] + slack[over]
+                        limit[lo + over] = np.minimum(limit[lo + over], last)
+                    i, j = np.nonzero(d2 <= (limit[at] + slack)[:, None])
+                    for s in range(0, len(i), 65536):
+                        a, b = i[s:s + 65536], j[s:s + 65536]
+                        score = np.sqrt(((part[b] - x[lo + a]) ** 2).sum(1))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + a]), pa.array(name[b]), pa.array(score)], names=["q", "cls", "score"])
+
+    return run
+
+
+def within_bounds(reps: DataFrame, bounds: DataFrame, length: int, k: int) -> DataFrame:
+    """(q, cls, score): for each query (q, vec, bound) every class that may be among its ``k`` + 1 best."""
+    spark = reps.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = reps.select("cls", "vec").repartition(parts, "cls")
+    packs = max(1, -(-bounds.count() * length // PACK))
+    found = None
+    for p in range(packs):
+        pack = bounds.filter(F.pmod(F.xxhash64("q"), F.lit(packs)) == p).select("q", "vec", "bound").toArrow().combine_chunks()
+        if not pack.num_rows:
+            continue
+        x = pack["vec"].combine_chunks().flatten().to_numpy().reshape(pack.num_rows, length)
+        shared = spark.sparkContext.broadcast((pack["q"].to_numpy(), x, pack["bound"].to_numpy()))
+
+        def run(batches, shared=shared):
+            return scanner(*shared.value, k)(batches)
+
+        one = stored(dealt.mapInArrow(run, "q long, cls long, score double"), "vector-scan")
+        shared.unpersist()
+        found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([], "q long, cls long, score double") if found is None else found
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", n_curves: int = CURVES, window: int = WINDOW) -> DataFrame:
-    """(query_id, rank, id, score): the ``k`` nearest found of each query among all other rows.
+    """(query_id, rank, id, score): the ``k`` nearest of each query among all other rows.
 
-    ``queries`` holds ids of rows of ``vectors`` in ``id_col``.
+    ``queries`` holds ids of rows of ``vectors`` in ``id_col``. ``n_curves`` and ``window``
+    decide how tight the scan's bounds are, not what is found.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
@@ -183,7 +244,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         .applyInPandas(best_in_block(k, window), "q long, cls long, score double")
     )
     merged = found.groupBy("q", "cls").agg(F.min("score").alias("score"))
-    top = merged.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "cls"))).filter(F.col("r") <= k + 1).drop("r")
+    best = Window.partitionBy("q").orderBy("score", "cls")
+    last = merged.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k + 1).select("q", F.col("score").alias("bound"))
+    bounds = asks.select("q").distinct().join(reps.withColumnRenamed("cls", "q"), "q").join(last, "q", "left")
+    bounds = stored(bounds.withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), "vector-bounds")
+    scanned = within_bounds(reps, bounds, length, k)
+    top = scanned.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     near = stored(top.join(members.select("cls", "id"), "cls"), "vector-near")
     pairs = asks.join(near, "q").filter(F.col("id") != F.col("query_id"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
