@@ -207,3 +207,21 @@ def test_languages_and_switches(spark):
     none = language.trained(docs.limit(0))
     assert {r["lang_pred"] for r in language.detect(docs, none).collect()} == {"und"}
     assert language.detect(docs.limit(0), model).count() == 0
+
+
+def test_long_and_empty_texts_take_no_language_out_of_the_sample(spark):
+    rng = random.Random(9)
+    stems = {"aa": ["the", "thing", "oning", "wash"], "bb": ["der", "ungen", "keit", "schen"], "cc": ["que", "cion", "mente", "llor"]}
+    text = lambda y, n=30: " ".join(rng.choice(stems[y]) for _ in range(n))
+    rows = [(i, text(y), y) for i, y in enumerate(["aa", "bb", "cc"] * 20)]
+    # The smallest ids by hash of a language are a text beyond the bound in all, or have no letters.
+    ranked = [r["id"] for r in spark.range(1000, 5000).orderBy(F.xxhash64("id")).limit(230).collect()]
+    book = "12 " * 9000 + text("bb", 700_000)
+    odd = [(ranked[0], book, "bb"), *[(i, None, "cc") for i in ranked[1:116]], *[(i, "12 !?", "cc") for i in ranked[116:]]]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    found = language.sample(docs)
+    assert {y: sum(z == y for _, z in found) for y in stems} == {"aa": 20, "bb": 21, "cc": 20}
+    assert max(len(t) for t, _ in found) == language.SAMPLE_CHARS // language.SAMPLE
+    assert len(language.sample(docs, most=5, chars=50)) == 15 and max(len(t) for t, _ in language.sample(docs, most=5, chars=50)) == 10
+    got = {r["doc_id"]: r["lang_pred"] for r in language.detect(docs, language.trained(docs)).collect()}
+    assert all(got[i] == y for i, _, y in rows) and got[ranked[0]] == "bb"

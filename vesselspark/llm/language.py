@@ -10,8 +10,10 @@ a document. A document's language is the one with the largest mean of its words'
 marginals; the score is that mean.
 
 The field is fitted on a sample of at most ``SAMPLE`` documents of each language,
-the smallest by hash (a bound that is a parameter), with every word of a document
-labelled by its ``lang``. Predictions cover all texts whole. A null text and one
+the smallest by hash of those with letters, with every word of a document labelled
+by its ``lang``. Of each it takes ``SAMPLE_CHARS / SAMPLE`` characters from the first
+letter on, so that no language holds more than ``SAMPLE_CHARS`` and a long text takes
+no room from others (both bounds are parameters). Predictions cover all texts whole. A null text and one
 without letters get ``und`` with score 0; so does every text if nothing can be
 learned. Rows are judged one by one; ties go to the smaller language name.
 """
@@ -29,8 +31,8 @@ from vesselspark.llm.batches import with_columns
 from vesselspark.llm.catalog import query, table
 
 SAMPLE = 200
-#: Characters of the sample at most: a bound of the driver's memory.
-SAMPLE_CHARS = 4_000_000
+#: Characters of the sample for each language at most: a bound of the driver's memory.
+SAMPLE_CHARS = 1_000_000
 LEXICON = 5
 LEAST = 3
 CHAIN = 32
@@ -221,20 +223,19 @@ def smoothed(x, sizes, first, step):
     return p / p.sum(2, keepdims=True)
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> list:
-    """At most ``most`` (text, lang) of each language, the smallest by hash of id."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y"), F.xxhash64(id_col).alias("h")).filter("y is not null and id is not null")
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list:
+    """At most ``most`` (text, lang) of each language, the smallest by hash of id; of a text its first ``chars / most`` characters."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y"), F.col(text_col).alias("text")).filter("y is not null and id is not null")
+    rows = rows.filter(F.col("text").rlike(r"\p{L}"))
     first = Window.partitionBy("y").orderBy("h", "id")
-    picked = known.distinct().withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("y"), F.col(text_col).alias("text"))
-    rows = texts.join(picked, ["id", "y"]).select("k", "y", "text", F.length("text").alias("n")).orderBy("k", "y", "text")
-    out, held = [], 0
-    for r in rows.toLocalIterator():
-        held += r["n"] or 0
-        if held > SAMPLE_CHARS and out:
-            break
-        out.append((r["text"], r["y"]))
-    return out
+    ids = rows.select("id", "y", F.xxhash64("id").alias("h")).distinct()
+    picked = ids.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most)
+    span = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, max(1, chars // most))
+    texts = rows.join(F.broadcast(picked.select("id", "y", "k")), ["id", "y"]).select("k", "y", span.alias("text"))
+    # Rows that repeat an id count as further documents.
+    again = Window.partitionBy("y").orderBy("k", "text")
+    kept = texts.withColumn("r", F.row_number().over(again)).filter(F.col("r") <= most).orderBy("k", "y", "text")
+    return [(r["text"], r["y"]) for r in kept.select("text", "y", "k").toLocalIterator()]
 
 
 def detect(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
