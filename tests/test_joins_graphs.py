@@ -198,3 +198,20 @@ def test_traces_are_chosen_in_each_case(spark):
     got = {(r["case_id"], r["trace_id"]): r["label"] for r in select_traces(spark.createDataFrame(rows, SCHEMA), k=3, most=25.0).collect()}
     assert got[1, 0] == got[1, 2] == got[1, 4] == 1 and got[1, 3] == -1 and got[1, 1] == 0
     assert all(got[2, t] == got[1, t] for t in range(5)) and got[3, 0] == got[3, 1] == 0
+
+
+def test_links_go_past_near_traces_that_fail_the_gate(spark):
+    from vesselspark.operators.compositions import greedy_links
+
+    # The tail of 0 and the head of 2 face each other along bright voxels; 1 and 3 are nearer, in the dark.
+    p = points(spark, [
+        [(float(x), 0, 0) for x in range(-10, 1)], [(0, float(y), 0) for y in range(15, 26)],
+        [(float(x), 0, 0) for x in range(20, 31)], [(20, float(-y), 0) for y in range(14, 25)],
+    ])
+    v = spark.createDataFrame([(1, x, 0, 0, 1.0) for x in range(31)], "case_id long, x long, y long, z long, score double")
+    got = [(r["a"], r["b"]) for r in greedy_links(p, v).collect()]
+    assert got in ([("0:1", "2:0")], [("2:0", "0:10")])
+    # An inner point next to a head is not that trace's tail.
+    near = points(spark, [[(float(x), 0, 0) for x in range(11)], [(1.0, float(y), 0) for y in range(5, 12)], [(float(x), 0, 0) for x in range(14, 21)]])
+    bright = spark.createDataFrame([(1, x, y, 0, 1.0) for x in range(25) for y in range(12)], "case_id long, x long, y long, z long, score double")
+    assert {("0:1", "2:0"), ("2:0", "0:10")} & {(r["a"], r["b"]) for r in greedy_links(near, bright).collect()}

@@ -146,20 +146,9 @@ def end_links_gated(p, v):
 
 @query("greedy_links", ["fx_points", "fx_voxels"])
 def greedy_links(p, v):
-    from ..operators.matching import sample
-    from ..operators.points import path
-
-    p = shifted(p)
-    cand = gr.end_links(p, r=30.0)
-    e = gr.ends(p).select("case_id", "trace_id", "end", "x", "y", "z")
-    a = e.select("case_id", F.col("trace_id").alias("q_trace_id"), F.col("end").alias("q_end"), *[F.col(c).alias(f"a{c}") for c in "xyz"])
-    b = p.select("case_id", "trace_id", "seq", *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    link = cand.join(a, ["case_id", "q_trace_id", "q_end"]).join(b, ["case_id", "trace_id", "seq"])
-    ids = ["case_id", "q_trace_id", "q_end", "k"]
-    cost = ed.link_costs(sample(path(link), v, "score", ids), ids[:3]).select(*ids[:3], "loss")
-    name = lambda t, s: F.concat_ws(":", t, s)
-    c = cand.join(cost, ids[:3]).select("case_id", name("q_trace_id", "q_end").alias("a"), name("trace_id", "seq").alias("b"), F.round(F.col("loss") - 0.5 / 30 * (30 - F.col("dist")), 6).alias("loss"))
-    return gr.mutual_links(c, -0.3)
+    from ..operators.compositions import greedy_links as build
+
+    return build(shifted(p), v)
 
 
 @query("select_artery", ["fx_points"])

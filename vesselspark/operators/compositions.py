@@ -101,3 +101,32 @@ def labelled_graph(points: DataFrame, landmarks: DataFrame, training: bool = Tru
     label = points.select("case_id", "trace_id", "vestype").distinct()
     edges = edges.join(label, ["case_id", "trace_id"]).withColumn("vestype", relabel(F.col("vestype"), VESSEL_MERGE) if training else F.lit(0))
     return nodes, edges
+
+
+def greedy_links(points: DataFrame, voxels: DataFrame, r: float = 30.0, below: float = -0.3) -> DataFrame:
+    """Mutual best links of trace ends with the nearest point of every other trace within ``r``.
+
+    Only targets count to which the end is the nearest point of its own trace.  Returns
+    (case_id, loss, a, b): ``a`` names trace and end, ``b`` trace and position.
+    """
+    p = stored(points, "traces")
+    q = mt.as_queries(mt.ends(p), keep=["end"]).groupBy("case_id", "q_trace_id", "q_seq", *mt.AT).agg(F.min("q_end").alias("q_end"))
+    q = stored(q, "ends")
+    at = p.select("case_id", "trace_id", "seq", *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    ids = ["case_id", "q_trace_id", "q_seq", "trace_id"]
+    cand = mt.nearest_per_trace(q.drop("q_end"), p, r).select(*ids, "seq", "dist")
+    cand = stored(cand.join(q, ids[:3]).join(at, ["case_id", "trace_id", "seq"]), "candidates")
+    back = cand.select("case_id", F.struct("q_trace_id", "q_seq", F.col("trace_id").alias("t")).alias("q_id"), F.col("q_trace_id").alias("trace_id"), *[F.col(f"b{c}").alias(f"q{c}") for c in "xyz"])
+    own = mt.nearest_in_trace(back, p, r).select("case_id", "q_id.q_trace_id", "q_id.q_seq", F.col("q_id.t").alias("trace_id"), F.col("seq").alias("own"))
+    cand = stored(cand.join(own, ids).where("own = q_seq"), "links")
+    link = cand.select(*ids, *[F.col(f"q{c}").alias(f"a{c}") for c in "xyz"], *[f"b{c}" for c in "xyz"])
+    cost = ed.link_costs(mt.sample(path(link), voxels, "score", [*ids, "k"]), ids).select(*ids, "loss")
+    name = lambda t, s: F.concat_ws(":", t, s)
+    # Both sides go by position, so that an end is the same as a start and as a target.
+    c = cand.join(cost, ids).select(
+        "case_id", name("q_trace_id", "q_seq").alias("a"), name("trace_id", "seq").alias("b"), name("q_trace_id", "q_end").alias("end"),
+        F.round(F.col("loss") - 0.5 / r * (r - F.col("dist")), 6).alias("loss"),
+    )
+    c = stored(c, "losses")
+    done = gr.mutual_links(c.drop("end"), below)
+    return done.join(c.select("case_id", "a", "b", "end"), ["case_id", "a", "b"]).select("case_id", "loss", F.col("end").alias("a"), "b")
