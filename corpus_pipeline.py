@@ -3,7 +3,7 @@
 A stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame. All but the last return the columns of ``docs``.
 
-language          keeps texts whose language is recognised, fills a missing ``lang``
+language          keeps texts whose words are recognised, fills a missing ``lang``; all texts with letters if no ``lang`` is given
 near_duplicates   keeps one document of each class of near copies (texts without words never get here)
 decontamination   drops documents that hold a benchmark window
 personal_data     replaces personal data by its kind, renews ``n_chars``
@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from vesselspark.llm import bpe, decontamination, language, neardup, pii
 from vesselspark.session import stored
 
-#: A text is kept if a language was recognised with at least this score.
+#: A text is kept if its words are recognised with at least this mean score, each as whatever language it is.
 LEAST_SCORE = 0.4
 
 
 def keep_languages(spark, docs, sf_dir):
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = language.detect(docs, language.trained(docs)).filter(f"lang_pred <> 'und' and lang_score >= {LEAST_SCORE}")
+    model = language.trained(docs)
+    if not model["labels"]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.detect(docs, model, sure=True).filter(f"lang_pred <> 'und' and lang_sure >= {LEAST_SCORE}")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
 
 

@@ -306,3 +306,14 @@ def test_pipeline_keeps_clean_documents_and_applies_its_stages(spark, tmp_path):
     assert set(got) == {*range(60), 105} and all(r["round_trip"] for r in got.values())
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], bytes(r["token_ids"])) for r in whole) == sorted((i, bytes(r["token_ids"])) for i, r in got.items())
+
+
+def test_pipeline_keeps_texts_that_switch_and_texts_without_known_languages(spark):
+    rng = random.Random(21)
+    stems = {"aa": ["the", "thing", "oning", "wash"], "bb": ["der", "ungen", "keit", "schen"], "cc": ["que", "cion", "mente", "llor"]}
+    text = lambda y, n=32: " ".join(rng.choice(stems[y]) for _ in range(n))
+    rows = [(i, text(y), y) for i, y in enumerate(["aa", "bb", "cc"] * 20)] + [(100, " ".join(map(text, stems)), None), (101, None, None), (102, "12 !?", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, "").collect()} == {*range(60), 100}
+    blank = corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert blank.columns == docs.columns and {(r["doc_id"], r["lang"]) for r in blank.collect()} == {(i, None) for i in (*range(60), 100)}

@@ -238,8 +238,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return [(r["text"], r["y"]) for r in kept.select("text", "y", "k").toLocalIterator()]
 
 
-def detect(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``."""
+def detect(docs: DataFrame, model: dict, text_col: str = "text", sure: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``; if ``sure``, with ``lang_sure``, the mean of the words' largest marginals."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
@@ -247,7 +247,7 @@ def detect(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
         def work(texts):
             split = [words_of(t) for t in texts]
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            names, scores, own = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             full = [i for i, d in enumerate(split) if d]
             if full and labeller.labels:
                 p = labeller.marginals([split[i] for i in full]).astype(np.float64)
@@ -256,11 +256,15 @@ def detect(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 best = mean.argmax(1)
                 for i, b, row in zip(full, best.tolist(), mean):
                     names[i], scores[i] = labeller.labels[b], min(1.0, float(row[b]))
-            return [names, scores]
+                if sure:
+                    for i, top in zip(full, (np.add.reduceat(p.max(1), at[:-1]) / np.diff(at)).tolist()):
+                        own[i] = min(1.0, top)
+            return [names, scores, own] if sure else [names, scores]
 
         return work
 
-    return with_columns(docs, [text_col], [("lang_pred", "string"), ("lang_score", "double")], start)
+    fields = [("lang_pred", "string"), ("lang_score", "double"), *([("lang_sure", "double")] if sure else [])]
+    return with_columns(docs, [text_col], fields, start)
 
 
 def label_words(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
