@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ["decontamination", "bpe", "pii", "toxicity", "language", "urls", "neighbours", "neardup", "substrings", "lm"]
+MODULES = ["decontamination", "bpe", "pii", "toxicity", "language", "urls", "neighbours", "neardup", "substrings", "lm", "pieces", "tries", "spelling"]
 
 
 def query(sql: str | None = None):
