@@ -186,20 +186,6 @@ def test_positions_beyond_packed_ids_raise(spark):
         with_nodes(points(spark, [[(5000.0, 0, 0)]])).collect()
 
 
-def test_traces_are_chosen_in_each_case(spark):
-    from vesselspark.operators.selection import select_traces
-
-    line = lambda x, n: [(float(x), float(i % 3), float(i)) for i in range(n)]
-    rows = []
-    for case, shift in ((1, 0.0), (2, 5000.0)):  # one clustering of both cases would mix them
-        for t, (x, n) in enumerate([(0, 40), (30, 8), (200, 50), (212, 6), (600, 5)]):
-            rows += [(case, t, i, px + shift, py, pz, 1.0) for i, (px, py, pz) in enumerate(line(x, n))]
-    rows += [(3, t, i, *p, 1.0) for t in (0, 1) for i, p in enumerate(line(t * 99, 5))]
-    got = {(r["case_id"], r["trace_id"]): r["label"] for r in select_traces(spark.createDataFrame(rows, SCHEMA), k=3, most=25.0).collect()}
-    assert got[1, 0] == got[1, 2] == got[1, 4] == 1 and got[1, 3] == -1 and got[1, 1] == 0
-    assert all(got[2, t] == got[1, t] for t in range(5)) and got[3, 0] == got[3, 1] == 0
-
-
 def test_links_go_past_near_traces_that_fail_the_gate(spark):
     from vesselspark.operators.compositions import greedy_links
 

@@ -30,6 +30,20 @@ def kmeans_select(p):
     return select_traces(p)
 
 
+# Breadth first from the lowest trace of every case; the samples are every fifth point and the last.
+@query("grown_traces", ["fx_points"], """WITH l AS (SELECT case_id, trace_id, max(seq) AS last FROM fx_points GROUP BY ALL),
+e AS MATERIALIZED (SELECT DISTINCT q.case_id, q.trace_id AS a, t.trace_id AS b FROM fx_points q JOIN l USING (case_id, trace_id) JOIN fx_points t ON t.case_id = q.case_id AND t.trace_id <> q.trace_id
+  WHERE (q.seq % 5 = 0 OR q.seq = last) AND sqrt((q.x-t.x)*(q.x-t.x) + (q.y-t.y)*(q.y-t.y) + (q.z-t.z)*(q.z-t.z)) < 0.9),
+g(case_id, trace_id, round) USING KEY (case_id, trace_id) AS (SELECT case_id, min(trace_id), 0 FROM fx_points GROUP BY case_id UNION
+  SELECT e.case_id, e.a, min(g.round) + 1 FROM g JOIN e ON e.case_id = g.case_id AND e.b = g.trace_id LEFT JOIN recurring.g r ON r.case_id = e.case_id AND r.trace_id = e.a WHERE r.round IS NULL GROUP BY e.case_id, e.a)
+SELECT case_id, trace_id, CAST(round AS BIGINT) AS round FROM g""")
+def grown_traces(p):
+    from ..operators.selection import grown
+
+    start = p.groupBy("case_id").agg(F.min("trace_id").alias("trace_id"))
+    return grown(p, start, 0.9).select("case_id", "trace_id", F.col("round").cast("bigint").alias("round"))
+
+
 @query("tree", ["fx_points", "fx_voxels"])
 def tree(p, v):
     from ..operators.compositions import traces_to_tree

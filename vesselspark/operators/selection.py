@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g
+from ..plans.grid import near_groups
 from ..session import stored
-from .matching import trace_distance
+from .matching import AT
 from .traces import KEYS, POS
 
-AT = ["kx", "ky", "kz"]
+CENTRE = ["kx", "ky", "kz"]
 
 
 def cluster_centres(points: DataFrame, k: int) -> DataFrame:
@@ -21,56 +22,97 @@ def cluster_centres(points: DataFrame, k: int) -> DataFrame:
     """
     p = stored(points.select("case_id", *POS), "positions")
     here = F.struct(*POS)
-    centres = p.groupBy("case_id").agg(F.min(here).alias("c")).select("case_id", F.lit(0).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, AT)])
+    centres = p.groupBy("case_id").agg(F.min(here).alias("c")).select("case_id", F.lit(0).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, CENTRE)])
     centres = stored(centres, "centres")
-    away = g.dist(g.vec(*POS), g.vec(*AT))
+    away = g.dist(g.vec(*POS), g.vec(*CENTRE))
     for i in range(1, k):
         d = p.distinct().join(centres, "case_id").groupBy("case_id", *POS).agg(F.min(away).alias("d")).where("d > 0")
         far = d.groupBy("case_id").agg(F.min(F.struct((-F.col("d")).alias("d"), *POS)).alias("c"))
-        new = far.select("case_id", F.lit(i).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, AT)])
+        new = far.select("case_id", F.lit(i).alias("cluster"), *[F.col(f"c.{c}").alias(n) for c, n in zip(POS, CENTRE)])
         centres = stored(centres.unionByName(new), "centres")
     while True:
         near = p.distinct().join(centres, "case_id").groupBy("case_id", *POS).agg(F.min(F.struct(away.alias("d"), "cluster")).alias("m"))
         near = near.select("case_id", *POS, F.col("m.cluster").alias("cluster"))
-        means = p.join(near, ["case_id", *POS]).groupBy("case_id", "cluster").agg(*[F.round(F.avg(c), 9).alias(n) for c, n in zip(POS, AT)])
+        means = p.join(near, ["case_id", *POS]).groupBy("case_id", "cluster").agg(*[F.round(F.avg(c), 9).alias(n) for c, n in zip(POS, CENTRE)])
         means = stored(means, "centres")
         moved = means.join(centres.toDF("case_id", "cluster", "ox", "oy", "oz"), ["case_id", "cluster"], "left")
         still = F.lit(True)
-        for a, b in zip(AT, ("ox", "oy", "oz")):
+        for a, b in zip(CENTRE, ("ox", "oy", "oz")):
             still = still & (F.abs(F.col(a) - F.col(b)) < 1e-6)
         centres = means
         if moved.where(~F.coalesce(still, F.lit(False))).isEmpty():
             return centres
 
 
-def select_traces(points: DataFrame, k: int = 2, most: float = 25.0) -> DataFrame:
-    """Label traces of every case: 1 chosen, -1 close to a chosen one, 0 otherwise; ``cluster`` of a chosen one.
+def grown(points: DataFrame, start: DataFrame, r: float = 25.0, every: int = 5) -> DataFrame:
+    """Traces (case_id, trace_id, round) that a search reaches from the traces of ``start``; these have round 0.
 
-    Cluster by cluster, the free trace with the least (distance of its nearest point / point
-    count) to the centre is chosen if that is below ``most``; traces nearer than ``most`` to it, by
-    points or by 2-D centroids, are no longer free.  Cases with fewer than three traces stay 0.
+    Breadth first: a trace is reached if one of its sampled points, every fifth and the last, is
+    nearer than ``r`` to any point of a trace of the round before.  The frontier is a set of traces
+    whose points are summed up in cells; no list of trace pairs is made, and rounds follow the
+    longest way, not the number of traces.
     """
+    last = points.groupBy(*KEYS).agg(F.max("seq").alias("_last"))
+    some = points.join(last, KEYS).where((F.col("seq") % every == 0) | (F.col("seq") == F.col("_last")))
+    waiting = stored(some.select(*KEYS, *[F.col(c).alias(q) for c, q in zip(POS, AT)]), "samples")
+    front = stored(start.select(*KEYS).distinct().withColumn("round", F.lit(0)), "front")
+    found, n = front, 0
+    while True:
+        n += 1
+        waiting = waiting.join(front.select(*KEYS), KEYS, "left_anti")
+        near = near_groups(waiting, points.join(front.select(*KEYS), KEYS, "left_semi"), r, AT, KEYS)
+        front = stored(near.withColumn("round", F.lit(n)), "front")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def central_traces(points: DataFrame, k: int, most: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(case_id, cluster, trace_id): the trace of each cluster centre, NULL where a centre has none.
+
+    Cluster by cluster the free trace with the least (distance of its nearest point / point count)
+    to the centre is taken if that is below ``most`` (ties: the lower trace).  Traces nearer than ``most`` to it, by points or
+    by 2-D centroids, are no longer free.  Centres come from points with ``low`` <= z <= ``high``.
+    """
+    inside = points
+    if low is not None:
+        inside = inside.where(F.col("z") >= low)
+    if high is not None:
+        inside = inside.where(F.col("z") <= high)
+    centres = cluster_centres(inside, k)
     size = points.groupBy(*KEYS).agg(F.count("*").alias("np"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    size = size.withColumn("traces", F.count("*").over(Window.partitionBy("case_id")))
     traces = stored(size, "traces")
-    some = stored(points.join(traces.where("traces >= 3").select(*KEYS), KEYS, "left_semi"), "points")
-    centres = cluster_centres(some, k)
-    cost = some.join(centres, "case_id").groupBy(*KEYS, "cluster").agg(F.min(g.dist(g.vec(*POS), g.vec(*AT))).alias("d"))
-    cost = stored(cost.join(traces, KEYS).select(*KEYS, "cluster", (F.col("d") / F.col("np")).alias("cost")), "costs")
-    near = trace_distance(some, most).select("case_id", F.col("trace_a").alias("a"), F.col("trace_b").alias("b"))
-    mid = traces.where("traces >= 3").select("case_id", "trace_id", "mx", "my")
-    other = mid.toDF("case_id", "other", "ox", "oy")
-    flat = mid.join(other, "case_id").where((F.col("trace_id") < F.col("other")) & (F.hypot(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy")) < most))
-    pairs = near.unionByName(flat.select("case_id", F.col("trace_id").alias("a"), F.col("other").alias("b"))).distinct()
-    both = stored(pairs.unionByName(pairs.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))), "close")
-    chosen, free = None, cost
+    away = F.min(g.dist(g.vec(*POS), g.vec(*CENTRE))).alias("d")
+    cost = points.join(centres, "case_id").groupBy(*KEYS, "cluster").agg(away)
+    free = stored(cost.join(traces, KEYS).select(*KEYS, "cluster", (F.col("d") / F.col("np")).alias("cost")), "costs")
+    asked = points.select(*KEYS, *[F.col(c).alias(q) for c, q in zip(POS, AT)])
+    chosen = None
     for i in range(k):
         best = free.where(F.col("cluster") == i).groupBy("case_id").agg(F.min(F.struct("cost", "trace_id")).alias("m")).where(F.col("m.cost") < most)
-        new = stored(best.select("case_id", F.col("m.trace_id").alias("trace_id"), F.lit(i).alias("cluster")), "chosen")
+        new = stored(best.select("case_id", F.lit(i).alias("cluster"), F.col("m.trace_id").alias("trace_id")), "chosen")
         chosen = new if chosen is None else chosen.unionByName(new)
-        gone = new.select(*KEYS).unionByName(both.join(new.select("case_id", F.col("trace_id").alias("a")), ["case_id", "a"]).select("case_id", F.col("b").alias("trace_id")))
-        free = stored(free.join(gone.distinct(), KEYS, "left_anti"), "costs")
-    close = both.join(chosen.select("case_id", F.col("trace_id").alias("a")), ["case_id", "a"]).select("case_id", F.col("b").alias("trace_id")).distinct().withColumn("_n", F.lit(1))
-    out = traces.select(*KEYS).join(chosen, KEYS, "left").join(close, KEYS, "left")
-    label = F.when(F.col("cluster").isNotNull(), 1).when(F.col("_n") == 1, -1).otherwise(0)
-    return out.select(*KEYS, label.alias("label"), "cluster")
+        mid = traces.join(new.select(*KEYS), KEYS).select("case_id", F.col("mx").alias("ox"), F.col("my").alias("oy"))
+        flat = traces.join(mid, "case_id").where(F.hypot(F.col("mx") - F.col("ox"), F.col("my") - F.col("oy")) < most).select(*KEYS)
+        close = near_groups(asked, points.join(new.select(*KEYS), KEYS, "left_semi"), most, AT, KEYS)
+        free = stored(free.join(flat.unionByName(close).distinct(), KEYS, "left_anti"), "costs")
+    every = points.select("case_id").distinct().withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return every.join(chosen, ["case_id", "cluster"], "left")
+
+
+def select_traces(points: DataFrame, k: int = 2, most: float = 25.0, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Label traces of every case: 0 chosen for a cluster centre, 1 reached from the chosen ones, -1 not reached.
+
+    ``cluster`` names the centre of a chosen trace, ``round`` the step in which a trace was reached.
+    Cases with fewer than three traces stay 0.  Where two or more centres find no trace the
+    selection has failed and labels are NULL.
+    """
+    size = points.groupBy(*KEYS).agg(F.count("*").alias("np")).withColumn("traces", F.count("*").over(Window.partitionBy("case_id")))
+    traces = stored(size, "traces")
+    some = stored(points.join(traces.where("traces >= 3").select(*KEYS), KEYS, "left_semi").select(*KEYS, "seq", *POS), "points")
+    pick = stored(central_traces(some, k, most, low, high), "picked")
+    failed = pick.groupBy("case_id").agg((F.sum(F.col("trace_id").isNull().cast("int")) > 1).alias("failed"))
+    chosen = pick.join(failed.where("not failed"), "case_id", "left_semi").where("trace_id is not null")
+    found = grown(some, chosen, most)
+    out = traces.join(failed, "case_id", "left").join(found, KEYS, "left").join(chosen, KEYS, "left")
+    label = F.when(F.col("traces") < 3, 0).when(F.col("failed"), F.lit(None)).when(F.col("cluster").isNotNull(), 0).when(F.col("round").isNotNull(), 1).otherwise(-1)
+    return out.select(*KEYS, label.alias("label"), "cluster", "round")

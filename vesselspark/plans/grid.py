@@ -151,3 +151,44 @@ def nearest_growing(
     if done is None:
         done = nearest(left, targets, r, at, qid, ties, keys=keys)
     return done
+
+
+def near_groups(
+    queries: DataFrame,
+    targets: DataFrame,
+    r: float,
+    at: Sequence[str],
+    group: Sequence[str],
+    keys: Sequence[str] = ("case_id",),
+) -> DataFrame:
+    """Groups of queries (distinct ``keys`` and ``group``) with a row nearer than ``r`` to some target.
+
+    Targets are summed up in boxes, one for each cell of half the radius.  A query that is
+    nearer than ``r`` to all of a box settles its group, one that is farther from all of it
+    is done with the box; only boxes in between are opened, for groups that are still open.
+    No pair of query and target is made for the others.
+    """
+    from ..session import stored
+
+    side = r / 2.0
+    cell = [f"_t{c}" for c in XYZ]
+    here = [f"_c{c}" for c in XYZ]
+    group = [*keys, *[c for c in group if c not in keys]]
+    placed = targets.select(*keys, *XYZ).withColumns({t: F.floor(F.col(c) / side) for t, c in zip(cell, XYZ)})
+    boxes = placed.groupBy(*keys, *cell).agg(*[f(c).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
+    for h, t in zip(here, cell):
+        boxes = boxes.withColumn(h, F.explode(F.sequence(F.col(t) - 2, F.col(t) + 2)))
+    q = queries.select(*group, *[c for c in at if c not in group]).withColumns({h: F.floor(F.col(c) / side) for h, c in zip(here, at)})
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a, c in zip(at, XYZ):
+        out = F.greatest(F.col(f"_lo{c}") - F.col(a), F.col(a) - F.col(f"_hi{c}"), F.lit(0.0))
+        most = F.greatest(F.col(f"_hi{c}") - F.col(a), F.col(a) - F.col(f"_lo{c}"))
+        near, far = near + out * out, far + most * most
+    # A margin keeps rounding out of the bounds: what is close to them is looked at point by point.
+    met = q.join(boxes, [*keys, *here]).withColumns({"_near": F.sqrt(near), "_sure": F.sqrt(far) < r * (1 - 1e-9)})
+    met = stored(met.where(F.col("_near") < r * (1 + 1e-9)).select(*group, *[c for c in at if c not in group], *cell, "_sure"), "boxes-met")
+    sure = met.where("_sure").select(*group).distinct()
+    open_ = met.join(sure, group, "left_anti").drop("_sure")
+    dist = distance([F.col(c) for c in at], [F.col(c) for c in XYZ])
+    looked = open_.join(placed, [*keys, *cell]).where(dist < r).select(*group).distinct()
+    return sure.unionByName(looked)
