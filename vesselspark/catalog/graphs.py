@@ -103,7 +103,21 @@ def merge_pairs(p):
     return gr.merge_chains(p)
 
 
-@query("merge_at_ends", ["fx_pred_points"])
+# A state enters a trace at one end and leaves it at the other; a run of states is a chain.
+PRED_KEY = "concat(CAST(CAST(trunc({0}x) AS BIGINT) AS VARCHAR), '-', CAST(CAST(trunc({0}y) AS BIGINT) AS VARCHAR), '-', CAST(CAST(trunc({0}z) AS BIGINT) AS VARCHAR))"
+
+
+@query("merge_at_ends", ["fx_pred_points"], f"""WITH e AS (SELECT case_id, trace_id, count(*) AS n, {', '.join(f"arg_min({c}, seq) AS h{c}, arg_max({c}, seq) AS t{c}" for c in 'xyz')} FROM fx_pred_points GROUP BY ALL),
+k AS (SELECT case_id, trace_id, 0 AS e, {PRED_KEY.format('h')} AS key FROM e UNION ALL SELECT case_id, trace_id, 1, {PRED_KEY.format('t')} FROM e),
+g AS (SELECT case_id, key FROM k GROUP BY ALL HAVING count(*) = 2 AND count(DISTINCT trace_id) = 2),
+l AS MATERIALIZED (SELECT a.case_id, a.trace_id AS t, a.e, b.trace_id AS t2, b.e AS e2 FROM g JOIN k a USING (case_id, key) JOIN k b USING (case_id, key) WHERE a.trace_id <> b.trace_id),
+d AS (SELECT k.case_id, k.trace_id AS t, max(k.e) FILTER (WHERE l.t IS NULL) AS free FROM k LEFT JOIN l ON l.case_id = k.case_id AND l.t = k.trace_id AND l.e = k.e GROUP BY ALL),
+r(case_id, source, place, t, e) AS (SELECT case_id, t, 0, t, CASE WHEN free = 1 AND EXISTS (SELECT 1 FROM l WHERE l.case_id = d.case_id AND l.t = d.t) THEN 1 ELSE 0 END FROM d
+  UNION ALL SELECT r.case_id, source, place + 1, l.t2, l.e2 FROM r JOIN l ON l.case_id = r.case_id AND l.t = r.t AND l.e = 1 - r.e WHERE l.t2 <> source),
+w AS (SELECT r.case_id, source, min(t) AS least, bool_or(free IS NOT NULL) AS path, arg_max(t, place) AS last FROM r JOIN d USING (case_id, t) GROUP BY r.case_id, source),
+s AS (SELECT w.* FROM w JOIN d ON d.case_id = w.case_id AND d.t = w.source WHERE CASE WHEN path THEN d.free IS NOT NULL AND source <= last ELSE source = least END),
+o AS (SELECT r.case_id, r.t, r.e, s.least, sum(e.n) OVER (PARTITION BY r.case_id, r.source ORDER BY place) - e.n AS off, e.n FROM s JOIN r ON r.case_id = s.case_id AND r.source = s.source JOIN e ON e.case_id = r.case_id AND e.trace_id = r.t)
+SELECT p.case_id, least AS trace_id, CAST(off + CASE WHEN o.e = 1 THEN o.n - 1 - seq ELSE seq END AS BIGINT) AS seq, x, y, z, rad FROM fx_pred_points p JOIN o ON o.case_id = p.case_id AND o.t = p.trace_id""")
 def merge_at_ends(pred):
     return gr.merge_at_ends(pred).select("case_id", "trace_id", "seq", "x", "y", "z", "rad")
 
@@ -119,10 +133,34 @@ def voxel_graph(v):
     return rounded(e, ["dist"])
 
 
-@query("graph_traces", ["fx_voxels"])
-def graph_traces(v):
-    # A thin mask stands for a skeleton.
-    return gr.traces_from_graph(gr.voxel_graph(v.where("gt > 0 and intensity >= 42")))
+# The voxels of the traces stand for a skeleton. A chain is named by its least inner voxel, a link between junctions by both.
+@query("graph_traces", ["fx_points"], """WITH v AS (SELECT DISTINCT case_id, CAST(ceil(x - 0.5) AS BIGINT) AS x, CAST(ceil(y - 0.5) AS BIGINT) AS y, CAST(ceil(z - 0.5) AS BIGINT) AS z FROM fx_points),
+n AS MATERIALIZED (SELECT case_id, ((x + 1048576) * 2097152 + y + 1048576) * 2097152 + z + 1048576 AS id, x, y, z FROM v),
+o(a) AS (VALUES (-1), (0), (1)),
+e AS MATERIALIZED (SELECT s.case_id, s.id AS u, t.id AS v FROM n s, o a, o b, o c, n t WHERE t.case_id = s.case_id AND t.x = s.x + a.a AND t.y = s.y + b.a AND t.z = s.z + c.a AND t.id <> s.id),
+m AS MATERIALIZED (SELECT case_id, u AS id FROM e GROUP BY ALL HAVING count(*) = 2),
+i AS MATERIALIZED (SELECT e.case_id, u, v FROM e JOIN m a ON a.case_id = e.case_id AND a.id = u JOIN m b ON b.case_id = e.case_id AND b.id = v),
+h AS MATERIALIZED (SELECT e.case_id, u AS id, v AS hub FROM e JOIN m a ON a.case_id = e.case_id AND a.id = u WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.case_id = e.case_id AND b.id = v)),
+p(case_id, source, hub, k, u, prev) AS (SELECT case_id, id, hub, 1, id, hub FROM h UNION ALL SELECT p.case_id, source, hub, k + 1, i.v, p.u FROM p JOIN i ON i.case_id = p.case_id AND i.u = p.u WHERE i.v <> p.prev),
+w AS (SELECT case_id, source, hub, count(*) AS n, min(u) AS chain, arg_max(u, k) AS last FROM p GROUP BY ALL),
+x AS (SELECT w.*, g.hub AS hub1 FROM w LEFT JOIN h g ON g.case_id = w.case_id AND g.id = w.last AND (g.id <> w.source OR g.hub <> w.hub)
+  WHERE w.source < w.last OR (w.source = w.last AND (g.hub IS NULL OR w.hub < g.hub))),
+r(case_id, source, k, u, prev) AS (SELECT i.case_id, i.u, 0, i.u, max(i.v) FROM i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.case_id = i.case_id AND p.u = i.u) GROUP BY i.case_id, i.u
+  UNION ALL SELECT r.case_id, source, k + 1, i.v, r.u FROM r JOIN i ON i.case_id = r.case_id AND i.u = r.u WHERE i.v <> r.prev AND i.v <> source AND i.v > source),
+y AS (SELECT r.case_id, source FROM r JOIN i ON i.case_id = r.case_id AND i.u = r.u AND i.v = source WHERE k > 0 GROUP BY ALL HAVING max(k) > 1),
+a AS (SELECT p.case_id, chain, CAST(NULL AS BIGINT) AS other, k AS seq, u AS node FROM p JOIN x ON x.case_id = p.case_id AND x.source = p.source AND x.hub = p.hub
+  UNION ALL SELECT case_id, chain, NULL, 0, hub FROM x UNION ALL SELECT case_id, chain, NULL, n + 1, hub1 FROM x WHERE hub1 IS NOT NULL
+  UNION ALL SELECT r.case_id, r.source, NULL, k, u FROM r JOIN y ON y.case_id = r.case_id AND y.source = r.source
+  UNION ALL SELECT case_id, u, v, s.s, CASE WHEN s.s = 0 THEN u ELSE v END FROM e, (VALUES (0), (1)) s(s) WHERE u < v AND NOT EXISTS (SELECT 1 FROM m WHERE m.case_id = e.case_id AND m.id IN (u, v)))
+SELECT case_id, chain, other, CAST(seq AS BIGINT) AS seq, node FROM a""")
+def graph_traces(p):
+    # Rounded one way, so that points one step apart stay neighbours.
+    skeleton = p.select("case_id", *[F.ceil(F.col(c) - 0.5).alias(c) for c in "xyz"]).distinct()
+    t = gr.traces_from_graph(gr.voxel_graph(skeleton))
+    # A link between two junctions has no inner voxel: it is told by both.
+    ends_ = t.where("chain < 0").groupBy("case_id", "chain").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
+    named = t.join(ends_, ["case_id", "chain"], "left")
+    return named.select("case_id", F.coalesce("_a", "chain").alias("chain"), F.col("_b").alias("other"), "seq", "node")
 
 
 # The nearest point of another trace for every trace end, within %s.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, neighbours, running
-from ..plans.graphloop import components, fewest_hops, shortest_paths, spanning_forest
+from ..plans.graphloop import chain_ranks, components, list_ranks, shortest_paths, spanning_forest
 from ..plans.grid import near_pairs, nearest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
@@ -143,38 +143,49 @@ def merge_chains(points: DataFrame) -> DataFrame:
     return per.where("n = 2 and a.trace_id <> b.trace_id").select("case_id", "key", F.col("a.trace_id").alias("ta"), F.col("a.end").alias("ea"), F.col("b.trace_id").alias("tb"), F.col("b.end").alias("eb"))
 
 
+def chain_plan(points: DataFrame, links: DataFrame) -> DataFrame:
+    """(case_id, trace_id, chain, place, turn): where each trace stands in its chain and whether it is turned.
+
+    Walking a trace from one end to the other and on over a link is a step of a list; both ways
+    are ranked by pointer doubling.  A chain starts at the end trace with the lower id; a closed one
+    opens at its least trace, which keeps its direction.  ``chain`` is the least trace.
+    """
+    side = links.select("case_id", F.col("ta").alias("t"), F.col("ea").alias("e"), F.col("tb").alias("t2"), F.col("eb").alias("e2"))
+    side = stored(side.unionByName(side.select("case_id", F.col("t2").alias("t"), F.col("e2").alias("e"), F.col("t").alias("t2"), F.col("e").alias("e2"))), "sides")
+    every = points.select("case_id", F.col("trace_id").alias("node")).distinct()
+    comp = stored(components(links.select("case_id", F.col("ta").alias("src"), F.col("tb").alias("dst")), every), "chains")
+    deg = side.groupBy("case_id", F.col("t").alias("node")).agg(F.count("*").alias("deg"))
+    start = comp.join(deg, ["case_id", "node"], "left").groupBy("case_id", "comp").agg(
+        F.min(F.when(F.coalesce("deg", F.lit(0)) < 2, F.col("node"))).alias("open"), F.min("node").alias("least")
+    ).select("case_id", "comp", F.coalesce("open", "least").alias("source"), F.col("open").isNull().alias("ring"))
+    start = stored(start, "starts")
+    # A state enters trace t at end e and leaves it at the other end.
+    states = every.select("case_id", F.col("node").alias("t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("e"))
+    leave = side.select("case_id", "t", (1 - F.col("e")).alias("e"), F.struct(F.col("t2").alias("t"), F.col("e2").alias("e")).alias("next"))
+    ring = start.where("ring").select("case_id", F.col("source").alias("r"))
+    heads = ring.select("case_id", F.struct(F.col("r").alias("t"), F.lit(0).alias("e")).alias("next"), F.lit(True).alias("_cut"))
+    tails = ring.select("case_id", F.col("r").alias("t"), F.lit(1).alias("e"), F.lit(True).alias("_end"))
+    links_ = states.join(leave, ["case_id", "t", "e"], "left").join(heads, ["case_id", "next"], "left").join(tails, ["case_id", "t", "e"], "left")
+    links_ = links_.select("case_id", F.struct("t", "e").alias("at"), F.when(F.col("_cut").isNull() & F.col("_end").isNull(), F.col("next")).alias("next"))
+    ranks = list_ranks(links_).select("case_id", F.col("at.t").alias("node"), F.col("at.e").alias("e"), F.col("last.t").alias("source"), F.col("steps").alias("place"))
+    # The state that walks towards the source enters the trace at the end where the chain leaves it.
+    toward = ranks.join(comp, ["case_id", "node"]).join(start, ["case_id", "comp", "source"])
+    return toward.groupBy("case_id", F.col("node").alias("trace_id"), F.col("comp").alias("chain")).agg(
+        F.min("place").alias("place"), (F.max_by("e", F.struct(-F.col("place"), "e")) == 0).alias("turn")
+    )
+
+
 def merge_at_ends(points: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Join chains of traces linked end to end into one trace each (named by its least trace).
+    """Join chains of traces linked end to end into one trace each, named by its least trace.
 
-    The order inside a chain is the distance (in links) from its end with the lower trace id;
-    closed chains open at their least trace.  Each trace is turned to enter at its linked end.
+    ``links(case_id, ta, ea, tb, eb)``, each end in one link at most; by default ends that share a position.
     """
     links = stored(merge_chains(points) if links is None else links, "links")
-    edges = links.select("case_id", F.col("ta").alias("src"), F.col("tb").alias("dst"), F.lit(1.0).alias("w"))
-    all_ = points.select("case_id", F.col("trace_id").alias("node")).distinct()
-    comp = stored(components(edges, all_), "chains")
-    deg = all_.join(simple_degree(edges), ["case_id", "node"], "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-    start = comp.join(deg, ["case_id", "node"]).groupBy("case_id", "comp").agg(
-        F.coalesce(F.min(F.when(F.col("deg") <= 1, F.col("node"))), F.min("node")).alias("source")
-    )
-    dist = fewest_hops(edges, start.select("case_id", "source"))
-    # In a closed chain both ways around meet; its place is then told by (distance, trace).
-    place = dist.select("case_id", "source", F.col("node").alias("trace_id"), F.col("hops").cast("bigint").alias("hops"), F.when(F.col("hops") > 0, F.element_at("path", F.greatest(F.col("hops"), F.lit(1)))).alias("prev"))
-    way = links.select("case_id", F.col("ta").alias("trace_id"), F.col("ea").alias("e"), F.col("tb").alias("prev")).unionByName(
-        links.select("case_id", F.col("tb").alias("trace_id"), F.col("eb").alias("e"), F.col("ta").alias("prev"))
-    ).groupBy("case_id", "trace_id", "prev").agg(F.min("e").alias("enter"))
-    out = links.select("case_id", F.col("ta").alias("trace_id"), F.col("ea").alias("e")).unionByName(links.select("case_id", F.col("tb").alias("trace_id"), F.col("eb").alias("e")))
-    leave = out.groupBy("case_id", "trace_id").agg(F.min("e").alias("leave"))
-    plan = place.join(way, ["case_id", "trace_id", "prev"], "left").join(leave, KEYS, "left")
-    # The first trace of a chain must leave at its linked end; the others enter there.
-    turn = F.when(F.col("hops") == 0, F.coalesce(F.col("leave") == 0, F.lit(False))).otherwise(F.col("enter") == 1)
     size = points.groupBy(*KEYS).agg(F.count("*").alias("_n"))
-    plan = stored(plan.join(size, KEYS).withColumn("turn", turn).withColumn("chain", F.col("source")), "plan")
-    off = running(plan.withColumn("_ord", F.col("hops") * (1 << 40) + F.col("trace_id")), ["case_id", "chain"], "_ord", {"_to": F.col("_n")}, block=F.floor(F.col("hops") / BLOCK))
-    off = off.select(*KEYS, "chain", "turn", "_n", (F.col("_to") - F.col("_n")).alias("_off"))
+    plan = stored(chain_plan(points, links).join(size, KEYS), "plan")
+    off = running(plan, ["case_id", "chain"], "place", {"_to": F.col("_n")}).select(*KEYS, "chain", "turn", "_n", (F.col("_to") - F.col("_n")).alias("_off"))
     seq = F.col("_off") + F.when(F.col("turn"), F.col("_n") - 1 - F.col("seq")).otherwise(F.col("seq"))
-    name = comp.select("case_id", F.col("node").alias("trace_id"), F.col("comp").alias("chain_id"))
-    return points.join(off, KEYS).join(name, KEYS).withColumn("seq", seq).withColumn("trace_id", F.col("chain_id")).drop("chain", "turn", "_n", "_off", "chain_id")
+    return points.join(off, KEYS).withColumn("seq", seq).withColumn("trace_id", F.col("chain")).drop("chain", "turn", "_n", "_off")
 
 
 def unambiguous(pairs: DataFrame) -> DataFrame:
@@ -197,8 +208,9 @@ def voxel_graph(skeleton: DataFrame) -> DataFrame:
 def traces_from_graph(edges: DataFrame) -> DataFrame:
     """Chains between nodes of degree other than 2: (case_id, chain, seq, node).
 
-    Pieces of degree-2 nodes are components of the graph without its other nodes; their order is
-    the hop distance from one end.  Rings without any such node open at their least node.
+    Pieces of degree-2 nodes are components of the graph without its other nodes; their order
+    comes from list ranking.  Rings without any such node open at their least node and go on to
+    its lesser neighbour.
     """
     e = stored(edges.select("case_id", "src", "dst"), "edges")
     deg = stored(simple_degree(e), "degree")
@@ -207,7 +219,7 @@ def traces_from_graph(edges: DataFrame) -> DataFrame:
         mid.withColumnRenamed("node", "dst").withColumn("_b", F.lit(True)), ["case_id", "dst"], "left"
     ).select("case_id", "src", "dst", F.coalesce("_a", F.lit(False)).alias("ma"), F.coalesce("_b", F.lit(False)).alias("mb"))
     s = stored(s, "sides")
-    inner = s.where("ma and mb").select("case_id", "src", "dst", F.lit(1.0).alias("w"))
+    inner = s.where("ma and mb").select("case_id", "src", "dst")
     comp = stored(components(inner, mid), "pieces")
     # Where a piece touches a junction or an end.
     touch = s.where("ma <> mb").select("case_id", F.when(F.col("ma"), F.col("src")).otherwise(F.col("dst")).alias("node"), F.when(F.col("ma"), F.col("dst")).otherwise(F.col("src")).alias("hub"))
@@ -216,12 +228,14 @@ def traces_from_graph(edges: DataFrame) -> DataFrame:
     ring = comp.groupBy("case_id", "comp").agg(F.min("node").alias("least")).join(start, ["case_id", "comp"], "left")
     plan = stored(ring.select("case_id", "comp", F.coalesce(F.col("f.node"), F.col("least")).alias("source"), F.col("f.hub").alias("hub0"),
                               F.when(F.col("k") > 1, F.col("l.hub")).alias("hub1")), "plan")
-    place = fewest_hops(inner, plan.select("case_id", "source")).select("case_id", "source", "node", F.col("hops").cast("bigint").alias("hops"))
+    place = chain_ranks(inner, plan.select("case_id", "source"))
     body = place.join(plan, ["case_id", "source"]).select("case_id", F.col("comp").alias("chain"), (F.col("hops") + F.when(F.col("hub0").isNotNull(), 1).otherwise(0)).alias("seq"), "node")
     size = body.groupBy("case_id", "chain").agg(F.max("seq").alias("_m"))
     first = plan.where("hub0 is not null").select("case_id", F.col("comp").alias("chain"), F.lit(0).cast("bigint").alias("seq"), F.col("hub0").alias("node"))
     last = plan.where("hub1 is not null").join(size.withColumnRenamed("chain", "comp"), ["case_id", "comp"]).select("case_id", F.col("comp").alias("chain"), (F.col("_m") + 1).alias("seq"), F.col("hub1").alias("node"))
-    direct = s.where("not ma and not mb").select("case_id", (-F.xxhash64("src", "dst").bitwiseOR(F.lit(1))).alias("chain"), F.posexplode(F.array("src", "dst")).alias("seq", "node"))
+    # A link between two junctions has no inner node to be named by: it gets a negative number, written once.
+    direct = stored(s.where("not ma and not mb").select("case_id", (-1 - F.monotonically_increasing_id()).alias("chain"), "src", "dst"), "direct")
+    direct = direct.select("case_id", "chain", F.posexplode(F.array("src", "dst")).alias("seq", "node"))
     return body.unionByName(first).unionByName(last).unionByName(direct.withColumn("seq", F.col("seq").cast("bigint")))
 
 

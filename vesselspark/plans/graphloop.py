@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stored
+from ..session import forget, stored
 
 STAR_ROWS = 200_000
 
@@ -167,6 +167,53 @@ def fewest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000)
     return found.withColumn("hops", F.size("path") - 1)
 
 
+def list_ranks(links: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """End of the list and steps to it for every element of ``links(keys, at, next)``; ``next`` is NULL at an end.
+
+    Pointer doubling: in round k an element points 2^k places on, so a list of n elements takes
+    log2(n) rounds and a row never holds more than its pointer.  Elements that have arrived no
+    longer take part; the others' pointers are all different, so no key is hot.  Lists must end:
+    cut rings before.  Returns (keys, at, last, steps).
+    """
+    on = list(keys)
+    here = links.select(
+        *on, "at", F.coalesce("next", "at").alias("last"), F.col("next").isNotNull().cast("bigint").alias("steps"), F.col("next").isNull().alias("there")
+    )
+    here = stored(here, "ranks")
+    while True:
+        walk = here.where("not there")
+        if walk.isEmpty():
+            return here.drop("there")
+        onward = here.select(*on, F.col("at").alias("last"), F.col("last").alias("_to"), F.col("steps").alias("_more"), F.col("there").alias("_there"))
+        moved = walk.join(onward, [*on, "last"]).select(*on, "at", F.col("_to").alias("last"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_there").alias("there"))
+        before, here = here, stored(here.where("there").unionByName(moved), "ranks")
+        forget(before)
+
+
+def chain_ranks(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Place of every node on its chain: (case_id, source, node, hops).
+
+    ``edges(case_id, src, dst)`` form paths and rings; ``starts(case_id, source)`` names an end of
+    each path (a node without edges is its own) and one node of each ring, which is cut between that node and its greater
+    neighbour.  An arc is an element of two lists, one for each way; ranks are those of
+    the lists that end at a source.
+    """
+    e = edges.select("case_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    arcs = stored(e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "arcs")
+    two = arcs.join(starts.select("case_id", F.col("source").alias("u")), ["case_id", "u"]).groupBy("case_id", "u").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+    cut = two.where("n = 2").select("case_id", "u", "v")
+    cut = cut.unionByName(cut.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
+    arcs = stored(arcs.join(cut, ["case_id", "u", "v"], "left_anti"), "arcs")
+    onward = arcs.select("case_id", F.col("u").alias("v"), F.col("v").alias("w"))
+    after = arcs.join(onward, ["case_id", "v"]).where("w <> u").select("case_id", "u", "v", F.struct(F.col("v").alias("u"), F.col("w").alias("v")).alias("next"))
+    links = arcs.join(after, ["case_id", "u", "v"], "left").select("case_id", F.struct("u", "v").alias("at"), "next")
+    ranks = list_ranks(links).select("case_id", F.col("last.v").alias("source"), F.col("at.u").alias("node"), (F.col("steps") + 1).alias("hops"))
+    begin = starts.select("case_id", "source")
+    return ranks.join(begin, ["case_id", "source"], "left_semi").unionByName(
+        begin.select("case_id", "source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("hops"))
+    )
+
+
 def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
     """Minimum spanning forest (case_id, src, dst, weight); equal weights resolve by (src, dst).
 

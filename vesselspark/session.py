@@ -58,3 +58,14 @@ def stored(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``stored`` made, once nothing reads it any more; loops use it for their old rounds."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for name in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if not folder.toUri().getPath().startswith(jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).toUri().getPath()):
+            raise ValueError("only tables in the shared folder are deleted")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
