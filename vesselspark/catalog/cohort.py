@@ -72,7 +72,7 @@ def case_scores(v):
 def main_tree_without_loops(p):
     from ..operators.compositions import main_tree_without_loops as build
 
-    return build(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), 0.6, 2)
+    return build(p.select("case_id", "trace_id", "seq", "x", "y", "z", "rad"), 0.6, 2, 5.0)
 
 
 @query("add_lower_threshold", ["fx_points", "fx_pred_points"])

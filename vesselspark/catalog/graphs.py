@@ -78,6 +78,26 @@ def shortest_paths(p):
     return rounded(gl.shortest_paths(gr.trace_adjacency(p, 1.6), src), ["dist"]).select("case_id", "source", "node", "dist")
 
 
+# What is left is a forest: as many edges as positions, less one for each component of the linked traces.
+@query("loops_cut", ["fx_points"], f"""WITH {NODES}, l AS (SELECT case_id, trace_id, max(seq) AS last FROM fx_points GROUP BY ALL),
+en AS (SELECT nd.* FROM nd JOIN l USING (case_id, trace_id) WHERE seq = 0 OR seq = last),
+h AS (SELECT q.case_id, q.node AS src, t.node AS dst, row_number() OVER (PARTITION BY q.case_id, q.trace_id, q.seq ORDER BY {D}, t.trace_id, t.seq) AS k FROM en q JOIN nd t ON t.case_id = q.case_id AND t.trace_id <> q.trace_id WHERE {D} < 5),
+g AS (SELECT case_id, src, dst FROM ed UNION SELECT case_id, src, dst FROM h WHERE k = 1 AND src <> dst),
+b AS MATERIALIZED (SELECT case_id, src, dst FROM g UNION SELECT case_id, dst, src FROM g),
+cc(case_id, node, comp) USING KEY (case_id, node) AS (SELECT DISTINCT case_id, node, node FROM nd UNION
+  SELECT b.case_id, b.dst, min(c.comp) FROM cc c JOIN b ON b.case_id = c.case_id AND b.src = c.node JOIN recurring.cc r ON r.case_id = b.case_id AND r.node = b.dst WHERE c.comp < r.comp GROUP BY b.case_id, b.dst)
+SELECT case_id, count(*) AS nodes, count(*) - count(DISTINCT comp) AS edges, count(DISTINCT comp) AS trees FROM cc GROUP BY case_id""")
+def loops_cut(p):
+    from ..session import stored
+
+    cut = stored(gr.without_loops(p, 5.0), "cut")
+    nodes, edges = gr.node_graph(cut)
+    edges = stored(edges, "edges")
+    comp = gl.components(edges, nodes.select("case_id", "node"))
+    n = comp.groupBy("case_id").agg(F.count("*").alias("nodes"), F.count_distinct("comp").alias("trees"))
+    return n.join(edges.groupBy("case_id").agg(F.count("*").alias("edges")), "case_id", "left").select("case_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "trees")
+
+
 @query("same_vessel", ["fx_points"], f"""WITH {ADJ % 1.6}, b AS MATERIALIZED (SELECT case_id, src, dst, w FROM adj UNION ALL SELECT case_id, dst, src, w FROM adj), s AS (SELECT case_id, min(trace_id) AS source FROM fx_points GROUP BY case_id),
 sp(case_id, source, node, d) USING KEY (case_id, source, node) AS (SELECT case_id, source, source, CAST(0 AS DOUBLE) FROM s UNION SELECT q.case_id, q.source, q.node, q.d FROM (SELECT p.case_id, p.source, b.dst AS node, min(p.d + b.w) AS d FROM sp p JOIN b ON b.case_id = p.case_id AND b.src = p.node GROUP BY ALL) q
   LEFT JOIN recurring.sp r ON r.case_id = q.case_id AND r.source = q.source AND r.node = q.node WHERE r.d IS NULL OR q.d < r.d - 1e-9), {ENDS}

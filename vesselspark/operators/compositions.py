@@ -60,10 +60,11 @@ def traces_to_tree(points: DataFrame, voxels: DataFrame, r: float = 5.0, most_lo
     return tr.resample(stored(p, "transferred"), 1.0)
 
 
-def main_tree_without_loops(points: DataFrame, r: float, more_than: int = 5) -> DataFrame:
-    """Branch and transfer at junctions, keep the links of the spanning forest, then the main tree.
+def main_tree_without_loops(points: DataFrame, r: float = 10.0, more_than: int = 15, link: float = 17.0) -> DataFrame:
+    """Branch and transfer at junctions, cut all loops, keep the main tree, merge what meets end to end.
 
-    Returns the points of the traces that stay and the forest links between them.
+    Returns the points with ``node`` and ``parent`` (the position before it on the way from the
+    widest one of its tree).
     """
     c = mt.branch_candidates(points).select("case_id", F.col("q_trace_id").alias("a"), F.col("q_end").alias("end"), "trace_id", "seq")
     at = points.select("case_id", "trace_id", "seq", *[F.col(x).alias(f"t{x}") for x in "xyz"], F.col("rad").alias("t_rad"))
@@ -71,11 +72,10 @@ def main_tree_without_loops(points: DataFrame, r: float, more_than: int = 5) ->
     p = stored(ed.branch_to(points, target), "branched")
     p = stored(tr.remove_duplicate_points(p), "distinct")
     p = stored(ed.transfer(p, "length"), "transferred")
-    keep = stored(gr.main_tree(p, r, more_than), "main")
-    links = gr.cut_loops(p, r)
-    first = links.join(keep.select("case_id", F.col("trace_id").alias("src")), ["case_id", "src"], "left_semi")
-    parent = first.groupBy("case_id", F.col("dst").alias("trace_id")).agg(F.min("src").alias("parent"))
-    return p.join(keep, ["case_id", "trace_id"]).join(parent, ["case_id", "trace_id"], "left")
+    p = stored(gr.without_loops(p, link).select(*BASE), "forest")
+    p = p.join(gr.main_tree(p, r, more_than).select("case_id", "trace_id"), ["case_id", "trace_id"], "left_semi")
+    p = stored(gr.merge_at_ends(stored(p, "main")).select(*BASE), "merged")
+    return gr.with_parents(p)
 
 
 def add_lower_threshold(high: DataFrame, low: DataFrame, least: int = 3) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
-from ..plans.blocks import BLOCK, neighbours, running
-from ..plans.graphloop import chain_ranks, components, list_ranks, shortest_paths, spanning_forest
+from ..plans.blocks import BLOCK, neighbours, ranked, running
+from ..plans.graphloop import chain_ranks, components, list_ranks, rooted, shortest_paths, spanning_forest
 from ..plans.grid import near_pairs, nearest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
@@ -320,6 +320,67 @@ def cut_loops(points: DataFrame, r: float, weight: str = "w") -> DataFrame:
     return spanning_forest(trace_adjacency(points, r), weight)
 
 
+def without_loops(points: DataFrame, r: float = 17.0, size: int = BLOCK) -> DataFrame:
+    """Traces cut and joined so that their positions form a forest.
+
+    Edges are the steps of the traces and, for each trace end, the way to the nearest point of
+    another trace within ``r``.  The minimum spanning forest keeps the shortest; a trace is split at every
+    step outside it, which cuts a loop at its longest edge, and an end gets the
+    point that a link in it leads to.  Returns the points with ``node``; ``trace_id`` is new where a
+    trace was split (``from_trace`` is the old one).  Pieces of one point whose position another piece has are dropped.
+    """
+    p = stored(with_nodes(points.select(*KEYS, "seq", *POS, "rad")), "nodes")
+    steps = stored(node_graph(points, size)[1], "steps").select("case_id", "src", "dst", F.col("dist").alias("w"))
+    e = ends(p)
+    q = as_queries(e, keep=["end", "node"])
+    hit = nearest_other(q.dropDuplicates(["case_id", "q_trace_id", "q_seq"]), p, r, keep=("rad", "node", *POS)).select(
+        "case_id", "q_trace_id", "q_seq", "dist", F.col("node").alias("to"), *[F.col(c).alias(f"t{c}") for c in POS], F.col("rad").alias("t_rad")
+    )
+    hit = hit.join(q.select("case_id", "q_trace_id", "q_seq", "q_end", "q_node"), ["case_id", "q_trace_id", "q_seq"]).where("q_node <> to")
+    link = hit.withColumns({"src": F.least("q_node", "to"), "dst": F.greatest("q_node", "to")})
+    # An edge is a link of one end only, and no link where a trace already goes that way.
+    link = link.groupBy("case_id", "src", "dst").agg(F.min(F.struct("q_trace_id", "q_end", "dist", "tx", "ty", "tz", "t_rad", "to")).alias("m")).select("case_id", "src", "dst", "m.*")
+    link = stored(link.join(steps, ["case_id", "src", "dst"], "left_anti"), "links")
+    forest = stored(spanning_forest(steps.unionByName(link.select("case_id", "src", "dst", F.col("dist").alias("w")))).select("case_id", "src", "dst"), "forest")
+    # A point whose step is outside the forest begins a piece.
+    near = neighbours(p, KEYS, "seq", {"_prev": ("node", -1)}, size).withColumns({"src": F.least("node", "_prev"), "dst": F.greatest("node", "_prev")})
+    near = near.join(forest.withColumn("_kept", F.lit(1)), ["case_id", "src", "dst"], "left")
+    cut = (F.col("_prev").isNotNull() & (F.col("_prev") != F.col("node")) & F.col("_kept").isNull()).cast("bigint")
+    piece = running(near.withColumn("_cut", cut), KEYS, "seq", {"piece": F.col("_cut")}, size=size).drop("src", "dst", "_prev", "_kept", "_cut")
+    # Links of the forest go on where their end is.
+    joined = link.join(forest, ["case_id", "src", "dst"], "left_semi").select(
+        "case_id", F.col("q_trace_id").alias("trace_id"), F.col("q_end").alias("end"), *[F.col(f"t{c}").alias(c) for c in POS], F.col("t_rad").alias("rad"), F.col("to").alias("node")
+    )
+    piece = stored(piece, "pieces")
+    tips = ends(piece).select(*KEYS, "end", "seq", "piece")
+    more = joined.join(tips, [*KEYS, "end"]).withColumn("seq", F.when(F.col("end") == 0, F.lit(-1)).otherwise(F.col("seq") + 1).cast("bigint"))
+    cols = [*KEYS, "piece", "seq", *POS, "rad", "node"]
+    whole = stored(piece.select(cols).unionByName(more.select(cols)), "pieces")
+    count = whole.groupBy(*KEYS, "piece").agg(F.count_distinct("node").alias("n"), F.min("seq").alias("s0"))
+    whole = whole.join(count, [*KEYS, "piece"])
+    long, short = whole.where("n > 1"), whole.where("n = 1 and seq = s0")
+    lone = short.join(long.select("case_id", "node"), ["case_id", "node"], "left_anti").groupBy("case_id", "node").agg(
+        F.min(F.struct("trace_id", "piece", "seq", *POS, "rad", "s0")).alias("m")
+    ).select("case_id", "m.*", "node")
+    kept = stored(long.drop("n").unionByName(lone), "kept")
+    names = ranked(kept.select(*KEYS, "piece", "s0").distinct(), [F.col("case_id"), F.col("trace_id"), F.col("piece")], "_name")
+    return kept.join(names, [*KEYS, "piece", "s0"]).select(
+        "case_id", (F.col("_name") - 1).alias("trace_id"), (F.col("seq") - F.col("s0")).alias("seq"), *POS, "rad", "node", F.col("trace_id").alias("from_trace")
+    )
+
+
+def with_parents(points: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Traces without loops, with ``parent``: the node before each position on the way from the root of its tree.
+
+    A tree hangs from its widest position (ties: the lowest node); the root's parent is NULL.
+    """
+    nodes, edges = node_graph(points, size)
+    edges = stored(edges.select("case_id", "src", "dst"), "edges")
+    comp = components(edges, nodes.select("case_id", "node"))
+    top = nodes.join(comp, ["case_id", "node"]).groupBy("case_id", "comp").agg(F.max(F.struct("rad", (-F.col("node")).alias("k"))).alias("m"))
+    parent = rooted(edges, top.select("case_id", (-F.col("m.k")).alias("node")))
+    return with_nodes(points).join(parent, ["case_id", "node"], "left")
+
 
 def labelled_candidates(points: DataFrame, reference: DataFrame, r: float = 15.0) -> DataFrame:
     """Neighbour segments of every trace tail and whether the reference joins the two ends.

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import forget, stored
 
@@ -214,6 +214,32 @@ def chain_ranks(edges: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
+def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Parents in a forest (case_id, src, dst) whose trees hang from ``roots(case_id, node)``: (case_id, node, parent).
+
+    Every edge is walked twice in a tour around its tree: an arc into a node is followed by the
+    arc to the node's next neighbour.  The tour is a list; list ranking tells which of the two
+    walks comes first, and that one leads from the parent.  Rounds follow the logarithm of the
+    tree's size, not its depth.  One root for each tree that has edges; the roots' parent is NULL.
+    """
+    e = forest.select("case_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    arcs = e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    around = Window.partitionBy("case_id", "u").orderBy("v")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    arcs = arcs.withColumn("after", F.coalesce(F.lead("v").over(around), F.first("v").over(whole))).withColumn("first", F.first("v").over(whole))
+    arcs = stored(arcs, "arcs")
+    top = roots.select("case_id", F.col("node").alias("v"), F.lit(True).alias("_root"))
+    # After the arc u -> v the tour leaves v for the neighbour that follows u.
+    turn = arcs.select("case_id", F.col("u").alias("v"), F.col("v").alias("u"), F.col("after").alias("w"), "first")
+    links = arcs.select("case_id", "u", "v").join(turn, ["case_id", "u", "v"]).join(top, ["case_id", "v"], "left")
+    ends_here = F.coalesce(F.col("_root"), F.lit(False)) & (F.col("w") == F.col("first"))
+    links = links.select("case_id", F.struct("u", "v").alias("at"), F.when(~ends_here, F.struct(F.col("v").alias("u"), F.col("w").alias("v"))).alias("next"))
+    rank = list_ranks(links).select("case_id", "at.u", "at.v", "steps")
+    back = rank.select("case_id", F.col("u").alias("v"), F.col("v").alias("u"), F.col("steps").alias("_back"))
+    down = rank.join(back, ["case_id", "u", "v"]).where("steps > _back").select("case_id", F.col("v").alias("node"), F.col("u").alias("parent"))
+    return down.unionByName(roots.select("case_id", "node", F.lit(None).cast("bigint").alias("parent")))
+
+
 def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
     """Minimum spanning forest (case_id, src, dst, weight); equal weights resolve by (src, dst).
 
