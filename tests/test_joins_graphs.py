@@ -167,16 +167,6 @@ def test_only_kept_points_cover_others(spark):
     assert set(kept) == {0, 2} and kept[0] == 40
 
 
-def test_far_artery_targets_return_a_row(spark):
-    from vesselspark.operators.graph import select_artery
-
-    p = points(spark, [[(float(i), 0, 0) for i in range(10)], [(float(i), 0, 0) for i in range(30, 40)]])
-    rows = [(1, 0, -20.0, 0.0, 0.0), (1, 1, 39.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0)]
-    got = {r["case_id"]: r for r in select_artery(p, spark.createDataFrame(rows, "case_id long, which int, qx double, qy double, qz double")).collect()}
-    assert got[1]["path"] is not None and abs(got[1]["dist"] - 39.0) < 1e-6
-    assert got[2]["path"] is None
-
-
 def test_positions_beyond_packed_ids_raise(spark):
     import pytest
 

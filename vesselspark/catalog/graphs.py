@@ -209,13 +209,25 @@ def greedy_links(p, v):
     return build(shifted(p), v)
 
 
-@query("select_artery", ["fx_points"])
+# Both targets are points of traces; ends are linked to the nearest point of each other trace within 10.
+@query("select_artery", ["fx_points"], f"""WITH {NODES}, l AS (SELECT case_id, trace_id, max(seq) AS last FROM fx_points GROUP BY ALL),
+en AS (SELECT nd.* FROM nd JOIN l USING (case_id, trace_id) WHERE seq = 0 OR seq = last),
+h AS (SELECT q.case_id, q.node AS src, t.node AS dst, {D} AS w, row_number() OVER (PARTITION BY q.case_id, q.trace_id, q.seq, t.trace_id ORDER BY {D}, t.seq) AS k FROM en q JOIN nd t ON t.case_id = q.case_id AND t.trace_id <> q.trace_id WHERE {D} < 10),
+b AS MATERIALIZED (SELECT case_id, src, dst, min(w) AS w FROM (SELECT case_id, src, dst, dist AS w FROM ed UNION ALL SELECT case_id, dst, src, dist FROM ed UNION ALL SELECT case_id, src, dst, w FROM h WHERE k = 1 AND src <> dst UNION ALL SELECT case_id, dst, src, w FROM h WHERE k = 1 AND src <> dst) q GROUP BY ALL),
+s AS (SELECT case_id, arg_min(node, trace_id * 1000000 + seq) AS a, arg_max(node, trace_id * 1000000 + seq) AS z FROM nd GROUP BY case_id),
+sp(case_id, node, d) USING KEY (case_id, node) AS (SELECT case_id, a, CAST(0 AS DOUBLE) FROM s UNION SELECT q.case_id, q.node, q.d FROM (SELECT p.case_id, b.dst AS node, min(p.d + b.w) AS d FROM sp p JOIN b ON b.case_id = p.case_id AND b.src = p.node GROUP BY ALL) q
+  LEFT JOIN recurring.sp r ON r.case_id = q.case_id AND r.node = q.node WHERE r.d IS NULL OR q.d < r.d - 1e-9)
+SELECT s.case_id, a AS first, z AS last, round(d, 6) AS length FROM s JOIN sp ON sp.case_id = s.case_id AND sp.node = z""")
 def select_artery(p):
+    from ..operators.arteries import select_artery as build
+    from ..operators.traces import accumulated_length
+
     e = p.groupBy("case_id").agg(F.min_by(F.struct("x", "y", "z"), F.struct("trace_id", "seq")).alias("a"), F.max_by(F.struct("x", "y", "z"), F.struct("trace_id", "seq")).alias("b"))
     t = e.select("case_id", F.explode(F.array(F.struct(F.lit(0).alias("which"), "a.*"), F.struct(F.lit(1).alias("which"), "b.*"))).alias("t")).select(
         "case_id", "t.which", *[F.col(f"t.{c}").alias(f"q{c}") for c in "xyz"]
     )
-    return gr.select_artery(p, t).select("case_id", F.round("dist", 6).alias("dist"), F.when(F.col("path").isNotNull(), F.size("path")).alias("nodes"))
+    way = gr.with_nodes(accumulated_length(build(p, t).withColumn("trace_id", F.lit(0))))
+    return way.groupBy("case_id").agg(F.min_by("node", "seq").alias("first"), F.max_by("node", "seq").alias("last"), F.round(F.max("acc"), 6).alias("length"))
 
 
 # -- edits -----------------------------------------------------------------------------

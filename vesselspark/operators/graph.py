@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, neighbours, ranked, running
 from ..plans.graphloop import chain_ranks, components, list_ranks, rooted, shortest_paths, spanning_forest
-from ..plans.grid import near_pairs, nearest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
 from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample, trace_distance
@@ -282,39 +281,6 @@ def mutual_links(candidates: DataFrame, below: float) -> DataFrame:
     return c.limit(0) if done is None else done
 
 
-def select_artery(points: DataFrame, targets: DataFrame, radii: tuple = (12.0, 25.0, 50.0, 100.0), gaps: tuple = (10.0, 30.0, 100.0)) -> DataFrame:
-    """Path between two positions of a case over traces and short links between their ends.
-
-    ``targets(case_id, which 0 / 1, qx, qy, qz)`` are matched to the nearest node with a
-    growing radius; links between trace ends cost their length and are searched with a growing
-    reach in the cases that have no path yet.  Returns (case_id, source, goal, dist, path of node
-    numbers) for every case with targets; what is not found is NULL.
-    """
-    nodes, edges = simplified_graph(points)
-    nodes, edges = stored(nodes, "nodes"), stored(edges.select("case_id", "src", "dst", F.col("dist").alias("w")), "edges")
-    open_, found = targets, None
-    for r in radii:
-        hit = stored(nearest(open_, nodes, r, AT, ["case_id", "which"], ["node"]), "targets")
-        found = hit if found is None else found.unionByName(hit)
-        open_ = open_.join(hit, ["case_id", "which"], "left_anti")
-    pick = lambda k: F.max(F.when(F.col("which") == k, F.col("node")))
-    pair = stored(targets.select("case_id", "which").join(found, ["case_id", "which"], "left").groupBy("case_id").agg(pick(0).alias("source"), pick(1).alias("goal")), "pairs")
-    e = ends(points).select(*KEYS, *POS)
-    q = as_queries(e.withColumn("seq", F.lit(0)))
-    waiting, done = pair.where("source is not null and goal is not null"), None
-    for gap in gaps:
-        mine = waiting.select("case_id")
-        near = near_pairs(q.join(mine, "case_id", "left_semi"), with_nodes(e).join(mine, "case_id", "left_semi"), gap, AT, where=F.col("q_trace_id") < F.col("trace_id"))
-        link = near.select("case_id", packed_milli(("qx", "qy", "qz")).alias("src"), F.col("node").alias("dst"), F.col("dist").alias("w")).where("src <> dst")
-        paths = shortest_paths(edges.join(mine, "case_id", "left_semi").unionByName(link), waiting)
-        new = stored(waiting.join(paths, ["case_id", "source"]).where("node = goal").select("case_id", "dist", "path"), "arteries")
-        done = new if done is None else done.unionByName(new)
-        waiting = stored(waiting.join(new, "case_id", "left_anti"), "pairs")
-        if waiting.isEmpty():
-            break
-    return pair.join(done, "case_id", "left").select("case_id", "source", "goal", "dist", "path")
-
-
 def cut_loops(points: DataFrame, r: float, weight: str = "w") -> DataFrame:
     """Trace links kept by the minimum spanning forest of trace adjacency."""
     return spanning_forest(trace_adjacency(points, r), weight)

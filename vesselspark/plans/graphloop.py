@@ -137,6 +137,51 @@ def shortest_paths(
     return best.withColumn("hops", F.size("path") - 1)
 
 
+def paths_to_goals(edges: DataFrame, pairs: DataFrame, weight: str = "w", width: float | None = None) -> DataFrame:
+    """Shortest path of every pair: (case_id, pair, place, node, dist), place 0 at the source.
+
+    ``pairs(case_id, pair, source, goal)``; pairs without a path are left out.  Delta stepping: a round relaxes
+    the open nodes of a pair that are less than ``width`` (the mean weight times four by default) beyond its nearest
+    open one, and a pair stops when that is not nearer than its goal.  A node knows its
+    predecessor, not its path; the nodes on the way back from a goal are collected by doubled
+    predecessor pointers, in the logarithm of the number of hops.  Equal lengths go to fewer
+    hops, then to the smaller predecessor.
+    """
+    key = ["case_id", "pair"]
+    arcs = stored(both_ways(edges, weight).where("src <> dst").groupBy("case_id", "src", "dst").agg(F.min("w").alias("w")), "arcs")
+    if width is None:
+        width = 4.0 * float(arcs.agg(F.avg("w")).first()[0] or 1.0)
+    want = stored(pairs.select(*key, "source", "goal"), "pairs")
+    best = stored(want.select(*key, F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("bigint").alias("hops"),
+                              F.lit(None).cast("bigint").alias("prev"), F.lit(True).alias("open")), "best")
+    while True:
+        goal = best.join(want.select(*key, F.col("goal").alias("node")), [*key, "node"]).select(*key, F.col("dist").alias("_goal"))
+        low = best.where("open").groupBy(*key).agg(F.min("dist").alias("_low")).join(goal, key, "left")
+        low = stored(low.where("_goal is null or _low < _goal").select(*key, "_low"), "low")
+        if low.isEmpty():
+            break
+        near = best.join(low, key, "left").withColumn("_go", F.coalesce(F.col("open") & (F.col("dist") < F.col("_low") + width), F.lit(False)))
+        near = stored(near.drop("_low"), "near")
+        step = near.where("_go").select(*key, F.col("node").alias("src"), "dist", "hops").join(arcs, ["case_id", "src"])
+        step = step.select(*key, F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("src").alias("prev"), F.lit(True).alias("open"))
+        kept = near.select(*key, "node", "dist", "hops", "prev", (F.col("open") & ~F.col("_go")).alias("open"))
+        merged = kept.unionByName(step).groupBy(*key, "node").agg(F.min(F.struct("dist", "hops", "prev", "open")).alias("m"))
+        before, best = best, stored(merged.select(*key, "node", "m.*"), "best")
+        forget(before)
+        forget(near)
+    tree = best.select(*key, "node", "prev")
+    jumps = []
+    jump = stored(tree.where("prev is not null"), "jump")
+    while not jump.isEmpty():
+        jumps.append(jump)
+        onward = jump.select(*key, F.col("node").alias("prev"), F.col("prev").alias("_far"))
+        jump = stored(jump.join(onward, [*key, "prev"]).select(*key, "node", F.col("_far").alias("prev")), "jump")
+    on = stored(best.join(want.select(*key, F.col("goal").alias("node")), [*key, "node"]).select(*key, "node"), "on")
+    for jump in reversed(jumps):
+        on = stored(on.unionByName(on.join(jump, [*key, "node"]).select(*key, F.col("prev").alias("node"))).distinct(), "on")
+    return on.join(best, [*key, "node"]).select(*key, F.col("hops").alias("place"), "node", "dist")
+
+
 def fewest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Paths of fewest edges from many sources: (case_id, source, node, hops, path).
 
