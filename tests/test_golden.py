@@ -1,6 +1,8 @@
 """Hand-made cases with known results."""
 
+import itertools
 import math
+import random
 
 import pytest
 from conftest import points
@@ -67,6 +69,51 @@ def test_betti(spark):
     assert got == {1: (1, 0, 1), 2: (1, 1, 0), 3: (1, 0, 0)}
 
 
+def plain_betti(mask):
+    """b0, b1, b2 of a set of voxels by flooding the padded box and counting cells."""
+    def pieces(cells, near):
+        left, n = set(cells), 0
+        while left:
+            stack, n = [left.pop()], n + 1
+            while stack:
+                p = stack.pop()
+                for o in near:
+                    q = tuple(a + b for a, b in zip(p, o))
+                    if q in left:
+                        left.remove(q)
+                        stack.append(q)
+        return n
+
+    all_ = list(itertools.product((-1, 0, 1), repeat=3))
+    box = itertools.product(*(range(min(p[i] for p in mask) - 1, max(p[i] for p in mask) + 2) for i in range(3)))
+    b0 = pieces(mask, all_)
+    b2 = pieces(set(box) - mask, [o for o in all_ if sum(map(abs, o)) == 1]) - 1
+    cells = {tuple(2 * a + b for a, b in zip(p, o)) for p in mask for o in all_}
+    euler = sum((-1) ** sum(c % 2 == 0 for c in cell) for cell in cells)
+    return b0, b0 + b2 - euler, b2
+
+
+def test_betti_of_random_masks(spark):
+    rng = random.Random(5)
+    masks = {c: {p for p in itertools.product(range(5), range(5), range(5)) if rng.random() < share} for c, share in enumerate((0.1, 0.3, 0.5, 0.7, 0.85, 0.95))}
+    # Lines over several pieces, with a gap between them that stays closed and one that opens far away.
+    masks[10] = {(x, y, z) for x in range(3) for y in range(3) for z in range(-70, 200)} - {(1, 1, z) for z in range(-60, 190)}
+    masks[11] = masks[10] - {(0, 1, 150)}
+    rows = [(c, *p) for c, m in masks.items() for p in m]
+    m = spark.createDataFrame(rows, "case_id long, x long, y long, z long")
+    got = {r.case_id: (r.b0, r.b1, r.b2) for r in ev.betti(m).collect()}
+    assert got == {c: plain_betti(m) for c, m in masks.items()}
+    assert got[10][2] == 1 and got[11][2] == 0
+    assert ev.betti(m.limit(0)).count() == 0
+
+
+def test_betti_errors_of_labels(spark):
+    rows = [(1, 0, 0, 0, 1, 1), (1, 4, 0, 0, 1, 0), (1, 8, 0, 0, 2, 2), (1, 8, 4, 0, 0, 3), (2, 0, 0, 0, 0, 0)]
+    v = spark.createDataFrame(rows, "case_id long, x long, y long, z long, gt long, pred long")
+    got = {(r.case_id, r.label): (r.err_b0, r.err_b1) for r in ev.betti_errors(v).collect()}
+    assert got == {(1, "1"): (1, None), (1, "2"): (0, None), (1, "3"): (1, None), (1, "average"): (2 / 3, None), (1, "merged"): (0, 0), (2, "average"): (0, None), (2, "merged"): (0, 0)}
+
+
 def test_empty_masks(spark):
     v = spark.createDataFrame([(1, 0, 0, 0, 0, 0)], "case_id long, x long, y long, z long, gt long, pred long")
     assert ev.dice(v).first().dice == 1

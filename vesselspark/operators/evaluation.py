@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lookups import CLASS_LABELS
 from ..plans.blocks import neighbours, ranked, running
 from ..plans.grid import distance, nearest_growing
 from ..plans.graphloop import components
 from ..plans.rounds import best_free, first_free
-from ..plans.voxelgrid import KEY, SIX, TWENTY_SIX, mask_components, neighbour_edges, spread, surface, voxel_id  # noqa: F401
+from ..plans.voxelgrid import KEY, SIX, TWENTY_SIX, mask_components, neighbour_edges, run_edges, runs, spread, surface, voxel_id  # noqa: F401
 from ..session import stored
 
 EPS = 1e-8
@@ -126,28 +126,76 @@ def euler_number(mask: DataFrame) -> DataFrame:
     return keys.groupBy("case_id").agg(F.sum(sign).alias("euler"))
 
 
-def betti(mask: DataFrame) -> DataFrame:
-    """b0, b1, b2 of a mask: 26-connected pieces, tunnels, 6-connected cavities."""
-    mask = stored(mask.select(*KEY), "mask")
-    lim = mask.groupBy("case_id").agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
-    box = lim
-    for c in "xyz":
-        box = box.withColumn(c, F.explode(F.sequence(F.col(f"lo{c}") - 1, F.col(f"hi{c}") + 1)))
-    outside = stored(box.select(*KEY).join(mask, KEY, "left_anti"), "outside")
-    b0 = mask_components(mask, TWENTY_SIX).groupBy("case_id").agg(F.count_distinct("comp").alias("b0"))
-    b2 = mask_components(outside, SIX).groupBy("case_id").agg((F.count_distinct("comp") - 1).alias("b2"))
-    out = b0.join(b2, "case_id").join(euler_number(mask), "case_id")
-    return out.select("case_id", "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2")
-
-
-def betti_error(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Absolute Betti differences; a case absent on one side counts as all zero."""
-    a = betti(gt)
-    b = betti(pred).select("case_id", *[F.col(c).alias(f"p_{c}") for c in ("b0", "b1", "b2")])
-    z = F.lit(0)
-    return a.join(b, "case_id", "full").select(
-        "case_id", *[F.abs(F.coalesce(c, z) - F.coalesce(f"p_{c}", z)).alias(f"err_{c}") for c in ("b0", "b1", "b2")]
+def run_euler(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Euler numbers of masks given as runs.
+
+    A run covers nine lines of the grid of vertices, edges, faces and cells.  Along a line every merged
+    stretch has one vertex more than edges (or one face more than cells), so it
+    counts once, with the sign of its line.
+    """
+    nine = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in (-1, 0, 1) for q in (-1, 0, 1)])
+    wide = lines.withColumn("_o", F.explode(nine)).select(
+        *keys, (2 * F.col("x") + F.col("_o.p")).alias("X"), (2 * F.col("y") + F.col("_o.q")).alias("Y"),
+        (2 * F.col("z0") - 1).alias("a"), (2 * F.col("z1") + 1).alias("b"),
+    )
+    before = Window.partitionBy(*keys, "X", "Y").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    starts = wide.withColumn("_top", F.max("b").over(before)).where("_top is null or a > _top")
+    sign = F.when((F.col("X") + F.col("Y")) % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    return starts.groupBy(*keys).agg(F.sum(sign).alias("euler"))
+
+
+def betti(mask: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """b0, b1, b2 of each mask: 26-connected pieces, tunnels, 6-connected cavities.
+
+    Masks are runs along z.  Pieces come from joining runs of neighbouring lines that overlap; cavities from the
+    gaps between runs of a line.  What lies before the first and after the last run of a line, and
+    every line without a run, is outside, so that no box of background voxels is made.
+    """
+    keys = list(keys)
+    group = F.to_json(F.struct(*keys))
+    lines = stored(runs(mask, keys).withColumn("_g", group), "runs")
+    r = lines.select(F.col("_g").alias("case_id"), "x", "y", "z0", "z1")
+    node = voxel_id("x", "y", "z0").alias("node")
+    pieces = components(run_edges(r, ["case_id"], [(0, 1), (1, -1), (1, 0), (1, 1)], 1), r.select("case_id", node))
+    b0 = pieces.groupBy("case_id").agg(F.count_distinct("comp").alias("b0"))
+    w = Window.partitionBy("case_id", "x", "y").orderBy("z0")
+    gaps = r.withColumn("_next", F.lead("z0").over(w)).where("_next is not null").select("case_id", "x", "y", (F.col("z1") + 1).alias("z0"), (F.col("_next") - 1).alias("z1"))
+    gaps = stored(gaps, "gaps")
+    extent = r.groupBy("case_id", "x", "y").agg(F.min("z0").alias("_lo"), F.max("z1").alias("_hi"))
+    four = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    asked = gaps.withColumn("node", voxel_id("x", "y", "z0")).withColumn("_o", F.explode(four))
+    asked = asked.withColumns({"x": F.col("x") + F.col("_o.p"), "y": F.col("y") + F.col("_o.q")}).join(extent, ["case_id", "x", "y"], "left")
+    open_ = asked.where("_lo is null or z0 < _lo or z1 > _hi").select("case_id", "node").distinct().withColumn("_out", F.lit(True))
+    inner = components(run_edges(gaps, ["case_id"], [(1, 0), (0, 1)], 0), gaps.select("case_id", node))
+    holes = inner.join(open_, ["case_id", "node"], "left").groupBy("case_id", "comp").agg(F.max("_out").alias("_out")).where("_out is null")
+    b2 = holes.groupBy("case_id").agg(F.count("*").alias("b2"))
+    names = lines.groupBy(F.col("_g").alias("_group")).agg(*[F.first(k).alias(k) for k in keys])
+    euler = run_euler(r, ["case_id"])
+    out = b0.join(euler, "case_id").join(b2, "case_id", "left").withColumn("b2", F.coalesce("b2", F.lit(0))).withColumnRenamed("case_id", "_group")
+    return out.join(names, "_group").select(*keys, "b0", (F.col("b0") + F.col("b2") - F.col("euler")).alias("b1"), "b2")
+
+
+def betti_errors(voxels: DataFrame) -> DataFrame:
+    """Absolute Betti differences of truth and prediction: (case_id, label, err_b0, err_b1).
+
+    One row for each label that stands in either, ``average`` over these and ``merged`` for all labels as one;
+    b1 is compared for the merged masks only.  A case without labels has 0 in both.
+    """
+    side = lambda c, n: voxels.where(F.col(c) > 0).select(*KEY, F.lit(n).alias("side"), F.col(c).cast("string").alias("label"))
+    each = side("gt", 0).unionByName(side("pred", 1))
+    both = each.unionByName(each.withColumn("label", F.lit("merged")))
+    found = betti(both, ["case_id", "side", "label"])
+    sign = F.when(F.col("side") == 0, 1).otherwise(-1)
+    error = found.groupBy("case_id", "label").agg(*[F.abs(F.sum(sign * F.col(c))).alias(f"err_{c}") for c in ("b0", "b1")])
+    error = stored(error, "betti")
+    single = error.where("label <> 'merged'").select("case_id", "label", F.col("err_b0").cast("double").alias("err_b0"), F.lit(None).cast("bigint").alias("err_b1"))
+    cases = voxels.select("case_id").distinct()
+    mean = cases.join(single, "case_id", "left").groupBy("case_id").agg(F.coalesce(F.avg("err_b0"), F.lit(0.0)).alias("err_b0"))
+    mean = mean.select("case_id", F.lit("average").alias("label"), "err_b0", F.lit(None).cast("bigint").alias("err_b1"))
+    whole = cases.join(error.where("label = 'merged'"), "case_id", "left").select(
+        "case_id", F.lit("merged").alias("label"), F.coalesce("err_b0", F.lit(0)).cast("double").alias("err_b0"), F.coalesce("err_b1", F.lit(0)).cast("bigint").alias("err_b1")
     )
+    return single.unionByName(mean).unionByName(whole)
 
 
 def centreline_dice(gt: DataFrame, gt_line: DataFrame, pred: DataFrame, pred_line: DataFrame) -> DataFrame:

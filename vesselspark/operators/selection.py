@@ -59,8 +59,7 @@ def grown(points: DataFrame, start: DataFrame, r: float = 25.0, every: int = 5)
     found, n = front, 0
     while True:
         n += 1
-        waiting = waiting.join(front.select(*KEYS), KEYS, "left_anti")
-        near = near_groups(waiting, points.join(front.select(*KEYS), KEYS, "left_semi"), r, AT, KEYS)
+        near = near_groups(waiting.join(found.select(*KEYS), KEYS, "left_anti"), points.join(front.select(*KEYS), KEYS, "left_semi"), r, AT, KEYS)
         front = stored(near.withColumn("round", F.lit(n)), "front")
         if front.isEmpty():
             return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 KEY = ["case_id", "x", "y", "z"]
 SIX = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -77,3 +77,32 @@ def surface(mask: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     m = mask.select(*at)
     inside = spread(m, SIX).groupBy(*at).agg(F.count("*").alias("_n")).where("_n = 6").drop("_n")
     return m.join(inside, at, "left_anti")
+
+
+# -- runs ------------------------------------------------------------------------------
+
+#: Length of the pieces of a line in which runs look for each other.
+PIECE = 64
+
+
+def runs(mask: DataFrame, keys: Iterable[str] = ("case_id",)) -> DataFrame:
+    """Maximal runs along z of the voxels of each key: (keys, x, y, z0, z1)."""
+    line = [*keys, "x", "y"]
+    w = Window.partitionBy(*line).orderBy("z")
+    placed = mask.select(*line, "z").distinct().withColumn("_run", F.col("z") - F.row_number().over(w))
+    return placed.groupBy(*line, "_run").agg(F.min("z").alias("z0"), F.max("z").alias("z1")).drop("_run")
+
+
+def run_edges(lines: DataFrame, keys: Iterable[str], offsets: Iterable[tuple], reach: int) -> DataFrame:
+    """Pairs of runs in lines apart by an offset whose z ranges come within ``reach``: (keys, src, dst), by their first voxels."""
+    keys = list(keys)
+    a = lines.select(*keys, "x", "y", F.col("z0").alias("a0"), F.col("z1").alias("a1"), voxel_id("x", "y", "z0").alias("src"))
+    arr = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in offsets])
+    a = a.withColumn("_o", F.explode(arr)).withColumns({"x": F.col("x") + F.col("_o.p"), "y": F.col("y") + F.col("_o.q")}).drop("_o")
+    piece = lambda c: F.floor(c / PIECE)
+    a = a.withColumn("_piece", F.explode(F.sequence(piece(F.col("a0") - reach), piece(F.col("a1") + reach))))
+    b = lines.select(*keys, "x", "y", "z0", "z1", voxel_id("x", "y", "z0").alias("dst")).withColumn("_piece", F.explode(F.sequence(piece(F.col("z0")), piece(F.col("z1")))))
+    near = (F.col("a0") - reach <= F.col("z1")) & (F.col("z0") <= F.col("a1") + reach)
+    # A pair meets in every piece that both reach: it counts in the first.
+    first = F.col("_piece") == piece(F.greatest(F.col("a0") - reach, F.col("z0")))
+    return a.join(b, [*keys, "x", "y", "_piece"]).where(near & first).select(*keys, "src", "dst")
