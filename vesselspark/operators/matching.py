@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, running
-from ..plans.grid import near_pairs, nearest, nearest_growing, nearest_staged
+from ..plans.grid import near_groups, near_pairs, nearest, nearest_growing, nearest_staged
 from ..session import stored
 from .traces import KEYS, POS, direction, resample
 
@@ -78,9 +78,8 @@ def trace_distance(points: DataFrame, r: float) -> DataFrame:
 
 def in_traces(queries: DataFrame, points: DataFrame, r: float = 3.0) -> DataFrame:
     """Queries that have a point of some trace nearer than ``r``."""
-    near = near_pairs(queries, points.select("case_id", *POS).distinct(), r, AT)
     ids = [c for c in queries.columns if c not in AT]
-    return near.select(*ids).distinct()
+    return near_groups(queries, points, r, AT, ids)
 
 
 def with_key(df: DataFrame, cols: Sequence[str] = POS, name: str = "_key") -> DataFrame:
