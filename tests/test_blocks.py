@@ -27,6 +27,8 @@ OPS = [
     lambda p, s: tr.trim_end_radius(p, 1.1, s).select("trace_id", "seq", "rad"),
     lambda p, s: tr.remove_self_loop(p, s).select("trace_id", "seq", "x", "y", "z"),
     lambda p, s: tr.resample(p, 0.7, s).select("trace_id", "seq", "x", "y", "z"),
+    lambda p, s: tr.resample_at_slices(p, s).select("trace_id", "seq", "x", "y"),
+    lambda p, s: tr.resample_along_axis(p, size=s).select("trace_id", "seq", "x", "y"),
     lambda p, s: tr.position_energy(p, 5, s).select("trace_id", "energy"),
     lambda p, s: intensity_cuts(p, "rad", nstd=1.2, size=s).select("trace_id", "piece", "seq", "x"),
 ]
@@ -60,7 +62,7 @@ def test_frames_equal_a_plain_loop(spark):
 def test_quantiles_and_ranks(spark):
     v = np.random.default_rng(0).integers(0, 40, 500)
     df = spark.createDataFrame([(int(i % 2), float(x)) for i, x in enumerate(v)], "k int, v double")
-    got = {(r.k, r.p): r.q for r in quantiles(df, ["k"], "v", [0.0, 0.3, 0.998, 1.0], width=5).collect()}
+    got = {(r.k, r.p): r.q for r in quantiles(df, ["k"], "v", [0.0, 0.3, 0.998, 1.0], size=12).collect()}
     for k in (0, 1):
         for q in (0.0, 0.3, 0.998, 1.0):
             assert got[(k, q)] == pytest.approx(np.quantile(v[k::2], q))
@@ -68,6 +70,26 @@ def test_quantiles_and_ranks(spark):
     assert all(r.n + 1 == r["rank"] for r in ranked(ids, [F.col("n")], parts=7).collect())
 
 
+def test_values_between_0_and_1_fill_many_blocks(spark, monkeypatch):
+    from vesselspark import session
+    from vesselspark.operators import evaluation as ev
+
+    kept, made = session.stored, []
+    monkeypatch.setattr(session, "stored", lambda df, label="stage": made.append((label, out := kept(df, label))) or out)
+    rng = np.random.default_rng(1)
+    # One key holds nearly all rows, close together.
+    rows = [("a", float(v), int(i % 3 == 0)) for i, v in enumerate(rng.uniform(0.4, 0.4001, 1000))] + [(k, 0.5, 1) for k in "bcd"]
+    df = spark.createDataFrame(rows, "k string, score double, y int")
+    got = {(r.k, r.p): r.q for r in quantiles(df, ["k"], "score", [0.1, 0.5], size=50).collect()}
+    values = [v for k, v, _ in rows if k == "a"]
+    assert got == {("a", q): pytest.approx(np.quantile(values, q), abs=1e-12) for q in (0.1, 0.5)} | {(k, q): 0.5 for k in "bcd" for q in (0.1, 0.5)}
+    ranges = [t for label, t in made if label == "ranges"]
+    per = [r["count"] for r in ranges[0].where("k = 'a'").groupBy("_range").count().collect()]
+    assert len(per) > 10 and max(per) < 150
+    assert table(ev.roc_curve(df, 40)) == table(ev.roc_curve(df)) and table(ev.pr_curve(df, 40)) == table(ev.pr_curve(df))
+    assert quantiles(df.limit(0), ["k"], "score", [0.5]).count() == 0
+
+
 def test_running_maximum(spark):
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate([3, 1, 4, 1, 5, 9, 2, 6])], "k int, i long, v double")
     got = [r.m for r in running(df, ["k"], "i", {"m": F.col("v")}, how="max", size=3).orderBy("i").collect()]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lookups import CLASS_LABELS
-from ..plans.blocks import neighbours, ranked, running
+from ..plans.blocks import BLOCK, neighbours, ranked, running, running_values
 from ..plans.grid import distance, nearest_growing
 from ..plans.graphloop import components
 from ..plans.rounds import best_free, first_free
@@ -288,19 +288,17 @@ def slice_scores(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     return scores.groupBy(*by).agg(F.max("y").alias("y"), F.max("score").alias("score"))
 
 
-def _ladder(scores: DataFrame, width: float) -> DataFrame:
+def _ladder(scores: DataFrame, size: int) -> DataFrame:
     """Cumulative true and false positives at every distinct score, highest first."""
     step = scores.groupBy("score").agg(F.sum("y").alias("_p"), F.count("*").alias("_n")).withColumn("_o", -F.col("score"))
-    out = running(
-        step, [], "_o", {"tps": F.col("_p"), "all": F.col("_n"), "i": F.lit(1).cast("bigint")}, block=F.floor(F.col("_o") / width)
-    )
+    out = running_values(step, [], "_o", {"tps": F.col("_p"), "all": F.col("_n"), "i": F.lit(1).cast("bigint")}, size)
     return out.select("score", "tps", (F.col("all") - F.col("tps")).alias("fps"), (F.col("i") - 1).alias("i"))
 
 
-def roc_curve(scores: DataFrame, width: float = 0.01) -> DataFrame:
+def roc_curve(scores: DataFrame, size: int = BLOCK) -> DataFrame:
     """False and true positive rate by threshold; collinear points are left out."""
-    lad = _ladder(scores, width)
-    near = neighbours(lad, [], "i", {"t0": ("tps", -1), "t1": ("tps", 1), "f0": ("fps", -1), "f1": ("fps", 1)})
+    lad = _ladder(scores, size)
+    near = neighbours(lad, [], "i", {"t0": ("tps", -1), "t1": ("tps", 1), "f0": ("fps", -1), "f1": ("fps", 1)}, size)
     bend = (F.col("t1") - 2 * F.col("tps") + F.col("t0") != 0) | (F.col("f1") - 2 * F.col("fps") + F.col("f0") != 0)
     kept = near.where(F.col("t0").isNull() | F.col("t1").isNull() | bend)
     whole = scores.agg(F.sum("y").alias("P"), (F.count("*") - F.sum("y")).alias("N"), (F.max("score") + 1).alias("top"))
@@ -313,8 +311,8 @@ def roc_curve(scores: DataFrame, width: float = 0.01) -> DataFrame:
 LAST_THRESHOLD = 99999.0
 
 
-def pr_curve(scores: DataFrame, width: float = 0.01) -> DataFrame:
-    lad = _ladder(scores, width)
+def pr_curve(scores: DataFrame, size: int = BLOCK) -> DataFrame:
+    lad = _ladder(scores, size)
     whole = scores.agg(F.sum("y").alias("P"))
     rows = lad.crossJoin(F.broadcast(whole)).select(  # one row
         (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"), (F.col("tps") / F.col("P")).alias("recall"), F.col("score").alias("threshold")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
-from ..plans.blocks import BLOCK, framed, neighbours, renumber, running
+from ..plans.blocks import BLOCK, framed, neighbours, renumber, running, running_values
 
 KEYS = ["case_id", "trace_id"]
 POS = ("x", "y", "z")
@@ -106,7 +106,7 @@ def resample_at_slices(points: DataFrame, size: int = BLOCK) -> DataFrame:
     by_z = points.groupBy(*KEYS, "z").agg(F.min_by(F.struct("x", "y", "rad"), "seq").alias("_p")).select(
         *KEYS, "z", "_p.*"
     )
-    order = running(by_z, KEYS, "z", {"_n": F.lit(1).cast("bigint")}, block=F.floor(F.col("z") / 4096))
+    order = running_values(by_z, KEYS, "z", {"_n": F.lit(1).cast("bigint")}, size)
     order = order.withColumn("seq", F.col("_n") - 1).drop("_n").withColumn("zz", F.col("z"))
     seg = neighbours(order, KEYS, "seq", {f"n1_{c}": (c, 1) for c in (*POS, "rad", "zz")}, size)
     # The last slice belongs to the topmost point.
@@ -158,7 +158,7 @@ def resample_along_axis(points: DataFrame, chunk: int | None = None, size: int =
         *keys, "_s", "_m", "_np", "_p.*"
     )
     lim = flat.groupBy(*keys).agg(F.ceil(F.min("_s")).alias("_lo"), F.floor(F.max("_s")).alias("_hi"))
-    flat = running(flat, keys, "_s", {"_j": F.lit(1).cast("bigint")}, block=F.floor(F.col("_s") / 4096))
+    flat = running_values(flat, keys, "_s", {"_j": F.lit(1).cast("bigint")}, size)
     flat = flat.withColumn("_j", F.col("_j") - 1)
     seg = neighbours(flat, keys, "_j", {f"n1_{c}": (c, 1) for c in (*POS, "rad", "_s")}, size).join(lim, keys)
     seg = seg.where("n1__s is not null and _m > 1 and _hi >= _lo")

@@ -113,6 +113,25 @@ def running(
     )
 
 
+def running_values(
+    df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, Column], size: int = BLOCK
+) -> DataFrame:
+    """``running`` along values whose range is not known, with block limits drawn from the data.
+
+    Where every key has at most ``size`` rows, a key is one block.  Else rows are range-partitioned by
+    key and value into pieces of about ``size`` rows: a key with most of the rows has as many blocks as it needs,
+    however close its values lie, and small keys share a piece.
+    """
+    from ..session import stored
+
+    rows = stored(df, "values")
+    count = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    if (count[0] or 0) <= size:
+        return running(rows, keys, order, totals, block=F.lit(0))
+    spread = rows.repartitionByRange(-(-count[1] // size), *keys, order).withColumn("_range", F.spark_partition_id())
+    return running(stored(spread, "ranges"), keys, order, totals, block=F.col("_range")).drop("_range")
+
+
 def renumber(df: DataFrame, keys: Sequence[str], seq: str = "seq", size: int = BLOCK) -> DataFrame:
     """Make ``seq`` count 0, 1, 2, ... again after rows were dropped."""
     return running(df, keys, seq, {"_n": F.lit(1)}, size=size).withColumn(seq, F.col("_n") - 1).drop("_n")
@@ -141,15 +160,15 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", parts: in
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], width: float = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], size: int = BLOCK
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per key and probability.
 
-    Equal values are counted first, so the ordered part runs over distinct values,
-    cut into blocks ``width`` wide.
+    Equal values are counted first, so the ordered part runs over distinct values, in
+    blocks of about ``size`` of them.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_w"))
-    ladder = running(counts, keys, value, {"_hi": F.col("_w")}, block=F.floor(F.col(value) / width))
+    ladder = running_values(counts, keys, value, {"_hi": F.col("_w")}, size)
     sizes = counts.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_w").alias("_n"))
     wanted = (
         sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
