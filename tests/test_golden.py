@@ -130,3 +130,36 @@ def test_slice_true_negatives(spark):
 def test_critical_voxels(spark):
     v = spark.createDataFrame([(1, 0, 0, 0, 1), (1, 1, 0, 0, 2), (1, 5, 0, 0, 1)], "case_id long, x long, y long, z long, label long")
     assert sorted(r.x for r in ev.critical_voxels(v, 1, 2, False).select(F.col("x")).collect()) == [0, 1]
+
+
+def test_medoids_compare_few_pairs(spark, monkeypatch):
+    from vesselspark.operators import volumes as vol
+
+    kept, made = vol.stored, {}
+    monkeypatch.setattr(vol, "stored", lambda df, label="stage": made.setdefault(label, kept(df, label)))
+    rng = random.Random(6)
+    blob = {(x, y, z) for x in range(14) for y in range(12) for z in range(10) if rng.random() < 0.8}
+    line = {(100 + i, 50 + i // 2, 3) for i in range(60)}
+    lone = {(200, 0, 0)}
+    m = spark.createDataFrame([(1, *p) for p in blob | line | lone] + [(2, *p) for p in line], "case_id long, x long, y long, z long")
+    got = {(r.case_id, r.x, r.y, r.z) for r in vol.medoids(m, cap=300).collect()}
+    want = lambda piece: min(piece, key=lambda p: (round(sum(math.dist(p, q) for q in piece), 6), p))
+    assert {(1, *want(line)), (1, *want(lone)), (2, *want(line))} < got
+    assert (1, *want(max(pieces_of(blob), key=len))) in got
+    assert made["candidates"].where("case_id = 1 and x < 50").count() < len(blob) / 10
+
+
+def pieces_of(cells):
+    left, out = set(cells), []
+    while left:
+        stack, piece = [left.pop()], []
+        while stack:
+            p = stack.pop()
+            piece.append(p)
+            for o in itertools.product((-1, 0, 1), repeat=3):
+                q = tuple(a + b for a, b in zip(p, o))
+                if q in left:
+                    left.remove(q)
+                    stack.append(q)
+        out.append(piece)
+    return out

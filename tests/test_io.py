@@ -96,3 +96,19 @@ def test_queries_match_sql(spark, name):
     want = sorted(str(tuple(r[i] for i in place)) for r in rel.fetchall())
     got = sorted(str(tuple(r)) for r in df.select(*[F.col(f"`{c}`") for c in cols]).collect())
     assert got == want
+
+
+def test_manifest_lines_make_one_document(spark, tmp_path):
+    import json
+
+    from vesselspark.sources import tables as tb
+
+    rows = [(i, "training" if i % 3 else "test", f"im{i}.nii") for i in range(40)]
+    entries = spark.createDataFrame(rows, "id long, split string, image string").repartition(5)
+    tb.write_manifest(tb.manifest(entries, "cohort", {0: "background"}), str(tmp_path / "list"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "list").glob("part-*")))
+    doc = json.loads(text)
+    assert doc["numTest"] == 14 and doc["numTraining"] == 26 and doc["numValidation"] == 0 and doc["labels"] == {"0": "background"}
+    assert doc["training"] == [{"image": f"im{i}.nii"} for i in range(40) if i % 3] and doc["validation"] == []
+    back = tb.scan_datalist(spark, str(tmp_path / "list"))
+    assert back.count() == 40

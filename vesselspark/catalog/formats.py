@@ -84,11 +84,11 @@ def manifest(d, lab):
 
     entries = listed_split(d, lab).withColumn("image", F.concat(F.lit("imagesTr/"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".nii.gz")))
     text = tb.manifest(entries, "cohort", {0: "background", 1: "artery"})
-    one = "array<struct<image:string>>"
-    doc = text.select(F.from_json("value", f"numTest bigint, numValidation bigint, numTraining bigint, test {one}, training {one}, validation {one}").alias("d")).select("d.*")
+    head = text.where("section = 0").select(F.from_json(F.regexp_replace("value", ",$", "}"), "numTest bigint, numValidation bigint, numTraining bigint").alias("h")).select("h.*")
     n = F.create_map(F.lit("test"), F.col("numTest"), F.lit("validation"), F.col("numValidation"), F.lit("training"), F.col("numTraining"))
-    counts = doc.select(F.explode(n).alias("split", "n"))
-    return tb.datalist_entries(doc).join(counts, "split")
+    counts = head.select(F.explode(n).alias("split", "n"))
+    body = text.where("section > 0 and place > 0 and value like '{%'")
+    return body.select("split", F.from_json(F.regexp_replace("value", ",$", ""), "image string").alias("e")).select("split", "e.image").join(counts, "split")
 
 
 @query("box_text", ["fx_boxes_gt"], "SELECT box_id AS case_id, x0, y0, z0, x1, y1, z1 FROM fx_boxes_gt")

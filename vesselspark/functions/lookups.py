@@ -19,17 +19,39 @@ LANDMARKS = {
     17: "BA/VA", 18: "PCA/BA", 19: "P1/P2/Pcomm_L", 20: "P1/P2/Pcomm_R", 21: "Pcomm/ICA_L", 22: "Pcomm/ICA_R",
 }
 
-# Vessel type by the landmark types of its two ends, "start end vessel".
-END_RULES = """
-1 3 1, 2 4 2, 3 1 1, 3 5 7, 3 7 3, 4 2 2, 4 6 8, 4 8 4, 5 3 7, 5 6 11, 5 23 9, 5 99 9,
-6 4 8, 6 5 11, 6 24 10, 6 99 10, 7 3 3, 7 13 5, 7 29 5, 7 99 5, 8 4 4, 8 14 6, 8 30 6, 8 99 6,
-9 11 23, 10 12 24, 11 9 23, 12 10 24, 13 7 5, 13 25 12, 13 29 5, 13 99 12, 14 8 6, 14 26 13,
-14 30 6, 14 99 13, 15 17 14, 16 17 15, 17 15 14, 17 16 15, 17 18 16, 18 17 16, 18 19 17, 18 20 18,
-19 18 17, 19 21 21, 19 27 19, 19 99 19, 20 18 18, 20 22 22, 20 28 20, 20 99 20, 21 19 21, 22 20 22,
-23 5 9, 23 23 9, 23 99 9, 24 6 10, 24 24 10, 24 99 10, 25 13 12, 25 25 12, 25 99 12, 26 14 13,
-26 26 13, 26 99 13, 27 19 19, 27 27 19, 27 99 19, 28 20 20, 28 28 20, 28 99 20, 29 7 5, 29 13 5,
-29 29 5, 29 99 5, 30 8 6, 30 14 6, 30 30 6, 30 99 6
-"""
+# Vessel type by the landmark types of its two ends: (start, end, vessel).
+END_RULES = [
+    (1, 3, 1),
+    (2, 4, 2),
+    (3, 1, 1), (3, 5, 7), (3, 7, 3),
+    (4, 2, 2), (4, 6, 8), (4, 8, 4),
+    (5, 3, 7), (5, 6, 11), (5, 23, 9), (5, 99, 9),
+    (6, 4, 8), (6, 5, 11), (6, 24, 10), (6, 99, 10),
+    (7, 3, 3), (7, 13, 5), (7, 29, 5), (7, 99, 5),
+    (8, 4, 4), (8, 14, 6), (8, 30, 6), (8, 99, 6),
+    (9, 11, 23),
+    (10, 12, 24),
+    (11, 9, 23),
+    (12, 10, 24),
+    (13, 7, 5), (13, 25, 12), (13, 29, 5), (13, 99, 12),
+    (14, 8, 6), (14, 26, 13), (14, 30, 6), (14, 99, 13),
+    (15, 17, 14),
+    (16, 17, 15),
+    (17, 15, 14), (17, 16, 15), (17, 18, 16),
+    (18, 17, 16), (18, 19, 17), (18, 20, 18),
+    (19, 18, 17), (19, 21, 21), (19, 27, 19), (19, 99, 19),
+    (20, 18, 18), (20, 22, 22), (20, 28, 20), (20, 99, 20),
+    (21, 19, 21),
+    (22, 20, 22),
+    (23, 5, 9), (23, 23, 9), (23, 99, 9),
+    (24, 6, 10), (24, 24, 10), (24, 99, 10),
+    (25, 13, 12), (25, 25, 12), (25, 99, 12),
+    (26, 14, 13), (26, 26, 13), (26, 99, 13),
+    (27, 19, 19), (27, 27, 19), (27, 99, 19),
+    (28, 20, 20), (28, 28, 20), (28, 99, 20),
+    (29, 7, 5), (29, 13, 5), (29, 29, 5), (29, 99, 5),
+    (30, 8, 6), (30, 14, 6), (30, 30, 6), (30, 99, 6),
+]
 
 # Anatomical groups; a vessel type may be in several.
 GROUPS = {
@@ -54,7 +76,7 @@ RING_BACK = {17: "p1_l", 18: "p1_r", 19: "p2_l", 20: "p2_r", 21: "pcomm_l", 22:
 
 
 def end_rules() -> list[tuple[int, int, int]]:
-    return [tuple(map(int, rule.split())) for rule in END_RULES.split(",")]
+    return END_RULES
 
 
 def end_rule_table(spark: SparkSession) -> DataFrame:

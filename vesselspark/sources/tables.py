@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.blocks import ranked
+from ..session import stored
+
 
 def int_array(c: Column) -> Column:
     """``[1, 2]``, ``(1, 2)``, ``[1 2]`` or ``-1`` to an array of ints; a lone -1 is NULL."""
@@ -35,7 +38,9 @@ def format_extra(pos: Column, spacing: Column) -> Column:
 
 def datalist_entries(doc: DataFrame) -> DataFrame:
     """Entries of a sample list (test, training, validation arrays) with their ``split``."""
-    parts = [doc.select(F.lit(s).alias("split"), F.explode(s).alias("e")).select("split", "e.*") for s in ("training", "validation", "test") if s in doc.columns]
+    kinds = dict(doc.dtypes)  # the type of a list that is always empty is not known
+    some = [s for s in ("training", "validation", "test") if kinds.get(s, "").startswith("array<struct")]
+    parts = [doc.select(F.lit(s).alias("split"), F.explode(s).alias("e")).select("split", "e.*") for s in some]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -46,23 +51,38 @@ def scan_datalist(spark: SparkSession, path: str) -> DataFrame:
     return datalist_entries(spark.read.json(path, multiLine=True))
 
 
-def manifest(entries: DataFrame, name: str, labels: dict[int, str]) -> DataFrame:
-    """One JSON document per call: header with counts, label map and the three lists.
+SPLITS = ("test", "training", "validation")
 
-    A sample list is a single file by definition; it holds one short entry per case.
-    """
-    cols = [F.col(c) for c in entries.columns if c not in ("split", "id")]
-    entry = F.struct(F.col("id"), *cols)
 
-    def of(split):
-        return F.transform(F.sort_array(F.collect_list(F.when(F.col("split") == split, entry))), lambda e: e.dropFields("id"))
+def manifest(entries: DataFrame, name: str, labels: dict[int, str]) -> DataFrame:
+    """A sample list as the ordered lines of one JSON document: (section, place, split, value).
 
-    doc = entries.agg(
-        F.count_if(F.col("split") == "test").alias("numTest"), F.count_if(F.col("split") == "validation").alias("numValidation"),
-        F.count_if(F.col("split") == "training").alias("numTraining"), of("test").alias("test"), of("training").alias("training"), of("validation").alias("validation"),
+    Section 0 is the header with name, label map and counts; then each split has an opening line, its
+    entries by id and a closing line.  Entries are range-partitioned and ranked, so no task holds the list.
+    ``id`` is not written.
+    """
+    cols = [c for c in entries.columns if c not in ("split", "id")]
+    listed = entries.where(F.col("split").isin(*SPLITS))
+    row = ranked(listed.select("split", "id", F.to_json(F.struct(*cols)).alias("value")), [F.col("split"), F.col("id"), F.col("value")], "_rank")
+    row = stored(row, "entries")
+    size = row.groupBy("split").agg(F.count("*").alias("_n"), F.max("_rank").alias("_last"))
+    number = F.create_map(*[F.lit(v) for i, s in enumerate(SPLITS) for v in (s, i + 1)])
+    body = row.join(F.broadcast(size), "split").select(  # one row for each split
+        number[F.col("split")].alias("section"), (F.col("_rank") - F.col("_last") + F.col("_n")).alias("place"), "split",
+        F.concat("value", F.when(F.col("_rank") < F.col("_last"), ",").otherwise("")).alias("value"),
     )
     label_map = F.create_map(*[F.lit(str(v)) for kv in labels.items() for v in kv])
-    return doc.select(F.to_json(F.struct(F.lit(name).alias("name"), label_map.alias("labels"), *doc.columns)).alias("value"))
+    count = size.agg(*[F.coalesce(F.max(F.when(F.col("split") == s, F.col("_n"))), F.lit(0)).alias(f"num{s.capitalize()}") for s in SPLITS])
+    header = count.select(F.to_json(F.struct(F.lit(name).alias("name"), label_map.alias("labels"), *count.columns)).alias("_h"))
+    header = header.select(F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("place"), F.lit(None).cast("string").alias("split"), F.expr("concat(left(_h, length(_h) - 1), ',')").alias("value"))
+    frame = [(i + 1, p, s, v) for i, s in enumerate(SPLITS) for p, v in ((0, f'"{s}": ['), (1 << 62, "]}" if s == SPLITS[-1] else "],"))]
+    frame = entries.sparkSession.createDataFrame(frame, "section int, place bigint, split string, value string")
+    return header.unionByName(frame).unionByName(body)
+
+
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """The document as one text file in the folder ``path``; a single task writes it, line by line."""
+    lines.orderBy("section", "place").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def parse_box_text(files: DataFrame) -> DataFrame:
