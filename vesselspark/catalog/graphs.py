@@ -209,6 +209,20 @@ def greedy_links(p, v):
     return build(shifted(p), v)
 
 
+@query("connect_ends", ["fx_points", "fx_voxels"])
+def connect_ends(p, v):
+    from ..operators.compositions import connect_ends as build
+
+    return build(shifted(p), v)
+
+
+@query("join_near_ends", ["fx_pred_points"])
+def join_near_ends(pred):
+    from ..operators.compositions import join_near_ends as build
+
+    return build(pred, 10.0)
+
+
 # Both targets are points of traces; ends are linked to the nearest point of each other trace within 10.
 @query("select_artery", ["fx_points"], f"""WITH {NODES}, l AS (SELECT case_id, trace_id, max(seq) AS last FROM fx_points GROUP BY ALL),
 en AS (SELECT nd.* FROM nd JOIN l USING (case_id, trace_id) WHERE seq = 0 OR seq = last),

@@ -130,3 +130,57 @@ def greedy_links(points: DataFrame, voxels: DataFrame, r: float = 30.0, below: f
     c = stored(c, "losses")
     done = gr.mutual_links(c.drop("end"), below)
     return done.join(c.select("case_id", "a", "b", "end"), ["case_id", "a", "b"]).select("case_id", "loss", F.col("end").alias("a"), "b")
+
+
+def apply_links(points: DataFrame, merges: DataFrame, branches: DataFrame, gap: float | None = 1.0) -> DataFrame:
+    """Traces with links carried out: ends get the points they branch from, linked ends make one trace.
+
+    ``merges(case_id, ta, ea, tb, eb)``: each end in one row at most; ``branches(case_id, trace_id, end,
+    tx, ty, tz, t_rad)`` on other ends.  Repeated points go, the result is resampled at ``gap``.
+    """
+    p = stored(ed.branch_to(points.select(*BASE), branches), "branched")
+    p = stored(gr.merge_at_ends(p, merges).select(*BASE), "merged")
+    p = stored(tr.remove_duplicate_points(p).select(*BASE), "distinct")
+    return p if gap is None else tr.resample(p, gap)
+
+
+def _targets(links: DataFrame, points: DataFrame) -> DataFrame:
+    """``links(case_id, ta, ea, tb, seq)`` with the target's position and which end of its trace it is (``eb``, NULL inside)."""
+    last = points.groupBy("case_id", "trace_id").agg(F.max("seq").alias("_last"))
+    at = points.join(last, ["case_id", "trace_id"]).select(
+        "case_id", F.col("trace_id").alias("tb"), "seq", F.when(F.col("seq") == 0, 0).when(F.col("seq") == F.col("_last"), 1).alias("eb"),
+        *[F.col(c).alias(f"t{c}") for c in "xyz"], F.col("rad").alias("t_rad"),
+    )
+    return stored(links.join(at, ["case_id", "tb", "seq"]), "targets")
+
+
+def connect_ends(points: DataFrame, voxels: DataFrame, r: float = 30.0, below: float = -0.3, gap: float | None = 1.0) -> DataFrame:
+    """Accepted links of trace ends (``greedy_links``) carried out: ends that meet ends are merged, others branch."""
+    name = lambda c, i: F.split(F.col(c), ":")[i].cast("bigint")
+    links = greedy_links(points, voxels, r, below).select("case_id", name("a", 0).alias("ta"), name("a", 1).cast("int").alias("ea"), name("b", 0).alias("tb"), name("b", 1).alias("seq"))
+    to = _targets(links, points)
+    branches = to.where("eb is null").select("case_id", F.col("ta").alias("trace_id"), F.col("ea").alias("end"), "tx", "ty", "tz", "t_rad")
+    return apply_links(points, to.where("eb is not null").select("case_id", "ta", "ea", "tb", "eb"), branches, gap)
+
+
+def join_near_ends(points: DataFrame, r: float = 10.0, values: DataFrame | None = None, gate: float = 0.5, gap: float | None = 1.0) -> DataFrame:
+    """Every end joined to the nearest point of another trace within ``r``.
+
+    An end near an end is merged with it, nearest pairs first, each end once; an end near the
+    inside of a trace branches from it if that lies ahead of the trace.  With ``values`` a link's mean cost must stay below ``gate``.
+    """
+    p = stored(points.select(*BASE), "traces")
+    near = gr.end_links(p, r, values, gate).select("case_id", F.col("q_trace_id").alias("ta"), F.col("q_end").alias("ea"), F.col("trace_id").alias("tb"), "seq", "dist")
+    to = _targets(near, p)
+    name = lambda t, e: F.concat_ws(":", t, e)
+    ask = to.where("eb is not null").select("case_id", name("ta", "ea").alias("a"), name("tb", "eb").alias("b"), (F.col("dist") - r).alias("loss"))
+    # Two ends that name each other are one link.
+    ask = ask.groupBy("case_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("loss").alias("loss"))
+    part = lambda c, i, kind: F.split(F.col(c), ":")[i].cast(kind)
+    merges = stored(gr.mutual_links(ask, 0.0).select("case_id", part("a", 0, "bigint").alias("ta"), part("a", 1, "int").alias("ea"), part("b", 0, "bigint").alias("tb"), part("b", 1, "int").alias("eb")), "merges")
+    e = mt.ends(p)
+    own = e.select("case_id", F.col("trace_id").alias("ta"), F.col("end").alias("ea"), *[F.col(c).alias(f"e{c}") for c in "xyz"])
+    other = e.select("case_id", F.col("trace_id").alias("ta"), (1 - F.col("end")).alias("ea"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    ahead = sum((F.col(f"t{c}") - F.col(f"e{c}")) * (F.col(f"e{c}") - F.col(f"o{c}")) for c in "xyz")
+    body = to.where("eb is null").join(own, ["case_id", "ta", "ea"]).join(other, ["case_id", "ta", "ea"]).where(ahead > 0)
+    return apply_links(p, merges, body.select("case_id", F.col("ta").alias("trace_id"), F.col("ea").alias("end"), "tx", "ty", "tz", "t_rad"), gap)

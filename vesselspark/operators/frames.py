@@ -14,20 +14,20 @@ MAT = [f"m{i}{j}" for i in range(3) for j in range(3)]
 
 
 def _chain(out_keys: list[str], inclusive: bool):
-    """Running matrix product over the rows of one group (at most one block, or one row per block)."""
+    """Running matrix product over the rows of one group (at most one block, or one row per block).
+
+    The product is associative: with every doubling of the shift all rows take the product that ends
+    that far before them, so a block takes log2(rows) batched products.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(out_keys[-1], ignore_index=True)
         mats = pdf[MAT].to_numpy().reshape(-1, 3, 3)
-        acc = np.eye(3)
-        out = np.empty_like(mats)
-        for i, m in enumerate(mats):
-            if inclusive:
-                acc = m @ acc
-                out[i] = acc
-            else:
-                out[i] = acc
-                acc = m @ acc
+        out = mats if inclusive else np.concatenate([np.eye(3)[None], mats[:-1]])
+        shift = 1
+        while shift < len(out):
+            out = np.concatenate([out[:shift], out[shift:] @ out[:-shift]])
+            shift *= 2
         pdf[MAT] = out.reshape(-1, 9)
         return pdf
 
