@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import shared_folder
 
 
-def running_epoch_metrics(rows: DataFrame, late: str = "2 days") -> DataFrame:
+def running_epoch_metrics(rows: DataFrame, late: str | None = None) -> DataFrame:
     """Totals per (epoch, name) so far: ``seg_*`` summed, others averaged by sample count.
 
-    A case counts once per epoch and name within the watermark on ``ts``.
+    A case counts once per epoch and name.  By default the state remembers every (epoch, case, name), so a row
+    that comes however late still corrects its epoch's total, in files of any order.  With ``late`` the state is
+    bounded: rows further behind the newest ``ts`` are dropped.
     """
-    once = rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["epoch", "case_id", "name"])
+    key = ["epoch", "case_id", "name"]
+    once = rows.dropDuplicates(key) if late is None else rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
     total, mean = F.sum("value"), F.sum(F.col("value") * F.col("n")) / F.sum("n")
     return once.groupBy("epoch", "name").agg(F.when(F.col("name").startswith("seg_"), total).otherwise(mean).alias("value"))
 
