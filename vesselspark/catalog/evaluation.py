@@ -277,13 +277,13 @@ def inside_box(p, b):
     return ev.inside_box2d(at, boxes, ["case_id"]).select("box_id", "trace_id", "seq")
 
 
-ARG8 = "list_position(embedding[1:8], list_max(embedding[1:8])) - 1"
+LARGEST = "list_position(embedding, list_max(embedding)) - 1"
 
 
-@query("label_accuracy", ["embeddings"], f"""WITH n AS (SELECT CAST(floor(vec_id / 2) AS BIGINT) AS c, ({ARG8} = label)::INT AS ok FROM embeddings),
+@query("label_accuracy", ["embeddings"], f"""WITH n AS (SELECT CAST(floor(vec_id / 2) AS BIGINT) AS c, ({LARGEST} = label)::INT AS ok FROM embeddings),
 g AS (SELECT c, sum(ok) AS r, count(*) AS n, min(ok) AS a FROM n GROUP BY c) SELECT round(sum(r) / sum(n), 9) AS accuracy, round(avg(a), 9) AS solved FROM g""")
 def label_accuracy(e):
-    top = F.slice("embedding", 1, 8)
+    top = F.col("embedding")
     nodes = e.select(
         F.floor(F.col("vec_id") / 2).alias("case_id"), F.col("label").alias("true"), (F.array_position(top, F.array_max(top)) - 1).alias("pred")
     )

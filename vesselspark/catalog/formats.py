@@ -133,11 +133,11 @@ def vessel_image(v, n):
     return tb.vessel_id_image(painted, n.select(F.col("n_nationkey").alias("painted_id"), F.col("n_regionkey").alias("vestype"))).drop("v")
 
 
-@query("case_metrics_text", ["embeddings"], """SELECT concat('case', CAST(vec_id AS VARCHAR)) AS case_id, unnest(['dice', 'ahd']) AS name, unnest([round(CAST(embedding[1] AS DOUBLE), 4), round(CAST(embedding[2] AS DOUBLE), 4)]) AS metric FROM embeddings""")
+@query("case_metrics_text", ["embeddings"], """SELECT concat('case', CAST(vec_id AS VARCHAR)) AS case_id, concat('m', CAST(unnest(generate_series(1, len(embedding))) AS VARCHAR)) AS name, unnest(list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4))) AS metric FROM embeddings""")
 def case_metrics_text(e):
-    num = lambda i: F.round(F.element_at("embedding", i).cast("double"), 4).cast("string")
+    item = lambda v, i: F.concat(F.lit("'m"), (i + 1).cast("string"), F.lit("': "), F.round(v.cast("double"), 4).cast("string"))
     ids = e.select((F.col("vec_id") * 2).alias("n"), F.concat(F.lit("case"), F.col("vec_id").cast("string")).alias("value"))
-    body = e.select((F.col("vec_id") * 2 + 1).alias("n"), F.concat(F.lit("{'dice': "), num(1), F.lit(", 'ahd': "), num(2), F.lit("}")).alias("value"))
+    body = e.select((F.col("vec_id") * 2 + 1).alias("n"), F.concat(F.lit("{"), F.array_join(F.transform("embedding", item), ", "), F.lit("}")).alias("value"))
     return tb.parse_case_metrics(ids.unionByName(body))
 
 

@@ -291,12 +291,12 @@ def slice_at(v):
     return op.slice_at(v, "z", 4).select("case_id", "x", "y", "intensity")
 
 
-@query("class_scores", ["embeddings"], """WITH s AS (SELECT vec_id, label, u.i AS cls, CAST(embedding[u.i + 1] AS DOUBLE) AS v FROM embeddings, LATERAL (SELECT unnest(generate_series(0, 7)) AS i) u),
+@query("class_scores", ["embeddings"], """WITH s AS (SELECT vec_id, label, u.i AS cls, CAST(embedding[u.i + 1] AS DOUBLE) AS v FROM embeddings, LATERAL (SELECT unnest(generate_series(0, len(embedding) - 1)) AS i) u),
 t AS (SELECT label, sum(exp(v)) AS t FROM s GROUP BY label)
 SELECT vec_id, arg_max(cls, v) AS best, round(max(exp(v) / t), 9) AS p, [CAST(arg_max(cls, v) = 0 AS INTEGER), CAST(arg_max(cls, v) = 1 AS INTEGER), CAST(arg_max(cls, v) = 2 AS INTEGER)] AS hot
 FROM s JOIN t ON s.label = t.label GROUP BY vec_id""")
 def class_scores(e):
-    long = e.select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("cls", "v")).withColumn("v", F.col("v").cast("double"))
+    long = e.select("vec_id", "label", F.posexplode("embedding").alias("cls", "v")).withColumn("v", F.col("v").cast("double"))
     out = op.softmax_all(long, "v", ["label"]).groupBy("vec_id").agg(F.max_by("cls", "v").cast("bigint").alias("best"), F.round(F.max("p"), 9).alias("p"))
     return out.withColumn("hot", op.one_hot(F.col("best"), 3))
 

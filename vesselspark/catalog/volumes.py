@@ -235,14 +235,14 @@ def path_posterior(v):
     return v.join(f, "case_id").join(b, "case_id").select("case_id", "x", "y", "z", F.round(p, 5).alias("p"))
 
 
-@query("class_entropy", ["embeddings"], """WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: exp(CAST(v AS DOUBLE))) AS e FROM embeddings), h AS (SELECT vec_id, list_sum(list_transform(e, lambda v: -(v / list_sum(e)) * log2(v / list_sum(e)))) / 3 AS h FROM e)
+@query("class_entropy", ["embeddings"], """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE))) AS e FROM embeddings), h AS (SELECT vec_id, list_sum(list_transform(e, lambda v: -(v / list_sum(e)) * log2(v / list_sum(e)))) / log2(len(e)) AS h FROM e)
 SELECT vec_id, round(h, 6) AS entropy, round(avg(h) OVER (ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS rolling FROM h""")
 def class_entropy(e):
     from ..plans.blocks import framed
 
-    ex = F.transform(F.slice("embedding", 1, 8), lambda v: F.exp(v.cast("double")))
+    ex = F.transform("embedding", lambda v: F.exp(v.cast("double")))
     p = e.select("vec_id", ex.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
-    h = p.select("vec_id", vol.class_entropy(F.transform("e", lambda v: v / F.col("t")), 8).alias("entropy"))
+    h = p.select("vec_id", vol.class_entropy(F.transform("e", lambda v: v / F.col("t"))).alias("entropy"))
     # vec_id counts 0, 1, 2, ... without gaps.
     out = framed(h, [], "vec_id", {"rolling": F.avg("entropy")}, 2, 0)
     return rounded(out, ["entropy", "rolling"])

@@ -340,10 +340,7 @@ def path_posterior(x: Column, fg_mean: Column, fg_std: Column, bg_mean: Column,
     return f / (b + f + 1e-6)
 
 
-def class_entropy(p: Column, n: int) -> Column:
-    """Normalised entropy of an array of probabilities."""
+def class_entropy(p: Column) -> Column:
+    """Normalised entropy of an array of probabilities of two or more classes."""
     bits = F.aggregate(p, F.lit(0.0), lambda a, v: a - F.when(v > 0, v * F.log2(v)).otherwise(0.0))
-    import math
-
-    return bits / math.log2(n)
-
+    return bits / F.log2(F.size(p))
