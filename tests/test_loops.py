@@ -90,8 +90,11 @@ def test_main_tree_has_one_parent_for_each_position(spark):
     trunk = [(float(i), 0.0, 0.0) for i in range(30)]
     loop = [(10.0, float(i), 0.0) for i in range(8)] + [(10.0 + i, 7.0, 0.0) for i in range(1, 9)] + [(18.0, 7.0 - i, 0.0) for i in range(1, 8)]
     side = [(25.0, float(-i), 0.0) for i in range(9)]
-    p = points(spark, [trunk, loop, side])
-    out = main_tree_without_loops(p, 3.0, 1, 5.0).collect()
+    # Their tails lie in one cell but not at one position: joining them would close a loop over the trunk.
+    legs = [[(x, float(y), 0.0) for y in range(20, 41)] for x in (3.0, 5.0)]
+    legs = [[(3.0, 0.0, 0.0), *legs[0], (4.2, 41.0, 0.0)], [(5.0, 0.0, 0.0), *legs[1], (4.8, 41.0, 0.0)]]
+    p = points(spark, [trunk, loop, side, *legs])
+    out = main_tree_without_loops(p, 3.0, 1, 0.5).collect()
     edges, nodes, trees = loops_left(out)
     assert trees == 1 and edges == nodes - 1
     parents = {}

@@ -74,7 +74,12 @@ def main_tree_without_loops(points: DataFrame, r: float = 10.0, more_than: int =
     p = stored(ed.transfer(p, "length"), "transferred")
     p = stored(gr.without_loops(p, link).select(*BASE), "forest")
     p = p.join(gr.main_tree(p, r, more_than).select("case_id", "trace_id"), ["case_id", "trace_id"], "left_semi")
-    p = stored(gr.merge_at_ends(stored(p, "main")).select(*BASE), "merged")
+    p = stored(p, "main")
+    # Only ends at one and the same position: a step between two positions could close a loop again.
+    tip = gr.with_nodes(mt.ends(p)).select("case_id", "trace_id", "end", "node")
+    side = lambda t: tip.select("case_id", F.col("trace_id").alias(f"t{t}"), F.col("end").alias(f"e{t}"), F.col("node").alias(f"n{t}"))
+    links = gr.merge_chains(p).join(side("a"), ["case_id", "ta", "ea"]).join(side("b"), ["case_id", "tb", "eb"]).where("na = nb")
+    p = stored(gr.merge_at_ends(p, links.select("case_id", "ta", "ea", "tb", "eb")).select(*BASE), "merged")
     return gr.with_parents(p)
 
 

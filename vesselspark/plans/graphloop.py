@@ -225,7 +225,7 @@ def list_ranks(links: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFram
         *on, "at", F.coalesce("next", "at").alias("last"), F.col("next").isNotNull().cast("bigint").alias("steps"), F.col("next").isNull().alias("there")
     )
     here = stored(here, "ranks")
-    while True:
+    for _ in range(62):
         walk = here.where("not there")
         if walk.isEmpty():
             return here.drop("there")
@@ -233,6 +233,7 @@ def list_ranks(links: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFram
         moved = walk.join(onward, [*on, "last"]).select(*on, "at", F.col("_to").alias("last"), (F.col("steps") + F.col("_more")).alias("steps"), F.col("_there").alias("there"))
         before, here = here, stored(here.where("there").unionByName(moved), "ranks")
         forget(before)
+    raise ValueError("a list runs in a ring")
 
 
 def chain_ranks(edges: DataFrame, starts: DataFrame) -> DataFrame:
