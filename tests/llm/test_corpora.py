@@ -256,14 +256,40 @@ def test_classes_match_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c, _ in got})
 
 
-def test_buckets_in_rounds_lose_no_link(spark):
-    """One band of one place: large mixed buckets, solved a few leaders at a time."""
+def test_buckets_in_blocks_lose_no_link(spark):
+    """Three bands of one place: large mixed buckets, whole and in blocks of a few texts or bytes."""
     rows = near_rows()[10:80]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    listed = neardup.text_classes(docs, bands=3, rows=1, agree=0, pairs=10**9, best=10**6)
-    led = neardup.text_classes(docs, bands=3, rows=1, agree=0, pairs=120, best=2)
     groups = lambda df: sorted(sorted(r["k"]) for r in df.groupBy("comp").agg(F.collect_list("text_key").alias("k")).collect())
-    assert groups(listed) == groups(led)
+    whole = groups(neardup.text_classes(docs, bands=3, rows=1, agree=0, block=10**9))
+    assert groups(neardup.text_classes(docs, bands=3, rows=1, agree=0, block=5)) == whole
+    assert groups(neardup.text_classes(docs, bands=3, rows=1, agree=0, block_bytes=4000)) == whole
+
+
+def test_bucket_links_match_pairs_and_join_components_once():
+    rng = random.Random(14)
+    texts = [t for _, t in near_rows()[10:60]]
+    owner, key, weight = neardup.Shingler()(texts)
+    n = len(texts)
+    shingles, counts = [[x[owner == i] for i in range(n)] for x in (key, weight)]
+    total = np.array([c.sum() for c in counts])
+    comp, asks = np.arange(n), np.array([rng.random() < 0.6 for _ in range(n)])
+    asks[0] = False
+    bands, sketch = np.full((n, 2), 7, np.int64), np.zeros((n, 10), np.uint8)
+    bands[:, 0] = np.arange(n)
+    got = neardup.bucket_links(np.arange(n), bands, 7, comp, asks, np.ones(n, bool), sketch, total, shingles, counts, 0.5, 0.8)
+    near = lambda i, j: neardup.overlap(*[x for k in (i, j) for x in (shingles[k].tobytes(), neardup.squeeze(counts[k].astype("<u4")))])
+    links = [(i, j) for i in range(n) for j in range(n) if i != j and asks[i] and near(i, j) >= 0.8 * (total[i] + total[j] - near(i, j))]
+
+    def pieces(edges):
+        at = list(range(n))
+        for i, j in edges:
+            at = [at[j] if a == at[i] else a for a in at]
+        return len(set(at)), at
+
+    assert links and set(got) <= set(links) and pieces(got)[0] == pieces(links)[0] == n - len(got)
+    bands[:, 0] = 1  # every pair shares an earlier bucket
+    assert neardup.bucket_links(np.arange(n), bands, 7, comp, asks, np.ones(n, bool), sketch, total, shingles, counts, 0.5, 0.8) == []
 
 
 def test_signatures_estimate_weighted_similarity():

@@ -16,14 +16,14 @@ nearly every signature is full; the rest are drawn again with a doubled limit.
 shares one with probability 0.9999). The low bytes of the signatures are kept as
 sketches; a pair that agrees in fewer than ``AGREE`` of 120 places is no candidate
 (a pair of similarity 0.8 agrees in fewer with probability below 1e-4). Exact copies
-are one text first. Buckets are solved without listing their pairs: a bucket is sorted
-by its texts' other bands, neighbours in that order are compared, for each text the
-pair whose sketches agree best. After that only texts of one bucket in different
-components are compared: those outside the bucket's largest component, so many at a
-time that a bucket makes about ``PAIRS`` pairs, with all others; of a text's candidates
-the best ``BEST`` go first and eight times as many in each later round, until it has joined the
-largest component or has none left. Links between texts that a component already
-joins are not needed for the classes; no other is left out.
+are one text first. Of a bucket, sorted by its texts' other bands, neighbours in that order
+are compared first, for each text the pair whose sketches agree best. After that only
+buckets whose texts are in different components are left, and there every text outside the
+bucket's largest component is compared with all others: a bucket is cut into blocks of at
+most about ``BLOCK`` texts and ``BLOCK_BYTES``, a task gets a block of such texts and a block of
+others, compares their sketches, verifies what agrees on the spot, and gives back only links
+that join two components. A pair is compared in the first band that it shares. Links between
+texts that a component already joins are not needed for the classes; no other is left out.
 
 Nulls, empty texts and texts without words are classes of their own. Repeated rows
 are exact copies of each other. A class is named by its smallest document id; an
@@ -37,6 +37,7 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from vesselspark.llm.batches import with_columns
 from vesselspark.llm.catalog import query, table
 from vesselspark.plans.graphloop import STAR_ROWS, _stars, components
-from vesselspark.session import stored
+from vesselspark.session import forget, stored
 
 SHINGLE = 5
 LEAST = 0.8
@@ -53,10 +54,9 @@ BANDS = 24
 ROWS = 5
 #: Of 120 places, those in which the sketches of a candidate pair agree at least.
 AGREE = 78
-#: Pairs that one bucket makes in a round, about.
-PAIRS = 100_000
-#: Candidates of one text that are compared in the first round; eight times as many in each that follows.
-BEST = 64
+#: Texts of one block of a bucket, about, and bytes of their shingles.
+BLOCK = 2048
+BLOCK_BYTES = 8 << 20
 #: Words whose hashes a task remembers.
 WORDS = 200_000
 #: Bytes of text that a task works on at once.
@@ -289,27 +289,96 @@ def joined(links: DataFrame, comp: DataFrame) -> DataFrame:
     return stored(comp.join(found, "comp", "left").select("rep", F.coalesce("new", "comp").alias("comp")), "near-comps")
 
 
-def undecided(members: DataFrame, comp: DataFrame, retired: DataFrame | None, pairs: int) -> DataFrame:
-    """Members of buckets with several components, ``lead`` where a text is to be compared with the others now.
+def undecided(members: DataFrame, comp: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Members of buckets with several components, with ``lead`` (outside the largest one) and the numbers of blocks.
 
-    That are texts outside the bucket's largest component that have candidates left.
+    ``comp`` holds rep, comp and size; ``leads`` and ``others`` are the numbers of blocks of leading and of all texts.
     """
     at = members.join(comp, "rep")
+    parts = lambda n, size: F.ceil(F.greatest(F.col(n) / block, F.col(size) / block_bytes))
     per = (
-        at.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
-        .agg(F.sum("c").alias("n"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
-        .filter("comps > 1").select("bucket", "n", F.col("top.comp").alias("top"))
+        at.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("s")).groupBy("bucket")
+        .agg(F.sum("c").alias("n"), F.sum("s").alias("bytes"), F.count("*").alias("comps"), F.max(F.struct("c", "comp", "s")).alias("top"))
+        .filter("comps > 1").withColumn("lead_n", F.col("n") - F.col("top.c")).withColumn("lead_bytes", F.col("bytes") - F.col("top.s"))
+        .select("bucket", F.col("top.comp").alias("top"), parts("lead_n", "lead_bytes").alias("leads"), parts("n", "bytes").alias("others"))
     )
-    held = stored(at.join(per, "bucket"), "near-held")
-    waiting = held.filter("comp <> top")
-    if retired is not None:
-        waiting = waiting.join(retired, ["bucket", "rep"], "left_anti")
-    ranked = waiting.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")))
-    lead = ranked.filter(F.col("k") * F.col("n") <= F.greatest(F.lit(pairs), F.col("n"))).select("bucket", "rep", F.lit(True).alias("lead"))
-    return held.select("bucket", "rep", "comp").join(lead, ["bucket", "rep"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+    return at.join(per, "bucket").withColumn("lead", F.col("comp") != F.col("top")).drop("top")
 
 
-def text_classes(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, pairs: int = PAIRS, best: int = BEST) -> DataFrame:
+def cells(held: DataFrame, block_bytes: int) -> DataFrame:
+    """``held`` once for each pair of blocks that a text belongs to: ``part`` and ``l``, ``o`` name it, ``asks`` and ``answers`` say what the text does there.
+
+    Buckets of one pair of blocks share parcels of about ``block_bytes``.
+    """
+    total = held.filter("leads * others = 1").agg(F.sum("size")).first()[0] or 0
+    parcels = max(1, math.ceil(total / block_bytes))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    cell = lambda l, o, asks, answers: F.struct(l.alias("l"), o.alias("o"), asks.alias("asks"), answers.alias("answers"))
+    last = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    answering = F.transform(last("leads"), lambda l: cell(l, own("others"), F.col("lead") & (l == own("leads")), F.lit(True)))
+    asking = F.filter(last("others"), lambda o: F.col("lead") & (o != own("others")))
+    asking = F.transform(asking, lambda o: cell(own("leads"), o, F.lit(True), F.lit(False)))
+    placed = held.select("bucket", "rep", "comp", F.expr("leads * others = 1").alias("small"), F.explode(F.concat(answering, asking)).alias("cell"))
+    part = F.when(F.col("small"), F.pmod("bucket", F.lit(parcels))).otherwise(F.col("bucket"))
+    return placed.select("bucket", "rep", "comp", "small", part.alias("part"), "cell.*")
+
+
+def bucket_links(names: np.ndarray, bands: np.ndarray, bucket: int, comp: np.ndarray, asks: np.ndarray, answers: np.ndarray, sketch: np.ndarray,
+                 weight: np.ndarray, shingles: list[np.ndarray], counts: list[np.ndarray], agree: float, least: float) -> list[tuple[int, int]]:
+    """Verified pairs of one bucket's asking and answering texts that join components, fewer than the texts."""
+    others = np.flatnonzero(answers)
+    band = int(np.argmax(bands[0] == bucket))
+    label = np.unique(comp, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in shingles])
+    ids = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    held = np.zeros(int(ids.max()) + 1, np.int64)
+    found = []
+    for x in np.flatnonzero(asks):
+        ys = others[label[others] != label[x]]
+        ys = ys[np.minimum(weight[ys], weight[x]) >= least * np.maximum(weight[ys], weight[x])]
+        same = (sketch[ys] == sketch[x]).sum(1)
+        ys = ys[same >= agree * sketch.shape[1]]
+        ys = ys[~(bands[ys, :band] == bands[x, :band]).any(1)]  # an earlier bucket holds those
+        if not len(ys):
+            continue
+        mine = ids[starts[x]:ends[x]]
+        held[mine] = counts[x]
+        theirs = np.concatenate([ids[starts[y]:ends[y]] for y in ys])
+        met = np.minimum(held[theirs], np.concatenate([counts[y] for y in ys]))
+        met = np.add.reduceat(met, np.cumsum(sizes[ys]) - sizes[ys])
+        held[mine] = 0
+        for y in ys[met >= least * (weight[ys] + weight[x] - met)]:
+            if label[y] != label[x]:
+                found.append((int(names[x]), int(names[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def cell_links(agree: float, least: float):
+    """The function that takes the texts of a parcel of buckets, or of one pair of blocks, to the links in them."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("bucket").combine_chunks()
+        bucket = part["bucket"].to_numpy()
+        edges = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1, append=bucket[-1] + 1))
+        found = []
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            one = part.slice(s, e - s)
+            column = lambda c: one[c].to_numpy(zero_copy_only=False)  # noqa: E731,B023
+            blobs = lambda c: [v.as_py() for v in one[c]]  # noqa: E731,B023
+            found += bucket_links(
+                column("rep"), np.array(one["bands"].to_pylist(), np.int64), int(bucket[s]), column("comp"), column("asks"), column("answers"),
+                np.frombuffer(b"".join(blobs("sketch")), np.uint8).reshape(e - s, -1), column("weight"),
+                [np.frombuffer(v, np.uint64) for v in blobs("shingles")], [expand(v).astype(np.int64) for v in blobs("counts")], agree, least,
+            )
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def text_classes(docs: DataFrame, text_col: str = "text", bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(text_key, comp): the component of each distinct text that has words."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     made = with_bands(texts.withColumn("text_key", text_key("text")), "text", bands, rows).drop("text")
@@ -321,41 +390,29 @@ def text_classes(docs: DataFrame, text_col: str = "text", bands: int = BANDS, ro
     places = reps.select("rep", "sketch", "bands", F.posexplode("bands").alias("at", "bucket"))
     places = places.select("rep", "sketch", "bucket", *[turn(k).alias(f"o{k}") for k in (1, 2, 3)])
     shared = places.select("bucket").groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = stored(places.join(shared, "bucket"), "near-buckets")
+    buckets = stored(places.join(shared, "bucket"), "near-buckets")
     order = Window.partitionBy("bucket").orderBy("o1", "o2", "o3", "rep")
-    beside = members.select(F.col("rep").alias("x"), F.col("sketch").alias("sx"), F.lag(F.struct("rep", "sketch")).over(order).alias("before"))
+    beside = buckets.select(F.col("rep").alias("x"), F.col("sketch").alias("sx"), F.lag(F.struct("rep", "sketch")).over(order).alias("before"))
     beside = beside.filter("before is not null").select("x", "sx", F.col("before.rep").alias("y"), F.col("before.sketch").alias("sy"))
     first = agreeing(beside, agree).groupBy("x").agg(F.max(F.struct("agree", "y")).alias("top")).select("x", "top.y")
     tested = stored(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-pairs")
-    members = members.select("bucket", "rep")
+    members = buckets.select("bucket", "rep")
     nodes = stored(members.select("rep").distinct(), "near-nodes")
     # Copies of a wanted text meet again here: one row for each stays before the shingles are made.
     wanted = nodes.join(reps.select("rep", "text_key"), "rep")
     again = texts.withColumn("text_key", text_key("text")).join(wanted, "text_key").groupBy("rep").agg(F.first("text").alias("text"))
-    shingled = stored(with_shingles(again, "text"), "near-shingles")
-    sketches = reps.select("rep", "sketch")
+    size = (F.length("shingles") + F.length("counts") + 16 * bands + 256).cast("long")
+    shingled = stored(with_shingles(again, "text").withColumn("size", size), "near-shingles")
     links = stored(verified(tested, shingled).select("a", "b"), "near-links")
     comp = joined(links, nodes.withColumn("comp", F.col("rep")))
-    retired = None
-    while True:
-        held = stored(undecided(members, comp, retired, pairs), "near-undecided")
-        lead = held.filter("lead")
-        if lead.isEmpty():
-            break
-        other = held.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("other"))
-        cross = lead.select("bucket", F.col("rep").alias("x"), "comp").join(other, "bucket").filter("comp <> other").select("x", "y").distinct()
-        cross = cross.join(sketches.toDF("x", "sx"), "x").join(sketches.toDF("y", "sy"), "y")
-        near = agreeing(cross, agree).withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).join(tested, ["a", "b"], "left_anti")
-        ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agree"), "y"))).filter(F.col("k") <= best + 1)
-        ranked = stored(ranked, "near-candidates")
-        new = ranked.filter(F.col("k") <= best).select("a", "b").distinct()
-        links = stored(verified(new, shingled).select("a", "b"), "near-links")
-        tested = tested.unionByName(new)
-        # A text with more candidates than were compared waits on; the others are done in the buckets that they lead.
-        more = ranked.filter(F.col("k") > best).select(F.col("x").alias("rep"))
-        over = lead.select("bucket", "rep").join(more, "rep", "left_anti").select("bucket", "rep")
-        retired = over if retired is None else retired.unionByName(over)
-        comp, best = joined(links, comp), 8 * best
+    held = stored(undecided(members, comp.join(shingled.select("rep", "size"), "rep"), block, block_bytes), "near-undecided")
+    forget(buckets)
+    known = shingled.select("rep", "shingles", "counts", "weight").join(reps.select("rep", "bands", "sketch"), "rep")
+    met = cells(held, block_bytes).join(known, "rep").groupBy("small", "part", "l", "o").applyInArrow(cell_links(agree, LEAST), "a long, b long")
+    more = stored(met, "near-links")
+    comp = joined(more, comp)
+    for table_ in (tested, links, more, held, shingled):
+        forget(table_)
     return reps.select("text_key", "rep").join(comp, "rep", "left").select("text_key", F.coalesce("comp", "rep").alias("comp"))
 
 
