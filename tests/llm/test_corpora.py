@@ -343,3 +343,27 @@ def test_pipeline_keeps_texts_that_switch_and_texts_without_known_languages(spar
     assert {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs, "").collect()} == {*range(60), 100}
     blank = corpus_pipeline.keep_languages(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
     assert blank.columns == docs.columns and {(r["doc_id"], r["lang"]) for r in blank.collect()} == {(i, None) for i in (*range(60), 100)}
+
+
+def test_pipeline_passes_columns_with_names_of_its_own(spark, tmp_path):
+    """Further columns named as the operators name theirs come out unchanged; a long text, repeated rows and no rows at all go through."""
+    rng = random.Random(15)
+    text = lambda stems, n=30: " ".join(rng.choice(stems) + rng.choice("abcdefgh") for _ in range(n))
+    texts = [text(["the", "thing", "wash"]) for _ in range(12)] + [text(["der", "ungen", "keit"]) for _ in range(12)]
+    texts += [text(["the", "thing", "wash"], 20_000), texts[0], None, ""]
+    names = ["spans", "mentions", "__row", "__key", "lang_pred", "lang_sure", "n_words", "hit_spans", "hit_items", "Hits", "bands", "rep"]
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", 0, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for label, some in (("full", docs), ("none", docs.limit(0))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = some.columns
+            stage(spark, some, str(tmp_path)).write.parquet(f"{tmp_path}/{label}{k}")
+            some = spark.read.parquet(f"{tmp_path}/{label}{k}")
+            if k < 4:
+                assert some.columns == before
+                held = some.select("doc_id", *names).collect()
+                assert all(r[c] == f"{c}{r['doc_id']}" for r in held for c in names)
+                assert label == "none" or {r["doc_id"] for r in held} >= set(range(1, 12)) and not {r["doc_id"] for r in held} & {26, 27}
+        ids = sorted(r["doc_id"] for r in some.collect())
+        assert ids == (sorted(set(range(25))) if label == "full" else [])
