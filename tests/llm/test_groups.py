@@ -177,3 +177,17 @@ def test_counts_of_whole_texts(spark):
         got = spelling.counted(docs, damage=damage)
         assert {r["word"]: r["n"] for r in got.collect()} == dict(want)
     assert spelling.counted(docs.limit(0)).where(F.col("n") > 0).count() == 0
+
+
+def test_damaged_run_may_equal_another_run_of_its_document(spark):
+    damage = 3
+    hurt = lambda doc, run: (h := zlib.crc32(f"{doc}:{run}".encode())) % damage == 0 and run[:h % len(run)] + run[h % len(run) + 1:]
+    rng = random.Random(9)
+    rows, want = [], Counter()
+    while len(rows) < 20:
+        doc, run = len(rows), "".join(rng.choice("abÿ") for _ in range(9))
+        if (once := hurt(doc, run)) and (twice := hurt(doc, once)):
+            rows.append((doc, f"{run} {once} {once}"))  # the longer run first: its result is damaged itself
+            want.update([once, twice, twice])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["word"]: r["n"] for r in spelling.counted(docs, damage=damage).collect()} == dict(want)

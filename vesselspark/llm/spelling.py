@@ -68,11 +68,12 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", let
                     found = Counter([r for r in runs(text) if len(r) >= letters])
                     if damage:
                         start = zlib.crc32(f"{doc}:".encode())
-                        for word, n in list(found.items()):
+                        # Counted apart: a damaged run may equal another run of its document.
+                        left: Counter[bytes] = Counter()
+                        for word, n in found.items():
                             h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), start)
-                            if h % damage == 0:
-                                del found[word]
-                                found[word[:(at := h % len(word))] + word[at + 1:]] += n
+                            left[word if h % damage else word[:(at := h % len(word))] + word[at + 1:]] += n
+                        found = left
                     held.update(found)
                 if len(held) > HELD:
                     yield sent()
