@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, framed, neighbours, renumber, running, running_values
@@ -270,8 +270,17 @@ def remove_short(points: DataFrame, n: int) -> DataFrame:
     return points.join(long, KEYS, "left_semi")
 
 
-def remove_large(points: DataFrame, radius: float) -> DataFrame:
-    thin = points.groupBy(*KEYS).agg(F.avg("rad").alias("_r")).where(F.col("_r") <= radius).drop("_r")
+def remove_large(points: DataFrame, radius: float, size: int = BLOCK) -> DataFrame:
+    """Drop traces whose mean radius is greater than ``radius``.
+
+    Radii are added up in the order of the trace, so that a mean at the limit itself falls the same way on any partitioning.
+    """
+    so_far = Window.partitionBy(*KEYS, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    cut = points.select(*KEYS, "seq", "rad", F.floor(F.col("seq") / size).alias("_block")).withColumn("_s", F.sum("rad").over(so_far))
+    part = cut.groupBy(*KEYS, "_block").agg(F.max_by("_s", "seq").alias("_s"), F.count("rad").alias("_n"))
+    whole = part.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("_block", "_s"))).alias("_p"), F.sum("_n").alias("_n"))  # one entry a block
+    total = F.aggregate("_p", F.lit(0.0), lambda a, b: a + F.coalesce(b["_s"], F.lit(0.0)))
+    thin = whole.where(F.try_divide(total, F.col("_n")) <= radius).select(*KEYS)
     return points.join(thin, KEYS, "left_semi")
 
 
