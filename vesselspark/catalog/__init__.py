@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..fixtures import get, table, with_views
+from ..session import sized_by_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +18,7 @@ def query(name: str, views: list[str], sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            sized_by_rows(spark)
             inputs = [get(spark, sf_dir, v) if v.startswith("fx_") else table(spark, sf_dir, v) for v in views]
             return fn(*inputs)
 
