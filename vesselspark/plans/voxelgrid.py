@@ -61,14 +61,32 @@ def neighbour_edges(mask: DataFrame, offsets: Iterable[tuple]) -> DataFrame:
 
 
 def mask_components(mask: DataFrame, offsets: Iterable[tuple]) -> DataFrame:
-    """(case_id, x, y, z, comp) for every voxel of the mask."""
+    """(case_id, node, x, y, z, comp) for every voxel of the mask, ``offsets`` being ``SIX`` or ``TWENTY_SIX``; ``comp`` is the piece's least node.
+
+    Voxels of a line that touch are one node; runs of neighbouring lines are joined, so that a voxel
+    is not copied to its neighbours.
+    """
+    from ..session import stored
     from .graphloop import components
 
-    nodes = mask.select("case_id", voxel_id().alias("node"), "x", "y", "z")
+    if set(offsets) == set(SIX):
+        lines, reach = [(0, 1), (1, 0)], 0
+    elif set(offsets) == set(TWENTY_SIX):
+        lines, reach = [(0, 1), (1, -1), (1, 0), (1, 1)], 1
+    else:
+        raise ValueError("pieces are 6- or 26-connected")
+    along = Window.partitionBy("case_id", "x", "y")
+    placed = mask.select(*KEY).withColumn("_run", F.col("z") - F.dense_rank().over(along.orderBy("z")))
+    placed = placed.withColumn("z0", F.min("z").over(Window.partitionBy("case_id", "x", "y", "_run"))).drop("_run")
+    placed = stored(placed, "runs")
+    run = placed.groupBy("case_id", "x", "y", "z0").agg(F.max("z").alias("z1"))
     # Edges of one cube come together, so that contraction inside a partition leaves little to join.
     cube = [F.shiftright(F.col(c), 5) for c in "xyz"]
-    edges = with_position(neighbour_edges(mask, offsets), "src")
-    return components(edges.repartition("case_id", *cube).select("case_id", "src", "dst"), nodes)
+    edges = with_position(run_edges(run, ["case_id"], lines, reach), "src").repartition("case_id", *cube)
+    start = voxel_id("x", "y", "z0").alias("node")
+    label = components(edges.select("case_id", "src", "dst"), run.select("case_id", start)).withColumnRenamed("node", "_run")
+    at = placed.withColumn("_run", start)
+    return at.join(label, ["case_id", "_run"]).select("case_id", voxel_id().alias("node"), "x", "y", "z", "comp")
 
 
 def surface(mask: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
