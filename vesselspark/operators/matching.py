@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, running
+from ..plans.cubes import AT_CUBE, by_cubes, in_cube, interpolated, positions
 from ..plans.grid import near_groups, near_pairs, nearest, nearest_growing, nearest_staged
 from ..session import stored
 from .traces import KEYS, POS, direction, resample
@@ -225,28 +229,51 @@ def sample(points: DataFrame, voxels: DataFrame, value: str, ids: Sequence[str],
     if not linear:
         near = points.withColumns({f"v{c}": F.ceil(F.col(c) - 0.5) for c in POS})
         return near.join(vox, ["case_id", "vx", "vy", "vz"], "left").select(*ids, F.coalesce("_v", F.lit(0.0)).alias("v"))
-    base = points.withColumns({f"_b{c}": F.floor(c) for c in POS}).withColumns({f"_f{c}": F.col(c) - F.floor(c) for c in POS})
-    corner = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
-    cut = base.withColumn("_o", F.explode(corner))
-    w = F.lit(1.0)
-    for c, n in zip(POS, "abc"):
-        w = w * F.when(F.col(f"_o.{n}") == 1, F.col(f"_f{c}")).otherwise(1 - F.col(f"_f{c}"))
-    cut = cut.withColumn("_w", w).withColumns({f"v{c}": F.col(f"_b{c}") + F.col(f"_o.{n}") for c, n in zip(POS, "abc")})
-    # Corners without weight need no voxel; a point on a voxel keeps one row.
-    cut = cut.where("_w > 0").select(*ids, *(["case_id"] if "case_id" not in ids else []), "vx", "vy", "vz", "_w")
-    return cut.join(vox, ["case_id", "vx", "vy", "vz"], "left").groupBy(*ids).agg(
-        F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("v")
-    )
+    return _around(points, voxels, value, ids, [(0, 0, 0)])
+
+
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], *more])
+
+
+def _around(points: DataFrame, voxels: DataFrame, value: str, ids: Sequence[str], offsets: list[tuple[int, int, int]]) -> DataFrame:
+    """Mean of the interpolated values at the position of a row plus each of ``offsets``; rows without a position are left out."""
+    rows = points.dropna(subset=list(POS)).select(*ids, *[F.col(c).alias(f"_{c}") for c in POS], *([] if "case_id" in ids else ["case_id"]))
+    rows = rows.withColumns(dict(zip(AT_CUBE, in_cube([F.col(f"_{c}") for c in POS]))))
+
+    def look(table, grid, low):
+        v = interpolated(grid, low, positions(table, [f"_{c}" for c in POS]), offsets) / len(offsets)
+        return table.select(list(ids)).append_column("v", pa.array(v))
+
+    reach = 1 + max(abs(n) for o in offsets for n in o)
+    return by_cubes(rows, voxels, value, reach, look, _schema(points.select(*ids), "v double"))
+
+
+def sample_sets(rows: DataFrame, voxels: DataFrame, value: str, ids: Sequence[str], tag: str) -> DataFrame:
+    """Interpolated values at the positions that a row lists in ``_at``, an array of (``tag`` int, x, y, z): (ids, ``tag``, v).
+
+    A row is sent once to every cube that one of its positions lies in, with the positions there.
+    """
+    cube = lambda p: F.struct(*[e.alias(c) for e, c in zip(in_cube([p[c] for c in POS]), AT_CUBE)])
+    rows = rows.withColumn("_cube", F.explode(F.array_distinct(F.transform("_at", cube))))
+    rows = rows.withColumn("_at", F.filter("_at", lambda p: cube(p) == F.col("_cube")))
+    rows = rows.select(*ids, *([] if "case_id" in ids else ["case_id"]), "_at", *[F.col(f"_cube.{c}").alias(c) for c in AT_CUBE])
+
+    def look(table, grid, low):
+        lists = table["_at"].combine_chunks()
+        each = lists.flatten()
+        at = np.stack([each.field(c).to_numpy(zero_copy_only=False).astype(float) for c in POS], axis=1)
+        row = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        out = table.select(list(ids)).take(pa.array(row))
+        return out.append_column(tag, each.field(tag)).append_column("v", pa.array(interpolated(grid, low, at)))
+
+    return by_cubes(rows, voxels, value, 1, look, _schema(rows.select(*ids), f"`{tag}` int", "v double"))
 
 
 def mean_around(points: DataFrame, voxels: DataFrame, value: str, ids: Sequence[str], half: int = 1, ball: bool = False) -> DataFrame:
     """Mean sampled value over the cube (or ball) of offsets around a point."""
     span = range(-half, half + 1)
-    offs = [(a, b, c) for a in span for b in span for c in span if not ball or a * a + b * b + c * c <= half * half]
-    arr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for i, (a, b, c) in enumerate(offs)])
-    cut = points.withColumn("_o", F.explode(arr)).withColumn("_i", F.col("_o.i"))
-    cut = cut.withColumns({c: F.col(c) + F.col(f"_o.{n}") for c, n in zip(POS, "abc")}).drop("_o")
-    return sample(cut, voxels, value, [*ids, "_i"]).groupBy(*ids).agg(F.avg("v").alias("v"))
+    return _around(points, voxels, value, ids, [(a, b, c) for a in span for b in span for c in span if not ball or a * a + b * b + c * c <= half * half])
 
 
 def profile(points: DataFrame, voxels: DataFrame, value: str, ring: float = 2.0, step: int = 30) -> DataFrame:
@@ -263,18 +290,30 @@ def profile(points: DataFrame, voxels: DataFrame, value: str, ring: float = 2.0,
 
 def radius_from_mask(points: DataFrame, mask: DataFrame, ids: Sequence[str], max_rad: int = 10) -> DataFrame:
     """Grow r until fewer than three of six axis probes lie in the mask; radius = r + inside / 6."""
-    probes = F.array(*[
-        F.struct(F.lit(r).alias("r"), F.lit(r * a).alias("a"), F.lit(r * b).alias("b"), F.lit(r * c).alias("c"))
-        for r in range(1, max_rad) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
-    ])
-    cut = points.withColumn("_o", F.explode(probes)).withColumn("r", F.col("_o.r"))
-    cut = cut.withColumns({f"v{c}": g.voxel(F.col(c) + F.col(f"_o.{n}")) for c, n in zip(POS, "abc")})
-    m = mask.select("case_id", *[F.col(c).alias(f"v{c}") for c in POS], F.lit(1).alias("_in"))
-    per = cut.join(m, ["case_id", "vx", "vy", "vz"], "left").groupBy(*ids, "r").agg(F.count("_in").alias("ct"))
-    stop = F.min(F.when(F.col("ct") < 3, F.struct("r", "ct")))
-    return per.groupBy(*ids).agg(stop.alias("_s")).select(
-        *ids, F.coalesce(F.col("_s.r") + F.col("_s.ct") / 6, F.lit(float(max_rad - 1))).alias("fit_rad")
-    )
+    rows = points.select(*ids, *[F.col(c).cast("double").alias(f"_{c}") for c in POS], *([] if "case_id" in ids else ["case_id"]))
+    rows = rows.withColumns(dict(zip(AT_CUBE, in_cube([F.bround(f"_{c}") for c in POS]))))
+
+    def look(table, grid, low):
+        at = positions(table, [f"_{c}" for c in POS])
+        fine = np.isfinite(at).all(axis=1)
+        at = np.where(fine[:, None], at, (low + max_rad).astype(float))
+        rad, open_ = np.full(len(at), float(max_rad - 1)), np.ones(len(at), dtype=bool)
+        for r in range(1, max_rad):
+            inside = np.zeros(len(at))
+            for axis in range(3):
+                for way in (r, -r):
+                    moved = at.copy()
+                    moved[:, axis] += way
+                    # Halves go to the even voxel, so that a probe may lie one voxel further than its offset.
+                    i = np.rint(moved).astype(np.int64) - low
+                    inside += grid[i[:, 0], i[:, 1], i[:, 2]]
+            inside[~fine] = 0
+            stop = open_ & (inside < 3)
+            rad[stop] = r + inside[stop] / 6
+            open_ &= ~stop
+        return table.select(list(ids)).append_column("fit_rad", pa.array(rad))
+
+    return by_cubes(rows, mask.withColumn("_in", F.lit(1.0)), "_in", max_rad, look, _schema(points.select(*ids), "fit_rad double"))
 
 
 # -- painting ----------------------------------------------------------------------------
