@@ -10,7 +10,7 @@ from ..plans.voxelgrid import with_position
 from ..session import stored
 from . import editing as ed, graph as gr, matching as mt, traces as tr
 from .cutting import intensity_cuts
-from .points import path
+from .points import path_sets
 from .volumes import top_components
 
 BASE = ["case_id", "trace_id", "seq", "x", "y", "z", "rad"]
@@ -34,7 +34,7 @@ def traces_to_tree(points: DataFrame, voxels: DataFrame, r: float = 5.0, most_lo
     p = stored(points, "traces")
     e = stored(mt.ends(p).select("case_id", "trace_id", "end", "last_seq", "seq", "x", "y", "z"), "ends")
     q = mt.as_queries(e, keep=["end"]).dropDuplicates(["case_id", "q_trace_id", "q_end"])
-    near = mt.nearest_per_trace(q.drop("q_end"), p, r)
+    near = mt.nearest_per_trace(q.drop("q_end").distinct(), p, r)
     cand = near.join(q.select("case_id", "q_trace_id", "q_seq", "q_end", "qx", "qy", "qz"), ["case_id", "q_trace_id", "q_seq"])
     cand = cand.join(p.select("case_id", "trace_id", "seq", "x", "y", "z", F.col("rad").alias("t_rad")), ["case_id", "trace_id", "seq"])
     cand = stored(cand, "candidates")
@@ -46,7 +46,7 @@ def traces_to_tree(points: DataFrame, voxels: DataFrame, r: float = 5.0, most_lo
     links = cand.select("case_id", F.col("q_trace_id").alias("trace_a"), F.col("trace_id").alias("trace_b"), "q_end", *[F.col(f"q{c}").alias(f"a{c}") for c in "xyz"], *[F.col(c).alias(f"b{c}") for c in "xyz"])
     links = stored(links, "links")
     bad = mt.crossing_links(links, mt.paint_unique(p))
-    cost = mt.sample(path(links), voxels, "score", ["case_id", "trace_a", "trace_b", "q_end", "k"]).groupBy("case_id", "trace_a", "trace_b", "q_end").agg((1 - F.avg("v")).alias("loss"))
+    cost = mt.sample_sets(path_sets(links), voxels, "score", ["case_id", "trace_a", "trace_b", "q_end"], "k").groupBy("case_id", "trace_a", "trace_b", "q_end").agg((1 - F.avg("v")).alias("loss"))
     scored = cand.withColumnsRenamed({"q_trace_id": "trace_a", "trace_id": "trace_b"}).join(cost, ["case_id", "trace_a", "trace_b", "q_end"]).join(bad, ["case_id", "trace_a", "trace_b"], "left_anti")
     scored = stored(scored.withColumn("loss", F.when(F.col("dist") < 0.1, F.lit(0.0)).otherwise(F.col("loss"))), "scored")
     forest = spanning_forest(scored.select("case_id", F.col("trace_a").alias("src"), F.col("trace_b").alias("dst"), F.col("loss").alias("w")))
@@ -125,7 +125,7 @@ def greedy_links(points: DataFrame, voxels: DataFrame, r: float = 30.0, below: f
     own = mt.nearest_in_trace(back, p, r).select("case_id", "q_id.q_trace_id", "q_id.q_seq", F.col("q_id.t").alias("trace_id"), F.col("seq").alias("own"))
     cand = stored(cand.join(own, ids).where("own = q_seq"), "links")
     link = cand.select(*ids, *[F.col(f"q{c}").alias(f"a{c}") for c in "xyz"], *[f"b{c}" for c in "xyz"])
-    cost = ed.link_costs(mt.sample(path(link), voxels, "score", [*ids, "k"]), ids).select(*ids, "loss")
+    cost = ed.link_costs(mt.sample_sets(path_sets(link), voxels, "score", ids, "k"), ids).select(*ids, "loss")
     name = lambda t, s: F.concat_ws(":", t, s)
     # Both sides go by position, so that an end is the same as a start and as a target.
     c = cand.join(cost, ids).select(

@@ -9,8 +9,8 @@ from ..plans.blocks import BLOCK, neighbours, ranked, running
 from ..plans.graphloop import chain_ranks, components, list_ranks, rooted, shortest_paths, spanning_forest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
-from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample, trace_distance
-from .points import path
+from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample_sets, trace_distance
+from .points import path_sets
 from .traces import KEYS, POS, shifted, with_step
 
 
@@ -254,7 +254,7 @@ def end_links(points: DataFrame, r: float = 10.0, values: DataFrame | None = Non
     if values is None:
         return out.select(*cols)
     links = out.select("case_id", "q_trace_id", "q_end", *[F.col(f"q{c}").alias(f"a{c}") for c in POS], *[F.col(c).alias(f"b{c}") for c in POS])
-    cost = sample(path(links), values, "v", ["case_id", "q_trace_id", "q_end", "k"]).groupBy("case_id", "q_trace_id", "q_end").agg(F.avg("v").alias("cost"))
+    cost = sample_sets(path_sets(links), values, "v", ["case_id", "q_trace_id", "q_end"], "k").groupBy("case_id", "q_trace_id", "q_end").agg(F.avg("v").alias("cost"))
     return out.join(cost, ["case_id", "q_trace_id", "q_end"]).where(F.col("cost") < gate).select(*cols, "cost")
 
 

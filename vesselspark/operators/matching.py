@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, running
 from ..plans.cubes import AT_CUBE, by_cubes, in_cube, interpolated, positions
-from ..plans.grid import near_groups, near_pairs, nearest, nearest_growing, nearest_staged
+from ..plans.grid import near_groups, near_pairs, nearest, nearest_growing, nearest_in_groups, nearest_staged
 from ..session import stored
 from .traces import KEYS, POS, direction, resample
 
@@ -59,10 +59,9 @@ def nearest_per_trace(queries: DataFrame, points: DataFrame, r: float = 5.0) ->
     """Closest point in every other trace within ``r``; points flagged ``linked`` are skipped."""
     if "linked" in points.columns:
         points = points.where(~F.col("linked"))
-    return nearest(
-        queries, points.select(*KEYS, "seq", *POS), r, AT, ["case_id", "q_trace_id", "q_seq"], ["seq"],
-        where=F.col("trace_id") != F.col("q_trace_id"), group=["trace_id"],
-    )
+    return nearest_in_groups(
+        queries, points, r, AT, ["case_id", "q_trace_id", "q_seq"], "seq", group="trace_id", own="q_trace_id", same=False,
+    ).select("case_id", "q_trace_id", "q_seq", "trace_id", "dist", "seq")
 
 
 def nearest_in_trace(queries: DataFrame, points: DataFrame, r: float | None = None) -> DataFrame:
@@ -71,7 +70,7 @@ def nearest_in_trace(queries: DataFrame, points: DataFrame, r: float | None = No
     qid = [*KEYS, "q_id"]
     if r is None:
         return nearest_growing(queries, t, 5.0, AT, qid, ["seq"], keys=KEYS)
-    return nearest(queries, t, r, AT, qid, ["seq"], keys=KEYS, closed=True)
+    return nearest_in_groups(queries, t, r, AT, qid, "seq", group="trace_id", own="trace_id", same=True, closed=True)
 
 
 def trace_distance(points: DataFrame, r: float) -> DataFrame:
@@ -284,8 +283,9 @@ def profile(points: DataFrame, voxels: DataFrame, value: str, ring: float = 2.0,
     r = F.when(F.col("angle") < 0, F.lit(0.0)).otherwise(F.col("rad") * ring)
     t = F.radians(F.col("angle"))
     at = g.cross_section_point(g.vec("dx", "dy", "dz"), g.vec(*POS), r * F.cos(t), r * F.sin(t))
-    moved = cut.select(*KEYS, "seq", "angle", *[e.alias(c) for e, c in zip(at, POS)])
-    return sample(moved, voxels, value, [*KEYS, "seq", "angle"])
+    # Exploded, the position is worked out once and not again in each expression on it.
+    moved = cut.select(*KEYS, "seq", "angle", F.explode(F.array(F.struct(*[e.alias(c) for e, c in zip(at, POS)]))).alias("_p"))
+    return sample(moved.select(*KEYS, "seq", "angle", "_p.*"), voxels, value, [*KEYS, "seq", "angle"])
 
 
 def radius_from_mask(points: DataFrame, mask: DataFrame, ids: Sequence[str], max_rad: int = 10) -> DataFrame:

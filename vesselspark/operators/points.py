@@ -20,6 +20,18 @@ def path(links: DataFrame) -> DataFrame:
     return out.withColumns({c: p + (q - p) * f for c, p, q in zip("xyz", a, b)}).drop("_n")
 
 
+def path_sets(links: DataFrame) -> DataFrame:
+    """The points of ``path`` as one array (k, x, y, z) a link, ``_at``."""
+    a, b = g.vec("ax", "ay", "az"), g.vec("bx", "by", "bz")
+    n = F.floor(g.dist(a, b))
+
+    def spot(k):
+        f = F.when(k == n, F.lit(1.0)).otherwise(k / F.greatest(n, F.lit(1)))
+        return F.struct(k.cast("int").alias("k"), *[(p + (q - p) * f).alias(c) for c, p, q in zip("xyz", a, b)])
+
+    return links.withColumn("_at", F.transform(F.sequence(F.lit(0).cast("bigint"), n), spot))
+
+
 RTM = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)] + ["t1", "t2", "t3"]
 
 

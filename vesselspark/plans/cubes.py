@@ -55,6 +55,8 @@ def by_cubes(
     # Cubes without rows are left out before they are sent.
     wanted = rows.select(*on).distinct()
     vox = vox.join(wanted, on, "left_semi")
+    # Both sides may stem from one frame: named anew, their columns are told apart.
+    rows, vox = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (rows, vox))
     return rows.groupBy(*on).cogroup(vox.groupBy(*on)).applyInArrow(run, schema)
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 XYZ = ("x", "y", "z")
@@ -11,6 +14,10 @@ XYZ = ("x", "y", "z")
 CELL_ROWS = 200_000
 # A list of crowded cells is broadcast only up to this many rows.
 BROADCAST_ROWS = 100_000
+# Distances that a task holds at once.
+PAIRS = 1 << 20
+# Boxes' cells along the edge of a cell in which boxes meet.
+WIDE = 8
 
 
 def distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -27,7 +34,7 @@ def reach(df: DataFrame, at: Sequence[str], r: float, cell: float) -> DataFrame:
     return df
 
 
-def _split_crowded(queries: DataFrame, targets: DataFrame, on: list[str], limit: int):
+def _split_crowded(queries: DataFrame, targets: DataFrame, on: list[str], limit: int, salt: str = "_salt"):
     crowded = (
         targets.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
         .select(*on, F.ceil(F.col("_n") / limit).alias("_pieces"))
@@ -39,12 +46,12 @@ def _split_crowded(queries: DataFrame, targets: DataFrame, on: list[str], limit:
         crowded = F.broadcast(crowded)
     pieces = F.coalesce("_pieces", F.lit(1))
     targets = targets.join(crowded, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*targets.columns), pieces)
+        salt, F.pmod(F.xxhash64(*targets.columns), pieces)
     ).drop("_pieces")
     queries = queries.join(crowded, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))
+        salt, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1))
     ).drop("_pieces")
-    return queries, targets, [*on, "_salt"]
+    return queries, targets, [*on, salt]
 
 
 def near_pairs(
@@ -153,6 +160,96 @@ def nearest_growing(
     return done
 
 
+def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    d = q[:, None, :] - t[None, :, :]
+    return np.sqrt(d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1] + d[:, :, 2] * d[:, :, 2])
+
+
+def nearest_in_groups(
+    queries: DataFrame,
+    targets: DataFrame,
+    r: float,
+    at: Sequence[str],
+    qid: Sequence[str],
+    tie: str,
+    group: str,
+    own: str,
+    same: bool,
+    keys: Sequence[str] = ("case_id",),
+    closed: bool = False,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """The closest target of each query in every ``group`` but its ``own`` one, or (``same``) in its own only: (qid, group, dist, tie).
+
+    Queries are distinct by ``qid``.  Of equally close targets the one with the least ``tie`` counts.  A query stays in its cell and targets are copied to the cells
+    that their ball touches, so a query meets all its targets in one place; there the distances are numpy
+    arrays of bounded size, and no pair is a row.  Cells with too many targets or queries are split.
+    """
+    cell = 3.0 * r
+    cells = [f"_c{c}" for c in XYZ]
+    finite = lambda names: reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in names])
+    q = queries.where(finite(at)).select(*dict.fromkeys([*keys, *qid, own]), *[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(at)])
+    q = q.withColumns({c: F.floor(F.col(f"_q{i}") / cell) for i, c in enumerate(cells)})
+    t = targets.where(finite(XYZ)).select(*keys, *XYZ, F.col(group).alias("_group"), F.col(tie).alias("_tie"))
+    t = reach(t, XYZ, r, cell).withColumns({c: F.col(c).cast("double") for c in XYZ})
+    on = [*keys, *cells]
+    q, t, on = _split_crowded(q, t, on, cell_rows)
+    parts = "_salt" in on
+    # A query may find a row in each group, so that fewer of them make up a piece.
+    t, q, on = _split_crowded(t, q, on, max(1, cell_rows // 10), "_part")
+    qid, spot = list(qid), [f"_q{i}" for i in range(3)]
+    types = {f.name: f.dataType.simpleString() for f in q.schema} | {f.name: f.dataType.simpleString() for f in t.schema}
+    # The group's column may be named like a query column: it is set apart until the end.
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in qid], f"_group {types['_group']}", "dist double", f"_tie {types['_tie']}"])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by([("_group", "ascending"), ("_tie", "ascending")])
+        take, put, dist = [], [], []
+        if left.num_rows and right.num_rows:
+            tp = np.stack([right[c].to_numpy() for c in XYZ], axis=1)
+            qp = np.stack([left[c].to_numpy() for c in spot], axis=1)
+            names = right["_group"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            stop = np.append(start[1:], len(names))
+            mine = left[own].to_numpy()
+            near = (lambda d: d <= r) if closed else (lambda d: d < r)
+            if same:
+                order = np.argsort(mine, kind="stable")
+                lo, hi = np.searchsorted(mine[order], names[start], "left"), np.searchsorted(mine[order], names[start], "right")
+                jobs = [(order[a:b], s, e) for a, b, s, e in zip(lo, hi, start, stop) if b > a]
+            else:
+                jobs = [(np.arange(len(qp)), 0, len(tp))]
+            for rows, s, e in jobs:
+                step = max(1, PAIRS // (e - s))
+                for k in range(0, len(rows), step):
+                    some = rows[k:k + step]
+                    d = _distances(qp[some], tp[s:e])
+                    if same:
+                        best = d.argmin(axis=1)
+                        least = d[np.arange(len(some)), best]
+                        ok = np.flatnonzero(near(least))
+                        take.append(some[ok]), put.append(s + best[ok]), dist.append(least[ok])
+                    else:
+                        least = np.minimum.reduceat(d, start, axis=1)
+                        ok = near(least) & (names[start][None, :] != mine[some][:, None])
+                        first = np.where(d == np.repeat(least, stop - start, axis=1), np.arange(e - s), e - s)
+                        first = np.minimum.reduceat(first, start, axis=1)
+                        i, j = np.nonzero(ok)
+                        take.append(some[i]), put.append(first[i, j]), dist.append(least[i, j])
+        whole = lambda parts_, kind: np.concatenate(parts_) if parts_ else np.empty(0, kind)
+        out = left.select(qid).take(pa.array(whole(take, np.int64)))
+        hit = right.select(["_group", "_tie"]).take(pa.array(whole(put, np.int64)))
+        return out.append_column("_group", hit["_group"]).append_column("dist", pa.array(whole(dist, float))).append_column("_tie", hit["_tie"])
+
+    # Both sides may stem from one frame: named anew, their columns are told apart.
+    q, t = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (q, t))
+    out = q.groupBy(*on).cogroup(t.groupBy(*on)).applyInArrow(run, schema)
+    if parts:  # targets of one cell stood in several pieces
+        out = out.groupBy(*qid, "_group").agg(F.min(F.struct("dist", "_tie")).alias("_m")).select(*qid, "_group", "_m.*")
+    names = [] if group in qid else [F.col("_group").alias(group)]
+    return out.select(*qid, *names, "dist", F.col("_tie").alias(tie))
+
+
 def near_groups(
     queries: DataFrame,
     targets: DataFrame,
@@ -163,32 +260,50 @@ def near_groups(
 ) -> DataFrame:
     """Groups of queries (distinct ``keys`` and ``group``) with a row nearer than ``r`` to some target.
 
-    Targets are summed up in boxes, one for each cell of half the radius.  A query that is
-    nearer than ``r`` to all of a box settles its group, one that is farther from all of it
-    is done with the box; only boxes in between are opened, for groups that are still open.
-    No pair of query and target is made for the others.
+    Both sides are summed up in boxes, one for each cell of half the radius (and group).  Two boxes that are
+    nearer than ``r`` throughout settle the group, two that are farther apart are done; only
+    boxes in between are opened, for groups that are still open: first the queries against the other box, then
+    point by point.  Boxes meet in cells of four radii, so that a target's box is sent once and a query's to a few.
     """
     from ..session import stored
 
     side = r / 2.0
-    cell = [f"_t{c}" for c in XYZ]
-    here = [f"_c{c}" for c in XYZ]
+    tcell, qcell, here = [f"_t{c}" for c in XYZ], [f"_q{c}" for c in XYZ], [f"_c{c}" for c in XYZ]
     group = [*keys, *[c for c in group if c not in keys]]
-    placed = targets.select(*keys, *XYZ).withColumns({t: F.floor(F.col(c) / side) for t, c in zip(cell, XYZ)})
-    boxes = placed.groupBy(*keys, *cell).agg(*[f(c).alias(f"_{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))])
-    for h, t in zip(here, cell):
-        boxes = boxes.withColumn(h, F.explode(F.sequence(F.col(t) - 2, F.col(t) + 2)))
-    q = queries.select(*group, *[c for c in at if c not in group]).withColumns({h: F.floor(F.col(c) / side) for h, c in zip(here, at)})
-    near, far = F.lit(0.0), F.lit(0.0)
-    for a, c in zip(at, XYZ):
-        out = F.greatest(F.col(f"_lo{c}") - F.col(a), F.col(a) - F.col(f"_hi{c}"), F.lit(0.0))
-        most = F.greatest(F.col(f"_hi{c}") - F.col(a), F.col(a) - F.col(f"_lo{c}"))
-        near, far = near + out * out, far + most * most
-    # A margin keeps rounding out of the bounds: what is close to them is looked at point by point.
-    met = q.join(boxes, [*keys, *here]).withColumns({"_near": F.sqrt(near), "_sure": F.sqrt(far) < r * (1 - 1e-9)})
-    met = stored(met.where(F.col("_near") < r * (1 + 1e-9)).select(*group, *[c for c in at if c not in group], *cell, "_sure"), "boxes-met")
+    # A position that is not finite is near to nothing, and has no place in a box.
+    finite = lambda names: reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in names])
+    limits = lambda names, tag: [f(n).alias(f"_{tag}{k}{c}") for n, c in zip(names, XYZ) for k, f in (("lo", F.min), ("hi", F.max))]
+    placed = targets.where(finite(XYZ)).select(*keys, *XYZ).withColumns({t: F.floor(F.col(c) / side) for t, c in zip(tcell, XYZ)})
+    boxes = placed.groupBy(*keys, *tcell).agg(*limits(XYZ, "t")).withColumns({h: F.floor(F.col(t) / WIDE) for h, t in zip(here, tcell)})
+    asked = queries.where(finite(at)).select(*group, *[F.col(a).alias(f"_a{c}") for a, c in zip(at, XYZ)])
+    spots = [f"_a{c}" for c in XYZ]
+    asked = asked.withColumns({q: F.floor(F.col(a) / side) for q, a in zip(qcell, spots)})
+    mine = asked.groupBy(*group, *qcell).agg(*limits(spots, "q"))
+    for h, c in zip(here, XYZ):
+        # A little more on both sides keeps rounding out of the reach.
+        low, high = F.floor((F.col(f"_qlo{c}") - r * (1 + 1e-6)) / side), F.floor((F.col(f"_qhi{c}") + r * (1 + 1e-6)) / side)
+        mine = mine.withColumn(h, F.explode(F.sequence(F.floor(low / WIDE), F.floor(high / WIDE))))
+
+    def bounds(low, high):
+        near, far = F.lit(0.0), F.lit(0.0)
+        for c in XYZ:
+            out = F.greatest(F.col(f"_tlo{c}") - F.col(high + c), F.col(low + c) - F.col(f"_thi{c}"), F.lit(0.0))
+            most = F.greatest(F.col(f"_thi{c}") - F.col(low + c), F.col(high + c) - F.col(f"_tlo{c}"))
+            near, far = near + out * out, far + most * most
+        # A margin keeps rounding out of the bounds: what is close to them is looked at point by point.
+        return F.sqrt(near) < r * (1 + 1e-9), F.sqrt(far) < r * (1 - 1e-9)
+
+    edge = [f"_t{k}{c}" for c in XYZ for k in ("lo", "hi")]
+    maybe, surely = bounds("_qlo", "_qhi")
+    met = mine.join(boxes, [*keys, *here]).where(maybe).withColumn("_sure", surely)
+    met = stored(met.select(*group, *qcell, *tcell, *edge, "_sure"), "boxes-met")
     sure = met.where("_sure").select(*group).distinct()
-    open_ = met.join(sure, group, "left_anti").drop("_sure")
-    dist = distance([F.col(c) for c in at], [F.col(c) for c in XYZ])
-    looked = open_.join(placed, [*keys, *cell]).where(dist < r).select(*group).distinct()
-    return sure.unionByName(looked)
+    open_ = met.where("not _sure").drop("_sure").join(sure, group, "left_anti")
+    maybe, surely = bounds("_a", "_a")
+    met = open_.join(asked, [*group, *qcell]).where(maybe).select(*group, *spots, *tcell, surely.alias("_sure"))
+    met = stored(met, "boxes-opened")
+    also = met.where("_sure").select(*group).distinct()
+    rest = met.where("not _sure").drop("_sure").join(also, group, "left_anti")
+    dist = distance([F.col(c) for c in spots], [F.col(c) for c in XYZ])
+    looked = rest.join(placed, [*keys, *tcell]).where(dist < r).select(*group).distinct()
+    return sure.unionByName(also).unionByName(looked)
