@@ -69,10 +69,8 @@ def mask_personal_data(spark, docs, sf_dir):
 
 
 def encode_tokens(spark, docs, sf_dir):
-    path = bpe.default_path()
-    tokens = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return tokens.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
+    tokens = bpe.round_trips(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
+    return tokens.select("doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [

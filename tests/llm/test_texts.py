@@ -79,6 +79,31 @@ def test_ids_and_text_equal_the_library(spark, library):
     assert bpe.encode(docs.limit(0), path).count() == 0
 
 
+def test_round_trips_in_one_pass(spark, library):
+    path, _ = library
+    texts = [None, "", " a\n", "caf\u00e9 <|endoftext|>", "\U0001f600 ab" * 40, "x\u0301 y"]
+    docs = frame(spark, texts)
+    want = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    got = bpe.round_trips(docs, path)
+    assert got.columns == ["doc_id", "n_words", "spans", "token_ids", "n_tokens", "round_trip"]
+    for r in got.collect():
+        w = want[r["doc_id"]]
+        assert (r["token_ids"], r["n_tokens"], r["round_trip"]) == (w["token_ids"], w["n_tokens"], w["decoded"] == (w["text"] or ""))
+    assert got.count() == len(texts) and bpe.round_trips(docs.limit(0), path).count() == 0
+
+
+def test_stages_of_the_pipeline_run_one_python_worker_a_task(spark):
+    """Workers that feed each other in one stage all stay in an executor's memory."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b", "aa", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    spans = f"array<{pii.SPAN}>"
+    found = docs.withColumns({"spans": F.array().cast(spans), "base_spans": F.array().cast(spans)})
+    for df in (corpus_pipeline.encode_tokens(spark, docs, ""), pii.redact(found)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert pii.redact(found).columns == docs.columns
+
+
 def test_forgetting_pieces_changes_nothing(library, monkeypatch):
     vocab = bpe.vocabulary(library[0])
     texts = ["the quick brown fox", "the slow brown ox", "quick quick"]

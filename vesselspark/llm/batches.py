@@ -41,14 +41,14 @@ def chunks(batch: pa.RecordBatch, columns: list[int], most: int = CHUNK_BYTES) -
     yield batch.slice(start)
 
 
-def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str]], factory: Callable, keep: bool = True, chunk: int = CHUNK_BYTES) -> DataFrame:
+def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str]], factory: Callable, keep: bool = True, chunk: int = CHUNK_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with the columns that a Python function makes of ``inputs``.
 
     ``factory()`` runs once in each task and returns a function from lists (one
     per input, in row order) to lists (one per field). Rows stay where they are.
-    A field takes the place of a column of the same name.
+    A field takes the place of a column of the same name; columns in ``drop`` are read but not sent back.
     """
-    names = {n.lower() for n, _ in fields}
+    names = {n.lower() for n in (*drop, *(n for n, _ in fields))}
     kept = [f for f in docs.schema.fields if keep and f.name.lower() not in names]
     at = {f.name.lower(): i for i, f in enumerate(kept)}
     extra, where = [], []
@@ -72,5 +72,9 @@ def with_columns(docs: DataFrame, inputs: list[str], fields: list[tuple[str, str
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:width], *(pa.array(m, t) for m, t in zip(made, types, strict=True))], names=out_names
                 )
+                del made
+        # A worker serves further tasks: what Arrow keeps of this one goes back to the system.
+        whole = batch = work = None
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], *extra).mapInArrow(run, schema)

@@ -213,6 +213,25 @@ def decode(tokens: DataFrame, vocabulary_path: str, ids_col: str = "token_ids")
     return with_columns(tokens, [ids_col], [("decoded", "string")], start)
 
 
+def round_trips(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``, whether the ids decode to the text, in place of the text.
+
+    What ``decode`` makes of ``encode``, in one pass: one Python worker a task, and no text is sent back.
+    """
+
+    def start():
+        encoder = Encoder(vocabulary(vocabulary_path))
+
+        def work(texts):
+            ids = encoder.encode(texts)
+            return [ids, [len(x) // 4 for x in ids], [encoder.decode(x) == (t or "").encode() for x, t in zip(ids, texts)]]
+
+        return work
+
+    fields = [("token_ids", "binary"), ("n_tokens", "long"), ("round_trip", "boolean")]
+    return with_columns(docs, [text_col], fields, start, drop=(text_col,))
+
+
 def digests(docs: DataFrame, vocabulary_path: str, text_col: str = "text") -> DataFrame:
     """Encodes and decodes in one pass and keeps the digests only."""
 

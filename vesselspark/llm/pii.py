@@ -193,7 +193,7 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
         def work(texts, spans):
             out = []
             for text, own in zip(texts, spans):
-                for s in sorted(own, key=lambda s: s["start"], reverse=True) if own else ():
+                for s in reversed(apart(own)):
                     text = f"{text[:s['start']]}<{s['kind'].upper()}>{text[s['end']:]}"
                 out.append(text)
             return [out]
@@ -201,27 +201,25 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
         return work
 
     order = found.drop("base_spans", "spans").columns
-    spans = disjoint(found)
-    return with_columns(spans, [text_col, "spans"], [(text_col, "string")], start).select(*[F.col(f"`{c}`") for c in order])
+    return with_columns(found, [text_col, "spans"], [(text_col, "string")], start, drop=("base_spans", "spans")).select(*[F.col(f"`{c}`") for c in order])
+
+
+def apart(own: list[dict] | None) -> list[dict]:
+    """Spans of one text by their start; those that overlap are one of the first kind."""
+    kept: list[dict] = []
+    for s in sorted(own or (), key=lambda s: (s["start"], -s["end"])):
+        if kept and s["start"] < kept[-1]["end"]:
+            kept[-1]["end"] = max(kept[-1]["end"], s["end"])
+        else:
+            kept.append(dict(s))
+    return kept
 
 
 def disjoint(found: DataFrame) -> DataFrame:
     """Spans of different kinds that overlap are joined into one of the first kind."""
 
     def start():
-        def work(spans):
-            out = []
-            for own in spans:
-                kept: list[dict] = []
-                for s in sorted(own or (), key=lambda s: (s["start"], -s["end"])):
-                    if kept and s["start"] < kept[-1]["end"]:
-                        kept[-1]["end"] = max(kept[-1]["end"], s["end"])
-                    else:
-                        kept.append(dict(s))
-                out.append(kept)
-            return [out]
-
-        return work
+        return lambda spans: [[apart(own) for own in spans]]
 
     return with_columns(found, ["spans"], [("spans", f"array<{SPAN}>")], start)
 
