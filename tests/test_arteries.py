@@ -90,3 +90,13 @@ def test_arteries_of_all_kinds(spark):
     assert way[4] == x(-30, *range(30)) + [(29.0, float(i), 0.0) for i in range(1, 21)] + [(29.0, 20.0, 0.0)]
     assert set(way) == {1, 2, 3, 4}
     assert math.isclose(sum(math.dist(a, b) for a, b in zip(way[3], way[3][1:])), 36.0)
+
+
+def test_an_end_that_also_lies_on_the_first_trace_is_reached_by_the_shortest_path(spark):
+    """The query's SQL knows no rule for two targets on one trace, and a position may lie on several."""
+    from vesselspark.catalog.graphs import select_artery as query
+
+    bend = line((0, 0, 0), (1, 0, 0), 10) + line((9, 1, 0), (0, 1, 0), 2) + line((9, 3, 0), (-1, 0, 0), 10)
+    rows = [(1, t, i, *map(float, p), 1.0) for t, pts in enumerate([bend, line((0, 8, 0), (0, -1, 0), 6)]) for i, p in enumerate(pts)]
+    (row,) = query(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert row["length"] == 3.0

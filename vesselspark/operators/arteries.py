@@ -75,13 +75,13 @@ def matched_targets(points: DataFrame, targets: DataFrame, near: float, inner: f
 
 def select_artery(
     points: DataFrame, targets: DataFrame, near: float = 12.0, inner: float = 8.0, most: float = 101.0, step: float = 3.0,
-    gaps: Sequence[float] = tuple(float(v) for v in range(10, 101, 10)), detour: float = 1.5,
+    gaps: Sequence[float] = tuple(float(v) for v in range(10, 101, 10)), detour: float = 1.5, same_trace: bool = True,
 ) -> DataFrame:
     """The artery between two targets of a case as a trace: (case_id, seq, x, y, z, rad).
 
     ``targets(case_id, which, qx, qy, qz)``: 0 the head, 1 the end; 2 and 3, which may be missing, lie inside
     the artery near the end and near the head.  Targets are matched to points (``matched_targets``); if both
-    are on one trace, that trace is taken.  Else the shortest path over the traces and over
+    are on one trace, that trace is taken (unless ``same_trace`` is false).  Else the shortest path over the traces and over
     links from each trace end to the nearest point of every other trace is taken, with the least reach of ``gaps`` that
     connects the two.  From an inner target the path goes on to the outer one if that takes less than
     ``detour`` times the straight way.  The trace is trimmed to the points nearest to the head
@@ -92,7 +92,7 @@ def select_artery(
     side = matched_targets(p, targets, near, inner, most, step)
     pick = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c))).alias(f"{c}{k}")
     both = stored(side.groupBy("case_id").agg(*[pick(k, c) for k in (0, 1) for c in ("node", "trace_id", "inner")]).where("node0 is not null and node1 is not null"), "sides")
-    alone = both.where("trace_id0 = trace_id1 and not inner0 and not inner1").select("case_id", F.col("trace_id0").alias("trace_id"))
+    alone = both.where(F.lit(same_trace) & F.expr("trace_id0 = trace_id1 and not inner0 and not inner1")).select("case_id", F.col("trace_id0").alias("trace_id"))
     whole = p.join(alone, KEYS).select("case_id", "seq", *POS, "rad")
     search = both.join(alone, "case_id", "left_anti")
     # Legs: 1 between the matched points, 0 and 2 from an inner match to the outer target.
