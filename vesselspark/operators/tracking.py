@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.blocks import BLOCK, neighbours
 from ..plans.grid import near_pairs
-from ..session import stored
+from ..session import forget, stored
 from .matching import AT
 from .traces import KEYS, POS
 
@@ -38,43 +38,67 @@ def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def turns(cand: DataFrame) -> DataFrame:
+    """Round in which each vessel is matched (case_id, g, turn): after every earlier vessel that shares a candidate point.
+
+    Around a point each vessel waits for the one before it there, so rivals are no pairs of candidates.
+    """
+    around = Window.partitionBy("case_id", "p", "pseq").orderBy("g")
+    rivals = cand.select("case_id", "p", "pseq", "g").distinct().select(*GT, F.lag("g").over(around).alias("_before"))
+    rivals = stored(rivals.where("_before is not null").distinct(), "rivals")
+    open_ = stored(cand.select(*GT).distinct(), "open")
+    out, turn = open_.withColumn("turn", F.lit(0)).limit(0), 0
+    while not open_.isEmpty():  # the first vessel left is always ready
+        now = stored(open_.join(rivals.select(*GT).distinct(), GT, "left_anti"), "turns")
+        turn += 1
+        out = now.withColumn("turn", F.lit(turn)) if turn == 1 else out.unionByName(now.withColumn("turn", F.lit(turn)))
+        held = (rivals, open_)
+        rivals = stored(rivals.join(now.withColumnRenamed("g", "_before"), ["case_id", "_before"], "left_anti"), "rivals")
+        open_ = stored(open_.join(now, GT, "left_anti"), "open")
+        for old in held:
+            forget(old)
+    return stored(out, "turns")
+
+
 def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Match vessel points to traced points nearer than their radius + 1.
 
     ``vessels(case_id, g, seq, x, y, z, rad)``; vessels are taken in the order of ``g``, and
     traced points linked by an earlier vessel are not offered again.  Vessels that share no
     candidate point do not depend on each other, so each round handles every vessel whose
-    earlier rivals are done.  Returns (assignment, matched traced points, linked traced points).
+    earlier rivals are done.  Candidates are written once, in the order of their rounds, and a round reads
+    its own.  Returns (assignment, matched traced points, linked traced points).
     """
     q = vessels.select(*GT, F.col("seq").alias("gseq"), F.col("rad").alias("q_rad"), *[F.col(c).alias(f"q{c}") for c in POS])
     t = traced.select("case_id", F.col("trace_id").alias("p"), F.col("seq").alias("pseq"), *POS)
-    cand = near_pairs(q, t, F.col("q_rad") + 1, AT, cell=cell).select(*GT, "gseq", "p", "pseq", "dist")
-    left = stored(cand, "candidates")
+    cand = stored(near_pairs(q, t, F.col("q_rad") + 1, AT, cell=cell).select(*GT, "gseq", "p", "pseq", "dist"), "pairs")
+    turn = turns(cand)
+    ordered = stored(cand.join(turn, GT).sortWithinPartitions("turn"), "candidates")
+    forget(cand)
     assigned = matched = linked = None
-    while True:  # the first vessel left is always ready
-        first = left.groupBy("case_id", "p", "pseq").agg(F.min("g").alias("_g"))
-        waiting = left.join(first, ["case_id", "p", "pseq"]).where("g > _g").select(*GT).distinct()
-        now = stored(left.join(waiting, GT, "left_anti"), "ready")
-        if not now.limit(1).count():
-            break
+    for k in range(1, (turn.agg(F.max("turn")).first()[0] or 0) + 1):
+        now = ordered.where(F.col("turn") == k).drop("turn")
+        if linked is not None:
+            now = now.join(linked, ["case_id", "p", "pseq"], "left_anti")
         best = now.groupBy(*GT, "gseq", "p").agg(F.min(F.struct("dist", "pseq")).alias("m")).select(*GT, "gseq", "p", "m.*")
         best = stored(best, "best")
         sig = best.groupBy(*GT, "gseq").agg(F.sort_array(F.collect_set("p")).alias("sig"))
         sets = sig.groupBy(*GT, "sig").agg(F.count("*").alias("n"), F.min("gseq").alias("first_seq"))
         picks = sets.groupBy(*GT).applyInPandas(_cover, "case_id long, g long, p long, ord long")
         hit = stored(best.join(picks, [*GT, "p"], "left"), "hits")
+        forget(best)
         took = hit.where("ord is not null")
         a = took.groupBy(*GT, "gseq").agg(F.max(F.struct("ord", "p", "dist")).alias("m")).select(*GT, "gseq", "m.p", "m.dist")
         m = hit.select("case_id", "p", "pseq")
-        lk = took.select("case_id", "p", "pseq").distinct()
+        lk = took.select("case_id", "p", "pseq")
         assigned = a if assigned is None else assigned.unionByName(a)
         matched = m if matched is None else matched.unionByName(m)
         linked = lk if linked is None else linked.unionByName(lk)
-        done = now.select(*GT).distinct()
-        left = stored(left.join(done, GT, "left_anti").join(lk, ["case_id", "p", "pseq"], "left_anti"), "candidates")
+    forget(ordered)
     if assigned is None:
-        empty = best = left.select("case_id", "p", "pseq").limit(0)
-        return left.select(*GT, "gseq", "p", "dist").limit(0), empty, empty
+        none = t.join(vessels.select(*GT, F.col("seq").alias("gseq"), F.lit(0.0).alias("dist")), "case_id").limit(0)
+        empty = none.select("case_id", "p", "pseq")
+        return none.select(*GT, "gseq", "p", "dist"), empty, empty
     return stored(assigned, "assigned"), stored(matched.distinct(), "matched"), stored(linked.distinct(), "linked")
 
 
