@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, ranked, running
+from ..plans.casework import by_size, exchanges, in_cases
 from ..session import stored
 from .matching import AT, VOX, _balls, ends, nearest_in_trace
 from .traces import KEYS, POS
@@ -179,10 +180,22 @@ def transfer(points: DataFrame, mode: str = "length", degree: Callable[[DataFram
     them anew in every round.
 
     In a round a trace takes part in one exchange only: the decision with the lowest
-    (trace, end) wins; a junction position is handled once.
+    (trace, end) wins; a junction position is handled once.  By length, cases with few enough points go through
+    their rounds inside a task each.
     """
     cols = points.columns
     pts = stored(points, "traces")
+    if mode != "length":
+        return _transfer_rounds(pts, mode, degree)
+    small, large = by_size(pts)
+    spot = small.withColumn("_spot", F.to_json(g.position_cells(g.vec(*POS))))
+    done = in_cases(spot, exchanges, ", ".join(f"`{c}` {t}" for c, t in pts.dtypes if c != "case_id")).select(cols)
+    return done if large is None else done.unionByName(_transfer_rounds(stored(pts.join(large, "case_id", "left_semi").select(cols), "traces"), mode))
+
+
+def _transfer_rounds(pts: DataFrame, mode: str, degree: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``transfer`` in rounds of joins."""
+    cols = pts.columns
     seen = None
     while True:
         d = transfer_decisions(pts, mode, degree(pts) if degree else None).where("piece is not null")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import forget, stored
+from .casework import by_size, forest as case_forest, hops as case_hops, in_cases, least_reached, parents, stars, ways
 
 STAR_ROWS = 200_000
 
@@ -28,15 +29,7 @@ def _stars(batches):
         uniq = both.drop_duplicates().sort_values(["case_id", "v"], ignore_index=True)
         code = both.merge(uniq.reset_index(), how="left", on=["case_id", "v"])["index"].to_numpy()
         a, b = code[:n], code[n:]
-        root = np.arange(len(uniq))
-        while True:
-            before = root.copy()
-            low = np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (root == before).all():
-                break
+        root = least_reached(a, b, len(uniq))
         node = uniq["v"].to_numpy()
         out = pd.DataFrame({"case_id": uniq["case_id"].to_numpy(), "u": node, "v": node[root]})
         return out[out["u"] != out["v"]]
@@ -60,7 +53,8 @@ def _mark(df: DataFrame) -> tuple:
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """Connected components: (case_id, node, comp), ``comp`` = least node.
 
-    Edges are first contracted batch by batch inside their partitions, then large-star
+    Edges are first contracted batch by batch inside their partitions.  Cases with few enough edges left
+    are finished in a task each; in the others large-star
     and small-star steps alternate until nothing changes.  Only minima are grouped, so a
     node with many edges is aggregated before the shuffle.
     """
@@ -70,6 +64,20 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     schema = e.schema
     e = e.where("u <> v").mapInPandas(_stars, schema).distinct()
     e = stored(e, "stars")
+    small, large = by_size(e)
+    done = stored(in_cases(small, stars, "u bigint, v bigint"), "stars")
+    if large is not None:
+        done = done.unionByName(_star_rounds(stored(e.join(large, "case_id", "left_semi"), "stars"), max_rounds))
+    label = done.select("case_id", F.col("u").alias("node"), F.col("v").alias("comp"))
+    if nodes is None:
+        nodes = edges.select("case_id", F.col("src").alias("node")).unionByName(
+            edges.select("case_id", F.col("dst").alias("node"))
+        ).distinct()
+    return nodes.join(label, ["case_id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _star_rounds(e: DataFrame, max_rounds: int) -> DataFrame:
+    """Large-star and small-star steps on (case_id, u, v), u > v, until every node's edge leads to the least one."""
     seen = _mark(e)
     for _ in range(max_rounds):
         sym = e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -82,16 +90,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         e = stored(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "stars")
         now = _mark(e)
         if now == seen:
-            break
+            return e
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    label = e.select("case_id", F.col("u").alias("node"), F.col("v").alias("comp"))
-    if nodes is None:
-        nodes = edges.select("case_id", F.col("src").alias("node")).unionByName(
-            edges.select("case_id", F.col("dst").alias("node"))
-        ).distinct()
-    return nodes.join(label, ["case_id", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
+    raise RuntimeError("components did not settle")
 
 
 def both_ways(edges: DataFrame, weight: str) -> DataFrame:
@@ -137,6 +138,29 @@ def shortest_paths(
     return best.withColumn("hops", F.size("path") - 1)
 
 
+def distances_within(edges: DataFrame, pairs: DataFrame, weight: str = "w") -> DataFrame:
+    """Least way between the nodes of each pair, if it is not above the pair's ``most``: (case_id, source, node, dist).
+
+    ``pairs(case_id, source, node, most)``.  A case with few enough edges and pairs is searched in one task, from
+    each source no farther than its greatest ``most`` or its last goal; larger ones go through ``shortest_paths``.
+    """
+    ask = pairs.where("source is not null and node is not null and most is not null").groupBy("case_id", "source", "node").agg(F.max("most").alias("w"))
+    ask = stored(ask.select("case_id", F.col("source").alias("u"), F.col("node").alias("v"), F.col("w").cast("double").alias("w"), F.lit(True).alias("ask")), "asked")
+    e = edges.where("src <> dst").select("case_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.col(weight).cast("double").alias("w"), F.lit(False).alias("ask"))
+    e = stored(e.join(ask.select("case_id").distinct(), "case_id", "left_semi"), "ways")
+    small, large = by_size(e.unionByName(ask))
+    done = in_cases(small, ways, "source bigint, node bigint, dist double")
+    if large is not None:
+        # A path is a row that grows with its length; so these are searched no farther than any pair needs.
+        rest = ask.join(large, "case_id", "left_semi")
+        top = float(rest.agg(F.max("w")).first()[0] or 0.0)
+        some = e.join(large, "case_id", "left_semi").select("case_id", F.col("u").alias("src"), F.col("v").alias("dst"), "w")
+        far = shortest_paths(some, rest.select("case_id", F.col("u").alias("source")), limit=top).select("case_id", "source", "node", "dist")
+        done = done.unionByName(far.join(rest.select("case_id", F.col("u").alias("source"), F.col("v").alias("node")), ["case_id", "source", "node"], "left_semi"))
+    wanted = ask.select("case_id", F.col("u").alias("source"), F.col("v").alias("node"), "w")
+    return done.join(wanted, ["case_id", "source", "node"]).where("dist <= w").drop("w")
+
+
 def paths_to_goals(edges: DataFrame, pairs: DataFrame, weight: str = "w", width: float | None = None) -> DataFrame:
     """Shortest path of every pair: (case_id, pair, place, node, dist), place 0 at the source.
 
@@ -185,9 +209,22 @@ def paths_to_goals(edges: DataFrame, pairs: DataFrame, weight: str = "w", width:
 def fewest_hops(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Paths of fewest edges from many sources: (case_id, source, node, hops, path).
 
-    Breadth first: a neighbour of level k lies in level k - 1, k or k + 1, so a round only
-    compares with the last two levels.  Equal lengths resolve to the smaller node list.
+    Cases with few enough edges are searched in a task each, the others in rounds.  Equal lengths resolve to the
+    smaller node list.
     """
+    e = edges.where("src <> dst").select("case_id", F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v"))
+    ask = stored(sources.select("case_id", F.col("source").cast("bigint").alias("u")).distinct().withColumn("v", F.lit(None).cast("bigint")), "sources")
+    e = stored(e.join(ask.select("case_id").distinct(), "case_id", "left_semi"), "ways")
+    small, large = by_size(e.unionByName(ask))
+    found = in_cases(small, case_hops, "source bigint, node bigint, path array<bigint>").withColumn("hops", F.size("path") - 1)
+    if large is not None:
+        some = e.join(large, "case_id", "left_semi").select("case_id", F.col("u").alias("src"), F.col("v").alias("dst"))
+        found = found.unionByName(_hop_rounds(some, ask.join(large, "case_id", "left_semi").select("case_id", F.col("u").alias("source")), max_rounds))
+    return found
+
+
+def _hop_rounds(edges: DataFrame, sources: DataFrame, max_rounds: int) -> DataFrame:
+    """Breadth first: a neighbour of level k lies in level k - 1, k or k + 1, so a round only compares with the last two levels."""
     e = edges.select("case_id", "src", "dst")
     sym = stored(e.unionByName(e.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "arcs")
     start = sources.select("case_id", "source").distinct().select(
@@ -267,7 +304,22 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
     arc to the node's next neighbour.  The tour is a list; list ranking tells which of the two
     walks comes first, and that one leads from the parent.  Rounds follow the logarithm of the
     tree's size, not its depth.  One root for each tree that has edges; the roots' parent is NULL.
+    Cases with few enough edges are walked in a task each.
     """
+    rows = forest.select("case_id", F.col("src").cast("bigint").alias("u"), F.col("dst").cast("bigint").alias("v")).unionByName(
+        roots.select("case_id", F.col("node").cast("bigint").alias("u"), F.lit(None).cast("bigint").alias("v"))
+    )
+    rows = stored(rows, "trees")
+    small, large = by_size(rows)
+    done = in_cases(small, parents, "node bigint, parent bigint")
+    if large is None:
+        return done
+    rest = rows.join(large, "case_id", "left_semi")
+    return done.unionByName(_tour(rest.where("v is not null").select("case_id", F.col("u").alias("src"), F.col("v").alias("dst")), rest.where("v is null").select("case_id", F.col("u").alias("node"))))
+
+
+def _tour(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Parents by list ranking of the tours around the trees."""
     e = forest.select("case_id", F.col("src").alias("u"), F.col("dst").alias("v"))
     arcs = e.unionByName(e.select("case_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     around = Window.partitionBy("case_id", "u").orderBy("v")
@@ -289,15 +341,26 @@ def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
 def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
     """Minimum spanning forest (case_id, src, dst, weight); equal weights resolve by (src, dst).
 
-    Every round each piece takes its cheapest edge to another piece; pieces merge.
+    Cases with few enough edges are solved in a task each.  In the others
+    every round each piece takes its cheapest edge to another piece; pieces merge.
     """
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     e = (
         edges.where("src <> dst").select("case_id", low.alias("src"), high.alias("dst"), F.col(weight).alias("w"))
         .groupBy("case_id", "src", "dst").agg(F.min("w").alias("w"))
-        .withColumns({"a": F.col("src"), "b": F.col("dst")})
     )
     e = stored(e, "forest")
+    small, large = by_size(e)
+    kind = dict(e.dtypes)
+    done = in_cases(small, case_forest, f"src {kind['src']}, dst {kind['dst']}, w {kind['w']}")
+    if large is not None:
+        done = done.unionByName(_merge_rounds(e.join(large, "case_id", "left_semi")))
+    return done.withColumnRenamed("w", weight)
+
+
+def _merge_rounds(edges: DataFrame) -> DataFrame:
+    """Spanning forest of distinct edges (case_id, src, dst, w), src < dst, by merging pieces."""
+    e = stored(edges.withColumns({"a": F.col("src"), "b": F.col("dst")}), "forest")
     chosen = None
     while True:  # pieces at least halve in number
         if not e.limit(1).count():
@@ -319,4 +382,4 @@ def spanning_forest(edges: DataFrame, weight: str = "w") -> DataFrame:
         e = stored(e, "forest")
     if chosen is None:
         chosen = e.select("case_id", "src", "dst", "w")
-    return chosen.distinct().withColumnRenamed("w", weight)
+    return chosen.distinct()
