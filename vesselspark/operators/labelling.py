@@ -8,11 +8,11 @@ typed nodes(case_id, node_type, node).  Every stage handles all cases in one job
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.lookups import end_rules, end_rule_table
+from ..plans.casework import by_size, in_cases, walks
 from ..plans.graphloop import fewest_hops
 from ..session import stored
 from .traces import POS
@@ -116,7 +116,33 @@ def reachable(edges: DataFrame, degree: DataFrame, starts: DataFrame, closed: Da
     Returns (case_id, q, root, prev, node) with the start itself.
     """
     both = edges.select("case_id", "src", "dst").unionByName(edges.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = stored(both.join(degree.select("case_id", F.col("node").alias("dst"), "deg"), ["case_id", "dst"]), "arcs")
+    both = both.join(degree.select("case_id", F.col("node").alias("dst"), "deg"), ["case_id", "dst"])
+    # Rows of one shape, so that a case that fits into a task is walked there.
+    kind = dict(starts.dtypes)["q"]
+    empty = {"q": kind, "u": "bigint", "v": "bigint", "deg": "bigint", "ok": "boolean"}
+
+    def rows(df, what, **cols):
+        full = [F.col(cols[c]).cast(t).alias(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in empty.items()]
+        return df.select("case_id", F.lit(what).alias("what"), *full)
+
+    asked = stored(starts.select("case_id", "q", "root", "node"), "starts")
+    every = rows(both, 0, u="src", v="dst", deg="deg").unionByName(rows(asked, 1, q="q", u="root", v="node")).unionByName(rows(closed.select("case_id", "q", "node").distinct(), 2, q="q", v="node"))
+    if gates is not None:
+        every = every.unionByName(rows(gates, 3, u="root", v="node", ok="ok"))
+    every = stored(every.join(asked.select("case_id").distinct(), "case_id", "left_semi"), "walks")
+    small, large = by_size(every)
+    found = in_cases(small, walks, f"q {kind}, root bigint, prev bigint, node bigint")
+    if large is None:
+        return found
+    rest = every.join(large, "case_id", "left_semi")
+    part = lambda what, **cols: rest.where(F.col("what") == what).select("case_id", *[F.col(c).alias(n) for n, c in cols.items()])
+    gates = None if gates is None else part(3, root="u", node="v", ok="ok")
+    return found.unionByName(_walk_rounds(part(0, src="u", dst="v", deg="deg"), part(1, q="q", root="u", node="v"), part(2, q="q", node="v"), gates))
+
+
+def _walk_rounds(arcs: DataFrame, starts: DataFrame, closed: DataFrame, gates: DataFrame | None) -> DataFrame:
+    """``reachable`` in rounds, over ``arcs(case_id, src, dst, deg)``."""
+    both = stored(arcs, "arcs")
     front = stored(starts.select("case_id", "q", "root", F.lit(None).cast("bigint").alias("prev"), "node"), "front")
     seen, found = stored(closed.select("case_id", "q", "node").unionByName(front.select("case_id", "q", "node")).distinct(), "seen"), front
     while True:  # ends when no unseen node is met
@@ -215,24 +241,22 @@ def assign_branches(centre: int, typed: DataFrame, nodes: DataFrame, edges: Data
     best = stored(best, "best")
     # The centre of the rules has three branches: keep the free neighbours' best three per type.
     w = Window.partitionBy("case_id", "cls").orderBy(F.desc("p"), "via")
-    opts = best.withColumn("_k", F.row_number().over(w)).where("_k <= 3").groupBy("case_id").agg(
-        F.sort_array(F.collect_list(F.struct("cls", "via", "node", "p"))).alias("o"), F.sort_array(F.collect_set("cls")).alias("miss")
-    )  # at most nine entries a case
-    rows = opts.select("case_id", "miss", F.explode(_choices(around)).alias("pick"), "o")
-    got = rows.select("case_id", "pick", F.filter("o", lambda e: F.element_at("pick", e["cls"]) == F.array_position(_vias("o"), e["via"])).alias("s"), "miss")
-    got = got.where(F.size("s") == F.size("miss")).withColumn("t", F.aggregate("s", F.lit(0.0), lambda a, e: a + e["p"]))
-    top = got.groupBy("case_id").agg(F.max(F.struct("t", "s")).alias("m")).select("case_id", F.explode("m.s").alias("e"))
+    opts = best.withColumn("_k", F.row_number().over(w)).where("_k <= 3").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("cls", "via", "node", "p"))).alias("o"))  # at most nine entries a case
+    total = lambda s: F.aggregate(s, F.lit(0.0), lambda a, e: a + e["p"])
+    got = opts.select("case_id", F.array_max(F.transform(_choices(around), lambda s: F.struct(total(s).alias("t"), s.alias("s")))).alias("m"))
+    top = got.select("case_id", F.explode("m.s").alias("e"))
     return typed.unionByName(top.select("case_id", F.col("e.cls").alias("node_type"), F.col("e.node").alias("node")))
 
 
-def _vias(col: str):
-    return F.array_sort(F.array_distinct(F.transform(col, lambda e: e["via"])))
-
-
-def _choices(around: Sequence[int], ways: int = 9):
-    """All ways to give the three types distinct places in the list of neighbours."""
-    maps = [F.create_map(*[F.lit(v) for pair in zip(around, p) for v in pair]) for p in permutations(range(1, ways + 1), 3)]
-    return F.array(*[m.cast("map<int,bigint>") for m in maps])
+def _choices(around: Sequence[int]):
+    """All ways (27 at most) to take an entry of ``o`` for each type that has one, no two with the same neighbour."""
+    of = lambda kind: F.filter("o", lambda e: e["cls"] == kind)
+    free = lambda kind, s: F.filter(of(kind), lambda e: ~F.exists(s, lambda x: x["via"] == e["via"]))
+    more = lambda kind, ways: F.flatten(F.transform(ways, lambda s: F.transform(free(kind, s), lambda e: F.concat(s, F.array(e)))))
+    ways = F.array(F.slice("o", 1, 0))
+    for kind in sorted(around):
+        ways = F.when(F.size(of(kind)) == 0, ways).otherwise(more(kind, ways))
+    return ways
 
 
 def swap_left_right(typed: DataFrame, nodes: DataFrame, left: int = 19, right: int = 20) -> DataFrame:
