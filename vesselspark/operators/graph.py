@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, neighbours, ranked, running
-from ..plans.graphloop import chain_ranks, components, list_ranks, rooted, shortest_paths, spanning_forest
+from ..plans.graphloop import chain_ranks, components, distances_within, list_ranks, rooted, spanning_forest
 from ..plans.voxelgrid import TWENTY_SIX, neighbour_edges, packed, with_position
 from ..session import stored
 from .matching import AT, as_queries, ends, nearest_other, neighbour_segments, representative, sample_sets, trace_distance
@@ -353,7 +353,7 @@ def labelled_candidates(points: DataFrame, reference: DataFrame, r: float = 15.0
 
     Both ends are represented by a reference point; they belong together if the way between
     these over the reference traces is below 1.2 times the straight distance + 3.  Only ways
-    up to the largest such bound are searched.
+    up to such bounds are searched.
     """
     near = stored(neighbour_segments(points, r), "neighbours")
     rep = representative(points, reference).where("ref_trace >= 0")
@@ -364,10 +364,8 @@ def labelled_candidates(points: DataFrame, reference: DataFrame, r: float = 15.0
     other = rep.select(*KEYS, F.col("end").alias("reversed"), "node", *[F.col(c).alias(f"b{c}") for c in POS])
     pair = mine.join(near, ["case_id", "q_trace_id"]).join(other, [*KEYS, "reversed"], "left")
     pair = stored(pair.withColumn("most", 1.2 * g.dist(g.vec("ax", "ay", "az"), g.vec("bx", "by", "bz")) + 3), "pairs")
-    top = pair.agg(F.max("most")).first()[0]
     edges = node_graph(reference)[1].select("case_id", "src", "dst", F.col("dist").alias("w"))
-    ways = shortest_paths(edges, pair.where("node is not null").select("case_id", "source"), limit=float(top or 0.0))
-    ways = ways.select("case_id", "source", "node", F.col("dist").alias("way"))
+    ways = distances_within(edges, pair.select("case_id", "source", "node", "most")).withColumnRenamed("dist", "way")
     return pair.join(ways, ["case_id", "source", "node"], "left").select(
         "case_id", "q_trace_id", "trace_id", "reversed", F.coalesce(F.col("way") < F.col("most"), F.lit(False)).alias("same_vessel")
     )
