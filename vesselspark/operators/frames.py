@@ -13,25 +13,54 @@ FRAME_BLOCK = 4096
 MAT = [f"m{i}{j}" for i in range(3) for j in range(3)]
 
 
-def _chain(out_keys: list[str], inclusive: bool):
-    """Running matrix product over the rows of one group (at most one block, or one row per block).
+def _products(mats: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Running matrix products that begin anew at the rows ``first``.
 
     The product is associative: with every doubling of the shift all rows take the product that ends
-    that far before them, so a block takes log2(rows) batched products.
+    that far before them, so groups of n rows take log2(n) batched products.
     """
+    size = np.diff(np.append(first, len(mats)))
+    place = np.arange(len(mats)) - np.repeat(first, size)
+    out, shift = mats, 1
+    while shift < size.max(initial=0):
+        on = np.flatnonzero(place >= shift)
+        new = out.copy()
+        new[on] = out[on] @ out[on - shift]
+        out, shift = new, 2 * shift
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(out_keys[-1], ignore_index=True)
-        mats = pdf[MAT].to_numpy().reshape(-1, 3, 3)
-        out = mats if inclusive else np.concatenate([np.eye(3)[None], mats[:-1]])
-        shift = 1
-        while shift < len(out):
-            out = np.concatenate([out[:shift], out[shift:] @ out[:-shift]])
-            shift *= 2
-        pdf[MAT] = out.reshape(-1, 9)
-        return pdf
 
-    return run
+def _chain(keys: list[str], order: str, inclusive: bool):
+    """Running products over sorted batches, for many groups at once; a group's rows wait until it is whole (one block, or one row per block)."""
+
+    def solve(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.reset_index(drop=True)
+        named = df[keys]
+        first = np.flatnonzero((named != named.shift()).any(axis=1).to_numpy())
+        mats = df[MAT].to_numpy().reshape(-1, 3, 3)
+        if not inclusive and len(df):
+            mats = np.concatenate([np.eye(3)[None], mats[:-1]])
+            mats[first] = np.eye(3)
+        df[MAT] = _products(mats, first).reshape(-1, 9)
+        return df
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            same = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            held = rows[same]
+            if not same.all():
+                yield solve(rows[~same])
+        if held is not None:
+            yield solve(held)
+
+    def build(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, df.schema)
+
+    return build
 
 
 def rotation_frames(points: DataFrame, size: int = FRAME_BLOCK) -> DataFrame:
@@ -59,9 +88,9 @@ def rotation_frames(points: DataFrame, size: int = FRAME_BLOCK) -> DataFrame:
             square = sum((skew[i][n] * skew[n][j] for n in range(3)), zero)
             rot[f"m{i}{j}"] = (one if i == j else zero) + skew[i][j] + square * f
     base = near.withColumns(rot).withColumn("block", F.floor(F.col("seq") / size)).select(*KEYS, "block", "seq", *MAT)
-    local = base.groupBy(*KEYS, "block").applyInPandas(_chain(["seq"], True), base.schema)
+    local = _chain([*KEYS, "block"], "seq", True)(base)
     whole = local.groupBy(*KEYS, "block").agg(*[F.max_by(m, "seq").alias(m) for m in MAT])
-    before = whole.groupBy(*KEYS).applyInPandas(_chain(["block"], False), whole.schema)
+    before = _chain(KEYS, "block", False)(whole)
     before = before.select(*KEYS, "block", *[F.col(m).alias(f"p{m}") for m in MAT])
     full = local.join(before, [*KEYS, "block"])
     prod = {
