@@ -3,7 +3,8 @@
 import math
 import random
 
-from conftest import SCHEMA
+from conftest import SCHEMA, points
+from pyspark.sql import functions as F
 
 from vesselspark import session
 from vesselspark.operators import matching as mt
@@ -27,3 +28,10 @@ def test_boxes_keep_pairs_few_where_points_are_dense(spark, monkeypatch):
     # Nearly all 400 x 2,800 pairs lie within the reach.
     assert mt.in_traces(mt.as_queries(frame.where("trace_id = 0")), frame.where("trace_id > 0"), 5.0).count() == 400
     assert sum(df.count() for df in made) < 2 * len(rows)
+
+
+def test_queries_named_by_a_struct_with_a_literal(spark):
+    p = points(spark, [[(x, 0, 0) for x in range(6)], [(x, 3, 0) for x in range(6)]])
+    q = p.where("trace_id = 0").select("case_id", F.lit(1).cast("bigint").alias("trace_id"), F.struct("seq", F.lit(0).alias("new")).alias("q_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    got = mt.nearest_in_trace(q, p, 5.0).collect()
+    assert sorted((r.q_id.seq, r.q_id.new, r.seq, r.dist) for r in got) == [(i, 0, i, 3.0) for i in range(6)]

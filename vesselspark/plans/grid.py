@@ -165,6 +165,15 @@ def _distances(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.sqrt(d[:, :, 0] * d[:, :, 0] + d[:, :, 1] * d[:, :, 1] + d[:, :, 2] * d[:, :, 2])
 
 
+def _as_named(kind: pa.DataType) -> pa.DataType:
+    """The type as a schema in text names it: every field of a struct may be null."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _as_named(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _as_named(kind.value_type)))
+    return kind
+
+
 def nearest_in_groups(
     queries: DataFrame,
     targets: DataFrame,
@@ -239,7 +248,8 @@ def nearest_in_groups(
         whole = lambda parts_, kind: np.concatenate(parts_) if parts_ else np.empty(0, kind)
         out = left.select(qid).take(pa.array(whole(take, np.int64)))
         hit = right.select(["_group", "_tie"]).take(pa.array(whole(put, np.int64)))
-        return out.append_column("_group", hit["_group"]).append_column("dist", pa.array(whole(dist, float))).append_column("_tie", hit["_tie"])
+        out = out.append_column("_group", hit["_group"]).append_column("dist", pa.array(whole(dist, float))).append_column("_tie", hit["_tie"])
+        return out.cast(pa.schema([pa.field(f.name, _as_named(f.type)) for f in out.schema]))
 
     # Both sides may stem from one frame: named anew, their columns are told apart.
     q, t = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (q, t))
