@@ -131,3 +131,20 @@ def test_choices_are_all_ways_to_deal_the_types(spark):
         per = [[e for e in cases[r["i"]] if e[0] == t] for t in (2, 6, 8)]
         want = [list(s) for s in itertools.product(*[e for e in per if e]) if len({e[1] for e in s}) == len(s)]
         assert sorted([tuple(e) for e in s] for s in r["w"]) == sorted(want)
+
+
+def test_coverage(spark, monkeypatch):
+    rng, rows = random.Random(11), []
+    for case in range(2):
+        for t in range(5):
+            at = [rng.uniform(0, 6) for _ in range(3)]
+            for i in range(14):
+                at = [a + rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for a in at]
+                rows.append((case, t, i, *at, rng.choice([0.2, 0.5, 1.0, 1.5, 2.6, None, -1.0, 4.0 if case else 30.0])))
+    p = spark.createDataFrame(rows, "case_id long, trace_id long, seq long, x double, y double, z double, rad double")
+    a, b = _both(monkeypatch, lambda: ed._uncovered(p).select("case_id", "trace_id", "seq", "owner", "covered"))
+    assert a == b and any("covered=True" in r or "'covered': True" in r for r in a)
+    monkeypatch.setattr(casework, "CASE_ROWS", 1000)
+    made, old = [], ed.stored
+    monkeypatch.setattr(ed, "stored", lambda df, label="stage": made.append(label) or old(df, label))
+    assert ed.remove_duplicate_coverage(p).count() and made == ["covered", "pieces"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry as g
 from ..plans.blocks import BLOCK, ranked, running
-from ..plans.casework import by_size, exchanges, in_cases
+from ..plans.casework import by_size, coverage, exchanges, in_cases
 from ..session import stored
 from .matching import AT, VOX, _balls, ends, nearest_in_trace
 from .traces import KEYS, POS
@@ -235,8 +235,22 @@ def _transfer_rounds(pts: DataFrame, mode: str, degree: Callable[[DataFrame], Da
 
 
 def _uncovered(points: DataFrame) -> DataFrame:
-    """Points with ``covered`` and the ``owner`` of the ball that covers them."""
+    """Points with ``covered`` and the ``owner`` of the ball that covers them.
+
+    Cases with few enough points are walked inside a task each, the others in rounds of joins.
+    """
     pr = trace_priority(points).select(*KEYS, "place")
+    small, large = by_size(points)
+    rows = small.join(pr, KEYS).where("seq is not null").withColumns({f"_v{c}": g.voxel(F.col(c)) for c in POS}).withColumn("_r", F.bround("rad").cast("bigint"))
+    kind = dict(points.dtypes)
+    schema = [f"`{c}` {kind[c]}" for c in points.columns if c != "case_id"] + [f"owner {kind['trace_id']}", "covered boolean"]
+    done = in_cases(rows.select(*points.columns, "place", "_vx", "_vy", "_vz", "_r"), coverage, ", ".join(schema))
+    return done if large is None else done.unionByName(_uncovered_rounds(stored(points.join(large, "case_id", "left_semi"), "traces"), pr))
+
+
+def _uncovered_rounds(points: DataFrame, pr: DataFrame) -> DataFrame:
+    """``_uncovered`` in rounds: a trace is decided once all before it that reach it are."""
+    pr = pr.join(points.select(*KEYS).distinct(), KEYS, "left_semi")
     balls = stored(_balls(points, F.bround("rad"), 0).select(*VOX, "trace_id", "seq").distinct().join(pr, KEYS), "balls")
     at = stored(points.withColumns({f"v{c}": g.voxel(F.col(c)) for c in POS}).select(*VOX, "trace_id", "seq").join(pr, KEYS), "places")
     over = balls.select(*VOX, F.col("trace_id").alias("winner"), F.col("place").alias("w_place")).distinct()

@@ -21,6 +21,8 @@ from ..session import stored
 CASE_ROWS = 200_000
 #: Path nodes that a task sends at once.
 PATH_NODES = 1 << 18
+#: Voxels of balls that a task looks up at once.
+BALL_VOXELS = 1 << 20
 
 
 def by_size(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -262,3 +264,65 @@ def exchanges(table: pa.Table) -> Iterator[dict]:
     out = table.drop_columns(["case_id", "_spot"]).take(order).combine_chunks()
     new = {"trace_id": [t for t, rows in traces.items() for _ in rows], "seq": [k for rows in traces.values() for k in range(len(rows))]}
     yield {c: pa.array(new[c], out[c].type) if c in new else out[c].combine_chunks() if out.num_rows else pa.array([], out[c].type) for c in out.column_names}
+
+
+def _filled(at: np.ndarray, voxel: np.ndarray, rad: np.ndarray, reach: int, axes: list[np.ndarray], keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Numbers of the occupied voxels (``spots``; ``keys`` by their places on the ``axes``) in the balls of some points with one cube."""
+    off = np.arange(-reach, reach + 1)
+    if len(off) ** 3 > len(spots):  # fewer voxels are occupied than the cube has
+        step = max(1, BALL_VOXELS // len(spots))
+        found = []
+        for k in range(0, len(at), step):
+            away = spots[None] - voxel[k:k + step, None]
+            d = spots[None].astype(float) - at[k:k + step, None]
+            near = np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]) <= rad[k:k + step, None]
+            found.append(np.flatnonzero(((np.abs(away) <= reach).all(axis=2) & (near | (away == 0).all(axis=2))).any(axis=0)))
+        return np.unique(np.concatenate(found))
+    step = max(1, BALL_VOXELS // len(off) ** 3)
+    found = []
+    for k in range(0, len(at), step):
+        place, square = [], []
+        for i, values in enumerate(axes):
+            there = voxel[k:k + step, i, None] + off
+            spot = np.minimum(np.searchsorted(values, there), len(values) - 1)
+            place.append(np.where(values[spot] == there, spot, -1))
+            d = there.astype(float) - at[k:k + step, i, None]
+            square.append(d * d)
+        x, y, z = place[0][:, :, None, None], place[1][:, None, :, None], place[2][:, None, None, :]
+        ball = np.sqrt(square[0][:, :, None, None] + square[1][:, None, :, None] + square[2][:, None, None, :]) <= rad[k:k + step, None, None, None]
+        ball[:, reach, reach, reach] = True
+        ball &= (x >= 0) & (y >= 0) & (z >= 0)
+        key = np.unique(((x * len(axes[1]) + y) * len(axes[2]) + z)[ball])
+        spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        found.append(spot[keys[spot] == key])
+    return np.unique(np.concatenate(found))
+
+
+def coverage(table: pa.Table) -> Iterator[dict]:
+    """``owner`` and ``covered`` for the points of a case, walking its traces by ``place``; only voxels that hold a point are painted."""
+    table = table.sort_by([("place", "ascending")])
+    column = lambda c: table[c].to_numpy()
+    whole = ~np.any([pc.is_null(table[c]).to_numpy() for c in ("_vx", "_vy", "_vz")], axis=0)
+    # An axis is numbered by its own values, so that a voxel's key fits however far apart they lie.
+    voxel = np.stack([pc.fill_null(table[c], 0).to_numpy() for c in ("_vx", "_vy", "_vz")], axis=1)
+    at = np.stack([column(c).astype(float) for c in ("x", "y", "z")], axis=1)
+    rad, reach = column("rad").astype(float), pc.fill_null(table["_r"], -1).to_numpy()
+    axes, codes = zip(*(np.unique(voxel[:, i], return_inverse=True) for i in range(3)))
+    keys, first, spot = np.unique((codes[0] * len(axes[1]) + codes[1]) * len(axes[2]) + codes[2], return_index=True, return_inverse=True)
+    spots = voxel[first]
+    place = column("place")
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    painted = np.full(len(keys), -1)  # the first row of the trace that came first
+    owner = np.full(len(place), -1)
+    for a, b in zip(start, np.append(start[1:], len(place))):
+        rows = np.arange(a, b)
+        owner[rows[whole[rows]]] = painted[spot[rows[whole[rows]]]]
+        paints = rows[whole[rows] & (owner[rows] < 0)]
+        for r in np.unique(reach[paints]):
+            some = paints[reach[paints] == r]
+            if r >= 0:
+                hit = _filled(at[some], voxel[some], rad[some], int(r), axes, keys, spots)
+                painted[hit[painted[hit] < 0]] = a
+    ids = table["trace_id"].combine_chunks()
+    out = {c: table[c].combine_chunks() for c in table.column_names if c not in ("case_id", "place", "_vx", "_vy", "_vz", "_r")}
+    yield out | {"owner": ids.take(pa.array(owner, mask=owner < 0)), "covered": pa.array(owner >= 0)}
