@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.blocks import BLOCK, neighbours
-from ..plans.grid import near_pairs
+from ..plans.casework import by_size, in_cases
+from ..plans.grid import PAIRS, near_pairs, within
 from ..session import forget, stored
 from .matching import AT
 from .traces import KEYS, POS
@@ -14,13 +20,12 @@ from .traces import KEYS, POS
 GT = ["case_id", "g"]
 
 
-def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
+def _picks(open_: list[tuple[int, int, list[int]]]) -> list[int]:
     """Order in which one reference trace takes traced ids: most open points first.
 
-    Rows are the distinct candidate sets along the trace with their point count and
-    first point, so the input does not grow with the length of the trace.
+    ``open_`` has the distinct candidate sets along the trace with their first point and
+    point count, so that it does not grow with the length of the trace.
     """
-    open_ = [(int(r.first_seq), int(r.n), [int(p) for p in r.sig]) for r in pdf.itertuples()]
     picks = []
     while open_:
         votes: dict[int, int] = {}
@@ -32,12 +37,79 @@ def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
         best = min(votes, key=lambda p: (-votes[p], met[p]))
         picks.append(best)
         open_ = [row for row in open_ if best not in row[2]]
+    return picks
+
+
+def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``_picks`` of one reference trace."""
+    picks = _picks([(int(r.first_seq), int(r.n), [int(p) for p in r.sig]) for r in pdf.itertuples()])
     return pd.DataFrame({
         "case_id": [int(pdf["case_id"].iloc[0])] * len(picks), "g": [int(pdf["g"].iloc[0])] * len(picks),
         "p": picks, "ord": range(len(picks)),
     })
 
 
+def _match(table: pa.Table) -> Iterator[dict]:
+    """Assignment (``what`` 0), matched (1) and linked (2) traced points of a case, walking its vessels in order; ``what`` of the input is 0 for vessels."""
+    table = table.sort_by([("a", "ascending"), ("s", "ascending")])
+    side = lambda k: table.filter(pc.equal(table["what"], k))
+    place = lambda t: np.stack([t[c].to_numpy().astype(float) for c in POS], axis=1)
+    vessels, traced = side(0), side(1)
+    g, gseq, at, reach = vessels["a"].to_numpy(), vessels["s"].to_numpy(), place(vessels), vessels["rad"].to_numpy().astype(float) + 1
+    spots = place(traced)
+    fine = np.isfinite(spots).all(axis=1)
+    spots, p, pseq = spots[fine], traced["a"].to_numpy()[fine], traced["s"].to_numpy()[fine]
+    # Rows are in the order of (trace, point): one number for each distinct point.
+    point = np.cumsum(np.concatenate([[False], (p[1:] != p[:-1]) | (pseq[1:] != pseq[:-1])])[:len(p)])
+    linked, matched = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    trace = np.cumsum(np.concatenate([[False], p[1:] != p[:-1]])[:len(p)])
+    search = within(spots)
+    out: list[tuple] = []
+
+    def closest(a: int, found: list[tuple]) -> tuple:
+        """Of (vessel point, traced point, distance) the nearest point of each trace; equally near ones: the first."""
+        i, j, d = (np.concatenate(c) for c in zip(*found))
+        # Vessel points with one number count as one.
+        same = np.searchsorted(gseq[a:a + i.max() + 1], gseq[a + i]) if len(i) else i
+        key = same * (trace[-1] + 1) + trace[j]
+        order = np.lexsort((j, d, key))
+        key = key[order]
+        order = order[np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]]
+        return same[order], j[order], d[order]
+
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[:len(g)])
+    for a, b in zip(start, np.append(start[1:], len(g))):
+        best, held = [], 0
+        for i, j, d in search(at[a:b], reach[a:b]):
+            free = ~linked[point[j]]
+            best.append((i[free], j[free], d[free]))
+            held += len(best[-1][0])
+            if held > PAIRS:
+                best = [closest(a, best)]
+                held = len(best[0][0])
+        if not held:
+            continue
+        i, j, d = closest(a, best)
+        s = gseq[a + i]
+        names = p[j].tolist()
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[:len(s)]).tolist()
+        sets: dict[tuple, list] = {}
+        for lo, hi in zip(first, [*first[1:], len(s)]):
+            sets.setdefault(tuple(names[lo:hi]), [int(s[lo]), 0])[1] += 1
+        rank = {name: k for k, name in enumerate(_picks([(f, n, list(sig)) for sig, (f, n) in sets.items()]))}
+        ord_ = [rank.get(name, -1) for name in names]
+        for lo, hi in zip(first, [*first[1:], len(s)]):
+            k = max(range(lo, hi), key=ord_.__getitem__)
+            out.append((int(g[a]), int(s[lo]), names[k], float(d[k])))
+        matched[point[j]] = True
+        linked[point[j[np.asarray(ord_) >= 0]]] = True
+    head = np.flatnonzero(np.concatenate([[True], point[1:] != point[:-1]])[:len(point)])
+    for what, flag in ((1, matched), (2, linked)):
+        rows = head[flag[point[head]]]
+        yield {"what": np.full(len(rows), what, np.int32), "g": pa.nulls(len(rows), pa.int64()), "seq": pseq[rows], "p": p[rows], "dist": pa.nulls(len(rows), pa.float64())}
+    yield {"what": np.zeros(len(out), np.int32)} | {n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("g", pa.int64()), ("seq", pa.int64()), ("p", pa.int64()), ("dist", pa.float64())))}
+
+
 def turns(cand: DataFrame) -> DataFrame:
     """Round in which each vessel is matched (case_id, g, turn): after every earlier vessel that shares a candidate point.
 
@@ -64,10 +136,28 @@ def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0) -> t
     """Match vessel points to traced points nearer than their radius + 1.
 
     ``vessels(case_id, g, seq, x, y, z, rad)``; vessels are taken in the order of ``g``, and
-    traced points linked by an earlier vessel are not offered again.  Vessels that share no
-    candidate point do not depend on each other, so each round handles every vessel whose
-    earlier rivals are done.  Candidates are written once, in the order of their rounds, and a round reads
-    its own.  Returns (assignment, matched traced points, linked traced points).
+    traced points linked by an earlier vessel are not offered again.  Cases with few enough points are walked
+    inside a task each, the others in rounds.  Returns (assignment, matched traced points, linked traced points).
+    """
+    here = vessels.select("case_id", F.lit(0).alias("what"), F.col("g").cast("bigint").alias("a"), F.col("seq").cast("bigint").alias("s"), *POS, "rad")
+    there = traced.select("case_id", F.lit(1).alias("what"), F.col("trace_id").cast("bigint").alias("a"), F.col("seq").cast("bigint").alias("s"), *POS, F.lit(None).cast(here.schema["rad"].dataType).alias("rad"))
+    small, large = by_size(here.unionByName(there).dropna(subset=["case_id", "a", "s"]))
+    found = stored(in_cases(small, _match, "what int, g bigint, seq bigint, p bigint, dist double"), "matches")
+    name = {"p": F.col("p").cast(traced.schema["trace_id"].dataType), "g": F.col("g").cast(vessels.schema["g"].dataType)}
+    seq = lambda df, alias: F.col("seq").cast(df.schema["seq"].dataType).alias(alias)
+    assigned = found.where("what = 0").withColumns(name).select(*GT, seq(vessels, "gseq"), "p", "dist")
+    matched, linked = (found.where(F.col("what") == k).withColumns(name).select("case_id", "p", seq(traced, "pseq")) for k in (1, 2))
+    if large is None:
+        return assigned, matched, linked
+    rest = _assign_rounds(*(df.join(large, "case_id", "left_semi") for df in (vessels, traced)), cell)
+    return tuple(a.unionByName(b) for a, b in zip((assigned, matched, linked), rest))
+
+
+def _assign_rounds(vessels: DataFrame, traced: DataFrame, cell: float = 6.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``assign_traces`` in rounds.
+
+    Vessels that share no candidate point do not depend on each other, so each round handles every vessel whose
+    earlier rivals are done.  Candidates are written once, in the order of their rounds, and a round reads its own.
     """
     q = vessels.select(*GT, F.col("seq").alias("gseq"), F.col("rad").alias("q_rad"), *[F.col(c).alias(f"q{c}") for c in POS])
     t = traced.select("case_id", F.col("trace_id").alias("p"), F.col("seq").alias("pseq"), *POS)
@@ -104,6 +194,7 @@ def assign_traces(vessels: DataFrame, traced: DataFrame, cell: float = 6.0) -> t
 
 def mot_metrics(vessels: DataFrame, traced: DataFrame, size: int = BLOCK) -> DataFrame:
     """TP, FN, FP, IDS, MOTA, MOTP, MT, ML, fragmentation, IDTP, IDFN, IDFP, IDF1 per case."""
+    vessels = stored(vessels, "vessels")
     assigned, matched, linked = assign_traces(vessels, traced)
     along = vessels.select(*GT, "seq").join(assigned.withColumnRenamed("gseq", "seq"), [*GT, "seq"], "left").withColumn(
         "p", F.coalesce("p", F.lit(-1))

@@ -260,6 +260,62 @@ def nearest_in_groups(
     return out.select(*qid, *names, "dist", F.col("_tie").alias(tie))
 
 
+def within(targets: np.ndarray):
+    """``search(q, r)`` for a table of positions in memory: arrays (i, j, dist) of bounded size, every target j nearer than r[i] to q[i].
+
+    Targets are sorted by cells a little wider than the ball, one set of cells for each power of two that radii reach, so that a query meets
+    the targets of eight cells at most.
+    """
+    made: dict[int, tuple] = {}
+
+    def cells(power: int) -> tuple:
+        if power not in made:
+            width = 2.02 * 2.0 ** power
+            at = np.floor(targets / width)
+            axes, codes = zip(*(np.unique(at[:, i], return_inverse=True) for i in range(3)))
+            key = (codes[0] * len(axes[1]) + codes[1]) * len(axes[2]) + codes[2]
+            order = np.argsort(key, kind="stable")
+            keys, start = np.unique(key[order], return_index=True)
+            made[power] = width, axes, order, keys, start, np.append(start[1:], len(order)) - start
+        return made[power]
+
+    def search(q: np.ndarray, r: np.ndarray):
+        some = np.flatnonzero(np.isfinite(q).all(axis=1) & np.isfinite(r) & (r > 0)) if len(targets) else np.empty(0, np.int64)
+        powers = np.ceil(np.log2(r[some])).astype(np.int64)
+        for power in np.unique(powers):
+            rows = some[powers == power]
+            width, axes, order, keys, start, size = cells(int(power))
+            far = r[rows, None] * (1 + 1e-6)  # a little more keeps rounding out of the reach
+            low, high = np.floor((q[rows] - far) / width), np.floor((q[rows] + far) / width)
+            for corner in ((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)):
+                code, ok = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+                for i, second in enumerate(corner):
+                    at = high[:, i] if second else low[:, i]
+                    spot = np.minimum(np.searchsorted(axes[i], at), len(axes[i]) - 1)
+                    ok &= axes[i][spot] == at
+                    if second:
+                        ok &= high[:, i] > low[:, i]
+                    code = code * len(axes[i]) + spot
+                spot = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+                ok &= keys[spot] == code
+                mine, spot = rows[ok], spot[ok]
+                count = size[spot]
+                total = np.cumsum(count)
+                begin = 0
+                while begin < len(mine):
+                    end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+                    n = count[begin:end]
+                    i = np.repeat(mine[begin:end], n)
+                    j = order[np.repeat(start[spot[begin:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    d = q[i] - targets[j]
+                    d = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+                    near = d < r[i]
+                    yield i[near], j[near], d[near]
+                    begin = end
+
+    return search
+
+
 def near_groups(
     queries: DataFrame,
     targets: DataFrame,
