@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vesselspark.operators import editing as ed, labelling as lb
+from vesselspark.operators import editing as ed, evaluation as ev, labelling as lb
 from vesselspark.plans import casework, graphloop as gl
 
 
@@ -148,3 +148,19 @@ def test_coverage(spark, monkeypatch):
     made, old = [], ed.stored
     monkeypatch.setattr(ed, "stored", lambda df, label="stage": made.append(label) or old(df, label))
     assert ed.remove_duplicate_coverage(p).count() and made == ["covered", "pieces"]
+
+
+def test_surface_scores(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(c, x, y, z, float(rng.randint(0, 9)), int(rng.random() < 0.4), int(rng.random() < 0.4 and (x < 2 or c == 1))) for c in (1, 2, 3) for x in range(7) for y in range(6) for z in range(5) if c != 3 or x in (0, 6)]
+    # Masks far apart, one empty, one without a box.
+    rows = [(*r[:5], int(r[1] == 0 and r[5]), int(r[1] == 6)) if r[0] == 3 else r for r in rows] + [(4, 0, 0, 0, 1.0, 1, 0), (4, 3, 0, 0, 9.0, None, 1), (4, 1, 0, 0, None, None, 1), (5, 0, 0, 0, 1.0, 1, 0), (5, 2, 0, 0, 9.0, 0, 0)]
+    v = spark.createDataFrame(rows, "case_id long, x long, y long, z long, intensity double, gt int, pred int")
+    roi = spark.createDataFrame([(c, 1, 6, 0, 5, 0, 9) for c in (1, 2, 3, 4)], "case_id long, x0 int, x1 int, y0 int, y1 int, z0 int, z1 int")
+    names = ["assd", "nf", "surface_score", "assd_roi", "nf_roi", "surface_score_roi"]
+    a, b = _both(monkeypatch, lambda: ev.surface_score(v, (0.6, 0.3, 0.3), roi).select("case_id", *[F.round(c, 9).alias(c) for c in names]))
+    assert a == b and len(a) == 5
+    monkeypatch.setattr(casework, "CASE_ROWS", 1000)
+    made = []
+    monkeypatch.setattr(ev, "stored", lambda df, label="stage", old=ev.stored: made.append(label) or old(df, label))
+    assert ev.surface_score(v, (0.6, 0.3, 0.3), roi).count() == 5 and made == ["voxels", "distance"]

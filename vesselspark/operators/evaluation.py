@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lookups import CLASS_LABELS
+from ..plans import casework
 from ..plans.blocks import BLOCK, neighbours, ranked, running, running_values
+from ..plans.casework import by_size, in_cases, surfaces
 from ..plans.grid import distance, nearest_growing
 from ..plans.graphloop import components
 from ..plans.rounds import best_free, first_free
@@ -236,13 +239,16 @@ def in_roi(voxels: DataFrame, roi: DataFrame) -> DataFrame:
 
 
 THRESHOLDS = (0.2, 0.3, 0.4)
+#: A voxel takes less room in a task than an edge of a graph: so many times the rows of a case may stand there.
+SURFACE_CASES = 5
 
 
 def surface_score(voxels: DataFrame, spacing: Sequence[float], roi: DataFrame | None = None) -> DataFrame:
     """``max((nf - d) / nf, 0)``: surface distance against that of plain intensity thresholds.
 
     The whole volume uses the mean over three thresholds, the region of interest the last
-    one only; an empty prediction there counts as the normaliser itself.
+    one only; an empty prediction there counts as the normaliser itself.  Cases with few enough voxels
+    are measured inside a task each, a voxel being one row whatever the number of masks.
     """
     voxels = stored(voxels.select(*KEY, "intensity", "gt", "pred"), "voxels")
     lim = voxels.groupBy("case_id").agg(F.max("intensity").alias("_hi"), F.min("intensity").alias("_lo"))
@@ -255,10 +261,28 @@ def surface_score(voxels: DataFrame, spacing: Sequence[float], roi: DataFrame |
         true = v.where("gt > 0").select(*KEY, F.explode(F.array(*[F.lit(t) for t in (0.0, *ths)])).alias("which"), F.lit(1).alias("side"))
         return pred.unionByName(true).withColumn("region", F.lit(region))
 
-    masks = variants(voxels, THRESHOLDS, 0)
+    small, large = by_size(voxels.dropna(subset=KEY), SURFACE_CASES * casework.CASE_ROWS)
+    v = small.join(lim, "case_id").withColumn("_in", F.lit(False))
+    regions = [(0, F.lit(True), (0.0, *THRESHOLDS))]
     if roi is not None:
-        masks = masks.unionByName(variants(in_roi(voxels, roi), THRESHOLDS[-1:], 1))
-    dist = surface_distance(masks, spacing, ["case_id", "which", "region"])
+        boxes = roi.groupBy("case_id").agg(F.collect_list(F.struct(*[f"{c}{k}" for c in "xyz" for k in (0, 1)])).alias("_boxes"))
+        here = F.exists("_boxes", lambda b: reduce(lambda p, q: p & q, [(F.col(c) >= b[f"{c}0"]) & (F.col(c) < b[f"{c}1"]) for c in "xyz"]))
+        v = v.join(boxes, "case_id", "left").withColumn("_in", here)
+        regions.append((1, F.col("_in"), (0.0, THRESHOLDS[-1])))
+    specs, bits = [], F.lit(0).cast("bigint")
+    for region, inside, whichs in regions:
+        for which in whichs:
+            for side, mask in ((0, F.col("intensity") > base * which if which else F.col("pred") > 0), (1, F.col("gt") > 0)):
+                bits = bits + F.when(inside & mask, F.lit(1 << len(specs))).otherwise(F.lit(0))
+                specs.append((which, region, side))
+    v = v.select(*KEY, bits.alias("bits")).where("bits <> 0")
+    dist = in_cases(v, surfaces(specs, tuple(spacing)), "which double, region int, assd double")
+    if large is not None:
+        rest = stored(voxels.dropna(subset=KEY).join(large, "case_id", "left_semi"), "voxels")
+        masks = variants(rest, THRESHOLDS, 0)
+        if roi is not None:
+            masks = masks.unionByName(variants(in_roi(rest, roi), THRESHOLDS[-1:], 1))
+        dist = dist.unionByName(surface_distance(masks, spacing, ["case_id", "which", "region"]).select("case_id", "which", "region", "assd"))
     per = stored(dist.groupBy("case_id", "region").agg(
         F.max(F.when(F.col("which") == 0, F.col("assd"))).alias("d"), F.avg(F.when(F.col("which") > 0, F.col("assd"))).alias("nf")
     ), "distance")

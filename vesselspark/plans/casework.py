@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
+from .grid import within
 
 #: Rows (edges and questions) of a case that one task may hold.
 CASE_ROWS = 200_000
@@ -266,6 +267,94 @@ def exchanges(table: pa.Table) -> Iterator[dict]:
     yield {c: pa.array(new[c], out[c].type) if c in new else out[c].combine_chunks() if out.num_rows else pa.array([], out[c].type) for c in out.column_names}
 
 
+def finder(spots: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """``find(at)``: for whole positions the row of ``spots`` (distinct) there, -1 where there is none."""
+    # An axis is numbered by its own values, so that a key fits however far apart they lie.
+    axes, codes = zip(*(np.unique(spots[:, i], return_inverse=True) for i in range(3)))
+    key = (codes[0] * len(axes[1]) + codes[1]) * len(axes[2]) + codes[2]
+    order = np.argsort(key)
+    key = key[order]
+
+    def find(at: np.ndarray) -> np.ndarray:
+        code, ok = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        for i, values in enumerate(axes):
+            place = np.minimum(np.searchsorted(values, at[:, i]), len(values) - 1)
+            ok &= values[place] == at[:, i]
+            code = code * len(values) + place
+        place = np.minimum(np.searchsorted(key, code), len(key) - 1)
+        return np.where(ok & (key[place] == code), order[place], -1)
+
+    return find
+
+
+def surfaces(specs: list[tuple[float, int, int]], spacing: tuple[float, float, float]) -> Callable[[pa.Table], Iterator[dict]]:
+    """Average symmetric surface distances (which, region, assd) of a case whose voxels say by ``bits`` in which masks they lie.
+
+    Bit k stands for ``specs[k]``: (which, region, side).  The nearest voxel is looked for at one offset after the other, nearest first,
+    as long as no voxel beyond them can be nearer; what is left is searched by cells of growing width.
+    """
+    scale, reach = np.asarray(spacing, float), 3
+    span = range(-reach, reach + 1)
+    every = np.array([(a, b, c) for a in span for b in span for c in span])
+    length = np.sqrt((every * scale) ** 2 @ np.ones(3))
+    order = np.argsort(length, kind="stable")
+    sure = scale.min() * (reach + 1) * (1 - 1e-9)  # beyond the cube of offsets all is farther
+    offsets = every[order][length[order] <= sure]
+
+    def run(table: pa.Table) -> Iterator[dict]:
+        rows = np.stack([table[c].to_numpy().astype(np.int64) for c in "xyz"], axis=1)
+        spots, back = np.unique(rows, axis=0, return_inverse=True)
+        bits = np.zeros(len(spots), np.int64)
+        np.bitwise_or.at(bits, back.reshape(-1), table["bits"].to_numpy())
+        find, at = finder(spots), spots * scale
+        near: dict[int, np.ndarray] = {}
+        keep = len(spots) * len(offsets) <= 1 << 23
+
+        def moved(k: int, some: np.ndarray) -> np.ndarray:
+            if not keep:
+                return find(spots[some] + offsets[k])
+            if k not in near:
+                near[k] = find(spots + offsets[k]).astype(np.int32)
+            return near[k][some]
+
+        beside = [find(spots + np.array(o)) for o in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
+
+        def edge(mask: np.ndarray) -> np.ndarray:
+            inside = mask.copy()
+            for b in beside:
+                inside &= (b >= 0) & mask[b]
+            return mask & ~inside
+
+        def mean(asked: np.ndarray, target: np.ndarray) -> float:
+            open_ = np.flatnonzero(asked)
+            dist = np.full(len(spots), np.inf)
+            for k in range(len(offsets)):
+                there = moved(k, open_)
+                hit = (there >= 0) & target[there]
+                if hit.any():
+                    d = at[open_[hit]] - at[there[hit]]
+                    dist[open_[hit]] = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+                    open_ = open_[~hit]
+                if not len(open_):
+                    break
+            search, r = within(at[target]), sure
+            while len(open_):
+                for i, _, d in search(at[open_], np.full(len(open_), r)):
+                    np.minimum.at(dist, open_[i], d)
+                open_ = open_[np.isinf(dist[open_])]
+                r *= 2
+            return float(dist[asked].mean())
+
+        out = []
+        for which, region in dict.fromkeys(s[:2] for s in specs):
+            a, b = (edge(bits & (1 << specs.index((which, region, side))) != 0) for side in (0, 1))
+            if a.any() and b.any():
+                out.append((which, region, (mean(a, b) + mean(b, a)) / 2))
+        yield {n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("which", pa.float64()), ("region", pa.int32()), ("assd", pa.float64())))}
+
+    return run
+
+
 def _filled(at: np.ndarray, voxel: np.ndarray, rad: np.ndarray, reach: int, axes: list[np.ndarray], keys: np.ndarray, spots: np.ndarray) -> np.ndarray:
     """Numbers of the occupied voxels (``spots``; ``keys`` by their places on the ``axes``) in the balls of some points with one cube."""
     off = np.arange(-reach, reach + 1)
