@@ -5,8 +5,10 @@ import random
 
 from conftest import SCHEMA
 
+from vesselspark.operators import selection
 from vesselspark.operators.matching import AT, as_queries
 from vesselspark.operators.selection import cluster_centres, grown, select_traces
+from vesselspark.plans import casework
 from vesselspark.plans.grid import near_groups
 
 
@@ -94,3 +96,24 @@ def test_groups_near_targets_equal_all_pairs(spark):
         want = {p[1] for p in a for q in b if math.dist(p[3:6], q[3:6]) < r}
         near = near_groups(as_queries(spark.createDataFrame(a, SCHEMA)), spark.createDataFrame(b, SCHEMA), r, AT, ["case_id", "q_trace_id"])
         assert {x["q_trace_id"] for x in near.collect()} == want and near.count() == len(want)
+
+
+def test_cases_in_tasks_equal_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for c in range(1, 7):
+        traces = [[tuple(rng.randint(0, 60 if c < 5 else 600) / 2 for _ in range(3))] for _ in range(8)]
+        for t in traces:
+            for _ in range(rng.randint(0, 13)):
+                t.append(tuple(v + rng.choice([-2.0, 0.0, 0.5, 2.0]) for v in t[-1]))
+        rows += rows_of(c, traces)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = []
+    for most in (casework.CASE_ROWS, 0):
+        monkeypatch.setattr(casework, "CASE_ROWS", most)
+        got.append([sorted(map(repr, select_traces(frame, k=3, most=6.0, low=2.0).collect()))])
+    assert got[0] == got[1]
+    monkeypatch.undo()
+    made = []
+    monkeypatch.setattr(selection, "stored", lambda df, label="stage", old=selection.stored: made.append(label) or old(df, label))
+    assert select_traces(frame).count() == 48 and made == ["traces", "points"]

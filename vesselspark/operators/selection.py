@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import geometry as g
-from ..plans.grid import near_groups
+from ..plans.casework import by_size, in_cases
+from ..plans.grid import PAIRS, near_groups, within
 from ..session import stored
 from .matching import AT
 from .traces import KEYS, POS
@@ -44,6 +49,103 @@ def cluster_centres(points: DataFrame, k: int) -> DataFrame:
             return centres
 
 
+def _away(p: np.ndarray, c: np.ndarray) -> np.ndarray:
+    d = p - c
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+
+
+def _centres(p: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """``cluster_centres`` of the positions of a case."""
+    if not len(p):
+        return {}
+    order = np.lexsort((p[:, 2], p[:, 1], p[:, 0]))
+    p = p[order]
+    centres = {0: p[0]}
+    for i in range(1, k):
+        d = np.min([_away(p, c) for c in centres.values()], axis=0)
+        far = int(d.argmax())  # the least position of equally far ones
+        if d[far] > 0:
+            centres[i] = p[far]
+    while True:
+        names = sorted(centres)
+        near = np.asarray(names)[np.argmin([_away(p, centres[n]) for n in names], axis=0)]
+        means = {}
+        for n in names:
+            if (near == n).any():
+                m = p[near == n].mean(axis=0)
+                means[n] = np.copysign(np.floor(np.abs(m) * 1e9 + 0.5) / 1e9, m)
+        still = all((np.abs(m - centres[n]) < 1e-6).all() for n, m in means.items())
+        centres = means
+        if still:
+            return centres
+
+
+def _near_any(q: np.ndarray, t: np.ndarray, r: float) -> np.ndarray:
+    """Which of the positions ``q`` have one of ``t`` nearer than ``r``: tight boxes decide, points only where these leave it open."""
+    out = np.zeros(len(q), bool)
+    if not len(q) or not len(t):
+        return out
+    at = np.floor(t / (r / 4))
+    order = np.lexsort(at.T)
+    at, t = at[order], t[order]
+    start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)]))
+    low, high = np.minimum.reduceat(t, start), np.maximum.reduceat(t, start)
+    ask, step = [], max(1, PAIRS // len(start))
+    for a in range(0, len(q), step):
+        under, over = low - q[a:a + step, None], q[a:a + step, None] - high
+        most, least = np.maximum(-under, -over), np.maximum(np.maximum(under, over), 0)
+        # A margin keeps rounding out of the bounds.
+        sure = (_away(most, 0.0) < r * (1 - 1e-9)).any(axis=1)
+        out[a:a + step] = sure
+        ask.append(a + np.flatnonzero(~sure & (_away(least, 0.0) < r * (1 + 1e-9)).any(axis=1)))
+    ask = np.concatenate(ask)
+    for i, _, _ in within(t)(q[ask], np.full(len(ask), r)):
+        out[ask[i]] = True
+    return out
+
+
+def _selection(k: int, most: float, every: int = 5) -> Callable[[pa.Table], Iterator[dict]]:
+    """``central_traces`` and ``grown`` on the points of a case: (trace_id, failed, cluster, round); ``_in`` tells points that centres come from."""
+
+    def run(table: pa.Table) -> Iterator[dict]:
+        table = table.sort_by([("trace_id", "ascending"), ("seq", "ascending")])
+        ids, seq = table["trace_id"].to_numpy(), table["seq"].to_numpy()
+        p = np.stack([table[c].to_numpy().astype(float) for c in POS], axis=1)
+        start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        size = np.diff(np.append(start, len(ids)))
+        of = np.repeat(np.arange(len(start)), size)
+        fine = np.isfinite(p).all(axis=1)
+        mean = np.add.reduceat(p[:, :2], start) / size[:, None]
+        centres = _centres(p[table["_in"].to_numpy(zero_copy_only=False) & fine], k)
+        free, picked = np.ones(len(start), bool), {}
+        for i in sorted(centres):
+            cost = np.minimum.reduceat(np.where(fine, _away(p, centres[i]), np.inf), start) / size
+            cost[~free] = np.inf
+            best = int(cost.argmin())
+            if cost[best] < most:
+                picked[best] = i
+                free &= ~(np.hypot(*(mean - mean[best]).T) < most)
+                free[of[fine][_near_any(p[fine], p[fine & (of == best)], most)]] = False
+        failed = k - len(picked) > 1
+        turn, n = np.full(len(start), -1), 0
+        if not failed:
+            turn[list(picked)] = 0
+            sample = np.flatnonzero(fine & ((seq % every == 0) | (seq == np.repeat(np.maximum.reduceat(seq, start), size))))
+            while (turn == n).any():
+                ask = sample[turn[of[sample]] < 0]
+                turn[of[ask[_near_any(p[ask], p[fine & (turn[of] == n)], most)]]] = n + 1
+                n += 1
+        else:
+            picked = {}
+        cluster = [picked.get(t) for t in range(len(start))]
+        yield {
+            "trace_id": table["trace_id"].combine_chunks().take(pa.array(start)), "failed": pa.array([failed] * len(start)),
+            "cluster": pa.array(cluster, pa.int32()), "round": pa.array(turn, pa.int32(), mask=turn < 0),
+        }
+
+    return run
+
+
 def grown(points: DataFrame, start: DataFrame, r: float = 25.0, every: int = 5) -> DataFrame:
     """Traces (case_id, trace_id, round) that a search reaches from the traces of ``start``; these have round 0.
 
@@ -103,15 +205,25 @@ def select_traces(points: DataFrame, k: int = 2, most: float = 25.0, low: float
 
     ``cluster`` names the centre of a chosen trace, ``round`` the step in which a trace was reached.
     Cases with fewer than three traces stay 0.  Where two or more centres find no trace the
-    selection has failed and labels are NULL.
+    selection has failed and labels are NULL.  Cases with few enough points go through all steps in a task each.
     """
     size = points.groupBy(*KEYS).agg(F.count("*").alias("np")).withColumn("traces", F.count("*").over(Window.partitionBy("case_id")))
     traces = stored(size, "traces")
     some = stored(points.join(traces.where("traces >= 3").select(*KEYS), KEYS, "left_semi").select(*KEYS, "seq", *POS), "points")
-    pick = stored(central_traces(some, k, most, low, high), "picked")
-    failed = pick.groupBy("case_id").agg((F.sum(F.col("trace_id").isNull().cast("int")) > 1).alias("failed"))
-    chosen = pick.join(failed.where("not failed"), "case_id", "left_semi").where("trace_id is not null")
-    found = grown(some, chosen, most)
-    out = traces.join(failed, "case_id", "left").join(found, KEYS, "left").join(chosen, KEYS, "left")
+    inside = F.lit(True)
+    if low is not None:
+        inside = inside & F.coalesce(F.col("z") >= low, F.lit(False))
+    if high is not None:
+        inside = inside & F.coalesce(F.col("z") <= high, F.lit(False))
+    small, large = by_size(some)
+    found = in_cases(small.withColumn("_in", inside), _selection(k, most), f"trace_id {dict(some.dtypes)['trace_id']}, failed boolean, cluster int, round int")
+    if large is not None:
+        some = stored(some.join(large, "case_id", "left_semi"), "points")
+        pick = stored(central_traces(some, k, most, low, high), "picked")
+        failed = pick.groupBy("case_id").agg((F.sum(F.col("trace_id").isNull().cast("int")) > 1).alias("failed"))
+        chosen = pick.join(failed.where("not failed"), "case_id", "left_semi").where("trace_id is not null")
+        rest = some.select(*KEYS).distinct().join(failed, "case_id", "left").join(chosen, KEYS, "left").join(grown(some, chosen, most), KEYS, "left")
+        found = found.unionByName(rest.select(*found.columns))
+    out = traces.join(found, KEYS, "left")
     label = F.when(F.col("traces") < 3, 0).when(F.col("failed"), F.lit(None)).when(F.col("cluster").isNotNull(), 0).when(F.col("round").isNotNull(), 1).otherwise(-1)
     return out.select(*KEYS, label.alias("label"), "cluster", "round")
