@@ -164,3 +164,14 @@ def test_surface_scores(spark, monkeypatch):
     made = []
     monkeypatch.setattr(ev, "stored", lambda df, label="stage", old=ev.stored: made.append(label) or old(df, label))
     assert ev.surface_score(v, (0.6, 0.3, 0.3), roi).count() == 5 and made == ["voxels", "distance"]
+
+
+def test_euler_numbers_of_small_masks_shuffle_runs_only(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(c, x, y, z) for c in (1, 2) for x in range(5) for y in range(5) for z in range(6) if rng.random() < 0.5]
+    m = spark.createDataFrame(rows, "case_id long, x long, y long, z long")
+    a, b = _both(monkeypatch, lambda: ev.betti(m))
+    assert a == b
+    plan = ev.run_euler(ev.runs(m).repartition("case_id"), ["case_id"])._jdf.queryExecution().executedPlan().toString()
+    # One exchange for the distinct voxels, one for their lines at most, one for the masks; none behind the nine lines.
+    assert "hashpartitioning(case_id" in plan and "X#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
